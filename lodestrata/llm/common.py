@@ -43,11 +43,9 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, else df as it is. rows: the count, if known."""
-    if rows is None:
-        rows = df.limit(BROADCAST_ROWS + 1).count()
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows, else as it is. Counting runs df's plan: store it before."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

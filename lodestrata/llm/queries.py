@@ -8,23 +8,132 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe_codec, token_counts
+from lodestrata.llm import bpe_codec, decontaminate, grid_join, language_id, license_scan, line_dedup, pii, simhash, token_counts, warc
 from lodestrata.llm.common import table
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op2_grid_order_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid_join.linked_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2, words=3)
+
+
+def op5_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=10).drop("items")
+
+
+def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def pages_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 8 with all its evidence: declared markup language, address suffix and host of the pages."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.btrim(F.regexp_replace(F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1>", " "), r"<[^>]*>", " ")).alias("text"),
+        F.lower(F.nullif(F.regexp_extract("html", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]{2})", 1), F.lit(""))).alias("lang"),
+        F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)).alias("host"),
+    )
+    pages = pages.withColumn("suffix", F.regexp_extract("host", r"([^.]+)$", 1))
+    return language_id.identify(pages, id="page_id", host="host", suffix="suffix")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.code_digests(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_token_counts": op3_token_counts,
-    "op9_bpe_codec": op9_bpe_codec,
+    f.__name__: f
+    for f in (op1_warc_chunks, op2_grid_order_join, op3_token_counts, op4_covering_simhash, op5_prefix_decontamination, op6_weak_pii, op7_site_lines, op8_language_id, op9_bpe_codec, op10_license_scan, pages_language)
 }
 
-SQL: dict[str, str] = {}
+_WORDS = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+_BASE32 = "||".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, {5 * (i // 4) + 1}, 5))::BIGINT >> {15 - 5 * (i % 4)}) & 31) + 1)::INT, 1)" for i in range(32))
+
+OP1_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+m AS (SELECT h, max(page_id) AS f FROM p GROUP BY h)
+SELECT p.page_id, payload_bytes, {_BASE32.replace("(h,", "(p.h,")} AS payload_digest,
+       CASE WHEN page_id < f THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < f THEN f END AS refers_to
+FROM p JOIN m ON p.h = m.h
+"""
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(text="text")} AS w FROM benchmark),
+bw AS (SELECT item_id, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s, w FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS x FROM bw),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n),
+dx AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS x FROM dw),
+hit AS (SELECT doc_id, item_id, dx.n AS n, s FROM dx JOIN win ON dx.x = win.x AND dx.n = win.n),
+words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(joined, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP7_SQL = f"""
+WITH p AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+t AS (SELECT source, count(*) AS pages FROM p GROUP BY source HAVING count(*) >= {line_dedup.PAGES}),
+l AS (SELECT DISTINCT r, source, trim(x, chr(32) || chr(9) || chr(13)) AS x FROM (SELECT r, source, unnest(ls) AS x FROM p)),
+c AS (SELECT l.source, x FROM l JOIN t ON l.source = t.source WHERE x <> '' GROUP BY l.source, x, pages HAVING count(*) > {line_dedup.RATIO}::DOUBLE * pages),
+b AS (SELECT source, list(x) AS xs FROM c GROUP BY source),
+k AS (SELECT doc_id, ls, list_filter(ls, lambda y: NOT list_contains(coalesce(xs, []), trim(y, chr(32) || chr(9) || chr(13)))) AS kept FROM p LEFT JOIN b ON p.source = b.source)
+SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k
+"""
+
+
+def _templates_sql() -> str:
+    rows = []
+    for name, text in license_scan.TEMPLATES.items():
+        pairs = ", ".join(f"'{a} {b}'" for a, b in license_scan.bigrams_of_template(text))
+        rows.append(f"('{name}', [{pairs}])")
+    return ", ".join(rows)
+
+
+OP10_SQL = f"""
+WITH t(license, tb) AS (VALUES {_templates_sql()}),
+d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
+u AS (SELECT r, unnest(range(1, len(ls) + 1)) AS unit, unnest(ls) AS x FROM d UNION ALL SELECT r, 0, text FROM d WHERE len(ls) > 1),
+w AS (SELECT r, unit, {_WORDS.format(text="x")} AS w FROM u),
+g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
+m AS (SELECT r, unit, license, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM g, t
+      WHERE len(b) * (2 - {license_scan.DICE}) >= len(tb) * {license_scan.DICE} AND len(tb) * (2 - {license_scan.DICE}) >= len(b) * {license_scan.DICE}),
+k AS (SELECT * FROM m WHERE dice >= {license_scan.DICE}),
+a AS (SELECT r, count(*) AS n, max(dice) AS best FROM k GROUP BY r),
+n AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT r, license FROM k) GROUP BY r),
+f AS (SELECT k.r, min(license) AS best_license FROM k JOIN a ON k.r = a.r AND k.dice = a.best GROUP BY k.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best_license, round(best, 6)::DOUBLE AS best_dice
+FROM d LEFT JOIN a ON d.r = a.r LEFT JOIN n ON d.r = n.r LEFT JOIN f ON d.r = f.r
+"""
+
+SQL: dict[str, str] = {"op1_warc_chunks": OP1_SQL, "op5_prefix_decontamination": OP5_SQL, "op7_site_lines": OP7_SQL, "op10_license_scan": OP10_SQL}
