@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +55,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does the same where the text has no other letter with a lower case."""
     return F.when(col.rlike(r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Mn}]]"), F.translate(col, _UPPER, _UPPER.lower())).otherwise(F.lower(col))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -121,9 +121,9 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: st
     for column in ("declared", "suffix") if suffix else ("declared",):
         given = likelihood(column)
         at = at.join(small(given), F.col(column) == F.col(f"{column}_is"), "left")
-    prior = by_host.select(F.col("host").alias("host_is"), F.transform("prior", F.log).alias("host_log"))
+    prior = by_host.select(F.col("host").alias("host_is"), F.transform("prior", lambda p: F.log(p)).alias("host_log"))
     at = at.join(small(prior), F.col("host") == F.col("host_is"), "left")
-    terms = [F.col("scores"), F.coalesce("declared_log", zero), F.coalesce("host_log", F.transform(flat, F.log))] + ([F.coalesce("suffix_log", zero)] if suffix else [])
+    terms = [F.col("scores"), F.coalesce("declared_log", zero), F.coalesce("host_log", F.transform(flat, lambda p: F.log(p)))] + ([F.coalesce("suffix_log", zero)] if suffix else [])
     post = terms[0]
     for t in terms[1:]:
         post = F.zip_with(post, t, lambda a, b: a + b)

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import ascii_lower
+from lodestrata.llm.common import ascii_lower, let
 
 #: Notices and opening passages of well-known licences.
 TEMPLATES = {
@@ -41,8 +41,9 @@ def bigrams_of_template(text: str) -> list[tuple[str, str]]:
 
 
 def _bigrams(lowered: Column) -> Column:
+    """Hashes of the different word bigrams."""
     words = F.filter(F.split(lowered, BETWEEN_WORDS), lambda w: w != "")
-    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.element_at(words, i), F.element_at(words, i + 1)))
+    return let(words, lambda ws: F.array_compact(F.array_distinct(F.transform(ws, lambda w, i: F.when(i + 1 < F.size(ws), F.xxhash64(w, F.get(ws, i + 1)))))))
 
 
 def matches(text: Column, templates: dict[str, str], dice: float = DICE) -> Column:
@@ -50,26 +51,19 @@ def matches(text: Column, templates: dict[str, str], dice: float = DICE) -> Colu
     parts = {name: b for name, t in templates.items() if (b := bigrams_of_template(t))}
     least = {n: math.ceil(len(b) * dice / (2 - dice) - 1e-9) for n, b in parts.items()}
     most = {n: math.floor(len(b) * (2 - dice) / dice + 1e-9) for n, b in parts.items()}
-    lowered = F.split(ascii_lower(text), "\n")
+    known = {n: F.array(*(F.xxhash64(F.lit(a), F.lit(c)) for a, c in b)) for n, b in parts.items()}
+    bound = lambda u, n: F.size(u["b"]).between(least[n], most[n])
 
-    def unit(line: Column, n: Column) -> Column:
-        words = F.filter(F.split(line, BETWEEN_WORDS), lambda w: w != "")
-        pairs = F.array_distinct(F.transform(words, lambda w, i: F.when(i + 1 < F.size(words), F.xxhash64(w, F.get(words, i + 1)))))
-        return F.struct(n.alias("unit"), F.array_compact(pairs).alias("b"))
+    def against(u: Column) -> Column:
+        value = lambda n: F.when(bound(u, n), 2.0 * F.size(F.array_intersect(u["b"], known[n])) / (F.size(u["b"]) + len(parts[n]))).otherwise(0.0)
+        return F.filter(F.array(*(F.struct(F.lit(n).alias("license"), u["unit"].alias("unit"), value(n).alias("dice")) for n in parts)), lambda m: m["dice"] >= dice)
 
-    lines = F.transform(lowered, lambda x, i: unit(x, i + 1))
-    whole = F.when(F.size(lowered) > 1, F.array(unit(F.array_join(lowered, "\n"), F.lit(0)))).otherwise(F.array().cast("array<struct<unit:int,b:array<bigint>>>"))
-    within = lambda u: reduce(lambda a, b: a | b, (F.size(u["b"]).between(least[n], most[n]) for n in parts))
+    def of(lines: Column) -> Column:
+        unit = lambda x, n: F.struct(n.alias("unit"), _bigrams(x).alias("b"))
+        units = F.concat(F.transform(F.filter(F.array(F.array_join(lines, "\n")), lambda _: F.size(lines) > 1), lambda x: unit(x, F.lit(0))), F.transform(lines, lambda x, i: unit(x, i + 1)))
+        return F.flatten(F.transform(F.filter(units, lambda u: reduce(lambda a, b: a | b, (bound(u, n) for n in parts))), against))
 
-    def against(u: Column) -> Column:
-        each = []
-        for name, pairs in parts.items():
-            known = F.array(*(F.xxhash64(F.lit(a), F.lit(b)) for a, b in pairs))
-            value = F.when(F.size(u["b"]).between(least[name], most[name]), 2.0 * F.size(F.array_intersect(u["b"], known)) / (F.size(u["b"]) + len(pairs))).otherwise(0.0)
-            each.append(F.struct(F.lit(name).alias("license"), u["unit"].alias("unit"), value.alias("dice")))
-        return F.filter(F.array(*each), lambda m: m["dice"] >= dice)
-
-    return F.flatten(F.transform(F.filter(F.concat(whole, lines), within), against))
+    return let(F.split(ascii_lower(text), "\n"), of)
 
 
 def scan_licenses(df: DataFrame, id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, dice: float = DICE) -> DataFrame:

@@ -85,14 +85,17 @@ SELECT p.page_id, payload_bytes, {_BASE32.replace("(h,", "(p.h,")} AS payload_di
 FROM p JOIN m ON p.h = m.h
 """
 
+_LEADS = ", ".join(f"lead(x, {k}) OVER o" for k in range(1, 10))
+
 OP5_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce({_WORDS.format(text="text")}, []) AS w FROM documents),
 b AS (SELECT item_id, {_WORDS.format(text="text")} AS w FROM benchmark),
 bw AS (SELECT item_id, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS s, w FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[s:s + n - 1], ' ') AS x FROM bw),
 lens AS (SELECT DISTINCT n FROM win),
-dw AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, lens WHERE len(w) >= n),
-dx AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS x FROM dw),
+dp AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS s FROM d),
+dl AS (SELECT doc_id, s, [x, {_LEADS}] AS xs FROM dp WINDOW o AS (PARTITION BY doc_id ORDER BY s)),
+dx AS (SELECT doc_id, n, s, array_to_string(xs[1:n], ' ') AS x FROM dl, lens WHERE xs[n] IS NOT NULL),
 hit AS (SELECT doc_id, item_id, dx.n AS n, s FROM dx JOIN win ON dx.x = win.x AND dx.n = win.n),
 words AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM hit) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS joined FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
