@@ -1,3 +1,3 @@
 """Registered queries and their SQL."""
 
-from lodestrata.plans import corpus  # noqa: F401
+from lodestrata.plans import corpus, search  # noqa: F401
