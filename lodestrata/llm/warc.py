@@ -57,8 +57,8 @@ def records(df: DataFrame, id: str, payload: str, uri: str | None = None, least:
     return at.select("id", "uri", "payload", "n_bytes", "digest", F.when(F.col("revisit"), "revisit").otherwise("response").alias("type"), F.when(F.col("revisit"), F.col("first")).alias("refers_to"))
 
 
-def write_archives(recs: DataFrame, path: str, segment: int = SEGMENT, compression: str = "none") -> None:
-    """records() as WARC files under path, one per task. gzip makes them smaller, and each is then read by one task."""
+def write_archives(recs: DataFrame, path: str, segment: int = SEGMENT, compression: str = "gzip") -> None:
+    """records() as WARC files under path, one per task. A gzip file is read by one task; "none" lets tasks share a file."""
     body = F.when(F.col("type") == "revisit", F.array(F.lit(b""))).otherwise(_cut(F.col("payload"), segment))
     at = recs.withColumn("segments", F.size(body)).select("*", F.posexplode(body).alias("n", "block"))
     urn = lambda x: F.concat(F.lit("<urn:lodestrata:"), x.cast("string"), F.lit(">"))
@@ -143,7 +143,7 @@ def read_records(chunks: DataFrame) -> DataFrame:
     return sent.union(short).union(long)
 
 
-def round_trip(df: DataFrame, id: str = "page_id", payload: str = "html", uri: str | None = "url", segment: int = SEGMENT, compression: str = "none") -> DataFrame:
+def round_trip(df: DataFrame, id: str = "page_id", payload: str = "html", uri: str | None = "url", segment: int = SEGMENT, compression: str = "gzip") -> DataFrame:
     """Write a record per row of df to archives in the shared folder, read them back: (id, payload_bytes, payload_digest, record_type, refers_to).
 
     A null payload is empty; null ids are written without one and come back null; repeated rows each have a record
