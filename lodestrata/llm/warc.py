@@ -5,8 +5,8 @@ writer's lines nor the reader's rows ever hold more than a segment of one. The r
 record, chunk number, bytes. Digests of long payloads are carried from chunk to chunk in order.
 
 Archives are written and read by Spark's text source with the record boundary as its line separator, hence by any store
-that Spark reaches, and are split among tasks like any text. No segment holds that boundary: a payload that does is cut
-inside it.
+that Spark reaches, and are split among tasks like any text. No segment holds the version line that starts a record: a
+payload that does is cut inside it, so that no boundary is found where none was written.
 """
 
 from __future__ import annotations
@@ -35,16 +35,16 @@ def base32_sha1(data: Column) -> Column:
 
 
 def _cut(data: Column, size: int) -> Column:
-    """array<binary>: data in pieces of at most size bytes, none of which holds BOUNDARY; no data gives one empty piece."""
+    """array<binary>: data in pieces of at most size bytes, none of which holds VERSION whole; no data gives one empty piece."""
     step = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(data) / size) - 1, F.lit(0)).cast("int")), lambda i: F.substring(data, i * size + 1, F.lit(size)))
-    # pieces between boundaries get their halves back; as Latin-1 every byte is a character of its own
-    head, tail = BOUNDARY[:7], BOUNDARY[7:]
-    marks = F.split(F.decode(data, "ISO-8859-1"), BOUNDARY.replace(".", r"\."))
+    # what stands between two VERSIONs gets their halves back; as Latin-1 every byte is a character of its own
+    head, tail = VERSION[:4], VERSION[4:]
+    marks = F.split(F.decode(data, "ISO-8859-1"), VERSION.replace(".", r"\."))
     last = F.size(marks) - 1
     parts = F.transform(marks, lambda x, i: F.concat(F.when(i > 0, F.lit(tail)).otherwise(F.lit("")), x, F.when(i < last, F.lit(head)).otherwise(F.lit(""))))
     parts = F.transform(parts, lambda x: F.encode(x, "ISO-8859-1"))
     again = F.flatten(F.transform(parts, lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length(p) / size) - 1, F.lit(0)).cast("int")), lambda i: F.substring(p, i * size + 1, F.lit(size)))))
-    return F.when(data.cast("string").contains(BOUNDARY), again).otherwise(step)
+    return F.when(F.instr(data.cast("string"), VERSION) > 0, again).otherwise(step)
 
 
 def records(df: DataFrame, id: str, payload: str, uri: str | None = None, least: int = 0) -> DataFrame:
