@@ -144,41 +144,50 @@ def impact_by_file(reached: DataFrame, symbols: DataFrame) -> DataFrame:
 def import_cycles(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) of strongly connected components of two nodes or more; component is their least node.
 
-    Forward and backward reach of the least label is spread with pointer jumping over the condensed edges: in each round
-    nodes without in- or out-edges go, chains of nodes of one in- and one out-edge are bridged (twice their length each
-    round), labels are spread both ways to a fixed point, and nodes that got their label both ways are a component.
+    Nodes without in- or out-edges go, and nodes of one in- and one out-edge are bridged, about a third of a chain at a
+    time, so that a chain of n nodes takes a number of rounds that grows with log n. In what stays the least label is
+    spread both ways; nodes that got the same label both ways are a component, and edges between nodes of different
+    labels go. Bridged nodes come back in reverse order: one is in its neighbours' component if both are in the same.
     """
     e = store(edges.toDF("a", "b").filter("a <> b").distinct(), "cycle-edges")
-    found = None
-    for _ in range(rounds):
-        e = _trimmed(e)
+    found, bridged = None, []
+    for r in range(rounds):
+        e = _bridge(e, bridged)
         if e.isEmpty():
             break
         ahead, back = _least_reach(e, "a", "b"), _least_reach(e, "b", "a")
-        both = store(ahead.join(back.withColumnRenamed("label", "back"), "node").filter("label = back").select("node", F.col("label").alias("component")), "cycle-found")
-        found = both if found is None else found.union(both)
-        mark = ahead.join(back.withColumnRenamed("label", "back"), "node")
-        # what has different labels lies in different components; what is found is done
-        one = mark.select(F.col("node").alias("a"), F.struct("label", "back").alias("ma"), (F.col("label") == F.col("back")).alias("da"))
+        mark = store(ahead.join(back.withColumnRenamed("label", "back"), "node"), "cycle-labels")
+        both = mark.filter("label = back").select("node", F.col("label").alias("component"))
+        found = both if found is None else store(found.union(both), "cycle-found")
+        one = mark.select(F.col("node").alias("a"), F.struct("label", "back").alias("ma"), (F.col("label") == F.col("back")).alias("done"))
         two = mark.select(F.col("node").alias("b"), F.struct("label", "back").alias("mb"))
-        e = store(e.join(one, "a").join(two, "b").filter("ma = mb and not da").select("a", "b"), "cycle-edges")
+        e = store(e.join(one, "a").join(two, "b").filter("ma = mb and not done").select("a", "b"), "cycle-edges")
     else:
         raise RuntimeError(f"import_cycles: not settled after {rounds} rounds")
     if found is None:
-        return edges.sparkSession.createDataFrame([], "node long, component long")
-    sizes = found.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1")
-    return found.join(sizes.select("component"), "component", "left_semi")
-
-
-def _trimmed(e: DataFrame) -> DataFrame:
-    """Edges between nodes that have both in- and out-edges, a few rounds at a time; chains are halved by bridging."""
-    for _ in range(64):
-        ends = e.select(F.col("a").alias("x"), F.lit(1).alias("o"), F.lit(0).alias("i")).union(e.select("b", F.lit(0), F.lit(1))).groupBy("x").agg(F.sum("o").alias("o"), F.sum("i").alias("i"))
-        inner = ends.filter("o > 0 and i > 0").select("x")
-        kept = store(e.join(inner.withColumnRenamed("x", "a"), "a", "left_semi").join(inner.withColumnRenamed("x", "b"), "b", "left_semi").select("a", "b"), "cycle-edges")
-        if kept.count() == e.count():
-            return kept
-        e = kept
+        found = edges.sparkSession.createDataFrame([], "node long, component long")
+    for out in reversed(bridged):
+        u, w = found.select(F.col("node").alias("u"), F.col("component").alias("cu")), found.select(F.col("node").alias("w"), F.col("component").alias("cw"))
+        at = out.join(u, "u", "left").join(w, "w", "left").filter("u = w or cu = cw").withColumn("component", F.coalesce("cu", "u"))
+        found = store(found.union(at.select(F.col("v").alias("node"), "component")).union(at.filter("cu is null").select(F.col("u").alias("node"), "component")).distinct(), "cycle-found")
+    names = found.groupBy("component").agg(F.min("node").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    return found.join(names, "component").select("node", F.col("least").alias("component"))
+
+
+def _bridge(e: DataFrame, bridged: list[DataFrame]) -> DataFrame:
+    """e without ends and with its one-in, one-out nodes bridged until few are left; bridged gets (v, u, w) of each round."""
+    for r in range(200):
+        ends = e.select(F.col("a").alias("v"), F.lit(None).cast("long").alias("u"), F.col("b").alias("w")).union(e.select("b", "a", F.lit(None).cast("long"))).groupBy("v").agg(F.count("u").alias("i"), F.count("w").alias("o"), F.min("u").alias("u"), F.min("w").alias("w"))
+        ends = store(ends.withColumn("h", F.when((F.col("i") == 1) & (F.col("o") == 1), F.xxhash64(F.lit(r), "v"))), "cycle-ends")
+        h = ends.filter("h is not null").select(F.col("v").alias("x"), F.col("h").alias("hx"))
+        free = ends.filter("h is not null").join(h.toDF("u", "hu"), "u", "left").join(h.toDF("w", "hw"), "w", "left").filter("(hu is null or h > hu) and (hw is null or h > hw)").select("v", "u", "w")
+        free, dead = store(free, "cycle-bridged"), ends.filter("i = 0 or o = 0").select("v")
+        if free.isEmpty() and dead.isEmpty():
+            return e
+        bridged.append(free)
+        gone = store(free.select("v").union(dead), "cycle-gone")
+        kept = e.join(gone.toDF("a"), "a", "left_anti").join(gone.toDF("b"), "b", "left_anti").select("a", "b")
+        e = store(kept.union(free.filter("u <> w").select("u", "w").join(dead.toDF("u"), "u", "left_anti").join(dead.toDF("w"), "w", "left_anti").select("u", "w")).distinct(), "cycle-edges")
     return e
 
 

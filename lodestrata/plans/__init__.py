@@ -1,3 +1,3 @@
 """Registered queries and their SQL."""
 
-from lodestrata.plans import chat, corpus, graph, search  # noqa: F401
+from lodestrata.plans import architecture, chat, chunking, corpus, graph, search  # noqa: F401

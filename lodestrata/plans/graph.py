@@ -118,12 +118,16 @@ def h10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as nodes: each points to its square's remainder and its half, so that there are chains and cycles."""
-    o = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"))
-    return o.select("a", (F.col("a") * 7 % 997 + 1).alias("b")).union(o.filter("a % 3 = 0").select("a", F.floor(F.col("a") / 2).cast("long")))
+    """Parts as nodes in blocks of a hundred: each points to another of its block, every third also to an earlier one."""
+    a = F.col("p_partkey")
+    o = table(spark, sf_dir, "part").select(a.alias("a"), (a - (a - 1) % 100 - 1).alias("o"), ((a - 1) % 100).alias("i"))
+    n = o.select("a")
+    both = o.select("a", (F.col("o") + (F.col("i") * 7 + 3) % 100 + 1).alias("b")).union(o.filter("a % 3 = 0").select("a", (F.col("o") + F.floor(F.col("i") / 2) + 1).cast("long")))
+    return both.join(n.toDF("b"), "b", "left_semi").select("a", "b")
 
 
-@query("h11_import_cycles", "WITH RECURSIVE ed AS (SELECT p_partkey AS a, p_partkey * 7 % 997 + 1 AS b FROM part UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 3 = 0), r(x, y) AS (SELECT a, b FROM ed WHERE a <> b UNION SELECT r.x, ed.b FROM r JOIN ed ON ed.a = r.y) SELECT r.x AS node, min(q.x) AS component FROM r JOIN r q ON r.x = q.y AND r.y = q.x GROUP BY r.x HAVING count(DISTINCT q.x) > 1")
+@query("h11_import_cycles", """WITH RECURSIVE ed AS (SELECT a, b FROM (SELECT p_partkey AS a, p_partkey - (p_partkey - 1) % 100 + ((p_partkey - 1) % 100 * 7 + 3) % 100 AS b FROM part UNION SELECT p_partkey, p_partkey - (p_partkey - 1) % 100 + ((p_partkey - 1) % 100) // 2 FROM part WHERE p_partkey % 3 = 0) WHERE a <> b AND b IN (SELECT p_partkey FROM part)),
+r(x, y) AS (SELECT a, b FROM ed UNION SELECT r.x, ed.b FROM r JOIN ed ON ed.a = r.y) SELECT r.x AS node, least(r.x, min(r.y)) AS component FROM r JOIN r q ON r.x = q.y AND r.y = q.x WHERE r.x <> r.y GROUP BY r.x""")
 def h11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.import_cycles(edges(spark, sf_dir)).select("node", "component")
 
