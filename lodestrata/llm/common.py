@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, in_turn: bool = False) -> DataFrame:
+    """in_turn: tasks read a file's column chunks one after the other and not all at once, which takes smaller buffers."""
+    reader = spark.read.option("parquet.hadoop.vectored.io.enabled", "false") if in_turn else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -38,7 +38,7 @@ def op6_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_site_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.without_boilerplate(table(spark, sf_dir, "documents"))
+    out = line_dedup.without_boilerplate(table(spark, sf_dir, "documents", in_turn=True))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
