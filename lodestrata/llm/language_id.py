@@ -25,23 +25,34 @@ BUCKETS, LANGUAGES = 1 << 14, 200
 EVIDENCE = 60
 #: Pseudo-counts: of a host's prior, of its suffix's, and of the tables of declared languages and suffixes.
 HOST, SUFFIX, TABLE = 20.0, 50.0, 1.0
-#: A text of no language: its class's prior, and nats per trigram by which it is likelier than an even spread of bytes.
-NONE, NONE_PRIOR, NONE_GAIN = "und", 0.01, 0.35
+#: A text of no language: its class's prior, and nats per trigram by which it is likelier than an even spread over the buckets.
+NONE, NONE_PRIOR, NONE_GAIN = "und", 0.01, 0.0
 #: Least posterior of an accepted language.
 ACCEPT = 0.5
 
 
+#: Printable ASCII that is no letter, and white space, reads as a space: numbers, addresses and keys say nothing of a language.
+_READ = np.array([32 if b in range(9, 14) or 32 <= b < 127 and not chr(b).isalpha() else b for b in range(256)], dtype=np.uint8)
+
+
 def trigrams(text: str) -> np.ndarray:
-    """Buckets of all byte trigrams of the text, lower-cased in A-Z."""
-    b = np.frombuffer(text.encode("utf-8", "replace").lower(), dtype=np.uint8).astype(np.uint32)
+    """Buckets of the byte trigrams of the text, lower-cased in A-Z, that hold at most one space."""
+    b = _READ[np.frombuffer(text.encode("utf-8", "replace").lower(), dtype=np.uint8)]
     if len(b) < 3:
         return np.zeros(0, dtype=np.uint32)
-    return ((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA6B) ^ b[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(18)
+    space = (b == 32).astype(np.uint8)
+    kept = space[:-2] + space[1:-1] + space[2:] < 2
+    b = b.astype(np.uint32)
+    return (((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA6B) ^ b[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(18))[kept]
 
 
 def fit(df: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """(languages, table[bucket, language] of log likelihoods) from at most sample labelled rows."""
-    rows = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.lit("language"), F.col(key)).alias("h")).orderBy("h", "t").limit(sample).select("t", "l")
+    labelled = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull())
+    # hashes are even: below this one there are about a fifth more rows than wanted, so that few rows are sorted
+    share = min(1.0, 1.2 * sample / max(1, labelled.count()) + 1e-9)
+    rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.lit("language"), F.col(key)).alias("h")).filter(F.col("h") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
+    rows = rows.orderBy("h", "t").limit(sample).select("t", "l")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -135,4 +146,5 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: st
 def accepted(df: DataFrame, id: str = "doc_id", **columns) -> DataFrame:
     """df without the rows that identify() rejects; columns as they are. A row goes only if no row of its id is accepted."""
     bad = identify(df, id, **columns).groupBy(id).agg(F.max("accepted").alias("ok")).filter("not ok").select(F.col(id).alias("_id"))
+    bad = small(store(bad, "rejected"))
     return df.join(bad, F.col(id).eqNullSafe(F.col("_id")), "left_anti")
