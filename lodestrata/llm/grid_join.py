@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import store
+from lodestrata.llm.common import let, store
 from lodestrata.llm.components import components
 
 #: Vectors of an interval that one row carries, of a part inside it, and intervals under a node of the next level.
@@ -32,8 +32,10 @@ def unit_vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
     """(id, unit array<double>, dim) of the rows whose vector has a direction: not null or empty, all finite, not zero."""
     v = F.col("v")
     at = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    at = at.withColumn("top", F.array_max(F.transform("v", F.abs))).filter("top > 0").withColumn("v", F.transform("v", lambda x: x / F.col("top")))
-    return at.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).select("id", F.transform("v", lambda x: x / F.col("norm")).alias("unit"), F.size("v").alias("dim"))
+    # scaled by the largest component first, so that squares neither overflow nor vanish
+    scaled = let(F.array_max(F.transform("v", lambda x: F.abs(x))), lambda top: F.when(top > 0, F.transform("v", lambda x: x / top)))
+    unit = let(scaled, lambda a: let(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(a, lambda x: x / norm)))
+    return at.select("id", unit.alias("unit"), F.size("v").alias("dim")).filter("unit is not null")
 
 
 def _axes(units: DataFrame, n: int, dim: int) -> np.ndarray:
