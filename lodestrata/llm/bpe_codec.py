@@ -76,10 +76,10 @@ def merge_all(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str
 class Kept(dict):
     """Values of make(key), filled on demand and bounded."""
 
-    def __init__(self, make: Callable[[str], tuple[str, str]]):
+    def __init__(self, make: Callable[[str], str]):
         self.make = make
 
-    def __missing__(self, key: str) -> tuple[str, str]:
+    def __missing__(self, key: str) -> str:
         value = self.make(key)
         if len(key) <= CACHE_CHARS:
             if len(self) >= CACHE_WORDS:
@@ -136,36 +136,32 @@ class Codec:
             held[-1] += self.end
             yield from merge_all(held, self.ranks)
 
-    def word(self, word: str) -> tuple[str, str]:
+    def word(self, word: str) -> str:
         step = self.window
-        tokens = list(self.stream([word] if len(word) <= step else (word[i : i + step] for i in range(0, len(word), step))))
-        return " ".join([str(self.ids[t]) for t in tokens]), " ".join(tokens)
+        return " ".join([str(self.ids[t]) for t in self.stream([word] if len(word) <= step else (word[i : i + step] for i in range(0, len(word), step)))])
 
-    def chunk(self, chunk: str) -> tuple[str, str]:
-        """Ids of what stands between two spaces and their spellings, both joined by spaces; empty if it has no word."""
-        words = list(map(self.coded.__getitem__, self.split(self.normal(chunk))))
-        return words[0] if len(words) == 1 else (" ".join([w[0] for w in words]), " ".join([w[1] for w in words]))
+    def chunk(self, chunk: str) -> str:
+        """Ids of what stands between two spaces, joined by spaces; empty if it has no word."""
+        return " ".join(map(self.coded.__getitem__, self.split(self.normal(chunk))))
 
-    def pieces(self, text: str) -> Iterator[tuple[str, str]]:
-        """(ids, spellings) of runs of the text, in order and joined by spaces; a special token's string is that token."""
+    def pieces(self, text: str) -> Iterator[str]:
+        """Ids of runs of the text, in order and joined by spaces; a special token's string is that token."""
         for k, part in enumerate(self.added.split(text) if "<|" in text else [text]):
             if k % 2:
-                yield str(self.special[part]), part
+                yield str(self.special[part])
                 continue
             chunks = part.split(" ")
             for i in range(0, len(chunks), RUN):
-                run = list(map(self.cache.__getitem__, chunks[i : i + RUN]))
-                if ("", "") in run:
-                    run = [p for p in run if p[0]]
+                run = " ".join(filter(None, map(self.cache.__getitem__, chunks[i : i + RUN])))
                 if run:
-                    yield " ".join([p[0] for p in run]), " ".join([p[1] for p in run])
+                    yield run
 
     def encode(self, text: str) -> str:
-        return " ".join([ids for ids, _ in self.pieces(text)])
+        return " ".join(self.pieces(text))
 
 
 class Decoder:
-    """Byte-to-text state machine: ids go in one by one, text comes out as soon as it is whole.
+    """Byte-to-text state machine: ids go in one by one or in runs, text comes out as soon as it is whole.
 
     as_tokens: each token's own spelling, joined by spaces, as a vocabulary file without a decoder is decoded by its
     library. Otherwise the bytes of the tokens as UTF-8, with a space for each word end; an incomplete character is held.
@@ -200,6 +196,13 @@ class Decoder:
         out, self.held = self.held[:cut].decode("utf-8", "replace"), self.held[cut:]
         return out
 
+    def feed_run(self, run: list[int]) -> str:
+        """What feeding the ids one after the other gives."""
+        if not self.as_tokens or not run:
+            return "".join(map(self.feed, run))
+        lead, self.first = "" if self.first else " ", False
+        return lead + " ".join(map(self.codec.tokens.__getitem__, run))
+
     def flush(self) -> str:
         out, self.held = self.held.decode("utf-8", "replace"), b""
         return out
@@ -232,14 +235,14 @@ def decode(ids: Column, vocabulary: str, as_tokens: bool = True) -> Column:
             out = []
             for row in rows:
                 d = Decoder(c, as_tokens)
-                out.append("".join([d.feed(int(i)) for i in (row if row is not None else [])]) + d.flush())
+                out.append(d.feed_run([int(i) for i in (row if row is not None else [])]) + d.flush())
             yield pd.Series(out, dtype="object")
 
     return text(ids)
 
 
 def code_digests(df: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256: encode, then decode, ids and spellings kept no longer than hashed.
+    """df with n_tokens, ids_sha256 and decoded_sha256: the ids of each run are hashed, decoded, and kept no longer.
 
     A null text counts as empty: no tokens, and both digests are those of the empty string. Rows keep their number.
     """
@@ -250,12 +253,13 @@ def code_digests(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
         for texts in batches:
             out = []
             for t in texts:
-                ids, back, n, pieces = hashlib.sha256(), hashlib.sha256(), 0, c.pieces(t or "")
-                for run, spelled in pieces:
-                    lead = " " if n else ""
-                    ids.update(f"{lead}{run}".encode())
-                    back.update(f"{lead}{spelled}".encode())
-                    n += run.count(" ") + 1
+                ids, back, n, decoder = hashlib.sha256(), hashlib.sha256(), 0, Decoder(c)
+                for run in c.pieces(t or ""):
+                    ids.update((f" {run}" if n else run).encode())
+                    got = list(map(int, run.split(" ")))
+                    back.update(decoder.feed_run(got).encode())
+                    n += len(got)
+                back.update(decoder.flush().encode())
                 out.append((n, ids.hexdigest(), back.hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -43,6 +43,9 @@ def test_decoder_modes():
         ids = library(text)
         d = Decoder(OURS)
         assert "".join(map(d.feed, ids)) == LIBRARY.decode(ids, skip_special_tokens=False)
+        for as_tokens in (True, False):  # runs of any length give what single ids give
+            one, many = Decoder(OURS, as_tokens), Decoder(OURS, as_tokens)
+            assert "".join(map(one.feed, ids)) + one.flush() == "".join(many.feed_run(ids[i : i + 2]) for i in range(0, len(ids), 2)) + many.flush()
     d = Decoder(OURS, as_tokens=False)
     assert "".join(map(d.feed, library("Été 漢字 😀 x"))) + d.flush() == "été 漢字 😀 x "
 
