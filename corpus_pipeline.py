@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe_codec, decontaminate, language_id, line_dedup, simhash
+from lodestrata.llm import bpe_codec, decontaminate, language_id, line_dedup, near_copies
 from lodestrata.llm.common import store, table
 
 
@@ -26,8 +26,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate group the document with the least id stays."""
-    return simhash.one_of_each(docs)
+    """Of each group of near copies (5-word Jaccard of 0.8 or more) the document with the least id stays; null ids stay."""
+    return near_copies.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: SQL has neither the hashes of the near-duplicate stage nor the tokenizer; the tests compare run() with brute force.
+#: SQL has neither the components of the near-duplicate stage nor the tokenizer; the tests compare run() with brute force.
 ORACLE_SQL = None
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"pipeline": run}

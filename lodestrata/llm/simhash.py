@@ -111,6 +111,7 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
 
 
 def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
-    """df without the rows whose id is not the least of its near-duplicate group; columns as they are."""
-    found = near_duplicates(df, id, text, radius, words).filter(F.col(id) == F.col("component_id")).select(F.col(id)).distinct()
-    return df.join(found, id, "left_semi").select(*df.columns)
+    """df without the rows whose id is not the least of its near-duplicate group; rows of null id stay, columns as they are."""
+    found = near_duplicates(df, id, text, radius, words).groupBy(id).agg(F.max(F.col(id) == F.col("component_id")).alias("ok"))
+    gone = found.filter("not ok").select(F.col(id).alias("_id"))
+    return df.join(gone, F.col(id) == F.col("_id"), "left_anti")
