@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.feature import BucketedRandomProjectionLSH
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestrata.functions.text import query_identifiers, query_terms, snippet, tokens
+from lodestrata.sources.shared import store
 
 #: Candidates of each list, seeds and results of an expansion, and how much of a seed's score a neighbour gets.
 CANDIDATES, SEEDS, EXPANDED, CARRIED = 30, 5, 6, 0.5
@@ -59,15 +61,24 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) ->
     return top(scored.filter("score is not null"), k, F.desc("score"), F.col("chunk_id")).withColumn("sources", F.array(F.lit("vector")))
 
 
-def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, bucket: float = 0.5, tables: int = 6, radius: float = 1.2) -> DataFrame:
-    """The same by random projections of unit vectors, then exact scores of those that met within radius."""
+def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, bucket: float = 0.5, tables: int = 6, radius: float = math.inf) -> DataFrame:
+    """The same by random projections of unit vectors, then exact scores of those that met, within radius if one is given.
+
+    A query for which fewer than k met is searched exactly among all chunks (within radius).
+    """
     unit = lambda v: array_to_vector(F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))))
     q = queries.select("query_id", "snapshot_id", "model", unit(F.col("vector")).alias("u"))
     c = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "snapshot_id", "model", unit(F.col("embedding")).alias("u"))
     lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
     met = lsh.approxSimilarityJoin(q, c, radius, "distance").filter("datasetA.snapshot_id = datasetB.snapshot_id and datasetA.model = datasetB.model")
     exact = met.select("datasetA.query_id", "datasetB.chunk_id", F.round(dot(vector_to_array("datasetA.u"), vector_to_array("datasetB.u")), 9).alias("score"))
-    return top(exact, k, F.desc("score"), F.col("chunk_id")).withColumn("sources", F.array(F.lit("vector")))
+    near = store(top(exact, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank"), "near-vectors")
+    short = queries.join(near.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
+    rest = vector_search(short, chunks, k).drop("sources")
+    if radius < 2:
+        rest = rest.filter(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) < radius)
+    whole = near.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
+    return whole.withColumn("sources", F.array(F.lit("vector")))
 
 
 def rrf(*ranked: DataFrame, k: int = RRF) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,6 +80,19 @@ def test_approximate_recall(spark):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_approximate_recall_as_registered(spark):
+    """64 dimensions and k = 30, as f6 runs: unit vectors far from one another, and a group of fewer than k."""
+    r = np.random.default_rng(6)
+    rows = [(i, "01"[i % 2], "m1", [float(x) for x in r.normal(size=64)]) for i in range(1, 801)] + [(900 + i, "few", "m1", [float(x) for x in r.normal(size=64)]) for i in range(20)]
+    c = spark.createDataFrame(rows, "chunk_id long, snapshot_id string, model string, embedding array<float>")
+    q = c.filter("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), "snapshot_id", "model", F.col("embedding").alias("vector"))
+    exact = {(x.query_id, x.chunk_id) for x in S.vector_search(q, c).collect()}
+    near = {(x.query_id, x.chunk_id) for x in S.approximate_vector_search(q, c).collect()}
+    assert len(exact & near) >= 0.9 * len(exact)
+    narrow = {(x.query_id, x.chunk_id): x.score for x in S.approximate_vector_search(q, c, bucket=1e-6, tables=1).collect()}
+    assert set(narrow) == exact  # where hardly any meet, lists are filled by the exact search
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("r", 1, "a", 1), ("r", 1, "x", 2), ("r", 1, "b", 3)], "retriever string, question_id long, path string, rank int")
     q = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, ["z"])], "question_id long, gold array<string>")
