@@ -90,10 +90,12 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     """
     raw = spark.read.option("lineSep", BOUNDARY).text(path)
     cut = F.instr("value", END)
-    head = F.concat(F.lit(LINE), F.substring_index("value", END, 1), F.lit(LINE))
+    lines = F.substring_index("value", END, 1)
+    head = F.concat(F.lit(LINE), lines, F.lit(LINE))
     field = lambda name: F.when(F.instr(F.col("head"), f"{LINE}{name}: ") > 0, F.substring_index(F.substring_index(F.col("head"), f"{LINE}{name}: ", -1), LINE, 1))
     id_of = lambda x: F.regexp_extract(x, r"<urn:lodestrata:(-?\d+)", 1).try_cast("long")
-    at = raw.filter(cut > 0).select(head.alias("head"), F.col("value").cast("binary").alias("value"), (cut + 4).alias("start"))
+    # instr counts characters; where the block starts is counted in bytes
+    at = raw.filter(cut > 0).select(head.alias("head"), F.col("value").cast("binary").alias("value"), (F.octet_length(lines) + 5).alias("start"))
     at = at.select("head", "value", "start", field("Content-Length").cast("int").alias("block_bytes"), field("WARC-Segment-Number").cast("int").alias("segment"))
     block = F.substring(F.col("value"), F.col("start"), F.col("block_bytes"))
     at = at.withColumn("block", F.when(F.octet_length(block) == F.col("block_bytes"), block).otherwise(F.raise_error(F.lit("a WARC block is shorter than its Content-Length"))))

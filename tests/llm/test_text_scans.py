@@ -107,6 +107,14 @@ def test_chunk_table(spark):
         assert r.digest_so_far == hashlib.sha1(b"x" * 100 * (r.chunk + 1)).hexdigest() and r.bytes_so_far == 100 * (r.chunk + 1)
 
 
+def test_warc_urls_beyond_ascii(spark):
+    rows = [(1, "http://a/é漢😀", "body one, é"), (2, "http://ü.de/" + "é" * 40, "x\r\n\r\ny" * 30), (3, "http://a/é", ""), (4, "http://a", "plain")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for segment in (1 << 20, 16):  # the second writes long payloads in segments
+        got = {r.page_id: r for r in warc.round_trip(df, segment=segment, compression="none").collect()}
+        assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
