@@ -8,9 +8,10 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-#: A side of a join is broadcast only when it has at most this many rows (of bounded width).
-BROADCAST_ROWS = 500_000
+#: A side of a join is broadcast only when its values take at most so many bytes, with ROW_BYTES for each row beside them.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, in_turn: bool = False) -> DataFrame:
@@ -46,9 +47,31 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows, else as it is. Counting runs df's plan: store it before."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def _bytes(value: Column, kind: DataType) -> Column:
+    """Bytes that a value takes, about."""
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(value).cast("long"), F.lit(0)) + 16
+    if isinstance(kind, ArrayType):
+        each = kind.elementType
+        if isinstance(each, (StringType, BinaryType, ArrayType, StructType, MapType)):
+            return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + _bytes(x, each)), F.lit(16))
+        return F.greatest(F.coalesce(F.size(value), F.lit(0)), F.lit(0)).cast("long") * 8 + 16
+    if isinstance(kind, MapType):
+        return _bytes(F.map_keys(value), ArrayType(kind.keyType)) + _bytes(F.map_values(value), ArrayType(kind.valueType))
+    if isinstance(kind, StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes that the rows of df take in a hash table, about. Measuring runs df's plan: store it before."""
+    each = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(ROW_BYTES).cast("long"))
+    return df.agg(F.coalesce(F.sum(each), F.lit(0)).alias("n")).first()["n"]
+
+
+def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows take at most that many bytes, else as it is. Measuring runs df's plan: store it before."""
+    return F.broadcast(df) if size_of(df) <= most else df
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -56,7 +79,7 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 def ascii_lower(col: Column) -> Column:
     """A-Z to a-z and nothing else. lower() does the same where the text has no other letter with a lower case."""
-    return F.when(col.rlike(r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Mn}]]"), F.translate(col, _UPPER, _UPPER.lower())).otherwise(F.lower(col))
+    return F.when(col.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Mn}&&[^\x00-\x7F]]"), F.translate(col, _UPPER, _UPPER.lower())).otherwise(F.lower(col))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -80,8 +80,8 @@ OP1_SQL = f"""
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 m AS (SELECT h, max(page_id) AS f FROM p GROUP BY h)
 SELECT p.page_id, payload_bytes, {_BASE32.replace("(h,", "(p.h,")} AS payload_digest,
-       CASE WHEN page_id < f THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id < f THEN f END AS refers_to
+       CASE WHEN page_id < f OR page_id IS NULL AND f IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < f OR page_id IS NULL THEN f END AS refers_to
 FROM p JOIN m ON p.h = m.h
 """
 

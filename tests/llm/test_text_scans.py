@@ -101,7 +101,7 @@ def test_chunk_table(spark):
     path = warc.new_path(spark, "warc-test")
     warc.write_archives(warc.records(df, "page_id", "html"), path, 100, "none")
     chunks = warc.read_chunks(spark, path).cache()
-    of = sorted(chunks.filter("record = 1").collect(), key=lambda r: r.chunk)
+    of = sorted(chunks.filter("id = '1'").collect(), key=lambda r: r.chunk)
     assert [len(r.block) for r in of] == [100] * 10 and b"".join(bytes(r.block) for r in of) == b"x" * 1000
     for r in warc.carried_digests(chunks).collect():
         assert r.digest_so_far == hashlib.sha1(b"x" * 100 * (r.chunk + 1)).hexdigest() and r.bytes_so_far == 100 * (r.chunk + 1)
@@ -115,6 +115,23 @@ def test_warc_urls_beyond_ascii(spark):
         assert {i: (r.payload_bytes, r.payload_digest) for i, r in got.items()} == {i: (len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
 
 
+def test_warc_null_and_repeated_ids(spark):
+    long, other = "ab\r\n\r\nWARC/1.1\r\n" * 40, "é" * 300
+    rows = [(None, long), (None, other), (3, long), (3, long), (3, "short"), (4, other), (4, None), (None, None), (7, "x" * 500), (7, "y" * 500), (None, "alone" * 60)]
+    df = spark.createDataFrame([(i, "u", h, "clash", 0) for i, h in rows], "page_id long, url string, html string, record string, n long")
+    b32 = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    want = []
+    for i, h in rows:
+        h = h or ""
+        first = max((j for j, x in rows if (x or "") == h and j is not None), default=None)
+        again = first is not None and (i is None or i < first)
+        want.append((i, len(h.encode()), b32(h), "revisit" if again else "response", first if again else None))
+    key = lambda r: tuple(map(str, r))
+    for segment in (1 << 20, 64, 7):
+        got = [tuple(r) for r in warc.round_trip(df, segment=segment, compression="none").collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
