@@ -1,88 +1,127 @@
 """Cosine near-duplicates of vectors by the epsilon grid order join.
 
-Unit vectors of cosine c or more lie within epsilon = sqrt(2 - 2c). They are sorted by the grid cells (side epsilon) of
+Unit vectors of cosine c or more lie within epsilon = sqrt(2 - 2c). They are sorted by grid cells (FINE to an epsilon) of
 their leading principal coordinates; the sequence is cut into intervals, and pairs of intervals are refined level by
-level, leaving out each pair whose boxes are further apart than epsilon. What stays is compared exactly.
+level, down to parts of an interval and at last to single vectors, leaving out each pair that is provably distant. The
+bound is that of sketches: the principal coordinates and the length of what is left. The cosine of two vectors is at most
+the product of their sketches, and their distance at least that of their sketches. What stays is compared exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.window import Window as W
 
-from lodestrata.llm.common import let, store
+from lodestrata.llm.common import small, store
 from lodestrata.llm.components import components
 
-#: Vectors of an interval that one row carries, of a part inside it, and intervals under a node of the next level.
-INTERVAL, PART, FANOUT = 2048, 128, 16
-#: Principal dimensions of the grid.
-GRID_DIMS = 8
-#: Rounding that a box may be off by.
-SLACK = 1e-9
-
-
-def unit_vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
-    """(id, unit array<double>, dim) of the rows whose vector has a direction: not null or empty, all finite, not zero."""
-    v = F.col("v")
-    at = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    # scaled by the largest component first, so that squares neither overflow nor vanish
-    scaled = let(F.array_max(F.transform("v", lambda x: F.abs(x))), lambda top: F.when(top > 0, F.transform("v", lambda x: x / top)))
-    unit = let(scaled, lambda a: let(F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x)), lambda norm: F.transform(a, lambda x: x / norm)))
-    return at.select("id", unit.alias("unit"), F.size("v").alias("dim")).filter("unit is not null")
-
-
-def _axes(units: DataFrame, n: int, dim: int) -> np.ndarray:
-    """Leading principal directions, orthonormal rows; any are right, these leave out most."""
-    k = min(GRID_DIMS, dim)
-    if n < 3:
+#: Vectors of an interval that one row carries, at most, and bytes of their components, about.
+INTERVAL, INTERVAL_BYTES = 4096, 4 << 20
+#: Vectors of a part of an interval, intervals of a range partition, nodes under a node of the next level.
+PART, RANGE, FANOUT = 64, 4, 16
+#: Intervals that are sent to meet one interval together.
+MET = 4
+#: Principal dimensions of the grid and of the sketches, and cells to an epsilon.
+GRID_DIMS, SKETCH_DIMS, FINE = 8, 16, 4
+#: Vectors that the principal directions are fitted on, about. They set what is left out, never the result.
+SAMPLE = 50_000
+#: Rounding that a sketch's product or a squared distance may be off by.
+SLACK = 1e-5
+
+
+def directions(df: DataFrame, id: str, vector: str) -> DataFrame:
+    """(id, v, dim) of the rows whose vector has a direction: not null or empty, all finite, not zero."""
+    v, kind = F.col("v"), df.schema[vector].dataType
+    single = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    at = df.select(F.col(id).alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("v")).filter(F.col("id").isNotNull() & v.isNotNull())
+    good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
+    return at.filter(good).select("id", "v", F.size("v").alias("dim"))
+
+
+def units_of(raw: np.ndarray) -> np.ndarray:
+    """Rows of length one; scaled by the largest component first, so that squares neither overflow nor vanish."""
+    x = raw.astype("<f8")
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _axes(at: DataFrame, n: int, dim: int) -> np.ndarray:
+    """Leading principal directions of a sample by hash, orthonormal rows; any are right, these leave out most."""
+    k = min(SKETCH_DIMS, dim)
+    share = min(1.0, SAMPLE / n)
+    some = at.filter(F.xxhash64(F.lit("axes"), "v") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
+    padded = F.concat(F.col("v").cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(dim) - F.col("dim")))
+    # a scale of its own for each vector is enough here: the directions need no exact units
+    top = F.array_max(F.transform(padded, lambda x: F.abs(x)))
+    some = store(some.select(F.transform(padded, lambda x: x / top).alias("x")), "axes-sample").filter("size(x) > 0")
+    if some.count() < 3:
         return np.eye(dim)[:k]
-    fitted = PCA(k=k, inputCol="x", outputCol="y").fit(units.select(array_to_vector("unit").alias("x")))
+    fitted = PCA(k=k, inputCol="x", outputCol="y").fit(some.select(array_to_vector("x").alias("x")))
     q, _ = np.linalg.qr(fitted.pc.toArray())
     return q.T
 
 
-def _ordered(nodes: DataFrame, n: int, dim: int, eps: float) -> DataFrame:
-    """nodes with their place in epsilon grid order as (interval, place)."""
-    axes = _axes(nodes, n, dim)
-
-    @F.pandas_udf("array<double>")
-    def project(units: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(units.to_list()) @ axes.T)) if len(units) else pd.Series([], dtype="object")
-
-    at = nodes.withColumn("at", project("unit")).withColumn("cell", F.transform("at", lambda x: F.floor(x / eps).cast("int")))
-    parts = max(1, math.ceil(n / (4 * INTERVAL)))
-    placed = at.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id").select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("nth"))
-    placed = store(placed, "grid-order")
-    starts, total = [], 0
-    for part, rows in placed.groupBy("part").count().orderBy("part").collect():  # a row for each range partition
-        starts.append((part, total))
-        total += rows
-    start = nodes.sparkSession.createDataFrame(starts, "part int, start long")
-    place = F.col("start") + F.col("nth")
-    return placed.join(F.broadcast(start), "part").select("id", "copies", "unit", "dim", "at", F.floor(place / INTERVAL).alias("interval"), place.alias("place"))
+def _sketched(at: DataFrame, dim: int, axes: np.ndarray, eps: float) -> DataFrame:
+    """at with key (a digest of the vector), cell (sorts like the grid cells), raw and sketch as bytes."""
+    kind = "<f4" if isinstance(at.schema["v"].dataType.elementType, FloatType) else "<f8"
+
+    @F.pandas_udf("key binary, cell binary, raw binary, sketch binary")
+    def sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for vs in batches:
+            raw = np.zeros((len(vs), dim), dtype=kind)
+            for i, v in enumerate(vs):
+                raw[i, : len(v)] = v
+            raw += 0.0  # no negative zeros
+            unit = units_of(raw) if len(raw) else raw.astype("<f8")
+            at = unit @ axes.T
+            rest = np.sqrt(np.maximum(0.0, 1 - (at * at).sum(axis=1, keepdims=True)))
+            cells = np.clip(np.floor(at[:, :GRID_DIMS] / (eps / FINE)) + 32768, 0, 65535).astype(">u2") if eps > 0 else np.zeros((len(at), 1), dtype=">u2")
+            sketch = np.hstack([at, rest]).astype("<f4")
+            yield pd.DataFrame({
+                "key": [hashlib.md5(len(v).to_bytes(4, "big") + r.tobytes(), usedforsecurity=False).digest() for v, r in zip(vs, raw, strict=True)],
+                "cell": [c.tobytes() for c in cells], "raw": [r.tobytes() for r in raw], "sketch": [s.tobytes() for s in sketch],
+            })
+
+    return at.select("id", "dim", F.monotonically_increasing_id().alias("row"), sketches("v").alias("s")).select("id", "dim", "row", "s.*")
+
+
+def _packed(nodes: DataFrame, n: int, dim: int, width: int, kind: str) -> tuple[DataFrame, int]:
+    """(one row for each interval of the sequence: its vectors as bytes and the box of their sketches; range partitions)."""
+    size = max(PART, min(INTERVAL, INTERVAL_BYTES // (dim * int(kind[-1]))))
+    parts = max(1, math.ceil(n / (RANGE * size)))
+    placed = nodes.repartitionByRange(parts, "cell", "id").sortWithinPartitions("cell", "id")
 
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lead, nth, held = TaskContext.get().partitionId(), 0, []
 
-def _packed(ordered: DataFrame) -> DataFrame:
-    """One row for each interval: its vectors as bytes and the box of their coordinates."""
-    rows = ordered.groupBy("interval").agg(F.sort_array(F.collect_list(F.struct("place", "id", "copies", "dim", "unit", "at"))).alias("rows"))
+        def block(f: pd.DataFrame) -> pd.DataFrame:
+            s = np.frombuffer(b"".join(f["sketch"]), dtype="<f4").reshape(len(f), width).astype("<f8")
+            whole = {c: [f[c].to_numpy(dtype="<i8").tobytes()] for c in ("id", "copies", "dim")} | {c: [b"".join(f[c])] for c in ("raw", "sketch")}
+            return pd.DataFrame({"part": [lead], "interval": [lead << 32 | nth], **whole, "lo": [s.min(0)], "hi": [s.max(0)]})
 
-    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
-            for interval, rows in zip(f["interval"], f["rows"], strict=True):
-                get = lambda k, kind: np.array([r[k] for r in rows], dtype=kind)  # noqa: B023, E731
-                at = np.stack([np.asarray(r["at"]) for r in rows])
-                out.append((interval, *(get(k, "<i8").tobytes() for k in ("id", "copies", "dim")), np.stack([np.asarray(r["unit"]) for r in rows]).astype("<f8").tobytes(), at.astype("<f8").tobytes(), list(at.min(0)), list(at.max(0))))
-            yield pd.DataFrame(out, columns=["interval", "ids", "copies", "dims", "units", "ats", "lo", "hi"])
+            held.append(f)
+            while sum(map(len, held)) >= size:
+                f = pd.concat(held, ignore_index=True)
+                yield block(f[:size])
+                held, nth = [f[size:]], nth + 1
+        f = pd.concat(held, ignore_index=True) if held else None
+        if f is not None and len(f):
+            yield block(f)
 
-    return rows.mapInPandas(pack, "interval long, ids binary, copies binary, dims binary, units binary, ats binary, lo array<double>, hi array<double>")
+    got = placed.select("id", "copies", "dim", "raw", "sketch").mapInPandas(pack, "part int, interval long, id binary, copies binary, dim binary, raw binary, sketch binary, lo array<double>, hi array<double>")
+    return store(got, "grid-intervals"), parts
 
 
 def _near(eps: float):
@@ -90,74 +129,82 @@ def _near(eps: float):
     return gap <= eps * eps + SLACK
 
 
-def _interval_pairs(boxes: DataFrame, n: int, eps: float) -> DataFrame:
+def _interval_pairs(packed: DataFrame, parts: int, width: int, eps: float) -> DataFrame:
     """Pairs (i, j), i <= j, of intervals that may hold vectors within eps, found from the whole sequence down."""
-    dims = range(len(boxes.first()["lo"]))
-    levels = [boxes.select(F.col("interval").alias("x"), "lo", "hi")]
-    while n > 1:
-        up = levels[-1].groupBy(F.floor(F.col("x") / FANOUT).alias("x")).agg(F.array(*(F.min(F.col("lo")[k]) for k in dims)).alias("lo"), F.array(*(F.max(F.col("hi")[k]) for k in dims)).alias("hi"))
-        n = math.ceil(n / FANOUT)
-        levels.append(store(up, "grid-boxes"))
+    box = [F.array(*(of(F.col(side)[k]) for k in range(width))).alias(side) for side, of in (("lo", F.min), ("hi", F.max))]
+    levels = [store(packed.select(F.col("part").cast("long").alias("up"), F.col("interval").alias("x"), "lo", "hi"), "grid-boxes")]
+    while True:
+        up = levels[-1].groupBy(F.col("up").alias("x")).agg(*box)
+        levels.append(store(up.select(F.floor(F.col("x") / FANOUT).alias("up"), "x", "lo", "hi"), "grid-boxes"))
+        if parts <= 1:
+            break
+        parts = math.ceil(parts / FANOUT)
     pairs = levels.pop().select(F.col("x").alias("i"), F.col("x").alias("j"))
     while levels:
-        below = levels.pop().withColumn("up", F.floor(F.col("x") / FANOUT))
+        below = levels.pop()
         one, two = (below.select(F.col("up").alias(up), F.col("x").alias(x), F.col("lo").alias(f"lo{k}"), F.col("hi").alias(f"hi{k}")) for k, up, x in ((1, "i", "x1"), (2, "j", "x2")))
         pairs = store(pairs.join(one, "i").join(two, "j").filter("x1 <= x2").filter(_near(eps)).select(F.col("x1").alias("i"), F.col("x2").alias("j")), "grid-pairs")
     return pairs
 
 
-def _compare(one: dict, two: dict, same: bool, cosine: float, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of the linked pairs of two intervals; parts whose boxes are too far apart are never multiplied."""
-    cuts = [range(0, len(x["ids"]), PART) for x in (one, two)]
-    lo, hi = ([np.stack([f(x["ats"][c : c + PART], axis=0) for c in cut]) for x, cut in zip((one, two), cuts, strict=True)] for f in (np.min, np.max))
-    gap = np.maximum(np.maximum(lo[0][:, None] - hi[1][None], lo[1][None] - hi[0][:, None]), 0)
-    near = (gap**2).sum(2) <= eps * eps + SLACK
-    found = []
-    for a, b in zip(*np.nonzero(near), strict=True):
-        if same and b < a:
+def _boxes(sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = range(0, len(sketch), PART)
+    return np.stack([sketch[c : c + PART].min(0) for c in cuts]), np.stack([sketch[c : c + PART].max(0) for c in cuts])
+
+
+def tile(one: dict, two: dict, same: bool, cosine: float) -> pd.DataFrame:
+    """For each linked vector of two intervals the copies linked there and the least id reached; a forest of the links."""
+    (lo1, hi1), (lo2, hi2) = _boxes(one["sketch"]), _boxes(two["sketch"])
+    near = (np.maximum(np.maximum(lo1[:, None] - hi2[None], lo2[None] - hi1[:, None]), 0) ** 2).sum(2) <= 2 - 2 * cosine + SLACK
+    ids, off = (one["id"], 0) if same else (np.concatenate([one["id"], two["id"]]), len(one["id"]))
+    order = np.argsort(ids, kind="stable")
+    label = np.empty(len(ids), dtype=np.int64)
+    label[order] = np.arange(len(ids))
+    n = np.zeros(len(ids))
+    for a, parts in enumerate(near):
+        if same:
+            parts = parts & (np.arange(len(parts)) >= a)
+        cols = np.nonzero(np.repeat(parts, PART)[: len(two["id"])])[0]
+        if not len(cols):
+            continue
+        rows = np.arange(a * PART, min((a + 1) * PART, len(one["id"])))
+        may = one["sketch"][rows] @ two["sketch"][cols].T >= cosine - SLACK
+        cols = cols[may.any(0)]
+        if not len(cols):
             continue
-        p, q = a * PART, b * PART
-        s = one["units"][p : p + PART] @ two["units"][q : q + PART].T >= cosine
-        s &= one["dims"][p : p + PART, None] == two["dims"][None, q : q + PART]
-        if same and a == b:
-            s &= np.tri(*s.shape, k=-1, dtype=bool)
-        r, c = np.nonzero(s)
-        if len(r):
-            found.append((r + p, c + q))
-    empty = np.zeros(0, dtype=np.int64)
-    return (np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])) if found else (empty, empty)
-
-
-def _join(cosine: float, eps: float):
-    def read(f: tuple, k: int) -> dict:
-        x = {n: np.frombuffer(getattr(f, f"{n}{k}"), dtype="<i8") for n in ("ids", "copies", "dims")}
-        return x | {n: np.frombuffer(getattr(f, f"{n}{k}"), dtype="<f8").reshape(len(x["ids"]), -1) for n in ("units", "ats")}
+        s = one["unit"][rows] @ two["unit"][cols].T >= cosine
+        s &= one["dim"][rows, None] == two["dim"][None, cols]
+        if same:
+            s &= cols[None] > rows[:, None]
+        n[rows] += s @ two["copies"][cols].astype(float)
+        n[off + cols] += one["copies"][rows].astype(float) @ s
+        for r in np.nonzero(s.any(1))[0]:
+            met = np.unique(np.append(label[off + cols[s[r]]], label[rows[r]]))
+            if len(met) > 1:
+                to = np.arange(len(ids))
+                to[met] = met[0]
+                label = to[label]
+    hit = n > 0
+    return pd.DataFrame({"id": ids[hit], "n": n[hit].astype("int64"), "root": ids[order[label]][hit]})
+
+
+def _join(cosine: float, width: int, kind: str):
+    def read(row) -> dict:
+        x = {c: np.frombuffer(getattr(row, c), dtype="<i8") for c in ("id", "copies", "dim")}
+        raw = np.frombuffer(row.raw, dtype=kind).reshape(len(x["id"]), -1)
+        return x | {"unit": units_of(raw), "sketch": np.frombuffer(row.sketch, dtype="<f4").reshape(-1, width)}
 
     def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """For each vector its linked copies in the other interval, and a forest that spans the links."""
+        """The interval that the others meet comes first and stays; they pass one by one."""
+        one: dict = {}
         for f in frames:
             for row in f.itertuples(index=False):
-                one, two = read(row, 1), read(row, 2)
-                r, c = _compare(one, two, row.i == row.j, cosine, eps)
-                if not len(r):
+                if row.j < 0:
+                    one = read(row)
                     continue
-                if row.i == row.j:
-                    ids, copies = one["ids"], one["copies"]
-                else:
-                    ids, copies, c = np.concatenate([one["ids"], two["ids"]]), np.concatenate([one["copies"], two["copies"]]), c + len(one["ids"])
-                n = np.bincount(r, weights=copies[c], minlength=len(ids)) + np.bincount(c, weights=copies[r], minlength=len(ids))
-                order = np.argsort(ids, kind="stable")
-                rank = np.empty(len(ids), dtype=np.int64)
-                rank[order] = np.arange(len(ids))
-                root, before = rank.copy(), None  # least rank reached so far
-                while before is None or (root != before).any():
-                    before = root.copy()
-                    low = np.minimum(root[r], root[c])
-                    np.minimum.at(root, r, low)
-                    np.minimum.at(root, c, low)
-                    root = np.minimum(root, root[order[root]])
-                hit = n > 0
-                yield pd.DataFrame({"id": ids[hit], "n": n[hit].astype("int64"), "root": ids[order[root]][hit]})
+                got = tile(one, one if row.i == row.j else read(row), row.i == row.j, cosine)
+                if len(got):
+                    yield got
 
     return join
 
@@ -166,25 +213,37 @@ def linked_vectors(df: DataFrame, id: str = "vec_id", vector: str = "embedding",
     """(id, n_links, component_id, kept), one row per row of df: other vectors of that cosine or more, and who is reached.
 
     Vectors that are null, empty, zero or hold null, NaN or infinite components link with nothing, and so do vectors of
-    different length. Equal directions are compared once for all their copies. Rows that share an id count as one
+    different length. Equal vectors are compared once for all their copies. Rows that share an id count as one
     vector name; a row with a null id links with nothing and has a null component. An empty table gives an empty result.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * cosine))
-    units = store(unit_vectors(df, id, vector), "units")
-    nodes = units.groupBy("unit").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("dim").alias("dim"))
-    n, dim = nodes.agg(F.count("*"), F.max("dim")).first()
+    at = directions(df, id, vector)
+    n, dim = at.agg(F.count("*"), F.max("dim")).first()
     rows = df.select(F.col(id).alias("id"))
     if not n:
         return rows.select(F.col("id").alias(id), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
-    padded = nodes.withColumn("unit", F.concat("unit", F.array_repeat(F.lit(0.0), F.lit(dim) - F.col("dim"))))
-    packed = store(_packed(_ordered(padded, n, dim, eps)), "grid-intervals")
-    pairs = _interval_pairs(packed.select("interval", "lo", "hi"), math.ceil(n / INTERVAL), eps)
-    side = lambda k, x: packed.select(F.col("interval").alias(x), *(F.col(c).alias(f"{c}{k}") for c in ("ids", "copies", "dims", "units", "ats")))
-    spread = max(1, math.ceil(n / INTERVAL)) * 4
-    found = store(pairs.repartition(spread, "i", "j").join(side(1, "i"), "i").join(side(2, "j"), "j").mapInPandas(_join(cosine, eps), "id long, n long, root long"), "grid-links")
+    kind = "<f4" if isinstance(at.schema["v"].dataType.elementType, FloatType) else "<f8"
+    axes = _axes(at, n, dim)
+    width = len(axes) + 1
+    units = store(_sketched(at, dim, axes, eps), "sketches")
+    groups = store(units.groupBy("key").agg(F.min(F.struct("id", "row")).alias("first"), F.count("*").alias("copies")).select("key", F.col("first.id").alias("node"), F.col("first.row").alias("row"), "copies"), "directions")
+    nodes = units.join(groups.select("row", "copies"), "row").select("id", "copies", "dim", "cell", "raw", "sketch")
+    packed, parts = _packed(nodes, n, dim, width, kind)
+    pairs = _interval_pairs(packed, parts, width, eps)
+    pairs = store(pairs.withColumn("g", F.floor((F.row_number().over(W.partitionBy("i").orderBy("j")) - 1) / MET)), "grid-meetings")
+    block = [F.col(c) for c in ("id", "copies", "dim", "raw", "sketch")]
+    side = lambda x: packed.select(F.col("interval").alias(x), *block)
+    first = pairs.select("i", "g").distinct().join(side("i"), "i").select("i", "g", F.lit(-1).cast("long").alias("j"), *block)
+    own = pairs.filter("i = j").select("i", "g", "j", *(F.lit(None).cast("binary").alias(c) for c in ("id", "copies", "dim", "raw", "sketch")))
+    others = pairs.filter("i < j").join(side("j"), "j").select("i", "g", "j", *block)
+    meetings = pairs.select("i", "g").distinct().count()
+    dealt = first.union(own).union(others).repartition(max(1, min(meetings, 20_000)), "i", "g").sortWithinPartitions("i", "g", "j")
+    found = store(dealt.mapInPandas(_join(cosine, width, kind), "id long, n long, root long"), "grid-links")
     reached = components(found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    named = nodes.join(counts, "id", "left").join(reached.withColumnRenamed("node", "id"), "id", "left").select("unit", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    linked = units.join(named, "unit").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = rows.join(linked, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    return out.select(F.col("id").alias(id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    named = groups.join(counts.withColumnRenamed("id", "node"), "node", "left").join(reached, "node", "left").filter("copies > 1 or n is not null")
+    named = small(store(named.select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "node").alias("component")), "linked-directions"))
+    linked = units.select("id", "key").join(named, "key").groupBy("id").agg(F.sum("n").alias("n"), F.min("component").alias("component"))
+    linked = small(store(linked.withColumnRenamed("id", "_id"), "linked-vectors"))
+    out = rows.join(linked, F.col("id") == F.col("_id"), "left").withColumn("component_id", F.coalesce("component", "id"))
+    return out.select(F.col("id").alias(id), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -131,3 +131,25 @@ def test_many_intervals(spark, monkeypatch):
     u = f / np.linalg.norm(f, axis=1, keepdims=True)
     hit = u @ u.T >= 0.98
     assert got == {i: int(hit[i].sum()) - 1 for i in range(300)}
+
+
+def test_bounds_leave_out_distant_pairs(spark):
+    """Parts are skipped where vectors form clusters, single pairs wherever sketches are far apart; no linked pair ever is."""
+    from lodestrata.llm import grid_join
+
+    r = np.random.default_rng(6)
+    spread = r.normal(size=(3000, 32))
+    tight = r.normal(size=(30, 32))[r.integers(0, 30, 3000)] + 0.05 * r.normal(size=(3000, 32))
+    for x, parts_at_least in ((tight, 0.5), (spread, 0.0)):
+        u = grid_join.units_of(x)
+        axes = np.linalg.svd(x, full_matrices=False)[2][: grid_join.SKETCH_DIMS]
+        p = u @ axes.T
+        s = np.hstack([p, np.sqrt(np.maximum(0, 1 - (p * p).sum(1, keepdims=True)))]).astype("<f4")
+        s = s[np.lexsort(np.floor(p[:, :8] / (np.sqrt(0.1) / grid_join.FINE)).T[::-1])]
+        lo, hi = grid_join._boxes(s)
+        gap = (np.maximum(np.maximum(lo[:, None] - hi[None], lo[None] - hi[:, None]), 0) ** 2).sum(2)
+        assert (gap > 0.1 + grid_join.SLACK).mean() >= parts_at_least
+        may, linked = s @ s.T >= 0.95 - grid_join.SLACK, None
+        order = np.lexsort(np.floor(p[:, :8] / (np.sqrt(0.1) / grid_join.FINE)).T[::-1])
+        linked = u[order] @ u[order].T >= 0.95
+        assert not (linked & ~may).any() and (~may).mean() >= 0.95
