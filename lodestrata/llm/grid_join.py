@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 from pyspark.sql.window import Window as W
 
-from lodestrata.llm.common import small, store
+from lodestrata.llm.common import let, small, store
 from lodestrata.llm.components import components
 
 #: Vectors of an interval that one row carries, at most, and bytes of their components, about.
@@ -35,7 +35,7 @@ MET = 4
 #: Principal dimensions of the grid and of the sketches, and cells to an epsilon.
 GRID_DIMS, SKETCH_DIMS, FINE = 8, 16, 4
 #: Vectors that the principal directions are fitted on, about. They set what is left out, never the result.
-SAMPLE = 50_000
+SAMPLE = 20_000
 #: Rounding that a sketch's product or a squared distance may be off by.
 SLACK = 1e-5
 
@@ -63,8 +63,8 @@ def _axes(at: DataFrame, n: int, dim: int) -> np.ndarray:
     some = at.filter(F.xxhash64(F.lit("axes"), "v") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
     padded = F.concat(F.col("v").cast("array<double>"), F.array_repeat(F.lit(0.0), F.lit(dim) - F.col("dim")))
     # a scale of its own for each vector is enough here: the directions need no exact units
-    top = F.array_max(F.transform(padded, lambda x: F.abs(x)))
-    some = store(some.select(F.transform(padded, lambda x: x / top).alias("x")), "axes-sample").filter("size(x) > 0")
+    scaled = let(padded, lambda v: let(F.greatest(F.array_max(v), -F.array_min(v)), lambda top: F.transform(v, lambda x: x / top)))
+    some = store(some.select(scaled.alias("x")), "axes-sample").filter("size(x) > 0")
     if some.count() < 3:
         return np.eye(dim)[:k]
     fitted = PCA(k=k, inputCol="x", outputCol="y").fit(some.select(array_to_vector("x").alias("x")))

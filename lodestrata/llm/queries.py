@@ -118,25 +118,26 @@ SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(k
 def _templates_sql() -> str:
     rows = []
     for name, text in license_scan.TEMPLATES.items():
-        pairs = ", ".join(f"'{a} {b}'" for a, b in license_scan.bigrams_of_template(text))
-        rows.append(f"('{name}', [{pairs}])")
+        of = license_scan.bigrams_of_template(text)
+        pairs = ", ".join(f"'{a} {b}'" for a, b in of)
+        rows.append(f"('{name}', {len(license_scan.words_of_template(text)) - 1}, {license_scan.needed(len(of))}, [{pairs}])")
     return ", ".join(rows)
 
 
 OP10_SQL = f"""
-WITH t(license, tb) AS (VALUES {_templates_sql()}),
-d AS (SELECT row_number() OVER () AS r, doc_id, string_split(text, chr(10)) AS ls, text FROM documents),
-u AS (SELECT r, unnest(range(1, len(ls) + 1)) AS unit, unnest(ls) AS x FROM d UNION ALL SELECT r, 0, text FROM d WHERE len(ls) > 1),
-w AS (SELECT r, unit, {_WORDS.format(text="x")} AS w FROM u),
-g AS (SELECT r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM w WHERE len(w) > 1),
-m AS (SELECT r, unit, license, 2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb)) AS dice FROM g, t
-      WHERE len(b) * (2 - {license_scan.DICE}) >= len(tb) * {license_scan.DICE} AND len(tb) * (2 - {license_scan.DICE}) >= len(b) * {license_scan.DICE}),
+WITH t(license, length, least, tb) AS (VALUES {_templates_sql()}),
+tx AS (SELECT license, length, least, unnest(tb) AS x FROM t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+p AS (SELECT r, unnest(range(1, len(w))) AS s, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM d WHERE len(w) > 1),
+h AS (SELECT r, s, license, length, least, x FROM p JOIN tx USING (x)),
+c AS (SELECT r, license, length FROM h GROUP BY ALL HAVING count(DISTINCT x) >= any_value(least)),
+u AS (SELECT h.r, h.license, list_distinct(list_transform(range(h.s, least(h.s + h.length, len(w))), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM h JOIN c ON c.r = h.r AND c.license = h.license JOIN d ON d.r = h.r),
+m AS (SELECT r, license, max(2.0 * len(list_intersect(b, tb)) / (len(b) + len(tb))) AS dice FROM u JOIN t USING (license) GROUP BY ALL),
 k AS (SELECT * FROM m WHERE dice >= {license_scan.DICE}),
-a AS (SELECT r, count(*) AS n, max(dice) AS best FROM k GROUP BY r),
-n AS (SELECT r, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT r, license FROM k) GROUP BY r),
+a AS (SELECT r, count(*) AS n, max(dice) AS best, string_agg(license, ',' ORDER BY license) AS licenses FROM k GROUP BY r),
 f AS (SELECT k.r, min(license) AS best_license FROM k JOIN a ON k.r = a.r AND k.dice = a.best GROUP BY k.r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, best_license, round(best, 6)::DOUBLE AS best_dice
-FROM d LEFT JOIN a ON d.r = a.r LEFT JOIN n ON d.r = n.r LEFT JOIN f ON d.r = f.r
+FROM d LEFT JOIN a ON d.r = a.r LEFT JOIN f ON d.r = f.r
 """
 
 SQL: dict[str, str] = {"op1_warc_chunks": OP1_SQL, "op5_prefix_decontamination": OP5_SQL, "op7_site_lines": OP7_SQL, "op10_license_scan": OP10_SQL}
