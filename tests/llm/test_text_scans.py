@@ -228,16 +228,75 @@ def test_personal_data(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
-def test_reliabilities_find_the_better_labeler():
-    patterns = [("card", "11111", 500), ("card", "00000", 500), ("card", "11110", 40), ("card", "00001", 30), ("card", "01111", 2), ("card", "10000", 3)]
+def luhn_number(r, lead, n):
+    d = lead + "".join(r.choice("0123456789") for _ in range(n - 1 - len(lead)))
+    return next(d + c for c in "0123456789" if pii.luhn(d + c))
+
+
+def labelled(r):
+    """(text, span, kind or None): added spans that are personal data, and look-alikes that are none."""
+    name, dom = r.choice(["anna", "john.smith", "m_weber", "p.dupont", "info"]), r.choice(["mail", "example", "uni-site", "shop"])
+    ten = f"{r.randrange(2, 9)}{r.randrange(0, 9)}{r.randrange(2, 9)}", f"{r.randrange(2, 9)}{r.randrange(10, 99)}", f"{r.randrange(1000, 9999)}"
+    good = [
+        ("email", r.choice(["write to {} today", "contact: {}", "you reach me via {} or by post", "my mail is {}"]), r.choice([f"{name} (at) {dom} (dot) com", f"{name}[at]{dom}[dot]org", f"{name}(at){dom}.net", f"{name} at {dom} dot de"])),
+        ("phone", r.choice(["call {} now", "phone {}", "my mobile is {} and", "tel. {}"]), r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(*ten)),
+        ("phone", r.choice(["phone: {} (evenings)", "call {} please"]), f"0{r.choice(['30', '171', '40', '89'])} {r.randrange(2000000, 9999999)}"),
+        ("card", r.choice(["paid by card {} yesterday", "visa {} expires soon", "my credit card {}"]), r.choice([luhn_number(r, "37", 15), luhn_number(r, "36", 14), luhn_number(r, "4", 13)])),
+        ("ip", r.choice(["login from host {} failed", "the server {} answers"]), f"{r.randrange(11, 120)}[.]{r.randrange(256)}[.]{r.randrange(256)}[.]{r.randrange(1, 255)}"),
+    ]
+    number = "".join(r.choice("123456789") for _ in range(15))
+    bad = [
+        (None, r.choice(["order no {} was sent", "serial {} of this part", "invoice {} is open", "isbn {} in print"]), number if not pii.luhn(number) else number[:-1] + str((int(number[-1]) + 1) % 10)),
+        (None, r.choice(["version {} is out", "build {} of the part no series"]), f"{r.randrange(100, 199)}-{r.randrange(100, 199)}-{r.randrange(1000, 9999)}"),
+        (None, r.choice(["token={} in the log", "hash {} of it"]), "9" * 16),
+        (None, "serial id_{} and more", f"{r.randrange(100, 199)}-{r.randrange(100, 199)}-{r.randrange(1000, 9999)}"),
+    ]
+    kind, frame, span = r.choice(good if r.random() < 0.5 else bad)
+    return frame.format(span), frame.index("{"), span, kind
+
+
+def test_added_spans_of_labelled_rows(spark):
+    """Recall of added spans is 0.9 at least on held-out labelled rows, and nine in ten added spans are right."""
+    r = random.Random(11)
+    rows = [labelled(r) for _ in range(1500)]
+    fill = [f"Mail joe{i}@site{i % 7}.com or call +49 30 {1000000 + i}, host 10.{i % 250}.3.4, card {luhn_number(r, '4', 16)} of visa." for i in range(300)]
+    df = spark.createDataFrame([(i, t) for i, (t, *_) in enumerate(rows)] + [(10000 + i, t) for i, t in enumerate(fill)], "doc_id long, text string")
+    got = {x.doc_id: {(f.kind, f.start, f.end) for f in x.found} for x in pii.find_personal_data(df).collect()}
+    hit, true, added, right = {}, {}, 0, 0
+    for i, (_, at, span, kind) in enumerate(rows):
+        want = (kind, at, at + len(span))
+        added += len(got[i])
+        right += want in got[i]
+        if kind:
+            true[kind] = true.get(kind, 0) + 1
+            hit[kind] = hit.get(kind, 0) + (want in got[i])
+    assert sum(hit.values()) >= 0.9 * sum(true.values()) and all(hit[k] >= 0.8 * true[k] for k in true), (hit, true)
+    assert right >= 0.9 * added, (right, added)
+
+
+def test_personal_data_takes_linear_time():
+    """A hundred times the text takes about a hundred times as long, whatever it holds."""
+    import time
+
+    for unit in ("a" * 50, "a(at)", "aaaa (at) bbbb ", "1.1.1.1 a@b.c ", "+1 ( ( ", "555-123-4567 ", "1 2 3 4 5 6 7 8 9 0 1 2 3 ", " at x dot y"):
+        took = []
+        for n in (100, 10_000):
+            t = time.perf_counter()
+            for k, s, e, _ in pii.spans_of("x(at " + unit * n):
+                pii.votes(unit * 100, k, 0, 10)
+            took.append(time.perf_counter() - t)
+        assert took[1] < 100 * max(took[0], 1e-3) * 6, (unit, took)
+
+
+def test_reliabilities_of_labelers():
+    """Labelers that say what most say come out reliable; patterns of votes for and against part."""
+    patterns = [("card", "11111", 300), ("card", "11-11", 200), ("card", "1111-"[:4] + "0", 20), ("card", "00000", 300), ("card", "000-0", 200), ("card", "10001", 20)]
     soft, rate = pii.reliabilities(patterns)
-    assert soft["card", "11110"] > 0.9 and soft["card", "00001"] < 0.1
-    assert rate[1, 1] > rate[4, 1]
-    w = pii.span_classifier(patterns, soft)
-    assert pii._features("card", "11111") @ w > 0 > pii._features("card", "00000") @ w
-
-
-TONGUES = {"en": "the house and the water of this that with which were", "de": "das haus und der wasser nicht mit einer werden auch", "fr": "la maison et les eaux de cette que pour dans être"}
+    assert soft["card", "11111"] > 0.95 > 0.05 > soft["card", "00000"] and all(rate[0, j, 1] > rate[0, j, 0] for j in range(len(pii.LABELERS)))
+    text = "paid by card 4111 1111 1111 1111 today"
+    good, bad = pii.features(text, "card", 13, 32, "11111"), pii.features("serial 1234 5678 9012 345x", "card", 7, 25, "00000")
+    w = pii.span_classifier([(good, soft["card", "11111"])] * 50 + [(bad, soft["card", "00000"])] * 50)
+    assert sum(w[k] for k in good) > 0 > sum(w[k] for k in bad)
 
 
 def test_language(spark):
