@@ -74,6 +74,19 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= most else df
 
 
+def look_up(big: DataFrame, key: Column, table: DataFrame, of: str, copies: int = 32) -> DataFrame:
+    """big left-joined to table, which has one row for each value of its column of (null equals null). Store table before.
+
+    A small table is broadcast. Beyond that each of its rows is copied and big's rows are dealt among the copies, so
+    that a value that a third of big has is still shared out among that many tasks.
+    """
+    if size_of(table) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(table), key.eqNullSafe(F.col(of)), "left")
+    dealt = big.withColumn("_deal", (F.monotonically_increasing_id() % copies).cast("int"))
+    each = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return dealt.join(each, key.eqNullSafe(F.col(of)) & (F.col("_deal") == F.col("_copy")), "left").drop("_deal", "_copy")
+
+
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

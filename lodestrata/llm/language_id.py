@@ -12,15 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import small, store
+from lodestrata.llm.common import look_up, small, store
 
-#: Labelled rows that the text model is fitted on, at most (those of least hash); all rows are scored and counted.
-SAMPLE = 4000
-#: Hash buckets of a trigram; languages that are modelled, at most (the most frequent declared ones of the sample).
-BUCKETS, LANGUAGES = 1 << 14, 200
+#: Labelled rows of each language that the text model is fitted on, about (those of least hash); all rows are scored and counted.
+SAMPLE = 1000
+#: Rows that declare a language, at least, for it to be a class; and bytes of the model, beyond which fitting fails.
+LEAST_ROWS, MODEL_BYTES = 3, 256 << 20
+#: Hash buckets of a trigram.
+BUCKETS = 1 << 14
 #: A text's trigrams count as so many independent ones at most.
 EVIDENCE = 60
 #: Pseudo-counts: of a host's prior, of its suffix's, and of the tables of declared languages and suffixes.
@@ -46,13 +48,30 @@ def trigrams(text: str) -> np.ndarray:
     return (((b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA6B) ^ b[2:] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)) >> np.uint32(18))[kept]
 
 
-def fit(df: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """(languages, table[bucket, language] of log likelihoods) from at most sample labelled rows."""
-    labelled = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull())
-    # hashes are even: below this one there are about a fifth more rows than wanted, so that few rows are sorted
-    share = min(1.0, 1.2 * sample / max(1, labelled.count()) + 1e-9)
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.lit("language"), F.col(key)).alias("h")).filter(F.col("h") <= min(2**63 - 1, int((share - 0.5) * 2**64)))
-    rows = rows.orderBy("h", "t").limit(sample).select("t", "l")
+def code_of(declared: Column) -> Column:
+    """The primary subtag of a language tag, of two or three letters and lower-cased; null for anything else."""
+    return F.nullif(F.lower(F.regexp_extract(declared, r"^\s*([A-Za-z]{2,3})(?:[-_][A-Za-z0-9_-]*)?\s*$", 1)), F.lit(""))
+
+
+def address_suffix(text: Column) -> Column:
+    """The last label of the first mail or web address in a text, lower-cased; null without one."""
+    return F.nullif(F.lower(F.regexp_extract(text, r"(?:@|://)(?:[A-Za-z0-9_-]++\.)++([A-Za-z]{2,})", 1)), F.lit(""))
+
+
+def fit(df: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE, least: int = LEAST_ROWS) -> tuple[list[str], np.ndarray]:
+    """(languages, table[bucket, language] of log likelihoods): the languages that least rows declare, each from about sample rows.
+
+    Which languages there are is counted over all rows, so that a rare one is modelled however many rows the others have.
+    """
+    labelled = df.select(F.col(text).alias("t"), code_of(F.col(label)).alias("l"), F.xxhash64(F.lit("language"), F.col(key)).alias("h")).filter("t is not null and l is not null")
+    counts = {r["l"]: r["count"] for r in labelled.groupBy("l").count().filter(F.col("count") >= least).collect()}  # codes of two or three letters
+    languages = sorted(counts)
+    if BUCKETS * len(languages) * 4 > MODEL_BYTES:
+        raise ValueError(f"language_id: a model of {len(languages)} languages is larger than MODEL_BYTES")
+    if not languages:
+        return [], np.zeros((BUCKETS, 0), dtype="float32")
+    upto = [(lang, min(2**63 - 1, int((min(1.0, sample / n) - 0.5) * 2**64))) for lang, n in counts.items()]
+    rows = labelled.join(F.broadcast(df.sparkSession.createDataFrame(upto, "l string, upto long")), "l").filter("h <= upto").select("t", "l")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -61,12 +80,10 @@ def fit(df: DataFrame, text: str, label: str, key: str, sample: int = SAMPLE) ->
                 at = np.nonzero(n)[0]
                 yield pd.DataFrame({"l": lang, "bucket": at, "n": n[at]})
 
-    counts = rows.mapInPandas(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
-    total = counts.groupby("l")["n"].sum().sort_values(ascending=False, kind="stable")
-    languages = sorted(total.index[:LANGUAGES])
+    got = rows.mapInPandas(count, "l string, bucket int, n long").groupBy("l", "bucket").agg(F.sum("n").alias("n")).toPandas()  # at most BUCKETS rows a language
     table = np.full((BUCKETS, len(languages)), 0.5)
     for k, lang in enumerate(languages):
-        of = counts[counts["l"] == lang]
+        of = got[got["l"] == lang]
         table[of["bucket"], k] += of["n"]
     return languages, np.log(table / table.sum(0)).astype("float32")
 
@@ -90,9 +107,10 @@ def _smoothed(counts: DataFrame, by: str, languages: list[str], above, weight: f
     return got.select(by, F.zip_with("n", "above", lambda x, p: (x + weight * p) / (F.col("all") + weight)).alias("prior"))
 
 
-def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", suffix: str | None = None, sample: int = SAMPLE, accept: float = ACCEPT) -> DataFrame:
+def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", suffix: str | Column | None = None, sample: int = SAMPLE, accept: float = ACCEPT) -> DataFrame:
     """(id, declared, host, language, posterior, accepted), one row per row of df; language is "und" where no language fits.
 
+    The classes are the languages that LEAST_ROWS rows declare. A declared language counts by its primary subtag.
     Evidence that is missing (a null or unmodelled declared language, no suffix, an empty or null text) says nothing;
     rows with a null host share one host. A text without trigrams rests on the other evidence alone, and if there is
     none on the priors. Ties go to the first language in byte order. With no labelled row at all nothing is accepted.
@@ -100,7 +118,7 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: st
     """
     languages, table = fit(df, text, declared, id, sample)
     classes = [*languages, NONE]
-    box = df.sparkSession.sparkContext.broadcast(table)  # BUCKETS x LANGUAGES floats at most
+    box = df.sparkSession.sparkContext.broadcast(table)  # MODEL_BYTES at most
 
     @F.pandas_udf("array<double>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -108,8 +126,9 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: st
             yield pd.Series([text_scores(t, box.value) for t in texts])
 
     best_of = lambda a: F.element_at(F.array(*map(F.lit, classes)), F.array_position(a, F.array_max(a)).cast("int"))
-    suffixed = F.lower(F.col(suffix)) if suffix else F.lit("")
-    at = df.select(F.col(id).alias("id"), F.col(declared).alias("declared"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(suffixed, F.lit("")).alias("suffix"), score(F.col(text)).alias("scores"))
+    has_suffix = suffix is not None
+    suffixed = F.lower(F.col(suffix) if isinstance(suffix, str) else suffix) if has_suffix else F.lit("")
+    at = df.select(F.col(id).alias("id"), F.col(declared).alias("said"), code_of(F.col(declared)).alias("declared"), F.coalesce(F.col(host), F.lit("")).alias("host"), F.coalesce(suffixed, F.lit("")).alias("suffix"), score(F.col(text)).alias("scores"))
     at = store(at.withColumn("told", F.exists("scores", lambda x: x != 0)).withColumn("best", F.when(F.col("told"), best_of(F.col("scores")))), "language-scores")
     counts = store(at.filter("told").groupBy("host", "suffix", "declared", "best").agg(F.count("*").alias("n")), "language-counts")
     whole = {r["best"]: r["n"] for r in counts.groupBy("best").agg(F.sum("n").alias("n")).collect()}  # a row per class
@@ -129,22 +148,23 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: st
         return store(got.select(F.col(column).alias(f"{column}_is"), F.array(*logs).alias(f"{column}_log")), f"given-{column}")
 
     zero = F.array(*(F.lit(0.0) for _ in classes))
-    for column in ("declared", "suffix") if suffix else ("declared",):
-        given = likelihood(column)
-        at = at.join(small(given), F.col(column) == F.col(f"{column}_is"), "left")
+    for column in ("declared", "suffix") if has_suffix else ("declared",):
+        at = look_up(at, F.col(column), likelihood(column), f"{column}_is")
     prior = by_host.select(F.col("host").alias("host_is"), F.transform("prior", lambda p: F.log(p)).alias("host_log"))
-    at = at.join(small(prior), F.col("host") == F.col("host_is"), "left")
-    terms = [F.col("scores"), F.coalesce("declared_log", zero), F.coalesce("host_log", F.transform(flat, lambda p: F.log(p)))] + ([F.coalesce("suffix_log", zero)] if suffix else [])
+    at = look_up(at, F.col("host"), prior, "host_is")
+    terms = [F.col("scores"), F.coalesce("declared_log", zero), F.coalesce("host_log", F.transform(flat, lambda p: F.log(p)))] + ([F.coalesce("suffix_log", zero)] if has_suffix else [])
     post = terms[0]
     for t in terms[1:]:
         post = F.zip_with(post, t, lambda a, b: a + b)
     at = at.withColumn("post", post).withColumn("top", F.array_max("post"))
     at = at.withColumn("language", best_of(F.col("post"))).withColumn("posterior", 1 / F.aggregate("post", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("top"))))
-    return at.select(F.col("id").alias(id), "declared", "host", "language", F.round("posterior", 6).alias("posterior"), ((F.col("language") != NONE) & (F.col("posterior") >= accept)).alias("accepted"))
+    return at.select(F.col("id").alias(id), F.col("said").alias("declared"), "host", "language", F.round("posterior", 6).alias("posterior"), ((F.col("language") != NONE) & (F.col("posterior") >= accept)).alias("accepted"))
 
 
-def accepted(df: DataFrame, id: str = "doc_id", **columns) -> DataFrame:
-    """df without the rows that identify() rejects; columns as they are. A row goes only if no row of its id is accepted."""
-    bad = identify(df, id, **columns).groupBy(id).agg(F.max("accepted").alias("ok")).filter("not ok").select(F.col(id).alias("_id"))
+def accepted(df: DataFrame, id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", **more) -> DataFrame:
+    """df without the rows that identify() rejects; columns as they are. Rows go by id, text, declared language and host together."""
+    key = lambda d: F.struct(d[id].alias("id"), F.xxhash64(d[text], d[declared], d[host]).alias("h"))
+    keyed = df.select(key(df).alias("key"), F.col(text).alias("text"), F.col(declared).alias("lang"), F.col(host).alias("source"))
+    bad = identify(keyed, "key", **more).filter("not accepted").select(F.col("key.id").alias("_id"), F.col("key.h").alias("_h")).distinct()
     bad = small(store(bad, "rejected"))
-    return df.join(bad, F.col(id).eqNullSafe(F.col("_id")), "left_anti")
+    return df.join(bad, df[id].eqNullSafe(F.col("_id")) & (F.xxhash64(df[text], df[declared], df[host]) == F.col("_h")), "left_anti")

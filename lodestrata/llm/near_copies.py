@@ -1,4 +1,9 @@
-"""Near copies by the exact Jaccard similarity of word shingles: a prefix-filtered set join, made connected.
+"""Operator 4 where copies are told by their texts: one of each group of near copies by the Jaccard similarity of word shingles.
+
+Covering tables of the shingles' SimHash bring together every pair within their radius, and an exact comparison of the
+shingles confirms it. At a similarity of 0.8 fingerprints differ in ten bits or so, beyond any radius that covering
+tables can have; so what they leave is completed by a prefix-filtered set join, in which pairs that confirmed links
+connect already are not compared again.
 
 All shingles have one order, rarest first as far as a sample knows. Two texts at or above the similarity share at least
 one of the first n - ceil(n x similarity) + 1 of each one's n shingles, whatever the order is; only those are written and
@@ -17,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from lodestrata.llm import simhash
 from lodestrata.llm.common import small, store
 from lodestrata.llm.components import components
 
@@ -26,13 +32,18 @@ WORDS, SIMILARITY = 5, (4, 5)
 SAMPLE, COMMON, KEPT = 5_000, 2, 200_000
 
 
-def shingles_of(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the different word shingles; all words of a shorter text are one, a text without words has none."""
+def hashes_of(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; all words of a shorter text are one, a text without words has none."""
     w = text.encode("utf-8", "replace").lower().split() if text else []
     if not w:
-        return np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype="<u8")
     parts = map(b" ".join, zip(*(w[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype="<u8").view("<i8"))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(42)), dtype="<u8")
+
+
+def shingles_of(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the different word shingles."""
+    return np.unique(hashes_of(text, words).view("<i8"))
 
 
 def _digest(h: np.ndarray) -> int:
@@ -69,23 +80,24 @@ def _named(text: Column, words: int) -> Column:
 
 
 def _prefixes(text: Column, words: int, similarity: tuple[int, int], box) -> Column:
-    """struct(digest, size, prefix): of all shingles, their number, and the first ones in the order."""
+    """struct(digest, fp, size, prefix): of all shingles, their SimHash and their number, and the first ones in the order."""
     p, q = similarity
 
-    @F.pandas_udf("digest long, size int, prefix array<long>")
+    @F.pandas_udf("digest long, fp long, size int, prefix array<long>")
     def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common, counts = box.value
         for texts in batches:
             out = []
             for t in texts:
-                h = shingles_of(t, words)
+                every = hashes_of(t, words)
+                h = np.unique(every.view("<i8"))
                 n = len(h)
                 rank = np.zeros(n, dtype=np.int64)
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     rank = np.where(common[at] == h, counts[at], 0)
-                out.append((_digest(h), n, h[np.argsort(rank, kind="stable")][: n - -(-n * p // q) + 1 if n else 0]))
-            yield pd.DataFrame(out, columns=["digest", "size", "prefix"])
+                out.append((_digest(h), simhash.majority(simhash.bit_counts(every), len(every)), n, h[np.argsort(rank, kind="stable")][: n - -(-n * p // q) + 1 if n else 0]))
+            yield pd.DataFrame(out, columns=["digest", "fp", "size", "prefix"])
 
     return prefixes(text)
 
@@ -96,20 +108,32 @@ def _enough(shared: Column, a: Column, b: Column, similarity: tuple[int, int]) -
     return shared * F.lit(p + q).cast("long") >= (a + b).cast("long") * F.lit(p).cast("long")
 
 
-def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(id, component_id), one row per row of df whose id is not null; component_id is the least id reachable over links.
-
-    Texts link if the Jaccard similarity of their shingles is at least similarity; those without words are equal. Each
-    pair at or above it is linked or connected by other verified links, and no other pair links. Equal sets are one
-    node. The least member of each bucket is verified with all others first; only pairs of different components are
-    compared then. Other columns are ignored.
-    """
-    df = df.select(F.col(id).alias("id"), F.col(text).alias("text"))
+def _grouped(df: DataFrame, id: str, text: str, words: int, similarity: tuple[int, int], radius: int) -> DataFrame:
+    """(id, h, first) for each row whose id is not null: h tells texts of one id apart, first is the least (id, h) of the group."""
+    df = df.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("id is not null")
     box = df.sparkSession.sparkContext.broadcast(_common(df, "text", words))  # KEPT hashes and counts at most
-    prints = store(df.filter("id is not null").select("id", _prefixes(F.col("text"), words, similarity, box).alias("p")).select("id", "p.*"), "prefixes")
-    nodes = store(prints.groupBy("digest").agg(F.min("id").alias("node")), "copies")
-    one = small(nodes.toDF("_digest", "_node"))
-    keys = prints.join(one, (F.col("digest") == F.col("_digest")) & (F.col("id") == F.col("_node")), "left_semi").select("digest", "size", F.posexplode("prefix").alias("at", "h"))
+    prints = store(df.select("id", F.xxhash64("text").alias("h"), _prefixes(F.col("text"), words, similarity, box).alias("p")).select("id", "h", "p.*"), "prefixes")
+    nodes = store(prints.groupBy("digest", "fp").agg(F.min(F.struct("id", "h")).alias("node")), "copies")
+    one = small(store(nodes.select(F.col("digest").alias("_digest"), F.col("node.id").alias("_id"), F.col("node.h").alias("_h")), "copy-names"))
+    # rows of one id and one text are alike, and any of them will do
+    firsts = prints.join(one, (F.col("digest") == F.col("_digest")) & (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["digest"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """(a, b) of the pairs of digests that are similar; only texts that are in a pair are read again."""
+        pairs = store(pairs.distinct(), "pairs")
+        ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
+        ids = small(store(nodes.join(ends, "digest", "left_semi").select(F.col("node.id").alias("_id"), F.col("node.h").alias("_h")).distinct(), "pair-ids"))
+        read = df.join(ids, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
+        sets = store(read.select(_named(F.col("text"), words).alias("p")).select("p.*").dropDuplicates(["digest"]), "shingle-sets")
+        both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
+        return store(both.filter(_enough(F.size(F.array_intersect("s", "t")).cast("long"), F.size("s"), F.size("t"), similarity)).select("a", "b").distinct(), "similar")
+
+    # 1: covering tables; texts of one fingerprint meet at the least of them
+    prints_of = store(nodes.groupBy("fp").agg(F.min("digest").alias("node")), "fingerprints")
+    same = nodes.select("digest", "fp").join(small(prints_of), "fp").filter("digest <> node").select(F.col("node").alias("a"), F.col("digest").alias("b"))
+    near = verified(simhash.links(prints_of.select("node", "fp"), radius).union(same))
+    # 2: the prefixes of all, each bucket's least member first
+    keys = firsts.select("digest", "size", F.posexplode("prefix").alias("at", "h"))
     keys = keys.select("h", "digest", F.struct("size", (F.col("size") - F.col("at")).alias("left")).alias("p"))
     bucket = W.partitionBy("h")
     met = keys.withColumn("hub", F.min(F.struct("digest", "p")).over(bucket)).withColumn("last", F.max("digest").over(bucket)).filter(F.col("hub.digest") < F.col("last")).drop("last")
@@ -119,29 +143,46 @@ def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
         """What is left of both from a shared shingle on is enough: true at the first that a similar pair shares."""
         return _enough(F.least(f"{a}.left", f"{b}.left").cast("long"), F.col(f"{a}.size"), F.col(f"{b}.size"), similarity)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs of digests that are similar; only texts that are in a pair are read again."""
-        pairs = store(pairs.distinct(), "pairs")
-        ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-        ids = small(store(nodes.join(ends, "digest", "left_semi").select(F.col("node").alias("_id")).distinct(), "pair-ids"))
-        sets = store(df.join(ids, F.col("id") == F.col("_id"), "left_semi").select(_named(F.col("text"), words).alias("p")).select("p.*"), "shingle-sets")
-        both = pairs.join(sets.toDF("a", "s"), "a").join(sets.toDF("b", "t"), "b")
-        return store(both.filter(_enough(F.size(F.array_intersect("s", "t")).cast("long"), F.size("s"), F.size("t"), similarity)).select("a", "b").distinct(), "similar")
-
-    stars = verified(met.filter((F.col("digest") != F.col("hub.digest")) & can("p", "hub.p")).select(F.col("hub.digest").alias("a"), F.col("digest").alias("b")))
-    found = components(stars).toDF("_digest", "c")
+    known = store(components(near), "known")
+    named = lambda d, c: small(known).select(F.col("node").alias(d), F.col("component").alias(c))
+    open_ = met.filter((F.col("digest") != F.col("hub.digest")) & can("p", "hub.p")).select(F.col("hub.digest").alias("a"), F.col("digest").alias("b")).distinct()
+    open_ = open_.join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    stars = near.union(verified(open_))
+    # 3: the rest of the buckets that still hold texts of different groups
+    found = store(components(stars).toDF("_digest", "c"), "found")
     at = met.drop("hub").join(small(found), F.col("digest") == F.col("_digest"), "left").select("h", "digest", "p", F.coalesce("c", "digest").alias("c"))
     at = store(at.withColumn("mixed", F.min("c").over(bucket) < F.max("c").over(bucket)).filter("mixed").drop("mixed"), "shingles-open")
     x, y = at.toDF("h", "a", "pa", "ca"), at.toDF("h", "b", "pb", "cb")
     rest = verified(x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can("pa", "pb")).select("a", "b"))
     groups = nodes.join(components(stars.union(rest)).toDF("digest", "c"), "digest", "left").withColumn("c", F.coalesce("c", "digest"))
-    least = groups.groupBy("c").agg(F.min("node").alias("component_id"))
-    named = store(groups.join(least, "c").select(F.col("digest").alias("_digest"), "component_id"), "groups")
-    return prints.join(small(named), F.col("digest") == F.col("_digest")).select(F.col("id").alias(id), "component_id")
+    least = groups.groupBy("c").agg(F.min("node").alias("first"))
+    names = store(groups.join(least, "c").select(F.col("digest").alias("_digest"), "first"), "groups")
+    return prints.join(small(names), F.col("digest") == F.col("_digest")).select("id", "h", "first")
 
 
-def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """df without the rows whose id is not the least of its group of near copies; rows of null id stay, columns as they are."""
-    found = near_copies(df, id, text, words, similarity).groupBy(id).agg(F.max(F.col(id) == F.col("component_id")).alias("ok"))
-    gone = small(store(found.filter("not ok").select(F.col(id).alias("_id")), "near-copies"))
-    return df.join(gone, F.col(id) == F.col("_id"), "left_anti")
+def near_copies(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, radius: int = 2) -> DataFrame:
+    """(id, component_id), one row per row of df whose id is not null; component_id is the least id reachable over links.
+
+    Texts link if the Jaccard similarity of their shingles is at least similarity; those without words are equal. Each
+    pair at or above it is linked or connected by other verified links, and no other pair links. Equal sets are one
+    node. radius: bits of the covering tables, which change only what is compared first. Other columns are ignored.
+    """
+    return _grouped(df, id, text, words, similarity, radius).select(F.col("id").alias(id), F.col("first.id").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, radius: int = 2) -> DataFrame:
+    """df with one row of each group of near copies: the one of least id, and of one id that of least text hash.
+
+    Decided row by row: of rows that share id and text one stays, rows that share an id but not their group are judged
+    apart, and rows of null id stay. Columns are as they are.
+    """
+    rows = store(_grouped(df, id, text, words, similarity, radius).groupBy("id", "h", "first").agg(F.count("*").alias("n")), "near-copies")
+    stays = (F.col("first.id") == F.col("id")) & (F.col("first.h") == F.col("h"))
+    named = lambda d: d.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    gone, twice = small(store(named(rows.filter(~stays)), "gone")), store(named(rows.filter(stays & (F.col("n") > 1))), "twice")
+    this = (df[id] == F.col("_id")) & (F.xxhash64(df[text]) == F.col("_h"))
+    kept = df.join(gone, this, "left_anti")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(small(twice), this, "left_semi").dropDuplicates([id, text])
+    return kept.join(small(twice), this, "left_anti").unionByName(again)

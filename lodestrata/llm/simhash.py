@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import store
+from lodestrata.llm.common import look_up, store
 from lodestrata.llm.components import components
 
 #: Buckets of at most so many different fingerprints are joined pair by pair; larger ones through shared neighbours.
@@ -44,12 +44,21 @@ def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
     for i in range(0, n, BLOCK):
         part = w[i : i + BLOCK + words - 1]
         shingles = map(b" ".join, zip(*(part[k:] for k in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8")
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        # counts of up to 255 fit a byte, which numpy adds much faster than wider numbers
-        even = len(bits) // 255 * 255
-        total += np.add.reduce(np.add.reduce(bits[:even].reshape(-1, 255, 64), axis=1, dtype=np.uint8), axis=0, dtype=np.int64)
-        total += np.add.reduce(bits[even:], axis=0, dtype=np.int64)
+        total += bit_counts(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(seed)), dtype="<u8"))
+    return majority(total, n)
+
+
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    # counts of up to 255 fit a byte, which numpy adds much faster than wider numbers
+    even = len(bits) // 255 * 255
+    total = np.add.reduce(np.add.reduce(bits[:even].reshape(-1, 255, 64), axis=1, dtype=np.uint8), axis=0, dtype=np.int64)
+    return total + np.add.reduce(bits[even:], axis=0, dtype=np.int64)
+
+
+def majority(total: np.ndarray, n: int) -> int:
+    """The signed 64-bit number of the bits that over half of n hashes have."""
     return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
 
 
@@ -104,14 +113,10 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
     Rows with the same id keep their own fingerprints; an empty table gives an empty result; other columns are ignored.
     """
     prints = store(df.select(F.col(id).alias("id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
-    nodes = store(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = store(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
     found = components(links(nodes.filter("least is not null").select(F.col("least").alias("node"), "fp"), radius))
-    named = nodes.join(found, nodes["least"] == found["node"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(named, "fp").select(F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = 2, words: int = 3) -> DataFrame:
-    """df without the rows whose id is not the least of its near-duplicate group; rows of null id stay, columns as they are."""
-    found = near_duplicates(df, id, text, radius, words).groupBy(id).agg(F.max(F.col(id) == F.col("component_id")).alias("ok"))
-    gone = found.filter("not ok").select(F.col(id).alias("_id"))
-    return df.join(gone, F.col(id) == F.col("_id"), "left_anti")
+    named = nodes.join(found, nodes["least"] == found["node"], "left").filter("n > 1 or component is not null")
+    named = store(named.select(F.col("fp").alias("_fp"), F.coalesce("component", "least").alias("component_id")), "components")
+    # a row that shares its fingerprint with none and links with none is its own component
+    out = look_up(prints, F.col("fp"), named, "_fp")
+    return out.select(F.col("id").alias(id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"))

@@ -3,7 +3,6 @@ import random
 import re
 
 import public_tokenizers
-import xxhash
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -35,22 +34,23 @@ def without_boilerplate(docs):
         for d in of:
             for x in {x.strip(" \t\r") for x in (d[1] or "").split("\n")} - {""}:
                 seen[x] = seen.get(x, 0) + 1
-        drop = {x for x, n in seen.items() if n > line_dedup.RATIO * len(of)} if len(of) >= line_dedup.PAGES else set()
+        p, n_pages = line_dedup.RATIO, len(of)
+        drop = {x for x, n in seen.items() if n >= line_dedup.PAGES and n > p * n_pages - line_dedup.NOISE * (p * (1 - p) * n_pages) ** 0.5}
         for d in of:
             text = d[1] if d[1] is None else "\n".join(x for x in d[1].split("\n") if x.strip(" \t\r") not in drop)
             out.append((d[0], text, d[2], d[3], None if text is None else len(text)))
     return out
 
 
-def fingerprint(text):
+def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", lowered(text))
-    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
 def one_of_each(docs):
+    """The least of each group of texts whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     docs = sorted(docs)
-    prints, up = [fingerprint(d[1]) for d in docs], list(range(len(docs)))
+    sets, up = [shingles(d[1]) for d in docs], list(range(len(docs)))
 
     def find(x):
         while up[x] != x:
@@ -59,7 +59,7 @@ def one_of_each(docs):
 
     for a in range(len(docs)):
         for b in range(a):
-            if (prints[a] ^ prints[b]).bit_count() <= 2:
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 up[max(x, y)] = min(x, y)
     return [d for k, d in enumerate(docs) if find(k) == k]
