@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestrata.llm.common import BROADCAST_BYTES, ascii_lower, size_of, small, store
+from lodestrata.llm.common import ascii_lower, small, store
 
 #: Fixed value: what separates words, after A-Z are lower-cased.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a shingle.
-SHINGLE = 3
+#: Words of a shingle; bytes, at most, of the table that tells most shingles from the windows'.
+SHINGLE, SLOTS = 3, 1 << 23
 
 
 def words_of(text: Column) -> Column:
@@ -52,23 +52,34 @@ def shingles_of(windows: DataFrame) -> DataFrame:
     return store(each.select("window", "length", "needed", "j", "h", _run(F.col("words"), F.col("j"), F.col("k")).alias("run")), "window-shingles")
 
 
+def _sieve(known: DataFrame) -> bytes:
+    """One byte for each value of a hash's last bits, 1 where some known hash has it: SLOTS bytes at most, whatever is known."""
+    n = known.count()
+    slots = min(SLOTS, 1 << max(12, (16 * n).bit_length()))
+    table = bytearray(slots)
+    for x in known.select(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("x")).distinct().toPandas()["x"]:
+        table[x] = 1
+    return bytes(table)
+
+
 def _met(docs: DataFrame, id: str, text: str, shingles: DataFrame, sizes: list[int]) -> DataFrame:
     """(row, id, n_words, place, h, run) of one scan: place -1 for each row itself, and the shingles that some window has.
 
-    Rows get a number of their own in that scan, so that equal ids, equal texts and nulls stay apart.
+    Rows get a number of their own in that scan, so that equal ids, equal texts and nulls stay apart. Most shingles of
+    the documents are told from all known ones by a look-up within the row, and never become rows.
     """
-    known = shingles.select("h", F.lit(True).alias("known")).distinct()
+    known = store(shingles.select("h").distinct(), "known-shingles")
+    sieve = _sieve(known)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), words_of(F.col(text)).alias("w"))
-    rows = rows.withColumn("n_words", F.size("w"))
-    at = rows.select("*", F.posexplode(F.concat(F.array(F.lit(0).cast("long")), *(_hashes(F.col("w"), k) for k in sizes))).alias("pos", "h"))
-    place = F.when(F.col("pos") == 0, -1).otherwise((F.col("pos") - 1) % F.greatest("n_words", F.lit(1)))
-    k = F.element_at(F.array(*map(F.lit, sizes)), F.least(F.floor((F.col("pos") - 1) / F.greatest("n_words", F.lit(1))) + 1, F.lit(len(sizes))).cast("int"))
-    run = F.when(F.col("pos") > 0, _run(F.col("w"), place, k))
-    few = size_of(known) <= BROADCAST_BYTES
-    if not few:  # the words must not travel with every shingle
-        at = at.select("row", "id", "n_words", "pos", "h", place.alias("place"), run.alias("run"))
-    at = at.join(F.broadcast(known) if few else known, "h", "left").filter("known or pos = 0")
-    return store(at.select("row", "id", F.col("n_words").cast("long").alias("n_words"), (place if few else F.col("place")).cast("int").alias("place"), "h", (run if few else F.col("run")).alias("run")), "shingles-met")
+    each = [F.array(F.struct(F.lit(-1).alias("place"), F.lit(0).cast("long").alias("h"), F.lit(None).cast("string").alias("run")))]
+    for k in sizes:
+        hash_at = lambda w, i, k=k: F.xxhash64(F.lit(k), w, *(F.get("w", i + d) for d in range(1, k)))
+        may = lambda h: F.substring(F.lit(sieve), h.bitwiseAND(F.lit(len(sieve) - 1)).cast("int") + 1, F.lit(1)) == F.lit(b"\x01")
+        places = F.array_compact(F.transform("w", lambda w, i: F.when(may(hash_at(w, i)), i)))  # noqa: B023
+        each.append(F.transform(places, lambda i: F.struct(i.alias("place"), hash_at(F.get("w", i), i).alias("h"), _run(F.col("w"), i, F.lit(k)).alias("run"))))  # noqa: B023
+    at = rows.select("row", "id", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(*each)).alias("s")).select("row", "id", "n_words", "s.*")
+    at = at.join(small(known.withColumn("known", F.lit(True))), "h", "left").filter("known or place < 0")
+    return store(at.select("row", "id", "n_words", "place", "h", "run"), "shingles-met")
 
 
 def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10) -> DataFrame:
