@@ -13,108 +13,187 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestrata.functions.text import file_name
+from lodestrata.functions.text import file_name, let
 
 NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
 KEY = ("snapshot_id", "path")
-#: HTTP methods of routes; receivers that are clients and not servers; words before a bracket that are no calls.
-METHODS = ["get", "post", "put", "patch", "delete", "options", "head", "all", "use"]
-CLIENTS = ["axios", "http", "https", "fetch", "request", "got", "ky", "client", "api", "supertest"]
-NO_CALLS = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "require", "import", "super", "constructor"]
-#: Declarations at any depth: pattern of the name, and the kind.
+#: HTTP methods of routes and what they are called; receivers that are clients and not servers; names that
+#: are no handlers.
+METHODS = {"get": "GET", "post": "POST", "put": "PUT", "patch": "PATCH", "delete": "DELETE", "del": "DELETE", "options": "OPTIONS", "head": "HEAD", "all": "ANY"}
+CLIENTS = ["axios", "http", "https", "got", "ky", "superagent", "request", "fetch", "$http", "httpClient", "this.http", "this.httpClient"]
+NO_HANDLERS = r"(?i)^(config|options|opts|params|headers|body|data|payload)$"
+#: Words before a bracket that are no calls.
+NO_CALLS = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "require", "import", "super", "constructor", "async"]
+_TYPED = r"(?::[^=]+)?"
+_FUNCTION = rf"(?:async\s*)?(?:function\b|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>)"
+#: Declarations at any depth: pattern of the name, and the kind. A name that is not there is "default".
 DECLARATIONS = [
     (rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}", "function"),
-    (rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{NAME}", "class"),
-    (rf"^\s*(?:export\s+)?interface\s+{NAME}", "interface"),
-    (rf"^\s*(?:export\s+)?type\s+{NAME}\s*[=<]", "type"),
-    (rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{NAME}", "enum"),
-    (rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*(?::[^=]+)?=>|[A-Za-z_$][\w$]*\s*=>)", "function"),
+    (rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+(?!extends\b|implements\b){NAME}", "class"),
+    (rf"^\s*(?:export\s+)?(?:declare\s+)?interface\s+{NAME}", "interface"),
+    (rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+{NAME}\s*[=<]", "type"),
+    (rf"^\s*(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+{NAME}", "enum"),
+    (rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*{_TYPED}=\s*{_FUNCTION}", "function"),
+    (rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*{_TYPED}=\s*class\b", "class"),
     (rf"^\s*export\s+(?:const|let|var)\s+{NAME}", "variable"),
 ]
+UNNAMED = [
+    (rf"^\s*export\s+default\s+(?:async\s+)?(?:function\s*\*?\s*\(|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>)", "function"),
+    (r"^\s*export\s+default\s+(?:abstract\s+)?class\s*(?:\{|extends\b|implements\b)", "class"),
+]
+#: Strings and plain template literals. Quantified groups are possessive: the others cost the JVM a stack frame a turn.
+STRING = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\[\s\S][^\'\\\n]*+)*+\''
+TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+
+
+def uncommented(text: Column) -> Column:
+    """Text with comments gone and strings as they are; line breaks stay."""
+    plain = F.translate(text, "\u0001\u0002", "")
+    # each string or comment is followed by two marks, with the comment between them
+    marked = F.regexp_replace(plain, rf"({STRING}|{TEMPLATE})|//[^\n]*+|(/\*[\s\S]*?(?:\*/|\z))", "$1\u0001$2\u0002")
+    breaks = F.array_join(F.transform(F.split(marked, "[\u0001\u0002]"), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.regexp_replace(p, r"[^\n]", ""))), "")
+    return F.when(F.instr(plain, "/*") > 0, breaks).otherwise(F.regexp_replace(plain, rf"({STRING}|{TEMPLATE})|//[^\n]*+", "$1"))
 
 
 def blanked(text: Column) -> Column:
-    """Text with comments gone and string contents emptied; line breaks stay."""
-    keep = F.regexp_replace(text, r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|//[^\n]*', '""')
-    parts = F.split(keep, r"/\*|\*/")
-    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, p).otherwise(F.regexp_replace(p, r"[^\n]", ""))), "")
+    """Text with comments gone and string contents emptied, those of templates without values too; line breaks stay."""
+    return F.regexp_replace(uncommented(text), rf"{STRING}|`[^`\\$\n]*+`", '""')
+
+
+def _net(bare: Column) -> Column:
+    """Brackets of any kind that a line opens less those it closes."""
+    return F.length(F.regexp_replace(bare, r"[^{(\[]", "")) - F.length(F.regexp_replace(bare, r"[^})\]]", ""))
 
 
 def code_lines(files: DataFrame) -> DataFrame:
-    """(key, line_no, line, bare, depth): bare lines and the brace depth before each."""
+    """(key, line_no, line, bare, depth, after, close_0, close_1): bare lines, the bracket depth before and after each, and
+    the next line from each on that closes a block of depth 0 or 1."""
     at = files.select(*KEY, F.posexplode(F.arrays_zip(F.split("content", "\n").alias("line"), F.split(blanked(F.col("content")), "\n").alias("bare"))).alias("n", "z"))
     at = at.select(*KEY, (F.col("n") + 1).alias("line_no"), "z.line", F.coalesce("z.bare", F.lit("")).alias("bare"))
-    net = F.length(F.regexp_replace("bare", r"[^{]", "")) - F.length(F.regexp_replace("bare", r"[^}]", ""))
-    w = W.partitionBy(*KEY).orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
-    return at.withColumn("after", F.sum(net).over(w)).withColumn("depth", F.col("after") - net)
+    net = _net(F.col("bare"))
+    file = W.partitionBy(*KEY)
+    at = at.withColumn("after", F.sum(net).over(file.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))).withColumn("depth", F.col("after") - net)
+    closes = F.col("bare").contains("}") & F.col("bare").rlike(r"[};]\s*\)*[;,]?\s*$")
+    back = file.orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)
+    return at.withColumns({f"close_{d}": F.min(F.when(closes & (F.col("after") <= d), F.col("line_no"))).over(back) for d in (0, 1)})
 
 
 def parse_health(lines: DataFrame) -> DataFrame:
-    """(key, has_errors): whether the braces of a file do not close."""
+    """(key, has_errors): whether the brackets of a file do not close."""
     return lines.groupBy(*KEY).agg((F.max_by("after", "line_no") != 0).alias("has_errors"))
 
 
-def _with_end(starts: DataFrame, lines: DataFrame) -> DataFrame:
-    """starts (key, start_line, depth, ...) with end_line: the first line from the start on that is back at its depth."""
-    ends = lines.select(*KEY, F.col("line_no").alias("_e"), F.col("after").alias("_a"), F.col("bare").alias("_b"))
-    at = starts.join(ends, list(KEY), "left").filter((F.col("_e") >= F.col("start_line")) & (F.col("_a") <= F.col("depth")) & (F.col("_b").rlike(r"[};]\s*\)?[;,]?\s*$") | (F.col("_e") == F.col("start_line"))))
-    opened = at.groupBy(*starts.columns).agg(F.min(F.when(F.col("_b").contains("}") | ~F.col("opens"), F.col("_e"))).alias("_close"))
-    return opened.withColumn("end_line", F.coalesce("_close", "start_line")).drop("_close")
+def _end(depth: int) -> Column:
+    """The line that a declaration at depth ends on: that which closes it if its line leaves a bracket open, else its own."""
+    return F.when(F.col("after") > F.col("depth"), F.coalesce(f"close_{depth}", "line_no")).otherwise(F.col("line_no"))
+
+
+def _first_group(column: str, *patterns: str) -> Column:
+    return F.coalesce(*(F.nullif(F.regexp_extract(column, p, 1), F.lit("")) for p in patterns))
 
 
 def extract_symbols(lines: DataFrame) -> DataFrame:
-    """(key, kind, name, start_line, end_line, exported, is_default) of top-level declarations."""
-    name = F.coalesce(*(F.nullif(F.regexp_extract("bare", p, 1), F.lit("")) for p, _ in DECLARATIONS))
-    kind = reduce(lambda w, d: w.when(F.col("bare").rlike(d[0]), d[1]), DECLARATIONS[1:], F.when(F.col("bare").rlike(DECLARATIONS[0][0]), DECLARATIONS[0][1]))
-    at = lines.filter("depth = 0").withColumns({"name": name, "kind": kind}).filter("name is not null")
-    starts = at.select(*KEY, "kind", "name", F.col("line_no").alias("start_line"), "depth", F.col("bare").rlike(r"^\s*export\b").alias("exported"), F.col("bare").rlike(r"^\s*export\s+default\b").alias("is_default"), (F.col("after") > F.col("depth")).alias("opens"))
-    return _with_end(starts, lines).drop("depth", "opens")
+    """(key, kind, name, start_line, end_line, exported, is_default) of top-level declarations; anonymous defaults are named "default"."""
+    bare, every = F.col("bare"), DECLARATIONS + UNNAMED
+    name = F.coalesce(_first_group("bare", *(p for p, _ in DECLARATIONS)), F.when(reduce(lambda a, b: a | b, (bare.rlike(p) for p, _ in UNNAMED)), "default"))
+    kind = reduce(lambda w, d: w.when(bare.rlike(d[0]), d[1]), every[1:], F.when(bare.rlike(every[0][0]), every[0][1]))
+    at = lines.filter("depth = 0").withColumns({"name": name, "kind": kind}).filter("name is not null and kind is not null")
+    return at.select(*KEY, "kind", "name", F.col("line_no").alias("start_line"), _end(0).alias("end_line"), bare.rlike(r"^\s*export\b").alias("exported"), bare.rlike(r"^\s*export\s+default\b").alias("is_default"))
 
 
 def extract_members(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """(key, kind, name, qualified_name, start_line, end_line, exported) of methods and arrow fields of classes."""
-    method = rf"^\s*(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*\*?{NAME}\s*(?:<[^>]*>)?\([^;]*\{{\s*\}}?\s*$"
-    field = rf"^\s*(?:(?:public|private|protected|static|readonly)\s+)*{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?\([^)]*\)\s*(?::[^=]+)?=>"
-    name = F.coalesce(F.nullif(F.regexp_extract("bare", method, 1), F.lit("")), F.nullif(F.regexp_extract("bare", field, 1), F.lit("")))
-    at = lines.filter("depth = 1").withColumn("name", name).filter(F.col("name").isNotNull() & ~F.col("name").isin([n for n in NO_CALLS if n != "constructor"]))
+    lead = r"^\s*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*+"
+    method = rf"{lead}[*#]?{NAME}\s*(?:<[^>]*>)?\((?:[^;]*\{{\s*(?:\}}|.*)?|[^;)]*)$"
+    field = rf"{lead}#?{NAME}\s*{_TYPED}=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>)"
+    at = lines.filter("depth = 1").withColumn("name", _first_group("bare", method, field)).filter(F.col("name").isNotNull() & ~F.col("name").isin([n for n in NO_CALLS if n != "constructor"]))
     owner = symbols.filter("kind = 'class'").select(*KEY, F.col("name").alias("owner"), F.col("start_line").alias("_s"), F.col("end_line").alias("_x"), "exported")
-    at = at.join(owner, list(KEY)).filter(F.col("line_no").between(F.col("_s"), F.col("_x")))
-    starts = at.select(*KEY, F.lit("method").alias("kind"), "name", F.concat_ws(".", "owner", "name").alias("qualified_name"), F.col("line_no").alias("start_line"), "depth", "exported", (F.col("after") > F.col("depth")).alias("opens"))
-    return _with_end(starts, lines).drop("depth", "opens")
+    at = at.join(owner, list(KEY)).filter((F.col("line_no") > F.col("_s")) & (F.col("line_no") <= F.col("_x")))
+    return at.select(*KEY, F.lit("method").alias("kind"), "name", F.concat_ws(".", "owner", "name").alias("qualified_name"), F.col("line_no").alias("start_line"), _end(1).alias("end_line"), "exported")
 
 
-def extract_cjs(lines: DataFrame) -> DataFrame:
-    """(key, container, name, line_no, exported): module.exports =, exports.x =, object.m = function, F.prototype.m =."""
-    value = r"\s*=\s*(?:async\s+)?(?:function\b|\([^)]*\)\s*=>|[A-Za-z_$][\w$]*\s*=>)"
-    whole = F.nullif(F.regexp_extract("bare", rf"^\s*(?:module\.)?exports\s*=\s*(?:exports\s*=\s*)?(?:function\s+)?{NAME}", 1), F.lit(""))
-    named = F.nullif(F.regexp_extract("bare", rf"^\s*(?:module\.)?exports\.{NAME}\s*=", 1), F.lit(""))
-    proto = F.regexp_extract_all("bare", F.lit(rf"^\s*{NAME}\.prototype\.{NAME}\s*="), F.lit(1))
-    member = F.regexp_extract("bare", rf"^\s*{NAME}\.{NAME}{value}", 2)
-    owner = F.regexp_extract("bare", rf"^\s*{NAME}\.{NAME}{value}", 1)
-    at = lines.filter("depth = 0")
-    a = at.filter(whole.isNotNull()).select(*KEY, F.lit(None).cast("string").alias("container"), whole.alias("name"), "line_no", F.lit(True).alias("exported"))
-    b = at.filter(named.isNotNull()).select(*KEY, F.lit("exports").alias("container"), named.alias("name"), "line_no", F.lit(True).alias("exported"))
-    c = at.filter(F.size(proto) > 0).select(*KEY, F.get(proto, F.lit(0)).alias("container"), F.regexp_extract("bare", rf"\.prototype\.{NAME}\s*=", 1).alias("name"), "line_no", F.lit(False).alias("exported"))
-    d = at.filter((member != "") & ~owner.isin("module", "exports")).select(*KEY, owner.alias("container"), member.alias("name"), "line_no", F.lit(False).alias("exported"))
-    objects = a.select(*KEY, F.col("name").alias("container"), F.lit(True).alias("_m")).distinct()
-    rest = c.union(d).join(objects, [*KEY, "container"], "left").select(*KEY, "container", "name", "line_no", F.coalesce("_m", "exported").alias("exported"))
-    return a.union(b).union(rest)
+_WHOLE = r"^\s*(?:(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*)?(?:exports\s*=\s*)?(?:module\.exports|exports)\s*=\s*(?:(?:module\.)?exports\s*=\s*)?"
+
 
+def _cjs_entries(lines: DataFrame) -> DataFrame:
+    """(key, line_no, end_line, entry): what stands between the commas of an object that is module.exports, on one line or many."""
+    start = lines.filter("depth = 0").filter(F.col("bare").rlike(_WHOLE + r"\{"))
+    one = start.filter("after = 0").select(*KEY, "line_no", F.col("line_no").alias("end_line"), F.explode(F.split(F.regexp_extract("bare", r"\{(.*)\}[^}]*$", 1), r",(?![^({\[]*[)}\]])")).alias("entry"))
+    spans = start.filter("after > 0").select(*KEY, F.col("line_no").alias("_s"), F.coalesce("close_0", "line_no").alias("_x"))
+    inner = lines.filter("depth = 1").join(spans, list(KEY)).filter((F.col("line_no") > F.col("_s")) & (F.col("line_no") < F.col("_x")))
+    many = inner.select(*KEY, "line_no", _end(1).alias("end_line"), F.explode(F.split("bare", r",(?![^({\[]*[)}\]])")).alias("entry"))
+    return one.union(many).withColumn("entry", F.trim("entry")).filter("entry <> ''")
 
-def mark_exports(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """symbols with exported and exported_as where a later `export { a as b }` or `export default a` names them."""
+
+def extract_cjs(lines: DataFrame) -> DataFrame:
+    """(key, kind, container, name, start_line, end_line, exported, is_default) of CommonJS and prototype definitions:
+    module.exports = and members of such an object, exports.x =, object.m = function, F.prototype.m =. Those of a module
+    object (`var app = module.exports = {}`, or one that module.exports is set to) are exported."""
+    at, bare = lines.filter("depth = 0"), F.col("bare")
+    none = F.lit(None).cast("string")
+    cols = lambda kind, container, name, exported, default: [*KEY, kind.alias("kind"), container.alias("container"), name.alias("name"), F.col("line_no").alias("start_line"), _end(0).alias("end_line"), F.lit(exported).alias("exported"), F.lit(default).alias("is_default")]
+    value = lambda c: F.when(c.rlike(rf"^{_FUNCTION}"), "function").when(c.rlike(r"^class\b"), "class")
+    rest = F.regexp_extract("bare", _WHOLE + r"(\S.*)$", 1)
+    named = F.coalesce(F.nullif(F.regexp_extract(rest, rf"^(?:async\s+)?(?:function\s*\*?|class)\s+(?!extends\b){NAME}", 1), F.lit("")), F.lit("default"))
+    whole = at.filter(bare.rlike(_WHOLE)).filter(value(rest).isNotNull()).select(*cols(value(rest), none, named, True, True))
+    member = rf"^\s*(?:module\.)?exports\.{NAME}\s*=\s*(?!=)"
+    said = F.regexp_extract("bare", rf"^\s*(?:module\.)?exports\.[A-Za-z_$][\w$]*\s*=\s*(\S.*)$", 1)
+    own = at.filter(bare.rlike(member) & ~said.rlike(rf"^{NAME}\s*;?\s*$")).select(*cols(F.coalesce(value(said), F.lit("variable")), none, F.regexp_extract("bare", member, 1), True, False))
+    entry = F.col("entry")
+    pair = F.regexp_extract(entry, rf"^{NAME}\s*:\s*(\S.*)$", 2)
+    of = F.coalesce(F.nullif(F.regexp_extract(entry, rf"^{NAME}\s*:", 1), F.lit("")), F.nullif(F.regexp_extract(entry, rf"^(?:async\s+)?\*?{NAME}\s*\(", 1), F.lit("")))
+    kind = F.when(entry.rlike(rf"^(?:async\s+)?\*?{NAME}\s*\("), "function").otherwise(F.coalesce(value(pair), F.lit("variable")))
+    listed = _cjs_entries(lines).filter(of.isNotNull() & ~pair.rlike(rf"^{NAME}$")).select(*KEY, kind.alias("kind"), none.alias("container"), of.alias("name"), F.col("line_no").alias("start_line"), "end_line", F.lit(True).alias("exported"), F.lit(False).alias("is_default"))
+    proto, plain = rf"^\s*{NAME}\.prototype\.{NAME}\s*=\s*{_FUNCTION}", rf"^\s*{NAME}\.{NAME}\s*=\s*{_FUNCTION}"
+    held = at.withColumns({"_c": _first_group("bare", proto, plain), "_n": F.coalesce(*(F.nullif(F.regexp_extract("bare", p, 2), F.lit("")) for p in (proto, plain)))})
+    held = held.filter(F.col("_c").isNotNull() & ~F.col("_c").isin("module", "exports", "this"))
+    objects = at.select(*KEY, _first_group("bare", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*(?:exports\s*=\s*)?module\.exports\s*=", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*exports\s*=", rf"{_WHOLE}{NAME}\s*;?\s*$").alias("_c"), F.lit(True).alias("_m")).filter("_c is not null").distinct()
+    held = held.join(objects, [*KEY, "_c"], "left").select(*cols(F.lit("method"), F.col("_c"), F.col("_n"), False, False), "_m").withColumn("exported", F.coalesce("_m", F.lit(False))).drop("_m")
+    return whole.union(own).union(listed).union(held)
+
+
+def cjs_exports(lines: DataFrame) -> DataFrame:
+    """(key, name, exported_as) of local names that CommonJS exports: module.exports = name (default), exports.x = name, { a, x: b }."""
+    at = lines.filter("depth = 0")
+    default = at.select(*KEY, _first_group("bare", rf"{_WHOLE}{NAME}\s*;?\s*$").alias("name"), F.lit("default").alias("exported_as"))
+    pattern = rf"^\s*(?:module\.)?exports\.{NAME}\s*=\s*{NAME}\s*;?\s*$"
+    named = at.select(*KEY, F.nullif(F.regexp_extract("bare", pattern, 2), F.lit("")).alias("name"), F.regexp_extract("bare", pattern, 1).alias("exported_as"))
+    pair = rf"^{NAME}\s*:\s*{NAME}$"
+    listed = _cjs_entries(lines).select(*KEY, _first_group("entry", rf"^{NAME}$").alias("_s"), F.nullif(F.regexp_extract("entry", pair, 2), F.lit("")).alias("_v"), F.regexp_extract("entry", pair, 1).alias("_k"))
+    listed = listed.select(*KEY, F.coalesce("_s", "_v").alias("name"), F.when(F.col("_s").isNotNull(), F.col("_s")).otherwise(F.col("_k")).alias("exported_as"))
+    return default.union(named).union(listed).filter("name is not null")
+
+
+def mark_exports(symbols: DataFrame, files: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """symbols with exported and exported_as where a later `export { a as b }` or `export default a`, or more (key, name,
+    exported_as), names them."""
     text = blanked(F.col("content"))
     lists = F.explode(F.regexp_extract_all(text, F.lit(r"export\s*\{([^}]*)\}(?!\s*from)"), F.lit(1)))
     each = files.select(*KEY, lists.alias("g")).select(*KEY, F.explode(F.split("g", ",")).alias("x")).filter(F.trim("x") != "")
     named = each.select(*KEY, F.regexp_extract("x", NAME, 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract("x", rf"\bas\s+{NAME}", 1), F.lit("")), F.regexp_extract("x", NAME, 1)).alias("_as"))
-    default = files.select(*KEY, F.explode(F.regexp_extract_all(text, F.lit(rf"export\s+default\s+{NAME}\s*;"), F.lit(1))).alias("name")).select(*KEY, "name", F.lit("default").alias("_as"))
-    every = named.union(default).groupBy(*KEY, "name").agg(F.min("_as").alias("_as"))
+    default = files.select(*KEY, F.explode(F.regexp_extract_all(text, F.lit(rf"export\s+default\s+{NAME}\s*(?:;|\n|\z)"), F.lit(1))).alias("name")).select(*KEY, "name", F.lit("default").alias("_as"))
+    every = named.union(default)
+    if more is not None:
+        every = every.union(more.select(*KEY, "name", "exported_as"))
+    every = every.groupBy(*KEY, "name").agg(F.min("_as").alias("_as"))
     at = symbols.join(every, [*KEY, "name"], "left")
     return at.withColumn("exported", F.col("exported") | F.col("_as").isNotNull()).withColumn("exported_as", F.coalesce("_as", F.when(F.col("is_default"), "default"), F.when(F.col("exported"), F.col("name")))).drop("_as")
 
 
-def _line(before: Column) -> Column:
-    return F.size(F.split(before, "\n"))
+def match_lines(text: Column, pattern: str) -> Column:
+    """array<struct<m, line>>: the matches of a pattern in a text, in order, each with the line it starts on."""
+    return let(
+        F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern).alias("p")),
+        # line breaks before a match: those of all pieces up to it and of all matches before it
+        lambda x: let(
+            F.transform(F.arrays_zip(x["p"].alias("p"), x["m"].alias("m")), lambda z: F.struct(_breaks(z["p"]).alias("p"), (_breaks(z["p"]) + F.coalesce(_breaks(z["m"]), F.lit(0))).alias("both"))),
+            lambda n: F.transform(x["m"], lambda m, i: F.struct(m.alias("m"), (F.get(n, i)["p"] + 1 + F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda s, y: s + y["both"])).alias("line"))),
+        ),
+    )
+
+
+def _breaks(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def _bindings(clause: Column) -> Column:
@@ -128,12 +207,10 @@ def _bindings(clause: Column) -> Column:
 
 
 def _statements(files: DataFrame, pattern: str, clause: int, specifier: int, kind: str) -> DataFrame:
-    """One row per match of pattern in the text, with its bindings, specifier and line."""
-    source = F.regexp_replace("content", r"(?m)^\s*//[^\n]*", "")
-    at = files.select(*KEY, source.alias("t"), F.posexplode(F.regexp_extract_all(source, F.lit(pattern), F.lit(0))).alias("i", "m"))
+    """One row per match of pattern in the text without comments, with its bindings, specifier and line."""
+    at = files.select(*KEY, F.explode(match_lines(uncommented(F.col("content")), pattern)).alias("x")).select(*KEY, "x.m", "x.line")
     at = at.withColumns({"specifier": F.regexp_extract("m", pattern, specifier), "clause": F.regexp_extract("m", pattern, clause) if clause else F.lit("")})
-    line = _line(F.call_function("substring_index", F.col("t"), F.col("m"), F.lit(1)))
-    return at.select(*KEY, F.lit(kind).alias("kind"), "specifier", _bindings(F.col("clause")).alias("bindings"), line.alias("line"))
+    return at.select(*KEY, F.lit(kind).alias("kind"), "specifier", _bindings(F.col("clause")).alias("bindings"), "line")
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
@@ -143,24 +220,28 @@ def extract_imports(files: DataFrame) -> DataFrame:
 
 
 def extract_reexports(files: DataFrame) -> DataFrame:
-    """The same of `export ... from`: named ones, * as a name, and *, which binds "*" to nothing."""
-    return _statements(files, r"export\s+(?:type\s+)?(\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s*from\s*['\"]([^'\"\n]+)['\"]", 1, 2, "reexport")
+    """The same of `export ... from`: named ones, * as a name, and * as "*"."""
+    pattern = r"export\s+(?:type\s+)?(\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s*from\s*['\"]([^'\"\n]+)['\"]"
+    got = _statements(files, pattern, 1, 2, "reexport")
+    every = F.array(F.struct(F.lit("*").alias("imported"), F.lit("*").alias("local")))
+    return got.withColumn("bindings", F.when(F.size("bindings") == 0, every).otherwise(F.col("bindings")))
 
 
 def extract_requires(files: DataFrame) -> DataFrame:
-    """The same of require() and import() with one static string; destructured names bind."""
-    bound = _statements(files, r"(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?(?:require|import)\(\s*['\"]([^'\"\n]+)['\"]\s*\)", 1, 2, "require")
-    every = _statements(files, r"\b(?:require|import)\(\s*['\"]([^'\"\n]+)['\"]\s*\)", 0, 1, "require")
-    return bound.union(every.join(bound.select(*KEY, "specifier", "line"), [*KEY, "specifier", "line"], "left_anti").select(*bound.columns))
+    """The same of require() and import() with one static string; a name binds the whole module ("*"), destructured names theirs."""
+    pattern = r"(?:(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?)?\b(?:require|import)\(\s*['\"]([^'\"\n]+)['\"]\s*\)"
+    got = _statements(files, pattern, 1, 2, "require")
+    return got.withColumn("bindings", F.transform("bindings", lambda b: F.struct(F.when(b["imported"] == "default", "*").otherwise(b["imported"]).alias("imported"), b["local"].alias("local"))))
 
 
 def extract_calls(lines: DataFrame) -> DataFrame:
     """(key, line, position, receiver, callee_name, callee_text, is_new) of calls; keywords, require, import and super are none."""
-    pattern = r"((?:\bnew\s+)?(?:[A-Za-z_$][\w$]*(?:\s*\??\.\s*))*[A-Za-z_$][\w$]*)\s*(?:<[^<>()]*>)?\("
+    pattern = r"(?<![\w$.])(\.?(?:new\s+)?(?:[A-Za-z_$][\w$]*+\s*+\??\.\s*+)*+[A-Za-z_$][\w$]*+)\s*(?:<[^<>()]*>)?\("
     code = F.regexp_replace("bare", rf"\bfunction\s*\*?\s*{NAME}\s*\(", "function (")
-    defines = rf"^\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*\*?{NAME}\s*\([^;]*\)\s*(?::[^{{]+)?\{{"
+    defines = rf"^\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*+\*?{NAME}\s*\([^;]*\)\s*(?::[^{{]+)?\{{"
     at = lines.select(*KEY, F.col("line_no").alias("line"), (F.col("bare").rlike(defines) & ~F.regexp_extract("bare", defines, 1).isin(NO_CALLS[:6])).alias("defines"), F.posexplode(F.regexp_extract_all(code, F.lit(pattern), F.lit(1))).alias("position", "m"))
-    plain = F.regexp_replace(F.regexp_replace("m", r"^new\s+", ""), r"[\s?]", "")
+    # what a call's result is asked for has that call as its receiver
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("m", r"^new\s+", ""), r"[\s?]", ""), r"^\.", "().")
     name = F.substring_index(plain, ".", -1)
     receiver = F.when(F.instr(plain, ".") > 0, F.substring(F.regexp_extract(plain, r"^(.*)\.[^.]*$", 1), 1, 80))
     # a member's definition looks like a call of its name
@@ -189,22 +270,28 @@ def signatures(symbols: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def extract_routes(files: DataFrame) -> DataFrame:
-    """(key, method, url_path, handler, line) of calls like app.get('/x', handler) and .route('/x').get(handler)."""
+    """(key, method, url_path, handler, line) of calls like app.get('/x', handler) and .route('/x').get(handler).post(other)."""
     methods = "|".join(METHODS)
-    plain = rf"([A-Za-z_$][\w$.]*)\.({methods})\(\s*['\"`]([/*][^'\"`\n]*)['\"`]\s*,\s*([^\n]*)"
-    chain = rf"\.route\(\s*['\"`]([/*][^'\"`\n]*)['\"`]\s*\)\s*\.({methods})\(\s*([^\n]*)"
-
-    def rows(pattern: str, receiver: int | None, method: int, url: int, rest: int) -> DataFrame:
-        at = files.select(*KEY, "content", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(0))).alias("m"))
-        get = lambda k: F.regexp_extract("m", pattern, k)
-        line = _line(F.call_function("substring_index", F.col("content"), F.col("m"), F.lit(1)))
-        tail = F.trim(F.regexp_replace(get(rest), r"\)*\s*;?\s*$", ""))
-        handler = F.nullif(F.regexp_extract(F.element_at(F.split(tail, r",\s*"), -1), r"([A-Za-z_$][\w$.]*)\)*$", 1), F.lit(""))
+    code = uncommented(F.col("content"))
+    plain = rf"(?<![\w$.])([A-Za-z_$][\w$.]*)\.({methods})\(\s*['\"`]((?:/[^'\"`\n]*|\*))['\"`]\s*,\s*([^\n]*)"
+    chain = rf"\.route\(\s*['\"`]((?:/[^'\"`\n]*|\*))['\"`]\s*\)((?:\s*\.(?:{methods})\([^\n]*)++)"
+    link = rf"\.({methods})\(\s*((?:(?!\.(?:{methods})\()[^\n])*+)"
+
+    def good(at: DataFrame, rest: Column) -> DataFrame:
+        tail = F.trim(F.regexp_replace(rest, r"\)*\s*;?\s*$", ""))
+        last = F.element_at(F.split(tail, r",\s*"), -1)
+        handler = F.nullif(F.regexp_extract(last, r"([A-Za-z_$][\w$.]*)\)*$", 1), F.lit(""))
         inline = tail.rlike(r"=>|function\b")
-        good = (handler.isNotNull() | inline) & (~F.substring_index(get(receiver), ".", -1).isin(CLIENTS) if receiver else F.lit(True))
-        return at.filter(good).select(*KEY, F.upper(get(method)).alias("method"), get(url).alias("url_path"), F.when(~inline, handler).alias("handler"), line.alias("line"))
-
-    return rows(plain, 1, 2, 3, 4).union(rows(chain, None, 2, 1, 3))
+        at = at.filter((handler.isNotNull() & ~handler.rlike(NO_HANDLERS)) | inline)
+        name = F.create_map(*(F.lit(x) for m in METHODS.items() for x in m))
+        return at.select(*KEY, name[F.col("method")].alias("method"), "url_path", F.when(~inline, handler).alias("handler"), "line")
+
+    a = files.select(*KEY, F.explode(match_lines(code, plain)).alias("x"))
+    get = lambda k: F.regexp_extract("x.m", plain, k)
+    a = a.filter(~get(1).isin(CLIENTS)).select(*KEY, get(2).alias("method"), get(3).alias("url_path"), get(4).alias("rest"), "x.line")
+    b = files.select(*KEY, F.explode(match_lines(code, chain)).alias("x")).select(*KEY, F.regexp_extract("x.m", chain, 1).alias("url_path"), F.col("x.line").alias("at"), F.explode(match_lines(F.regexp_extract("x.m", chain, 2), link)).alias("y"))
+    b = b.select(*KEY, F.regexp_extract("y.m", link, 1).alias("method"), "url_path", F.regexp_extract("y.m", link, 2).alias("rest"), (F.col("at") + F.col("y.line") - 1).alias("line"))
+    return good(a, F.col("rest")).union(good(b, F.col("rest")))
 
 
 def convention_routes(files: DataFrame, symbols: DataFrame) -> DataFrame:
