@@ -112,11 +112,10 @@ def _grouped(df: DataFrame, id: str, text: str, words: int, similarity: tuple[in
     """(id, h, first) for each row whose id is not null: h tells texts of one id apart, first is the least (id, h) of the group."""
     df = df.select(F.col(id).alias("id"), F.col(text).alias("text")).filter("id is not null")
     box = df.sparkSession.sparkContext.broadcast(_common(df, "text", words))  # KEPT hashes and counts at most
-    prints = store(df.select("id", F.xxhash64("text").alias("h"), _prefixes(F.col("text"), words, similarity, box).alias("p")).select("id", "h", "p.*"), "prefixes")
-    nodes = store(prints.groupBy("digest", "fp").agg(F.min(F.struct("id", "h")).alias("node")), "copies")
-    one = small(store(nodes.select(F.col("digest").alias("_digest"), F.col("node.id").alias("_id"), F.col("node.h").alias("_h")), "copy-names"))
-    # rows of one id and one text are alike, and any of them will do
-    firsts = prints.join(one, (F.col("digest") == F.col("_digest")) & (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi").dropDuplicates(["digest"])
+    prints = store(df.select("id", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("h"), _prefixes(F.col("text"), words, similarity, box).alias("p")).select("id", "row", "h", "p.*"), "prefixes")
+    # rows of one id and one text are alike; that of least number stands for them
+    nodes = store(prints.groupBy("digest", "fp").agg(F.min(F.struct("id", "h", "row")).alias("node")), "copies")
+    firsts = prints.join(small(store(nodes.select(F.col("node.row").alias("row")), "first-rows")), "row", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """(a, b) of the pairs of digests that are similar; only texts that are in a pair are read again."""
@@ -155,7 +154,7 @@ def _grouped(df: DataFrame, id: str, text: str, words: int, similarity: tuple[in
     x, y = at.toDF("h", "a", "pa", "ca"), at.toDF("h", "b", "pb", "cb")
     rest = verified(x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can("pa", "pb")).select("a", "b"))
     groups = nodes.join(components(stars.union(rest)).toDF("digest", "c"), "digest", "left").withColumn("c", F.coalesce("c", "digest"))
-    least = groups.groupBy("c").agg(F.min("node").alias("first"))
+    least = groups.groupBy("c").agg(F.min(F.struct("node.id", "node.h")).alias("first"))
     names = store(groups.join(least, "c").select(F.col("digest").alias("_digest"), "first"), "groups")
     return prints.join(small(names), F.col("digest") == F.col("_digest")).select("id", "h", "first")
 

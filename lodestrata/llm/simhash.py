@@ -49,12 +49,15 @@ def fingerprint_of(text: str, words: int = 3, seed: int = 42) -> int:
 
 
 def bit_counts(hashes: np.ndarray) -> np.ndarray:
-    """How many of the hashes have each bit set."""
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    # counts of up to 255 fit a byte, which numpy adds much faster than wider numbers
-    even = len(bits) // 255 * 255
-    total = np.add.reduce(np.add.reduce(bits[:even].reshape(-1, 255, 64), axis=1, dtype=np.uint8), axis=0, dtype=np.int64)
-    return total + np.add.reduce(bits[even:], axis=0, dtype=np.int64)
+    """How many of the hashes have each bit set; BLOCK of them at a time, so that a long text takes no more memory."""
+    total = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[i : i + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        # counts of up to 255 fit a byte, which numpy adds much faster than wider numbers
+        even = len(bits) // 255 * 255
+        total += np.add.reduce(np.add.reduce(bits[:even].reshape(-1, 255, 64), axis=1, dtype=np.uint8), axis=0, dtype=np.int64)
+        total += np.add.reduce(bits[even:], axis=0, dtype=np.int64)
+    return total
 
 
 def majority(total: np.ndarray, n: int) -> int:
