@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestrata.functions.text import classify_role, directories, file_name
+from lodestrata.operators.facts import match_lines
 from lodestrata.sources.shared import store
 
 MAX_COMPONENTS, SPLIT_FILES, SPLIT_SHARE, EXAMPLES, TOP = 12, 8, 0.35, 5, 8
@@ -108,19 +109,14 @@ def detect_env_vars(lines: DataFrame) -> DataFrame:
 def detect_data_models(files: DataFrame) -> DataFrame:
     """(snapshot_id, path, source, name, line): models of schema files, and of the ORM patterns elsewhere."""
     prisma = F.col("path").endswith(".prisma")
-    each = [F.when(prisma, F.transform(F.regexp_extract_all("content", F.lit(PRISMA_MODEL), F.lit(1)), _named("prisma")))]
+    found = lambda source, pattern: F.transform(match_lines(F.col("content"), pattern), lambda x: F.struct(F.lit(source).alias("source"), F.regexp_extract(x["m"], pattern, 1).alias("name"), x["line"].alias("line")))
+    each = [F.when(prisma, found("prisma", PRISMA_MODEL))]
     for source, pattern in MODEL_PATTERNS.items():
         guard = F.col("content").rlike(SEQUELIZE_IMPORT) if source == "sequelize" else F.lit(True)
-        each.append(F.when(~prisma & guard, F.transform(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)), _named(source))))
-    none = F.array().cast("array<struct<source:string,name:string>>")
-    at = files.select("snapshot_id", "path", "content", F.explode(F.concat(*(F.coalesce(e, none) for e in each))).alias("m"))
-    # the line of the name's first mention
-    line = F.size(F.split(F.call_function("substring_index", F.col("content"), F.col("m.name"), F.lit(1)), "\n"))
-    return at.select("snapshot_id", "path", "m.source", "m.name", line.alias("line"))
-
-
-def _named(source: str):
-    return lambda n: F.struct(F.lit(source).alias("source"), n.alias("name"))
+        each.append(F.when(~prisma & guard, found(source, pattern)))
+    none = F.array().cast("array<struct<source:string,name:string,line:int>>")
+    at = files.select("snapshot_id", "path", F.explode(F.concat(*(F.coalesce(e, none) for e in each))).alias("m"))
+    return at.select("snapshot_id", "path", "m.source", "m.name", "m.line")
 
 
 def declared_dependencies(manifests: DataFrame, *fields: str) -> DataFrame:
@@ -164,8 +160,8 @@ def rank_start_files(files: DataFrame, imports: DataFrame, routes: DataFrame, de
 
 def route_weight(routes: DataFrame, calls: DataFrame) -> DataFrame:
     """routes with weight: resolved calls in the handler's lines."""
-    c = calls.filter("resolved").select("path", F.col("line").alias("_l"))
-    n = routes.select("route_id", "path", "start_line", "end_line").join(c, "path").filter(F.col("_l").between(F.col("start_line"), F.col("end_line"))).groupBy("route_id").agg(F.count("*").alias("weight"))
+    c = calls.filter("resolved").select("snapshot_id", "path", F.col("line").alias("_l"))
+    n = routes.select("route_id", "snapshot_id", "path", "start_line", "end_line").join(c, ["snapshot_id", "path"]).filter(F.col("_l").between(F.col("start_line"), F.col("end_line"))).groupBy("route_id").agg(F.count("*").alias("weight"))
     return routes.join(n, "route_id", "left").fillna(0, ["weight"])
 
 

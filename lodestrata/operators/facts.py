@@ -57,7 +57,7 @@ def uncommented(text: Column) -> Column:
 
 def blanked(text: Column) -> Column:
     """Text with comments gone and string contents emptied, those of templates without values too; line breaks stay."""
-    return F.regexp_replace(uncommented(text), rf"{STRING}|`[^`\\$\n]*+`", '""')
+    return F.regexp_replace(uncommented(text), rf"{STRING}|`[^`\\$\n]*+`|({TEMPLATE})", '$1""')
 
 
 def _net(bare: Column) -> Column:

@@ -1,10 +1,12 @@
-"""Graph analytics over symbols, calls, routes and imports. Range joins carry (snapshot, path) as their equi key.
+"""Graph analytics over symbols, calls, routes and imports. Whatever is joined on a path is joined on its snapshot too.
 
 Loops write each round to the shared folder, so that lineage stays short and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -14,39 +16,53 @@ from lodestrata.sources.shared import store
 
 TOP, LISTED = 8, 50
 TRACE_DEPTH, TRACE_NODES, TRACE_CALLS = 4, 40, 30
+PLACE = ["snapshot_id", "path"]
+#: Names of calls that register a route.
+REGISTRATION = ["get", "post", "put", "patch", "delete", "all", "route", "use", "head", "options"]
 
 
 def symbol_at(points: DataFrame, symbols: DataFrame) -> DataFrame:
-    """points(point_id, path, line) with symbol_id, the tightest span around the line, or null; ties by id."""
-    s = symbols.select("path", "symbol_id", "start_line", "end_line")
-    at = points.join(s, "path").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    """points(point_id, snapshot_id, path, line) with symbol_id, the tightest span around the line, or null; ties by id."""
+    s = symbols.select(*PLACE, "symbol_id", "start_line", "end_line")
+    at = points.join(s, PLACE).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     best = at.groupBy("point_id").agg(F.min_by("symbol_id", F.struct(F.col("end_line") - F.col("start_line"), F.col("symbol_id"))).alias("symbol_id"))
     return points.join(best, "point_id", "left")
 
 
-def _first(df: DataFrame, by: str, n: int, *order) -> DataFrame:
+def _first(df: DataFrame, by: str | list[str], n: int, *order) -> DataFrame:
     """The first n rows of each by, with truncated: whether there were more."""
-    w = W.partitionBy(by).orderBy(*order)
+    by = [by] if isinstance(by, str) else by
+    w = W.partitionBy(*by).orderBy(*order)
     at = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n + 1)
-    return at.withColumn("truncated", F.max("rank").over(W.partitionBy(by)) > n).filter(F.col("rank") <= n)
+    return at.withColumn("truncated", F.max("rank").over(W.partitionBy(*by)) > n).filter(F.col("rank") <= n)
+
+
+def _inline_routes(calls: DataFrame, routes: DataFrame, key: list[str]) -> DataFrame:
+    """calls with route_id: of the routes around the line of a call at module scope the tightest, ties by id."""
+    r = routes.select(F.col("snapshot_id").alias("r_snapshot"), F.col("path").alias("r_path"), "route_id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
+    around = F.col("from_symbol_id").isNull() & (F.col("snapshot_id") == F.col("r_snapshot")) & (F.col("path") == F.col("r_path")) & F.col("line").between(F.col("r_start"), F.col("r_end"))
+    return calls.join(r, around, "left").groupBy(*key).agg(F.min_by("route_id", F.struct(F.col("r_end") - F.col("r_start"), F.col("route_id"))).alias("route_id"))
 
 
 def callers(targets: DataFrame, calls: DataFrame, routes: DataFrame, most: int = LISTED) -> DataFrame:
     """Resolved calls of each target by path and line; calls at module scope take the route around their line, if any."""
     c = targets.join(calls.filter("resolved"), F.col("symbol_id") == F.col("to_symbol_id"))
-    r = routes.select(F.col("path").alias("r_path"), "route_id", F.col("start_line").alias("r_start"), F.col("end_line").alias("r_end"))
-    named = c.join(r, F.col("from_symbol_id").isNull() & (F.col("path") == F.col("r_path")) & F.col("line").between(F.col("r_start"), F.col("r_end")), "left")
-    each = named.groupBy("symbol_id", "from_symbol_id", "path", "line").agg(F.min_by("route_id", F.struct(F.col("r_end") - F.col("r_start"), F.col("route_id"))).alias("route_id"))
-    return _first(each, "symbol_id", most, F.col("path"), F.col("line"), F.col("from_symbol_id"))
+    each = _inline_routes(c, routes, ["symbol_id", "from_symbol_id", "snapshot_id", "path", "line"])
+    return _first(each, "symbol_id", most, F.col("path"), F.col("line"), F.col("from_symbol_id")).drop("snapshot_id")
+
+
+def _narrowed(symbols: DataFrame) -> DataFrame:
+    """(symbol_id, snapshot_id, path, lo, hi): each symbol's lines; of a class those of its constructor, or none without one."""
+    made = symbols.filter("name = 'constructor'").groupBy(F.col("parent_id").alias("symbol_id")).agg(F.min(F.struct("start_line", "end_line")).alias("m"))
+    of = lambda own, inner: F.when(F.col("kind") == "class", F.col(inner)).otherwise(F.col(own))
+    return symbols.join(made, "symbol_id", "left").select("symbol_id", *PLACE, of("start_line", "m.start_line").alias("lo"), of("end_line", "m.end_line").alias("hi"))
 
 
 def callees(targets: DataFrame, symbols: DataFrame, calls: DataFrame, most: int = LISTED) -> DataFrame:
     """Different (line, text) calls in each target's lines; of a class those of its constructor, or none without one."""
-    span = targets.join(symbols, "symbol_id").select("symbol_id", "path", "kind", "start_line", "end_line")
-    made = symbols.filter("name = 'constructor'").select(F.col("parent_id").alias("symbol_id"), F.col("start_line").alias("m_start"), F.col("end_line").alias("m_end"))
-    at = span.join(made, "symbol_id", "left").withColumns({"lo": F.when(F.col("kind") == "class", F.col("m_start")).otherwise(F.col("start_line")), "hi": F.when(F.col("kind") == "class", F.col("m_end")).otherwise(F.col("end_line"))})
-    c = calls.select("path", "line", "callee_text", "to_symbol_id")
-    each = at.join(c, "path").filter(F.col("line").between(F.col("lo"), F.col("hi"))).groupBy("symbol_id", "line", "callee_text").agg(F.min("to_symbol_id").alias("to_symbol_id"))
+    at = targets.join(_narrowed(symbols), "symbol_id")
+    c = calls.select(*PLACE, "line", "callee_text", "to_symbol_id")
+    each = at.join(c, PLACE).filter(F.col("line").between(F.col("lo"), F.col("hi"))).groupBy("symbol_id", "line", "callee_text").agg(F.min("to_symbol_id").alias("to_symbol_id"))
     return _first(each, "symbol_id", most, F.col("line"), F.col("callee_text"))
 
 
@@ -57,88 +73,134 @@ def routes_of(targets: DataFrame, routes: DataFrame) -> DataFrame:
 def trace_routes(routes: DataFrame, symbols: DataFrame, calls: DataFrame, depth: int = TRACE_DEPTH, nodes: int = TRACE_NODES, per_node: int = TRACE_CALLS) -> tuple[DataFrame, DataFrame]:
     """(nodes, calls) of each route's request: breadth first from its handler over the calls in each node's lines.
 
-    A node keeps its first per_node calls by line and text. New nodes are taken in order of their parent's place, line
-    and text, up to `nodes` a route. Nodes at the last depth list their calls and are not followed.
+    A route without a handler symbol starts at its own lines (symbol_id null), less the call on the first of them that
+    registers it. A class is narrowed to its constructor. A node keeps its first per_node calls by line and text, those
+    that nothing resolves included. New nodes are taken in order of their parent's place, line and text, up to `nodes` a
+    route. Nodes at the last depth list their calls and are not followed. truncated: the node has more calls, or a call
+    of it leads to a node beyond the limit.
     """
-    spans = symbols.select("symbol_id", "path", "start_line", "end_line")
-    seen = routes.select("route_id", F.col("handler_symbol_id").alias("symbol_id")).filter("symbol_id is not null").withColumns({"depth": F.lit(0), "place": F.lit(1).cast("long"), "parent_id": F.lit(None).cast("long")})
-    seen = store(seen, "trace")
-    made = None
-    frontier = seen
-    listed = calls.groupBy("path", "line", "callee_text").agg(F.min("to_symbol_id").alias("to_symbol_id"))
+    spans = _narrowed(symbols)
+    listed = calls.groupBy(*PLACE, "line", "callee_text").agg(F.min("to_symbol_id").alias("to_symbol_id"))
+    start = routes.select("route_id", F.col("handler_symbol_id").alias("symbol_id"))
+    seen = store(start.select("*", F.lit(0).alias("depth"), F.lit(1).cast("long").alias("place"), F.lit(None).cast(symbols.schema["symbol_id"].dataType).alias("parent_id")), "trace")
+    own = routes.filter("handler_symbol_id is null").select("route_id", F.col("handler_symbol_id").alias("symbol_id"), *PLACE, F.col("start_line").alias("lo"), F.col("end_line").alias("hi"))
+    name = F.lower(F.substring_index("callee_text", ".", -1))
+    made, frontier, rounds = None, seen, [seen]
     for d in range(depth + 1):
-        at = frontier.join(spans, "symbol_id").join(listed, "path").filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
-        w = W.partitionBy("route_id", "symbol_id").orderBy("line", "callee_text")
-        out = store(at.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= per_node).select("route_id", "symbol_id", "depth", "place", "line", "callee_text", "to_symbol_id", "n"), "trace-calls")
+        held = frontier.join(spans, "symbol_id")
+        at = held.select("route_id", "symbol_id", "depth", "place", *PLACE, "lo", "hi", F.lit(False).alias("inline"))
+        if d == 0:
+            at = at.union(own.select("route_id", "symbol_id", F.lit(0), F.lit(1).cast("long"), *PLACE, "lo", "hi", F.lit(True)))
+        at = at.join(listed, PLACE).filter(F.col("line").between(F.col("lo"), F.col("hi")) & ~(F.col("inline") & (F.col("line") == F.col("lo")) & name.isin(REGISTRATION)))
+        out = _first(at, ["route_id", "symbol_id"], per_node, F.col("line"), F.col("callee_text"))
+        out = store(out.select("route_id", "symbol_id", "depth", "place", "line", "callee_text", "to_symbol_id", F.col("rank").alias("n"), "truncated"), "trace-calls")
         made = out if made is None else made.union(out)
         if d == depth:
             break
+        every = rounds[0] if len(rounds) == 1 else reduce(DataFrame.union, rounds)
         new = out.filter("to_symbol_id is not null").groupBy("route_id", F.col("to_symbol_id").alias("next")).agg(F.min(F.struct("place", "n", F.col("symbol_id").alias("parent_id"))).alias("o"))
-        new = new.join(seen.select("route_id", F.col("symbol_id").alias("next")), ["route_id", "next"], "left_anti")
-        held = seen.groupBy("route_id").agg(F.count("*").alias("held"))
+        new = new.join(every.select("route_id", F.col("symbol_id").alias("next")), ["route_id", "next"], "left_anti").join(symbols.select(F.col("symbol_id").alias("next")), "next", "left_semi")
+        held = every.groupBy("route_id").agg(F.count("*").alias("held"))
         new = new.join(held, "route_id").withColumn("k", F.row_number().over(W.partitionBy("route_id").orderBy("o.place", "o.n", "next")) + F.col("held")).filter(F.col("k") <= nodes)
-        frontier = store(new.select("route_id", F.col("next").alias("symbol_id"), F.lit(d + 1).alias("depth"), F.col("k").cast("long").alias("place"), F.col("o.parent_id").cast("long").alias("parent_id")), "trace-frontier")
+        frontier = store(new.select("route_id", F.col("next").alias("symbol_id"), F.lit(d + 1).alias("depth"), F.col("k").cast("long").alias("place"), F.col("o.parent_id").alias("parent_id")), "trace-frontier")
         if frontier.isEmpty():
             break
-        seen = store(seen.union(frontier), "trace")
-    return seen, made
+        rounds.append(frontier)
+    return reduce(DataFrame.union, rounds), made
 
 
 def trace_tree(nodes: DataFrame, calls: DataFrame) -> DataFrame:
     """(route_id, symbol_id, place, n): the call of the parent that each node hangs on, the first to it."""
-    c = calls.select("route_id", F.col("symbol_id").alias("parent_id"), F.col("to_symbol_id").alias("symbol_id"), "n")
-    first = c.groupBy("route_id", "parent_id", "symbol_id").agg(F.min("n").alias("n"))
-    return nodes.join(first, ["route_id", "parent_id", "symbol_id"]).select("route_id", "symbol_id", "place", "n")
+    c = calls.select("route_id", F.col("symbol_id").alias("_p"), F.col("to_symbol_id").alias("_s"), "n")
+    first = c.filter("_s is not null").groupBy(F.col("route_id").alias("_r"), "_p", "_s").agg(F.min("n").alias("n"))
+    at = nodes.filter("depth > 0").join(first, (F.col("route_id") == F.col("_r")) & F.col("parent_id").eqNullSafe(F.col("_p")) & (F.col("symbol_id") == F.col("_s")))
+    return at.select("route_id", "symbol_id", "place", "n")
 
 
-def impact(targets: DataFrame, calls: DataFrame, paths: DataFrame, rounds: int = 50) -> DataFrame:
-    """(target_id, symbol_id, depth, parent_id, is_test): who reaches a target over resolved calls, at the least depth.
+def impact(targets: DataFrame, symbols: DataFrame, calls: DataFrame, routes: DataFrame, rounds: int = 100_000) -> DataFrame:
+    """(target_id, kind, symbol_id, route_id, path, depth, parent_id, line): who reaches a target over resolved calls.
 
-    Callers in test files are recorded and not followed. The parent of a node is its least callee on the level below.
+    kind symbol: a caller, at its least depth; a class stands for its methods too (depth 0). kind test: a test file with
+    a call; these are recorded and not followed. Calls at module scope are of the inline route around them (kind route)
+    or of their file (kind module). parent_id: the symbol one step nearer that is called on line; of several the one
+    found first, then by path and line. Each round appends what it found; the least depth of the rest is taken at the end.
     """
-    links = store(calls.filter("resolved and from_symbol_id is not null").select(F.col("from_symbol_id").alias("symbol_id"), F.col("to_symbol_id").alias("callee")).distinct(), "links")
-    tests = paths.select("symbol_id", is_test_file(F.col("path")).alias("is_test"))
-    seen = store(targets.select("target_id", F.col("target_id").alias("symbol_id"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent_id"), F.lit(False).alias("is_test")), "impact")
-    frontier = seen
+    kind = symbols.schema["symbol_id"].dataType
+    links = calls.filter("resolved and to_symbol_id is not null").select(*PLACE, "line", "from_symbol_id", F.col("to_symbol_id").alias("callee"), is_test_file(F.col("path")).alias("is_test"))
+    inline = _inline_routes(links.filter("from_symbol_id is null and not is_test"), routes.filter("handler_symbol_id is null"), [*PLACE, "line", "from_symbol_id", "callee", "is_test"])
+    links = store(links.filter("from_symbol_id is not null or is_test").withColumn("route_id", F.lit(None).cast(routes.schema["route_id"].dataType)).unionByName(inline), "links")
+    known = symbols.select("symbol_id")
+    first = targets.select("target_id", F.col("target_id").alias("symbol_id")).join(known, "symbol_id", "left_semi")
+    first = first.select("target_id", "symbol_id")
+    held = first.join(symbols.filter("kind = 'class'").select("symbol_id"), "symbol_id", "left_semi").join(symbols.select(F.col("parent_id").alias("symbol_id"), F.col("symbol_id").alias("m")), "symbol_id").select("target_id", F.col("m").alias("symbol_id"))
+    place = F.row_number().over(W.partitionBy("target_id").orderBy("symbol_id")).cast("long")
+    frontier = store(first.union(held).distinct().select("target_id", "symbol_id", place.alias("place"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent_id"), F.lit(None).cast("int").alias("line")), "impact")
+    seen, others = [frontier], []
     for d in range(1, rounds + 1):
-        new = frontier.filter("not is_test").select("target_id", F.col("symbol_id").alias("callee")).join(links, "callee").groupBy("target_id", "symbol_id").agg(F.min("callee").alias("parent_id"))
-        new = new.join(seen.select("target_id", "symbol_id"), ["target_id", "symbol_id"], "left_anti").join(tests, "symbol_id", "left")
-        frontier = store(new.select("target_id", "symbol_id", F.lit(d).alias("depth"), "parent_id", F.coalesce("is_test", F.lit(False)).alias("is_test")), "impact-frontier")
+        hit = store(frontier.select("target_id", F.col("symbol_id").alias("callee"), "place").join(links, "callee").withColumn("depth", F.lit(d)), "impact-calls")
+        if hit.isEmpty():
+            break
+        others.append(hit.filter("is_test or from_symbol_id is null"))
+        new = hit.filter("not is_test and from_symbol_id is not null").groupBy("target_id", F.col("from_symbol_id").alias("symbol_id")).agg(F.min(F.struct("place", "path", "line", "callee")).alias("o"))
+        new = new.join(reduce(DataFrame.union, seen).select("target_id", "symbol_id"), ["target_id", "symbol_id"], "left_anti").join(known, "symbol_id", "left_semi")
+        order = F.row_number().over(W.partitionBy("target_id").orderBy("o.place", "o.path", "o.line", "symbol_id")).cast("long")
+        frontier = store(new.select("target_id", "symbol_id", order.alias("place"), F.lit(d).alias("depth"), F.col("o.callee").alias("parent_id"), F.col("o.line").cast("int").alias("line")), "impact")
         if frontier.isEmpty():
-            return seen
-        seen = store(seen.union(frontier), "impact")
-    raise RuntimeError(f"impact: not settled after {rounds} rounds")
+            break
+        seen.append(frontier)
+        if len(seen) > 16:  # one table again, so that a long chain does not make a wide plan
+            seen, others = [store(reduce(DataFrame.union, seen), "impact")], [store(reduce(DataFrame.union, others), "impact-others")]
+    else:
+        raise RuntimeError(f"impact: not settled after {rounds} rounds")
+    none, route = F.lit(None).cast(kind), F.lit(None).cast(routes.schema["route_id"].dataType)
+    found = reduce(DataFrame.union, seen).select("target_id", F.lit("symbol").alias("kind"), "symbol_id", route.alias("route_id"), F.lit(None).cast("string").alias("path"), "depth", "parent_id", "line")
+    if not others:
+        return found
+    rest = reduce(DataFrame.union, others).withColumn("kind", F.when(F.col("is_test"), "test").when(F.col("route_id").isNotNull(), "route").otherwise("module"))
+    rest = rest.withColumn("of", F.when(F.col("kind") == "route", F.col("route_id"))).groupBy("target_id", "kind", "of", F.when(F.col("kind") != "route", F.col("path")).alias("at")).agg(F.min(F.struct("depth", "place", "path", "line", "callee")).alias("o"))
+    return found.union(rest.select("target_id", "kind", none, "of", "at", "o.depth", "o.callee", F.col("o.line").cast("int")))
 
 
-def impact_chains(reached: DataFrame, starts: DataFrame, depth: int = 50) -> DataFrame:
+def impact_chains(reached: DataFrame, starts: DataFrame, depth: int = 100_000) -> DataFrame:
     """(target_id, symbol_id, chain): symbols from each start (a route's handler) down to the target along parents."""
-    step = reached.select("target_id", F.col("symbol_id").alias("at"), F.col("parent_id").alias("next"))
-    rows = reached.join(starts.select("symbol_id").distinct(), "symbol_id", "left_semi").select("target_id", "symbol_id", F.col("symbol_id").alias("at"), F.array("symbol_id").alias("chain"))
-    done = None
+    symbols = reached.filter("kind = 'symbol'")
+    step = symbols.select("target_id", F.col("symbol_id").alias("at"), F.col("parent_id").alias("next"))
+    rows = symbols.join(starts.select("symbol_id").distinct(), "symbol_id", "left_semi").select("target_id", "symbol_id", F.col("symbol_id").alias("at"), F.array("symbol_id").alias("chain"))
+    done = []
     for _ in range(depth):
-        ended = rows.filter("at = target_id").select("target_id", "symbol_id", "chain")
-        done = ended if done is None else done.union(ended)
-        rows = store(rows.filter("at <> target_id").join(step, ["target_id", "at"]).select("target_id", "symbol_id", F.col("next").alias("at"), F.concat("chain", F.array("next")).alias("chain")), "chains")
+        rows = store(rows.join(step, ["target_id", "at"]), "chains")
+        done.append(rows.filter("next is null").select("target_id", "symbol_id", "chain"))
+        rows = rows.filter("next is not null").select("target_id", "symbol_id", F.col("next").alias("at"), F.concat("chain", F.array("next")).alias("chain"))
         if rows.isEmpty():
-            return done
+            return reduce(DataFrame.union, done)
+        if len(done) > 16:
+            done = [store(reduce(DataFrame.union, done), "chains-done")]
     raise RuntimeError(f"impact_chains: longer than {depth}")
 
 
 def impact_lists(reached: DataFrame, symbols: DataFrame, routes: DataFrame, n_routes: int = 100, n_dependents: int = 200) -> DataFrame:
-    """(target_id, list, item, depth, rank, truncated): routes, dependents and tests of each target."""
-    at = reached.filter("depth > 0").join(symbols.select("symbol_id", "path", "start_line"), "symbol_id")
-    hit = reached.join(routes, F.col("symbol_id") == F.col("handler_symbol_id")).select("target_id", F.col("route_id").alias("item"), "depth", "url_path", "method")
-    a = _first(hit, "target_id", n_routes, F.col("depth"), F.col("url_path"), F.col("method"), F.col("item")).withColumn("list", F.lit("routes"))
-    b = _first(at.filter("not is_test").withColumnRenamed("symbol_id", "item"), "target_id", n_dependents, F.col("depth"), F.col("path"), F.col("start_line"), F.col("item")).withColumn("list", F.lit("dependents"))
-    c = at.filter("is_test").groupBy("target_id", "path").agg(F.min("depth").alias("depth"), F.min("symbol_id").alias("item"))
+    """(target_id, list, item, path, depth, rank, truncated): routes, dependents (symbols, inline routes, files) and tests of each target."""
+    r = routes.select("route_id", F.col("handler_symbol_id").alias("_h"), "url_path", "method", F.col("path").alias("r_path"), F.col("start_line").alias("r_start"))
+    met = reached.filter("kind = 'symbol'").drop("route_id").join(r, F.col("symbol_id") == F.col("_h"))
+    inline = reached.filter("kind = 'route'").join(r, "route_id")
+    text = lambda c: F.col(c).cast("string")
+    hit = met.select("target_id", "route_id", "depth", "url_path", "method").union(inline.select("target_id", "route_id", "depth", "url_path", "method")).withColumns({"item": text("route_id"), "path": F.lit(None).cast("string")})
+    a = _first(hit, "target_id", n_routes, F.col("depth"), F.col("url_path"), F.col("method"), F.col("route_id")).withColumn("list", F.lit("routes"))
+    s = reached.filter("kind = 'symbol' and depth > 0").drop("path").join(symbols.select("symbol_id", "path", "start_line"), "symbol_id").select("target_id", text("symbol_id").alias("item"), "path", "depth", "start_line")
+    m = reached.filter("kind = 'module'").select("target_id", F.lit("top-level code").alias("item"), "path", "depth", F.col("line").alias("start_line"))
+    i = inline.select("target_id", F.concat(F.lit("route "), text("route_id")).alias("item"), F.col("r_path").alias("path"), "depth", F.col("r_start").alias("start_line"))
+    b = _first(s.union(m).union(i), "target_id", n_dependents, F.col("depth"), F.col("path"), F.col("start_line"), F.col("item")).withColumn("list", F.lit("dependents"))
+    c = reached.filter("kind = 'test'").select("target_id", F.lit(None).cast("string").alias("item"), "path", "depth")
     c = c.withColumns({"rank": F.row_number().over(W.partitionBy("target_id").orderBy("depth", "path")), "truncated": F.lit(False), "list": F.lit("tests")})
-    cols = ["target_id", "list", "item", "depth", "rank", "truncated"]
+    cols = ["target_id", "list", "item", "path", "depth", "rank", "truncated"]
     return a.select(*cols).union(b.select(*cols)).union(c.select(*cols))
 
 
 def impact_by_file(reached: DataFrame, symbols: DataFrame) -> DataFrame:
-    at = reached.filter("depth > 0").join(symbols.select("symbol_id", "path"), "symbol_id")
-    return at.groupBy("target_id", "path").agg(F.sort_array(F.collect_list("symbol_id")).alias("symbols"))
+    """(target_id, snapshot_id, path, n, symbols): dependents by file with the first LISTED of them."""
+    at = reached.filter("kind = 'symbol' and depth > 0").drop("path").join(symbols.select("symbol_id", *PLACE), "symbol_id")
+    ranked = at.withColumn("_n", F.row_number().over(W.partitionBy("target_id", *PLACE).orderBy("symbol_id")))
+    return ranked.groupBy("target_id", *PLACE).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("_n") <= LISTED, F.col("symbol_id")))).alias("symbols"))
 
 
 def import_cycles(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -252,7 +314,8 @@ def test_reach(files: DataFrame, imports: DataFrame) -> DataFrame:
     """(snapshot_id, path, tests, examples): source files that test files import directly, with up to five of these."""
     source = files.filter(classify_role(F.col("path")) == "source").select("snapshot_id", "path")
     hit = imports.filter(is_test_file(F.col("from_path"))).select("snapshot_id", F.col("to_path").alias("path"), "from_path").distinct().join(source, ["snapshot_id", "path"], "left_semi")
-    return hit.groupBy("snapshot_id", "path").agg(F.count("*").alias("tests"), F.slice(F.array_sort(F.collect_set("from_path")), 1, 5).alias("examples"))
+    ranked = hit.withColumn("_n", F.row_number().over(W.partitionBy("snapshot_id", "path").orderBy("from_path")))
+    return ranked.groupBy("snapshot_id", "path").agg(F.count("*").alias("tests"), F.sort_array(F.collect_list(F.when(F.col("_n") <= 5, F.col("from_path")))).alias("examples"))
 
 
 def untested_hubs(files: DataFrame, imports: DataFrame) -> DataFrame:

@@ -142,20 +142,20 @@ def i10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.rank_start_files(f, imports(spark, sf_dir), r, d).drop("reasons")
 
 
-@query("i11_route_weight", f"WITH {G._G} SELECT route_id, count(line) AS weight FROM ro LEFT JOIN ca ON ca.path = ro.path AND line BETWEEN s AND e AND resolved GROUP BY route_id")
+@query("i11_route_weight", f"WITH {G._G} SELECT route_id, count(line) AS weight FROM ro LEFT JOIN ca ON ca.snap = ro.snap AND ca.path = ro.path AND line BETWEEN s AND e AND resolved GROUP BY route_id")
 def i11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.route_weight(G.routes(spark, sf_dir), G.calls(spark, sf_dir)).select("route_id", "weight")
 
 
 def _key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.key_routes(I.route_weight(G.routes(spark, sf_dir), G.calls(spark, sf_dir)).withColumn("snapshot_id", F.lit("s")))
+    return I.key_routes(I.route_weight(G.routes(spark, sf_dir), G.calls(spark, sf_dir)))
 
 
-@query("i12_key_routes", f"""WITH {G._G}, w AS (SELECT route_id, any_value(method) AS method, any_value(url_path) AS u, count(line) AS weight, any_value(ro.path) AS path FROM ro LEFT JOIN ca ON ca.path = ro.path AND line BETWEEN s AND e AND resolved GROUP BY route_id),
-k AS (SELECT *, split_part(u, '/', 2) AS resource FROM w WHERE path LIKE 'src/%'), n AS (SELECT *, count(*) OVER (PARTITION BY resource) AS size, row_number() OVER (PARTITION BY resource ORDER BY weight * 10 + (method = 'POST')::INT DESC, u, method, route_id) AS n FROM k)
-SELECT route_id, resource, weight, rank FROM (SELECT *, row_number() OVER (ORDER BY size DESC, resource) AS rank FROM n WHERE n = 1) WHERE rank <= 5""")
+@query("i12_key_routes", f"""WITH {G._G}, w AS (SELECT route_id, any_value(method) AS method, any_value(url_path) AS u, count(line) AS weight, any_value(ro.path) AS path, any_value(ro.snap) AS snap FROM ro LEFT JOIN ca ON ca.snap = ro.snap AND ca.path = ro.path AND line BETWEEN s AND e AND resolved GROUP BY route_id),
+k AS (SELECT *, split_part(u, '/', 2) AS resource FROM w WHERE path LIKE 'src/%'), n AS (SELECT *, count(*) OVER (PARTITION BY snap, resource) AS size, row_number() OVER (PARTITION BY snap, resource ORDER BY weight * 10 + (method = 'POST')::INT DESC, u, method, route_id) AS n FROM k)
+SELECT snap AS snapshot_id, route_id, resource, weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY snap ORDER BY size DESC, resource) AS rank FROM n WHERE n = 1) WHERE rank <= 5""")
 def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _key(spark, sf_dir).select("route_id", "resource", "weight", "rank")
+    return _key(spark, sf_dir).select("snapshot_id", "route_id", "resource", "weight", "rank")
 
 
 @query("i13_guide_document", f"WITH {_U} SELECT snapshot_id, count(DISTINCT package) AS stack, least(8, 8) AS start_files FROM us JOIN ct USING (package) WHERE line % 7 = 0 GROUP BY snapshot_id")
@@ -248,9 +248,9 @@ def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.groupBy("viewer").agg(F.count("*").alias("n"), F.sum("snapshot_id").alias("ids"))
 
 
-@query("j6_list_routes", f"WITH {G._G} SELECT route_id, name AS handler, row_number() OVER (ORDER BY url_path, method, route_id) AS position FROM ro LEFT JOIN sy ON symbol_id = route_id")
+@query("j6_list_routes", f"WITH {G._G} SELECT route_id, name AS handler, row_number() OVER (PARTITION BY ro.snap ORDER BY url_path, method, route_id) AS position FROM ro LEFT JOIN sy ON symbol_id = handler")
 def j6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.list_routes(G.routes(spark, sf_dir).withColumn("snapshot_id", F.lit("s")), G.symbols(spark, sf_dir)).select("route_id", "handler", "position")
+    return J.list_routes(G.routes(spark, sf_dir), G.symbols(spark, sf_dir)).select("route_id", "handler", "position")
 
 
 @query("j7_list_files", f"WITH {_F} SELECT snapshot_id, path, row_number() OVER (PARTITION BY snapshot_id ORDER BY path) AS position FROM fi")
@@ -258,10 +258,10 @@ def j7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.list_files(files(spark, sf_dir)).select("snapshot_id", "path", "position")
 
 
-@query("j7_outline", f"WITH {G._G} SELECT path, md5(string_agg(s || name || kind, ',' ORDER BY s, name, kind)) AS h FROM sy GROUP BY path")
+@query("j7_outline", f"WITH {G._G} SELECT snap AS snapshot_id, path, md5(string_agg(s || name || kind, ',' ORDER BY s, name, kind)) AS h FROM sy GROUP BY snap, path")
 def j7_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.transform("symbols", lambda x: F.concat(x["start_line"].cast("string"), x["name"], x["kind"]))
-    return J.outline(G.symbols(spark, sf_dir)).select("path", F.md5(F.array_join(each, ",")).alias("h"))
+    return J.outline(G.symbols(spark, sf_dir)).select("snapshot_id", "path", F.md5(F.array_join(each, ",")).alias("h"))
 
 
 @query("j8_cached", "SELECT o_orderkey AS snapshot_id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'stored' ELSE 'new' END AS result FROM orders")

@@ -8,6 +8,7 @@ from lodestrata.operators import architecture as I
 from lodestrata.operators import chunking as D
 from lodestrata.operators import evaluation as K
 from lodestrata.operators import graph as H
+from lodestrata.operators.architecture import route_weight
 from lodestrata.operators import search as S
 
 
@@ -39,22 +40,62 @@ def test_cycle_loops(spark):
     assert got == {1: [1, 2, 1], 7: [7, 8, 7]}
 
 
+SYMBOLS = "symbol_id long, snapshot_id string, path string, kind string, name string, parent_id long, start_line int, end_line int"
+CALLS = "from_symbol_id long, to_symbol_id long, snapshot_id string, path string, line int, callee_text string, resolved boolean"
+ROUTES = "route_id long, handler_symbol_id long, method string, url_path string, snapshot_id string, path string, start_line int, end_line int"
+
+
 def test_impact_and_chains(spark):
-    calls = spark.createDataFrame([(2, 1, True), (3, 2, True), (4, 2, True), (5, 4, True), (6, 5, True), (9, 1, False)], "from_symbol_id long, to_symbol_id long, resolved boolean")
-    symbols = spark.createDataFrame([(i, "test/a.ts" if i == 5 else "src/a.ts") for i in range(1, 10)], "symbol_id long, path string")
-    got = H.impact(spark.createDataFrame([(1,)], "target_id long"), calls, symbols)
-    assert {(r.symbol_id, r.depth, r.parent_id, r.is_test) for r in got.collect()} == {(1, 0, None, False), (2, 1, 1, False), (3, 2, 2, False), (4, 2, 2, False), (5, 3, 4, True)}
+    symbols = spark.createDataFrame([(i, "s", "test/a.ts" if i == 5 else "src/a.ts", "class" if i == 1 else "function", f"n{i}", 1 if i == 8 else None, i * 10, i * 10 + 5) for i in range(1, 10)], SYMBOLS)
+    rows = [(2, 1, "src/a.ts", 21, True), (3, 2, "src/a.ts", 31, True), (4, 2, "src/a.ts", 41, True), (5, 4, "test/a.ts", 51, True), (6, 5, "src/a.ts", 61, True), (9, 1, "src/a.ts", 91, False), (7, 8, "src/a.ts", 71, True), (None, 3, "src/b.ts", 4, True), (None, 2, "src/c.ts", 9, True), (None, 4, "test/z.ts", 1, True)]
+    calls = spark.createDataFrame([(a, b, "s", p, line, "x", ok) for a, b, p, line, ok in rows], CALLS)
+    routes = spark.createDataFrame([(70, None, "GET", "/b", "s", "src/b.ts", 1, 5), (71, None, "GET", "/other", "t", "src/c.ts", 1, 50), (72, 4, "GET", "/a", "s", "src/a.ts", 1, 2)], ROUTES)
+    got = H.impact(spark.createDataFrame([(1,)], "target_id long"), symbols, calls, routes)
+    assert {(r.symbol_id, r.depth, r.parent_id) for r in got.filter("kind = 'symbol'").collect()} == {(1, 0, None), (8, 0, None), (2, 1, 1), (7, 1, 8), (3, 2, 2), (4, 2, 2)}
+    assert {(r.kind, r.route_id, r.path, r.depth) for r in got.filter("kind <> 'symbol'").collect()} == {("test", None, "test/a.ts", 3), ("test", None, "test/z.ts", 3), ("route", 70, None, 3), ("module", None, "src/c.ts", 2)}
     chains = H.impact_chains(got, spark.createDataFrame([(4,)], "symbol_id long"))
     assert [r.chain for r in chains.collect()] == [[4, 2, 1]]
+    lists = {(r.list, r.item, r.path, r.depth) for r in H.impact_lists(got, symbols, routes).collect()}
+    assert {("routes", "72", None, 2), ("routes", "70", None, 3), ("tests", None, "test/a.ts", 3), ("dependents", "top-level code", "src/c.ts", 2), ("dependents", "route 70", "src/b.ts", 3)} <= lists
+    assert [(r.path, r.n) for r in H.impact_by_file(got, symbols).collect()] == [("src/a.ts", 4)]
+
+
+def test_a_long_chain_of_callers(spark):
+    n = 40
+    symbols = spark.createDataFrame([(i, "s", "a.ts", "function", "f", None, i, i) for i in range(n)], SYMBOLS)
+    calls = spark.createDataFrame([(i + 1, i, "s", "a.ts", i + 1, "f", True) for i in range(n - 1)], CALLS)
+    got = H.impact(spark.createDataFrame([(0,)], "target_id long"), symbols, calls, spark.createDataFrame([], ROUTES))
+    assert {(r.symbol_id, r.depth) for r in got.collect()} == {(i, i) for i in range(n)}
+    assert H.impact_chains(got, spark.createDataFrame([(n - 1,)], "symbol_id long")).first().chain == [*range(n - 1, -1, -1)]
+
+
+def test_snapshots_stay_apart(spark):
+    """Two snapshots with the same paths: nothing of one is found in the other."""
+    symbols = spark.createDataFrame([(1, "s", "a.ts", "function", "f", None, 1, 9), (2, "t", "a.ts", "function", "f", None, 2, 5)], SYMBOLS)
+    calls = spark.createDataFrame([(1, 1, "s", "a.ts", 3, "one", True), (2, 2, "t", "a.ts", 3, "two", True), (None, 2, "t", "a.ts", 8, "three", True)], CALLS)
+    routes = spark.createDataFrame([(5, None, "GET", "/", "s", "a.ts", 7, 9), (6, 1, "GET", "/", "s", "a.ts", 1, 9)], ROUTES)
+    points = spark.createDataFrame([(1, "s", "a.ts", 3), (2, "t", "a.ts", 3), (3, "u", "a.ts", 3)], "point_id long, snapshot_id string, path string, line int")
+    assert {r.point_id: r.symbol_id for r in H.symbol_at(points, symbols).collect()} == {1: 1, 2: 2, 3: None}
+    both = spark.createDataFrame([(1,), (2,)], "symbol_id long")
+    assert {(r.symbol_id, r.callee_text) for r in H.callees(both, symbols, calls).collect()} == {(1, "one"), (2, "two")}
+    assert {(r.symbol_id, r.line, r.route_id) for r in H.callers(both, calls, routes).collect()} == {(1, 3, None), (2, 3, None), (2, 8, None)}
+    assert {(r.route_id, r.callee_text) for r in H.trace_routes(routes, symbols, calls)[1].collect()} == {(6, "one")}
+    assert {r.route_id: r.weight for r in route_weight(routes, calls).collect()} == {5: 0, 6: 1}
 
 
 def test_trace(spark):
-    routes = spark.createDataFrame([(1, 10)], "route_id long, handler_symbol_id long")
-    symbols = spark.createDataFrame([(10, "a", 1, 5), (11, "a", 6, 8), (12, "b", 1, 3)], "symbol_id long, path string, start_line int, end_line int")
-    calls = spark.createDataFrame([("a", 2, "x", 11), ("a", 3, "y", None), ("a", 7, "z", 12), ("b", 2, "back", 10)], "path string, line int, callee_text string, to_symbol_id long")
+    routes = spark.createDataFrame([(1, 10, "GET", "/", "s", "a", 1, 1), (2, None, "GET", "/i", "s", "c", 4, 6)], ROUTES)
+    symbols = spark.createDataFrame([(10, "s", "a", "function", "h", None, 1, 5), (11, "s", "a", "function", "g", None, 6, 8), (12, "s", "b", "class", "K", None, 1, 9), (13, "s", "b", "method", "constructor", 12, 2, 3), (14, "s", "b", "class", "E", None, 20, 30)], SYMBOLS)
+    rows = [("a", 2, "x", 11), ("a", 3, "y", None), ("a", 7, "z", 12), ("b", 2, "back", 10), ("b", 7, "unseen", 11), ("c", 4, "app.get", 11), ("c", 5, "app.get", 14), ("c", 6, "own", 10), ("b", 25, "never", 10)]
+    calls = spark.createDataFrame([(None, b, "s", p, line, t, b is not None) for p, line, t, b in rows], CALLS)
     nodes, made = H.trace_routes(routes, symbols, calls)
-    assert {(r.symbol_id, r.depth, r.parent_id) for r in nodes.collect()} == {(10, 0, None), (11, 1, 10), (12, 2, 11)}
-    assert made.count() == 4 and {(r.symbol_id, r.n) for r in H.trace_tree(nodes, made).collect()} == {(11, 1), (12, 1)}
+    assert {(r.symbol_id, r.depth, r.parent_id) for r in nodes.filter("route_id = 1").collect()} == {(10, 0, None), (11, 1, 10), (12, 2, 11)}
+    assert {(r.symbol_id, r.line, r.callee_text) for r in made.filter("route_id = 1").collect()} == {(10, 2, "x"), (10, 3, "y"), (11, 7, "z"), (12, 2, "back")}
+    assert {(r.symbol_id, r.depth) for r in nodes.filter("route_id = 2").collect()} == {(None, 0), (14, 1), (10, 1), (11, 2), (12, 3)}
+    assert not made.filter("route_id = 2 and (line = 4 or callee_text = 'never')").count()
+    assert {(r.symbol_id, r.n) for r in H.trace_tree(nodes, made).filter("route_id = 1").collect()} == {(11, 1), (12, 1)}
+    few, calls_made = H.trace_routes(routes.filter("route_id = 1"), symbols, calls, nodes=2, per_node=1)
+    assert few.count() == 2 and calls_made.filter("symbol_id = 10").first().truncated
 
 
 def test_fusion_does_not_depend_on_order(spark):
