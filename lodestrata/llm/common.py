@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
@@ -14,10 +14,13 @@ from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringTy
 BROADCAST_BYTES, ROW_BYTES = 32 << 20, 16
 
 
+def _in_turn(spark: SparkSession) -> DataFrameReader:
+    return spark.read.option("parquet.hadoop.vectored.io.enabled", "false")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, in_turn: bool = False) -> DataFrame:
     """in_turn: tasks read a file's column chunks one after the other and not all at once, which takes smaller buffers."""
-    reader = spark.read.option("parquet.hadoop.vectored.io.enabled", "false") if in_turn else spark.read
-    return reader.parquet(f"{sf_dir}/{name}.parquet")
+    return (_in_turn(spark) if in_turn else spark.read).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,7 +47,7 @@ def store(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _in_turn(spark).schema(df.schema).parquet(path)
 
 
 def _bytes(value: Column, kind: DataType) -> Column:

@@ -28,6 +28,8 @@ from lodestrata.llm.components import components
 
 #: Words of a shingle, and the least Jaccard similarity of near copies as a fraction.
 WORDS, SIMILARITY = 5, (4, 5)
+#: Texts whose shingles a worker hands on together.
+STEP = 500
 #: Rows whose shingles are counted for the order, texts that make a shingle common, and common shingles kept, at most.
 SAMPLE, COMMON, KEPT = 5_000, 2, 200_000
 
@@ -46,6 +48,13 @@ def shingles_of(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(hashes_of(text, words).view("<i8"))
 
 
+def _few(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """The batches in pieces of STEP: what is made of them is many times the texts."""
+    for texts in batches:
+        for i in range(0, len(texts), STEP):
+            yield texts.iloc[i : i + STEP]
+
+
 def _digest(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63)
 
@@ -53,7 +62,7 @@ def _digest(h: np.ndarray) -> int:
 def _shingles(text: Column, words: int) -> Column:
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+        for texts in _few(batches):
             yield pd.Series([shingles_of(t, words) for t in texts], dtype=object)
 
     return hashes(text)
@@ -72,7 +81,7 @@ def _named(text: Column, words: int) -> Column:
 
     @F.pandas_udf("digest long, s array<long>")
     def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
+        for texts in _few(batches):
             s = [shingles_of(t, words) for t in texts]
             yield pd.DataFrame({"digest": [_digest(h) for h in s], "s": pd.Series(s, dtype=object)})
 
@@ -86,7 +95,7 @@ def _prefixes(text: Column, words: int, similarity: tuple[int, int], box) -> Col
     @F.pandas_udf("digest long, fp long, size int, prefix array<long>")
     def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common, counts = box.value
-        for texts in batches:
+        for texts in _few(batches):
             out = []
             for t in texts:
                 every = hashes_of(t, words)
