@@ -26,7 +26,7 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word Jaccard of 0.8 or more) the document with the least id stays; null ids stay."""
+    """Operator 4: of each group of near copies (5-word Jaccard of 0.8 or more) the document with the least id stays; null ids stay."""
     return near_copies.one_of_each(docs)
 
 
@@ -51,7 +51,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", in_turn=True)
     for name, stage in STAGES:
         docs = store(stage(spark, docs, sf_dir), name)
     return docs
