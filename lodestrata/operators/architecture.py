@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestrata.functions.text import classify_role, directories, file_name
+from lodestrata.operators.catalogs import CATEGORIES, STACK_FILES
 from lodestrata.operators.facts import match_lines
 from lodestrata.sources.shared import store
 
@@ -125,10 +126,24 @@ def declared_dependencies(manifests: DataFrame, *fields: str) -> DataFrame:
     return manifests.select("snapshot_id", "path", F.explode(names).alias("package"))
 
 
-def detect_stack(declared: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(snapshot_id, name, category, evidence): one row per name, the shallowest manifest as evidence, ties by path."""
-    at = declared.join(catalog, "package")
-    return at.groupBy("snapshot_id", "name", "category").agg(F.min_by("path", F.struct(F.size(F.split("path", "/")), F.col("path"))).alias("evidence"))
+def detect_stack(declared: DataFrame, catalog: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """(snapshot_id, name, category, evidence, position): one row per name, in the order of categories and names.
+
+    Manifests come before the file-name rules, and the shallowest of either before deeper ones, ties by path. Where
+    nothing shows TypeScript, a JavaScript file shows JavaScript.
+    """
+    depth = lambda c: F.size(F.split(c, "/"))
+    at = declared.join(F.broadcast(catalog), "package").select("snapshot_id", "name", "category", F.lit(0).alias("by"), "path")
+    if files is not None:
+        rules = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(n).alias("name"), F.lit(c).alias("category")) for p, n, c in STACK_FILES))
+        shown = files.select("snapshot_id", "path", F.explode(F.filter(rules, lambda r: F.regexp(F.col("path"), r["p"]))).alias("r")).select("snapshot_id", "r.name", "r.category", F.lit(1).alias("by"), "path")
+        script = files.filter(F.col("path").rlike(r"\.[cm]?js$")).select("snapshot_id", F.lit("JavaScript").alias("name"), F.lit("language").alias("category"), F.lit(2).alias("by"), "path")
+        typed = at.union(shown).filter("name = 'TypeScript'").select("snapshot_id").distinct()
+        at = at.union(shown).union(script.join(typed, "snapshot_id", "left_anti"))
+    best = at.groupBy("snapshot_id", "name").agg(F.min(F.struct("by", depth(F.col("path")).alias("depth"), "path", "category")).alias("b"))
+    best = best.select("snapshot_id", "name", "b.category", F.col("b.path").alias("evidence"))
+    order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+    return best.withColumn("position", F.row_number().over(W.partitionBy("snapshot_id").orderBy(order, "category", "name")))
 
 
 def declared_entries(manifests: DataFrame) -> DataFrame:
@@ -182,10 +197,26 @@ def folder_tree(files: DataFrame) -> DataFrame:
     return at.groupBy("snapshot_id", F.col("dir").alias("folder")).agg(F.count("*").alias("files"), F.countDistinct(child).alias("children"))
 
 
+def package_description(manifests: DataFrame) -> DataFrame:
+    """(snapshot_id, description): that of the root manifest, trimmed, if it has any."""
+    text = F.trim(F.get_json_object("content", "$.description"))
+    return manifests.filter("path = 'package.json'").select("snapshot_id", text.alias("description")).filter("description <> ''")
+
+
+def top_components(stats: DataFrame, deps: DataFrame, most: int = TOP) -> DataFrame:
+    """(snapshot_id, component, files, routes, imports_from, rank): the largest components with those they import, at most MAX_COMPONENTS of these."""
+    ranked = stats.withColumn("rank", F.row_number().over(W.partitionBy("snapshot_id").orderBy(F.desc("files"), "component"))).filter(F.col("rank") <= most)
+    w = W.partitionBy("snapshot_id", "from_component").orderBy(F.desc("imports"), "to_component")
+    of = deps.join(stats.select("snapshot_id", F.col("component").alias("to_component")), ["snapshot_id", "to_component"], "left_semi").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= MAX_COMPONENTS)
+    of = of.groupBy("snapshot_id", F.col("from_component").alias("component")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "to_component"))), lambda x: x["to_component"]).alias("imports_from"))
+    none = F.array().cast("array<string>")
+    return ranked.join(of, ["snapshot_id", "component"], "left").select("snapshot_id", "component", "files", "routes", F.coalesce("imports_from", none).alias("imports_from"), "rank")
+
+
 def document(key: str, **tables: DataFrame) -> DataFrame:
     """One row per snapshot with an array of structs per table, each sorted; a table without rows gives an empty one.
 
-    The guide, architecture and insights documents are this over the tables above, which bound their own lists.
+    Meant for tables that bound their own lists (top lists, catalogs, one row for each name), as those below do.
     """
     out = None
     for t in tables.values():
@@ -198,6 +229,24 @@ def document(key: str, **tables: DataFrame) -> DataFrame:
     return out
 
 
+def build_guide(description: DataFrame, stack: DataFrame, start_files: DataFrame, flows: DataFrame, components: DataFrame, integrations: DataFrame, models: DataFrame, env_vars: DataFrame) -> DataFrame:
+    """The guide of each snapshot: what it says of itself, its stack, where to start, key routes, largest components,
+    integrations that source components use, models, and each environment variable with its first place."""
+    used = integrations.select("snapshot_id", "name", "kind").distinct()
+    first = env_vars.select("snapshot_id", "name", F.get("usages", F.lit(0))["path"].alias("path"), F.get("usages", F.lit(0))["line_no"].alias("line_no"))
+    return document("snapshot_id", description=description, stack=stack, start_files=start_files, flows=flows, components=components, integrations=used, models=models, env_vars=first)
+
+
+def build_architecture(components: DataFrame, deps: DataFrame, integrations: DataFrame, usage: DataFrame, models: DataFrame, env_vars: DataFrame) -> DataFrame:
+    """The architecture of each snapshot: components with totals, imports between them, integrations and who uses them, models, variables."""
+    return document("snapshot_id", components=components, deps=deps, integrations=integrations, usage=usage, models=models, env_vars=env_vars)
+
+
+def build_insights(most_called: DataFrame, longest: DataFrame, largest: DataFrame, cycles: DataFrame, tested: DataFrame, untested: DataFrame) -> DataFrame:
+    """The insights of each snapshot: hotspots, import cycles with their loops, most tested files, and hubs without tests."""
+    return document("snapshot_id", most_called=most_called, longest=longest, largest=largest, cycles=cycles, tested=tested, untested=untested)
+
+
 def map_graph(deps: DataFrame, usage: DataFrame, hidden: DataFrame, stores: list[str]) -> DataFrame:
     """(snapshot_id, kind, source, target, n): import edges between visible components, and what these use or store in."""
     gone = hidden.select("snapshot_id", "component").distinct()

@@ -40,11 +40,12 @@ def public_repositories(names: DataFrame, repositories: DataFrame, snapshots: Da
     return at.join(ready, "repo").select("repo", "name", "snapshot_id")
 
 
-def visible_snapshots(viewers: DataFrame, snapshots: DataFrame, tracked: DataFrame, public: DataFrame) -> DataFrame:
-    """(viewer, snapshot_id): of repositories that the viewer tracks or that are public."""
-    mine = viewers.join(tracked, viewers["viewer"] == tracked["user"]).select("viewer", "repo")
-    everyone = viewers.select("viewer").distinct().join(F.broadcast(public.select("repo").distinct()))
-    return mine.union(everyone).distinct().join(snapshots.select("repo", "snapshot_id"), "repo").select("viewer", "snapshot_id")
+def visible_snapshots(asked: DataFrame, snapshots: DataFrame, tracked: DataFrame, public: DataFrame) -> DataFrame:
+    """(viewer, snapshot_id) of asked whose repository the viewer tracks or that is public; the others are absent."""
+    at = asked.select("viewer", "snapshot_id").distinct().join(snapshots.select("snapshot_id", "repo"), "snapshot_id")
+    mine = tracked.select(F.col("user").alias("viewer"), "repo", F.lit(True).alias("mine")).distinct()
+    open_ = public.select("repo", F.lit(True).alias("open")).distinct()
+    return at.join(mine, ["viewer", "repo"], "left").join(open_, "repo", "left").filter("mine or open").select("viewer", "snapshot_id")
 
 
 def list_routes(routes: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,8 @@ from lodestrata.sources.shared import store
 
 #: Candidates of each list, seeds and results of an expansion, and how much of a seed's score a neighbour gets.
 CANDIDATES, SEEDS, EXPANDED, CARRIED = 30, 5, 6, 0.5
+#: Vectors of a block, about; copies of a snapshot's path queries.
+BLOCK, DEALT = 4096, 16
 #: Rank constant of reciprocal rank fusion; what an exact name match adds to a text score.
 RRF, NAME_BOOST = 60, 10.0
 
@@ -53,12 +57,44 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def _nearest(k: int):
+    """The k best chunks of each query of two blocks, by one matrix product; ties by id."""
+
+    def of(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({"query_id": q["query_id"][:0], "chunk_id": c["chunk_id"][:0], "score": np.zeros(0)})
+        a, b = (np.stack(x.to_list()).astype(float) for x in (q["vector"], c["embedding"]))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            score = np.round((a @ b.T) / np.sqrt((a * a).sum(1))[:, None] / np.sqrt((b * b).sum(1))[None], 9)
+        score = np.where(np.isfinite(score), score, -np.inf)
+        ids, n, out = c["chunk_id"].to_numpy(), min(k, len(c)), []
+        least = -np.partition(-score, n - 1, axis=1)[:, n - 1]
+        for i, query in enumerate(q["query_id"]):
+            at = np.nonzero((score[i] >= least[i]) & (score[i] > -np.inf))[0]
+            at = at[np.lexsort((ids[at], -score[i][at]))][:k]
+            out.append(pd.DataFrame({"query_id": query, "chunk_id": ids[at], "score": score[i][at]}))
+        return pd.concat(out, ignore_index=True)
+
+    return of
+
+
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
-    """(query_id, chunk_id, score, rank, sources): exact cosine similarity among chunks of the query's snapshot and model."""
-    q = queries.filter(F.col("vector").isNotNull()).select("query_id", "snapshot_id", "model", "vector", F.sqrt(dot(F.col("vector"), F.col("vector"))).alias("qn"))
-    c = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "snapshot_id", "model", "embedding", F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("cn"))
-    scored = q.join(c, ["snapshot_id", "model"]).select("query_id", "chunk_id", F.round(dot(F.col("vector"), F.col("embedding")) / (F.col("qn") * F.col("cn")), 9).alias("score"))
-    return top(scored.filter("score is not null"), k, F.desc("score"), F.col("chunk_id")).withColumn("sources", F.array(F.lit("vector")))
+    """(query_id, chunk_id, score, rank, sources): exact cosine similarity among chunks of the query's snapshot and model.
+
+    Queries and chunks are dealt by hash to blocks of about BLOCK vectors, every block of queries meets every block of
+    chunks, and each meeting gives its best k; so no task holds more than two blocks, however large a snapshot is.
+    Vectors are of one length in a snapshot and model; a zero vector is nobody's neighbour.
+    """
+    q = queries.filter(F.col("vector").isNotNull()).select("query_id", "snapshot_id", "model", "vector")
+    c = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "snapshot_id", "model", "embedding")
+    deal = lambda df, id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    nq, nc = (max(1, math.ceil(df.count() / BLOCK)) for df in (q, c))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumns({"qb": deal(q, "query_id", nq), "cb": every(nc)})
+    c = c.withColumns({"cb": deal(c, "chunk_id", nc), "qb": every(nq)})
+    key, kind = ["snapshot_id", "model", "qb", "cb"], lambda df, x: df.schema[x].dataType.simpleString()
+    best = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(_nearest(k), f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, score double")
+    return top(best, k, F.desc("score"), F.col("chunk_id")).withColumn("sources", F.array(F.lit("vector")))
 
 
 def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, bucket: float = 0.5, tables: int = 6, radius: float = math.inf) -> DataFrame:
@@ -70,7 +106,7 @@ def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = CA
     q = queries.select("query_id", "snapshot_id", "model", unit(F.col("vector")).alias("u"))
     c = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "snapshot_id", "model", unit(F.col("embedding")).alias("u"))
     lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
-    met = lsh.approxSimilarityJoin(q, c, radius, "distance").filter("datasetA.snapshot_id = datasetB.snapshot_id and datasetA.model = datasetB.model")
+    met = lsh.approxSimilarityJoin(q, c, radius, "distance").filter("datasetA.snapshot_id = datasetB.snapshot_id and datasetA.model = datasetB.model")  # hashes are of directions alone
     exact = met.select("datasetA.query_id", "datasetB.chunk_id", F.round(dot(vector_to_array("datasetA.u"), vector_to_array("datasetB.u")), 9).alias("score"))
     near = store(top(exact, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank"), "near-vectors")
     short = queries.join(near.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
@@ -157,7 +193,9 @@ def fuzzy_paths(queries: DataFrame, files: DataFrame, k: int = 8) -> DataFrame:
     than max(2 x length, 8) counts only if the query is a substring.
     """
     q = queries.select("query_id", "snapshot_id", F.lower(F.regexp_replace("text", r"\s", "")).alias("q")).filter("q <> ''")
-    at = q.join(files.select("snapshot_id", "path").distinct(), "snapshot_id").withColumn("low", F.lower("path"))
+    # a snapshot's paths are dealt among tasks, and each of its queries goes to all of these
+    dealt = files.select("snapshot_id", "path").distinct().withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(DEALT)).cast("int"))
+    at = q.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).join(dealt, ["snapshot_id", "deal"]).drop("deal").withColumn("low", F.lower("path"))
     loose = F.concat(F.lit("%"), F.array_join(F.transform(F.split("q", ""), lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c)), "%"), F.lit("%"))
     at = at.withColumn("loose", loose).filter(F.expr("low LIKE loose")).withColumn("t", _tightest(F.col("low"), F.col("q"))).filter("t is not null")
     name_at = F.length("low") - F.length(F.substring_index("low", "/", -1)) + 1

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import architecture as I
 from lodestrata.operators import catalog as J
+from lodestrata.operators import catalogs
 from lodestrata.operators import graph as H
 from lodestrata.plans import graph as G
-from lodestrata.plans.registry import query, table
+from lodestrata.plans.registry import SQL, query, table
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,9 +120,48 @@ def i7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.detect_data_models(_code(spark, sf_dir)).drop("snapshot_id")
 
 
-@query("i8_detect_stack", f"WITH {_U} SELECT snapshot_id, upper(substr(package, 1, 1)) || substr(package, 2) AS name, kind AS category, min(path) AS evidence FROM us JOIN ct USING (package) WHERE line % 7 = 0 GROUP BY ALL")
+def _rows(text: str) -> str:
+    return ", ".join(f"('{p}', '{n.strip()}', '{k.strip()}')" for k, n, ps in (x.split("|") for x in text.strip().splitlines()) for p in ps.split())
+
+
+_PACKAGES = [p for x in catalogs.STACK.strip().splitlines() for p in x.split("|")[2].split()]
+_NAMES = ["tsconfig.json", "Dockerfile", "compose.yaml", "docker-compose.dev.yml", "vercel.json", "lib/a.js", "netlify.toml", "render.yml", "fly.toml", "b.cjs", "README.md"]
+
+
+def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer is a manifest of one of fifty snapshots, at the root or in a folder, that depends on packages by its numbers."""
+    k = F.col("c_custkey")
+    name = lambda n: F.element_at(F.array(*map(F.lit, _PACKAGES)), (n % len(_PACKAGES) + 1).cast("int"))
+    text = F.concat(F.lit('{"description": " '), "c_name", F.lit(' ", "dependencies": {"'), name(k), F.lit('": "1", "own-'), k.cast("string"), F.lit('": "2"}, "devDependencies": {"'), name(k * 7 + F.col("c_nationkey")), F.lit('": "*"}}'))
+    path = F.when(k <= 50, "package.json").otherwise(F.concat(F.lit("n"), "c_nationkey", F.lit("/p"), k.cast("string"), F.lit("/package.json")))
+    return table(spark, sf_dir, "customer").select((k % 50).cast("string").alias("snapshot_id"), path.alias("path"), text.alias("content"))
+
+
+def stack_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    name = F.element_at(F.array(*map(F.lit, _NAMES)), (k * 3 % len(_NAMES) + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select((k % 50).cast("string").alias("snapshot_id"), F.when(k % 4 == 0, F.concat(F.lit(".github/workflows/w"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("d/e"), k.cast("string"), F.lit("/"), name)).otherwise(name).alias("path"))
+
+
+def _stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = I.declared_dependencies(manifests(spark, sf_dir), "dependencies", "devDependencies", "peerDependencies")
+    return I.detect_stack(d, catalogs.stack_catalog(spark), stack_files(spark, sf_dir))
+
+
+_RULES = ", ".join(f"('{p}', '{n}', '{c}')" for p, n, c in catalogs.STACK_FILES)
+_STACK = f"""WITH cs(package, name, category) AS (VALUES {_rows(catalogs.STACK)}), fr(p, name, category) AS (VALUES {_RULES}),
+pk AS (SELECT {_PACKAGES!r} AS ps, {_NAMES!r} AS ns),
+ma AS (SELECT (c_custkey % 50)::VARCHAR AS sid, CASE WHEN c_custkey <= 50 THEN 'package.json' ELSE 'n' || c_nationkey || '/p' || c_custkey || '/package.json' END AS path, unnest([ps[c_custkey % len(ps) + 1], ps[(c_custkey * 7 + c_nationkey) % len(ps) + 1]]) AS package FROM customer, pk),
+sf AS (SELECT (s_suppkey % 50)::VARCHAR AS sid, CASE WHEN s_suppkey % 4 = 0 THEN '.github/workflows/w' || s_suppkey WHEN s_suppkey % 4 = 1 THEN 'd/e' || s_suppkey || '/' || ns[s_suppkey * 3 % len(ns) + 1] ELSE ns[s_suppkey * 3 % len(ns) + 1] END AS path FROM supplier, pk),
+ev AS (SELECT sid, name, category, 0 AS o, path FROM ma JOIN cs USING (package) UNION ALL SELECT sid, name, category, 1, path FROM sf, fr WHERE regexp_matches(path, p)),
+ea AS (SELECT * FROM ev UNION ALL SELECT sid, 'JavaScript', 'language', 2, path FROM sf WHERE regexp_matches(path, '\\.[cm]?js$') AND sid NOT IN (SELECT sid FROM ev WHERE name = 'TypeScript')),
+be AS (SELECT sid, name, arg_min(category, (o, len(string_split(path, '/')), path)) AS category, arg_min(path, (o, len(string_split(path, '/')), path)) AS evidence FROM ea GROUP BY ALL)
+SELECT sid AS snapshot_id, name, category, evidence, row_number() OVER (PARTITION BY sid ORDER BY list_position({catalogs.CATEGORIES!r}, category), name) AS position FROM be"""
+
+
+@query("i8_detect_stack", _STACK)
 def i8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.detect_stack(_declared(spark, sf_dir), catalog(spark, sf_dir).withColumnRenamed("kind", "category"))
+    return _stack(spark, sf_dir)
 
 
 @query("i9_declared_entries", "SELECT DISTINCT c_custkey % 5 AS snapshot_id, e AS entry FROM (SELECT c_custkey, unnest(['n' || c_nationkey || '/m' || c_custkey % 9 || '.js'] || CASE WHEN c_custkey % 2 = 0 THEN ['n' || c_nationkey || '/b.js'] ELSE ['n' || c_nationkey || '/x.js', 'n' || c_nationkey || '/y.js'] END) AS e FROM customer)")
@@ -158,35 +198,110 @@ def i12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _key(spark, sf_dir).select("snapshot_id", "route_id", "resource", "weight", "rank")
 
 
-@query("i13_guide_document", f"WITH {_U} SELECT snapshot_id, count(DISTINCT package) AS stack, least(8, 8) AS start_files FROM us JOIN ct USING (package) WHERE line % 7 = 0 GROUP BY snapshot_id")
-def i13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = files(spark, sf_dir)
-    start = I.rank_start_files(f, imports(spark, sf_dir), f.limit(0), f.select("snapshot_id", F.col("path").alias("entry")))
-    doc = I.document("snapshot_id", stack=I.detect_stack(_declared(spark, sf_dir), catalog(spark, sf_dir).withColumnRenamed("kind", "category")), start_files=start.filter("snapshot_id < 3"))
-    return doc.select("snapshot_id", F.size("stack").cast("long").alias("stack"), F.size("start_files").alias("start_files"))
+def _sid(df: DataFrame) -> DataFrame:
+    """The stand-ins number their snapshots each in its own way; s1 and 1 are one."""
+    return df.withColumn("snapshot_id", F.regexp_replace(F.col("snapshot_id").cast("string"), "^s", ""))
 
 
-@query("i14_architecture_document", f"WITH {_E} SELECT snapshot_id, count(DISTINCT 'src/' || nation) AS components, (SELECT count(DISTINCT (cf, ct)) FROM im WHERE im.snapshot_id = fi.snapshot_id AND cf <> ct) AS deps FROM fi GROUP BY snapshot_id")
-def i14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = components(spark, sf_dir)
-    t = _things(spark, sf_dir)
-    doc = I.document("snapshot_id", components=I.component_stats(c, t, t), deps=I.component_deps(c, imports(spark, sf_dir)))
-    return doc.select("snapshot_id", F.size("components").cast("long").alias("components"), F.size("deps").cast("long").alias("deps"))
+def _sections(doc: DataFrame, *names: str) -> DataFrame:
+    """Rows and a digest of each section of a document."""
+    out = ["snapshot_id"]
+    for n in names:
+        fields = doc.schema[n].dataType.elementType.fieldNames()
+        row = lambda x: F.concat_ws("|", *(x[f].cast("string") for f in fields))  # noqa: B023, E731
+        out += [F.size(n).cast("long").alias(n), F.md5(F.array_join(F.array_sort(F.transform(n, row)), ";")).alias(f"{n}_md5")]
+    return doc.select(*out)
+
+
+def _sections_sql(**parts: tuple[str, str]) -> str:
+    """The same of (SQL, columns) for each section."""
+    ctes, ids, cols, joins = [], [], [], []
+    for n, (sql, columns) in parts.items():
+        row = "concat_ws('|', " + ", ".join(f"({c})::VARCHAR" for c in columns.split()) + ")"
+        ctes.append(f"d_{n} AS (SELECT regexp_replace(snapshot_id::VARCHAR, '^s', '') AS sid, count(*) AS n, md5(string_agg({row}, ';' ORDER BY {row})) AS h FROM ({sql}) GROUP BY 1)")
+        ids.append(f"SELECT sid FROM d_{n}")
+        cols.append(f"coalesce(d_{n}.n, 0) AS {n}, coalesce(d_{n}.h, md5('')) AS {n}_md5")
+        joins.append(f"LEFT JOIN d_{n} ON d_{n}.sid = ids.sid")
+    return f"WITH {', '.join(ctes)}, ids AS ({' UNION '.join(ids)}) SELECT ids.sid AS snapshot_id, {', '.join(cols)} FROM ids {' '.join(joins)}"
+
+
+def _models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sid(I.detect_data_models(_code(spark, sf_dir)))
+
+
+def _env(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sid(I.detect_env_vars(_code(spark, sf_dir).select("snapshot_id", "path", F.lit(1).alias("line_no"), F.col("content").alias("line"))))
 
 
-@query("i15_insights_document", f"WITH {G._G} SELECT 's' AS snapshot_id, 8 AS most_called, 8 AS longest FROM ro LIMIT 1")
+_MODELS = "SELECT user_id % 4 AS snapshot_id, CASE WHEN event_id % 4 = 2 THEN 'mongoose' ELSE 'sequelize' END AS source, 'src/e' || event_id || '.ts' AS path, CASE WHEN event_id % 4 = 2 THEN 'M' ELSE 'T' END || event_id % 50 AS name, CASE WHEN event_id % 4 = 2 THEN 2 ELSE 1 END AS line FROM events WHERE event_id % 4 = 2 OR event_id % 8 = 3"
+_ENV = "WITH v AS (SELECT user_id % 4 AS snapshot_id, 'src/e' || event_id || '.ts' AS path, upper(event_type) AS name FROM events WHERE event_id % 4 IN (0, 1) UNION ALL SELECT user_id % 4, 'src/e' || event_id || '.ts', 'X_' || upper(event_type) FROM events WHERE event_id % 4 = 0) SELECT snapshot_id, name, min(path) AS path, 1 AS line_no, count(*) AS n FROM v GROUP BY snapshot_id, name"
+_TOPS = f"WITH {_E}, st AS (SELECT snapshot_id, 'src/' || nation AS component, count(*) AS files FROM fi GROUP BY ALL), rt AS (SELECT snapshot_id, 'src/' || nation AS component, count(*) AS routes FROM orders JOIN fi ON id = o_custkey WHERE o_orderstatus = 'F' GROUP BY ALL), de AS (SELECT snapshot_id, cf, ct, count(*) AS n FROM im WHERE cf <> ct GROUP BY ALL), dr AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, cf ORDER BY n DESC, ct) AS k FROM de), da AS (SELECT snapshot_id, cf AS component, string_agg(ct, ',' ORDER BY k) AS f FROM dr WHERE k <= 12 GROUP BY ALL) SELECT * FROM (SELECT snapshot_id, component, files, coalesce(routes, 0) AS routes, coalesce(f, '') AS imports_from, row_number() OVER (PARTITION BY snapshot_id ORDER BY files DESC, component) AS rank FROM st LEFT JOIN rt USING (snapshot_id, component) LEFT JOIN da USING (snapshot_id, component)) WHERE rank <= 8"
+
+
+@query(
+    "i13_guide_document",
+    _sections_sql(
+        description=("SELECT c_custkey % 50 AS snapshot_id, trim(c_name) AS description FROM customer WHERE c_custkey <= 50", "description"),
+        stack=(_STACK, "name category evidence position"),
+        start_files=(SQL["i10_rank_start_files"], "path score rank"),
+        flows=(SQL["i12_key_routes"], "route_id resource weight rank"),
+        components=(_TOPS, "component files routes imports_from rank"),
+        integrations=(f"WITH {_U} SELECT DISTINCT snapshot_id, upper(substr(package, 1, 1)) || substr(package, 2) AS name, kind FROM us JOIN ct USING (package)", "name kind"),
+        models=(_MODELS, "path source name line"),
+        env_vars=(_ENV, "name path line_no"),
+    ),
+)
+def i13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = files(spark, sf_dir)
+    r = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("id")).join(f, "id")
+    start = I.rank_start_files(f, imports(spark, sf_dir), r, f.filter("id % 50 = 0").select("snapshot_id", F.col("path").alias("entry")))
+    c, t = components(spark, sf_dir), _things(spark, sf_dir)
+    tops = I.top_components(I.component_stats(c, t, t.filter("o_orderstatus = 'F'")), I.component_deps(c, imports(spark, sf_dir)))
+    doc = I.build_guide(
+        I.package_description(manifests(spark, sf_dir)), _stack(spark, sf_dir), _sid(start.select("snapshot_id", "path", "score", "rank")), _sid(_key(spark, sf_dir).select("snapshot_id", "route_id", "resource", "weight", "rank")),
+        _sid(tops.withColumn("imports_from", F.array_join("imports_from", ","))), _sid(uses(spark, sf_dir).join(catalog(spark, sf_dir), "package")), _models(spark, sf_dir), _env(spark, sf_dir),
+    )
+    return _sections(doc, "description", "stack", "start_files", "flows", "components", "integrations", "models", "env_vars")
+
+
+@query(
+    "i14_architecture_document",
+    _sections_sql(components=(SQL["i3_component_stats"], "component files symbols routes"), deps=(SQL["i2_component_deps"], "from_component to_component imports examples"), integrations=(SQL["i4_detect_integrations"], "name kind sites"), usage=(SQL["i5_integration_usage"], "component name imports examples"), models=(_MODELS, "path source name line"), env_vars=(_ENV, "name n")),
+)
+def i14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, t = components(spark, sf_dir), _things(spark, sf_dir)
+    used = I.integration_usage(uses(spark, sf_dir), _places(spark, sf_dir), catalog(spark, sf_dir)).withColumn("examples", F.array_join("examples", ","))
+    doc = I.build_architecture(
+        _sid(I.component_stats(c, t, t.filter("o_orderstatus = 'F'"))), _sid(I.component_deps(c, imports(spark, sf_dir)).withColumn("examples", F.array_join("examples", ";"))),
+        _sid(I.detect_integrations(uses(spark, sf_dir), _declared(spark, sf_dir), catalog(spark, sf_dir)).drop("packages")), _sid(used), _models(spark, sf_dir), _env(spark, sf_dir).select("snapshot_id", "name", "count"),
+    )
+    return _sections(doc, "components", "deps", "integrations", "usage", "models", "env_vars")
+
+
+@query(
+    "i15_insights_document",
+    _sections_sql(most_called=(SQL["h13_most_called"], "symbol_id name calls rank"), longest=(SQL["h14_longest_functions"], "symbol_id lines rank"), largest=(SQL["h15_largest_files"], "path line_count rank"), cycles=(f"SELECT component % 2 AS snapshot_id, component, length FROM ({G._LOOPS})", "component length"), tested=(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_id ORDER BY tests DESC, path) AS rank FROM ({SQL['h16_test_reach']})) WHERE rank <= 8", "path tests examples rank"), untested=(SQL["h17_untested_hubs"], "path importers rank")),
+)
 def i15(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, c = G.symbols(spark, sf_dir), G.calls(spark, sf_dir)
-    doc = I.document("snapshot_id", most_called=H.most_called(s, c), longest=H.longest_functions(s))
-    return doc.select("snapshot_id", F.size("most_called").alias("most_called"), F.size("longest").alias("longest"))
+    loops = G.loops(spark, sf_dir).select((F.col("component") % 2).alias("snapshot_id"), "component", "length")
+    reach = H._top(H.test_reach(*G.imports(spark, sf_dir)), F.desc("tests"), F.col("path")).withColumn("examples", F.array_join("examples", ","))
+    doc = I.build_insights(_sid(H.most_called(s, c)), _sid(H.longest_functions(s)), _sid(H.largest_files(G.documents(spark, sf_dir))), _sid(loops), _sid(reach), _sid(H.untested_hubs(*G.imports(spark, sf_dir))))
+    return _sections(doc, "most_called", "longest", "largest", "cycles", "tested", "untested")
 
 
-@query("i16_map_graph", f"WITH {_E} SELECT snapshot_id, 'import' AS kind, cf AS source, ct AS target, count(*) AS n FROM im WHERE cf <> ct AND cf <> 'src/n3' AND ct <> 'src/n3' GROUP BY ALL")
+@query("i16_map_graph", f"""WITH {_E}, us AS (SELECT c_custkey % 5 AS snapshot_id, 'src/n' || c_nationkey AS component, CASE WHEN o_orderkey % 3 = 0 THEN 'Redis' WHEN o_orderkey % 3 = 1 THEN 'Stripe' ELSE 'PostgreSQL' END AS name FROM orders JOIN customer ON c_custkey = o_custkey)
+SELECT snapshot_id, 'import' AS kind, cf AS source, ct AS target, count(*) AS n FROM im WHERE cf <> ct AND cf <> 'src/n3' AND ct <> 'src/n3' GROUP BY ALL UNION ALL SELECT snapshot_id, CASE WHEN name = 'Stripe' THEN 'uses' ELSE 'stores' END, component, name, count(*) FROM us WHERE component <> 'src/n3' GROUP BY ALL""")
 def i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order is a use of one of three services by its customer's component."""
     c = components(spark, sf_dir)
-    hidden = c.filter("component = 'src/n3'")
-    empty = c.limit(0).select("snapshot_id", "component", F.lit("x").alias("name"), F.lit(1).cast("long").alias("imports"))
-    return I.map_graph(I.component_deps(c, imports(spark, sf_dir)), empty, hidden, ["Redis"])
+    o = F.col("o_orderkey") % 3
+    used = _things_of(spark, sf_dir).withColumn("name", F.when(o == 0, "Redis").when(o == 1, "Stripe").otherwise("PostgreSQL")).groupBy("snapshot_id", "component", "name").agg(F.count("*").alias("imports"))
+    return I.map_graph(I.component_deps(c, imports(spark, sf_dir)), used, c.filter("component = 'src/n3'"), ["Redis", "PostgreSQL"])
+
+
+def _things_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey").join(components(spark, sf_dir), "id")
 
 
 @query("i17_folder_tree", f"WITH {_F} SELECT snapshot_id, 'src' AS folder, count(*) AS files, count(DISTINCT nation) AS children FROM fi GROUP BY ALL UNION ALL SELECT snapshot_id, 'src/' || nation, count(*), count(DISTINCT seg) FROM fi GROUP BY ALL UNION ALL SELECT snapshot_id, 'src/' || nation || '/' || seg, count(*), count(*) FROM fi GROUP BY ALL")
@@ -240,12 +355,12 @@ def j4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.public_repositories(c.filter("repo % 4 = 0").select(F.upper("name").alias("name")), c, snapshots(spark, sf_dir))
 
 
-@query("j5_visible_snapshots", f"WITH {_S} SELECT n_nationkey AS viewer, count(*) AS n, sum(snapshot_id)::BIGINT AS ids FROM nation, sn JOIN customer ON c_custkey = repo WHERE c_custkey % 10 = 0 OR (c_custkey % 3 = 0 AND c_nationkey = n_nationkey) GROUP BY 1")
+@query("j5_visible_snapshots", f"WITH {_S}, a AS (SELECT DISTINCT user_id % 25 AS viewer, event_id AS snapshot_id FROM events) SELECT viewer, a.snapshot_id FROM a JOIN sn USING (snapshot_id) JOIN customer ON c_custkey = repo WHERE c_custkey % 10 = 0 OR (c_custkey % 3 = 0 AND c_nationkey = viewer)")
 def j5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event is a user of a nation who asks for the snapshot of its number."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("user"), F.col("c_custkey").alias("repo"))
-    v = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("viewer"))
-    got = J.visible_snapshots(v, snapshots(spark, sf_dir), c.filter("repo % 3 = 0"), c.filter("repo % 10 = 0"))
-    return got.groupBy("viewer").agg(F.count("*").alias("n"), F.sum("snapshot_id").alias("ids"))
+    asked = table(spark, sf_dir, "events").select((F.col("user_id") % 25).alias("viewer"), F.col("event_id").alias("snapshot_id"))
+    return J.visible_snapshots(asked, snapshots(spark, sf_dir), c.filter("repo % 3 = 0"), c.filter("repo % 10 = 0"))
 
 
 @query("j6_list_routes", f"WITH {G._G} SELECT route_id, name AS handler, row_number() OVER (PARTITION BY ro.snap ORDER BY url_path, method, route_id) AS position FROM ro LEFT JOIN sy ON symbol_id = handler")

@@ -46,11 +46,11 @@ def g3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir).filter("role = 'assistant'")
     c, t = F.col("session_id"), F.col("turn")
-    text = F.concat(F.substring("content", 1, 20), F.lit(" ["), t.cast("string"), F.lit("] and ["), (c % 9).cast("string"), F.lit(", 99] ."), F.when(c % 2 == 0, " [98]").otherwise(""))
+    text = F.concat(F.translate("content", "[]", "()"), F.lit(" ["), t.cast("string"), F.lit("] and ["), (c % 9).cast("string"), F.lit(", 99] ."), F.when(c % 2 == 0, " [98]").otherwise(""))
     return m.select("session_id", "turn", text.alias("content"), F.when(c % 5 == 0, 99).otherwise(6).alias("n_sources"), F.concat_ws("-", c.cast("string"), t.cast("string")).alias("answer_id"))
 
 
-_ANSWERS = """a AS (SELECT conv_id, turn, conv_id || '-' || turn AS answer_id, substr(text, 1, 20) AS lead, CASE WHEN conv_id % 5 = 0 THEN 99 ELSE 6 END AS n, conv_id % 9 AS m,
+_ANSWERS = """a AS (SELECT conv_id, turn, conv_id || '-' || turn AS answer_id, translate(text, '[]', '()') AS lead, CASE WHEN conv_id % 5 = 0 THEN 99 ELSE 6 END AS n, conv_id % 9 AS m,
  list_distinct([turn, conv_id % 9, 99] || CASE WHEN conv_id % 2 = 0 THEN [98] ELSE [] END) AS ms FROM conversations WHERE role = 'assistant'),
 k AS (SELECT *, list_filter(ms, lambda x: x >= 1 AND x <= n) AS good, list_filter(ms, lambda x: x < 1 OR x > n) AS bad,
  lead || ' ' || CASE WHEN turn BETWEEN 1 AND n THEN '[' || turn || ']' ELSE '' END || ' and ' || CASE WHEN m BETWEEN 1 AND n AND 99 <= n THEN '[' || m || ', 99]' WHEN m BETWEEN 1 AND n THEN '[' || m || ']' WHEN 99 <= n THEN '[99]' ELSE '' END || ' .'
@@ -97,18 +97,22 @@ def g9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.daily_quota(table(spark, sf_dir, "events"), "user_id", 3).select("event_id", "n", "allowed")
 
 
-def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _event_stream(spark: SparkSession, sf_dir: str, closing: bool = False) -> DataFrame:
     events = table(spark, sf_dir, "events")
     path = new_path(spark, "event-stream")
-    events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type").repartitionByRange(8, "ts").write.parquet(path)
+    rows = events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    rows.repartitionByRange(8, "ts").write.parquet(path)
+    if closing:  # one event long after all others, for the watermark to pass the last days
+        end = rows.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(None).cast(rows.schema["user_id"].dataType).alias("user_id"), F.lit("end").alias("event_type"))
+        end.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
-@query("g9_daily_quota_stream")
+@query("g9_daily_quota_stream", "SELECT user_id, ts::DATE AS day, count(*) AS uses, greatest(count(*) - 3, 0) AS refused FROM events GROUP BY ALL")
 def g9_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The days that the watermark has closed by the end of the stream."""
-    out = quota.daily_uses(_event_stream(spark, sf_dir), "user_id", 3)
-    return quota.run_once(spark, out, new_path(spark, "quota"), new_path(spark, "quota-state"))
+    """All days: a closing event at the end of the stream lets the watermark pass the last of them."""
+    out = quota.daily_uses(_event_stream(spark, sf_dir, closing=True), "user_id", 3)
+    return quota.run_once(spark, out, new_path(spark, "quota"), new_path(spark, "quota-state")).filter("user_id is not null")
 
 
 @query("g10_latest_progress", "SELECT user_id AS snapshot_id, arg_max(s, (ts, p, event_id)) AS status, arg_max(event_id, (ts, p, event_id)) AS progress FROM (SELECT *, (['QUEUED','FETCHING','PARSING','EMBEDDING','READY','FAILED'])[event_id % 6 + 1] AS s, event_id % 6 + 1 AS p FROM events) GROUP BY user_id")

@@ -65,10 +65,13 @@ def a7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.skip_audit(_clean(spark, sf_dir))
 
 
-@query("a8_check_limits", f"""WITH {_CLEAN} SELECT snapshot_id, count(*) FILTER (skip IS NULL AND kind = 'CODE') AS code_files, coalesce(sum(strlen(content)) FILTER (skip IS NULL), 0)::BIGINT AS total_bytes,
- CASE WHEN count(*) FILTER (skip IS NULL AND kind = 'CODE') > 5 THEN 'too-many-files' WHEN coalesce(sum(strlen(content)) FILTER (skip IS NULL), 0) > 20000 THEN 'too-large' END AS problem FROM c GROUP BY snapshot_id""")
+@query("a8_check_limits", f"""WITH {_CLEAN}, n AS (SELECT snapshot_id, count(*) FILTER (skip IS NULL AND kind = 'CODE') AS code_files, coalesce(sum(strlen(content)) FILTER (skip IS NULL), 0)::BIGINT AS total_bytes, coalesce(sum(strlen(content)), 0)::BIGINT AS unpacked_bytes, coalesce(sum(len(string_split(content, chr(10)))) FILTER (skip IS NULL), 0)::BIGINT AS chunks FROM c GROUP BY snapshot_id)
+ SELECT *, CASE WHEN unpacked_bytes > 200000 THEN 'unpacks-too-large' WHEN code_files > 5 THEN 'too-many-files' WHEN total_bytes > 20000 THEN 'too-large' WHEN chunks > 60 THEN 'too-many-chunks' END AS problem FROM n""")
 def a8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.check_limits(_clean(spark, sf_dir), {"code_files": 5, "total_bytes": 20000})
+    """Every line of a kept file is a chunk."""
+    clean = _clean(spark, sf_dir)
+    chunks = clean.filter("skip is null").select("snapshot_id", F.explode(F.split("content", "\n")).alias("line"))
+    return C.check_limits(clean, {"code_files": 5, "total_bytes": 20000, "unpacked": 10, "chunks": 60}, chunks=chunks)
 
 
 @query("a10_with_id", f"WITH {FILES} SELECT doc_id, sha256(snapshot_id || chr(1) || path) AS file_id FROM f")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators import graph as H
 from lodestrata.plans.registry import query, table
+from lodestrata.sources.shared import store
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,16 +160,35 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.join(n.toDF("b"), "b", "left_semi").select("a", "b")
 
 
-@query("h11_import_cycles", """WITH RECURSIVE ed AS (SELECT a, b FROM (SELECT p_partkey AS a, p_partkey - (p_partkey - 1) % 100 + ((p_partkey - 1) % 100 * 7 + 3) % 100 AS b FROM part UNION SELECT p_partkey, p_partkey - (p_partkey - 1) % 100 + ((p_partkey - 1) % 100) // 2 FROM part WHERE p_partkey % 3 = 0) WHERE a <> b AND b IN (SELECT p_partkey FROM part)),
-r(x, y) AS (SELECT a, b FROM ed UNION SELECT r.x, ed.b FROM r JOIN ed ON ed.a = r.y) SELECT r.x AS node, least(r.x, min(r.y)) AS component FROM r JOIN r q ON r.x = q.y AND r.y = q.x WHERE r.x <> r.y GROUP BY r.x""")
+_CYCLES = """WITH RECURSIVE ed AS (SELECT a, b FROM (SELECT p_partkey AS a, p_partkey - (p_partkey - 1) % 100 + ((p_partkey - 1) % 100 * 7 + 3) % 100 AS b FROM part UNION SELECT p_partkey, p_partkey - (p_partkey - 1) % 100 + ((p_partkey - 1) % 100) // 2 FROM part WHERE p_partkey % 3 = 0) WHERE a <> b AND b IN (SELECT p_partkey FROM part)),
+r(x, y) AS (SELECT a, b FROM ed UNION SELECT r.x, ed.b FROM r JOIN ed ON ed.a = r.y) SELECT r.x AS node, least(r.x, min(r.y)) AS component FROM r JOIN r q ON r.x = q.y AND r.y = q.x WHERE r.x <> r.y GROUP BY r.x"""
+_ED, _CLOSED = _CYCLES[: _CYCLES.index(" SELECT r.x AS node")], _CYCLES[_CYCLES.index("SELECT r.x AS node") :]
+
+
+@query("h11_import_cycles", _CYCLES)
 def h11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.import_cycles(edges(spark, sf_dir)).select("node", "component")
 
 
-@query("h12_cycle_loops")
+_LOOPS = f"""{_ED}, co AS ({_CLOSED}), tk AS (SELECT component FROM co GROUP BY component ORDER BY count(*) DESC, component LIMIT 12),
+ie AS (SELECT x.component, a, b FROM ed JOIN co x ON x.node = a JOIN co y ON y.node = b WHERE x.component = y.component AND x.component IN (SELECT component FROM tk)),
+bf(component, x, d) AS (SELECT component, b, 1 FROM ie WHERE a = component UNION SELECT bf.component, ie.b, d + 1 FROM bf JOIN ie ON ie.component = bf.component AND ie.a = bf.x WHERE bf.x <> bf.component AND d < 100)
+SELECT component, min(d) AS length FROM bf WHERE x = component GROUP BY component"""
+
+
+def loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(component, loop, length)."""
+    e = store(edges(spark, sf_dir), "edges")
+    return H.cycle_loops(H.import_cycles(e), e).withColumn("length", (F.size("loop") - 1).cast("long"))
+
+
+@query("h12_cycle_loops", f"SELECT *, component AS starts, component AS ends, length AS edges FROM ({_LOOPS})")
 def h12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    return H.cycle_loops(H.import_cycles(e), e).select("component", F.array_join("loop", ">").alias("loop"))
+    """Each loop's length, its ends, and how many of its steps are edges."""
+    at = loops(spark, sf_dir)
+    steps = at.select("component", F.explode(F.arrays_zip(F.slice("loop", F.lit(1), F.size("loop") - 1).alias("a"), F.slice("loop", F.lit(2), F.size("loop") - 1).alias("b"))).alias("s")).select("component", "s.a", "s.b")
+    real = steps.join(edges(spark, sf_dir).distinct(), ["a", "b"], "left_semi").groupBy("component").agg(F.count("*").alias("edges"))
+    return at.join(real, "component", "left").select("component", "length", F.get("loop", F.lit(0)).alias("starts"), F.element_at("loop", -1).alias("ends"), "edges")
 
 
 @query("h13_most_called", f"WITH {_G}, c AS (SELECT b, count(*) AS calls FROM ca WHERE resolved AND role = 'source' GROUP BY b) SELECT snap AS snapshot_id, symbol_id, name, calls, rank FROM (SELECT snap, symbol_id, name, calls, row_number() OVER (PARTITION BY snap ORDER BY calls DESC, name, symbol_id) AS rank FROM sy JOIN c ON b = symbol_id WHERE role = 'source') WHERE rank <= 8")
@@ -183,8 +203,11 @@ def h14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("h15_largest_files", "WITH f AS (SELECT source, doc_id, len(string_split(text, chr(10))) AS n FROM documents) SELECT snapshot_id, path, line_count, rank FROM (SELECT source AS snapshot_id, 'src/d' || doc_id || '.ts' AS path, n::INT AS line_count, row_number() OVER (PARTITION BY source ORDER BY n DESC, 'src/d' || doc_id || '.ts') AS rank FROM f) WHERE rank <= 8")
 def h15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = table(spark, sf_dir, "documents").select(F.col("source").alias("snapshot_id"), F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.lit("CODE").alias("kind"), F.size(F.split("text", "\n")).alias("line_count"))
-    return H.largest_files(f)
+    return H.largest_files(documents(spark, sf_dir))
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("source").alias("snapshot_id"), F.concat(F.lit("src/d"), F.col("doc_id").cast("string"), F.lit(".ts")).alias("path"), F.lit("CODE").alias("kind"), F.size(F.split("text", "\n")).alias("line_count"))
 
 
 def imports(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from lodestrata.functions import text as T
 from lodestrata.operators import evaluation as K
 from lodestrata.operators import search as S
 from lodestrata.plans.registry import query, table
+from lodestrata.sources.shared import store
 
 _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 
@@ -34,12 +35,14 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fulltext(spark: SparkSession, sf_dir: str, k: int = S.CANDIDATES) -> DataFrame:
+    """Two scans of the texts, one for the postings and one for the labels; both and the result are stored."""
     c = chunks(spark, sf_dir)
-    return S.fulltext_search(queries(spark, sf_dir), S.build_postings(c), c, k)
+    postings, labels = store(S.build_postings(c), "postings"), store(c.select("chunk_id", "label"), "labels")
+    return store(S.fulltext_search(queries(spark, sf_dir), postings, labels, k), "fulltext")
 
 
 def vector(spark: SparkSession, sf_dir: str, k: int = S.CANDIDATES) -> DataFrame:
-    return S.vector_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k)
+    return store(S.vector_search(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k), "nearest")
 
 
 _CTE = f"""c AS (SELECT doc_id AS chunk_id, source AS snapshot_id, source || '/f' || doc_id % 50 || '.ts' AS path, regexp_extract(text, '([A-Za-z]+)', 1) AS label, text FROM documents),
@@ -144,7 +147,23 @@ def f10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hydrate(fulltext(spark, sf_dir), chunks(spark, sf_dir)).select("query_id", "chunk_id", "rank", "score", "path", F.md5("content").alias("h"))
 
 
-@query("f11_fuzzy_paths")
+def _fuzzy_sql(queries: str, paths: str) -> str:
+    """CTEs that end in fz (query_id, path, score, rank): the placement is built character by character from each start."""
+    return f"""fq AS ({queries}), fp AS ({paths}),
+fc AS (SELECT query_id, q, path, low, len(low) - len(string_split(low, '/')[-1]) + 1 AS name_at, string_split(low, '/')[-1] AS fname FROM fq JOIN fp USING (snapshot_id)),
+fst AS (SELECT *, unnest(list_filter(range(1, len(low) + 1), lambda i: low[i] = q[1])) AS s FROM fc),
+fr(query_id, q, path, low, name_at, fname, s, j, pos, points) AS (SELECT query_id, q, path, low, name_at, fname, s, 1, s, 1 + (s >= name_at)::INT FROM fst
+ UNION ALL SELECT query_id, q, path, low, name_at, fname, s, j + 1, pos + instr(low[pos + 1:], q[j + 1]), points + CASE WHEN instr(low[pos + 1:], q[j + 1]) = 1 THEN 3 ELSE 1 END + (pos + instr(low[pos + 1:], q[j + 1]) >= name_at)::INT FROM fr WHERE j < len(q) AND instr(low[pos + 1:], q[j + 1]) > 0),
+fb AS (SELECT query_id, q, path, low, fname, min((pos - s + 1, s, points)) AS b FROM fr WHERE j = len(q) GROUP BY ALL),
+fo AS (SELECT query_id, path, round(CASE WHEN starts_with(fname, q) THEN 60 WHEN contains(fname, q) THEN 40 WHEN contains(low, q) THEN 20 ELSE 0 END + b[3] - len(path) / 100, 9)::DOUBLE AS score FROM fb WHERE contains(low, q) OR b[1] <= greatest(len(q) * 2, 8)),
+fz AS (SELECT query_id, path, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, len(path), path) AS rank FROM fo) WHERE rank <= 8)"""
+
+
+_PATHS = "SELECT DISTINCT 's' AS snapshot_id, path, lower(path) AS low FROM (SELECT regexp_extract(url, '//(.*)$', 1) AS path FROM pages)"
+_F11 = _fuzzy_sql("SELECT page_id AS query_id, 's' AS snapshot_id, lower(substr(p, 1, 3) || substr(string_split(p, '/')[-1], 1, 2)) AS q FROM (SELECT page_id, regexp_extract(url, '//(.*)$', 1) AS p FROM pages WHERE page_id % 20 = 0)", _PATHS)
+
+
+@query("f11_fuzzy_paths", f"WITH RECURSIVE {_F11} SELECT * FROM fz")
 def f11(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages").select("page_id", F.lit("s").alias("snapshot_id"), F.regexp_extract("url", "//(.*)$", 1).alias("path"))
     q = p.filter("page_id % 20 = 0").select(F.col("page_id").alias("query_id"), "snapshot_id", F.concat(F.substring("path", 1, 3), F.substring(T.file_name(F.col("path")), 1, 2)).alias("text"))
@@ -156,11 +175,15 @@ def f13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search_response(fulltext(spark, sf_dir), chunks(spark, sf_dir), queries(spark, sf_dir), 5).select("query_id", "chunk_id", "rank", "score")
 
 
-@query("f14_lookup")
+_F14 = _fuzzy_sql("SELECT item_id AS query_id, 'src' || item_id % 20 AS snapshot_id, lower(regexp_replace(regexp_extract(text, '([A-Za-z]+)', 1), '\\s', '', 'g')) AS q FROM benchmark", "SELECT DISTINCT source AS snapshot_id, source || '/f' || doc_id % 50 || '.ts' AS path, lower(source || '/f' || doc_id % 50 || '.ts') AS low FROM documents")
+
+
+@query("f14_lookup", f"WITH RECURSIVE {_CTE}, {_F14} SELECT query_id, 'path' AS section, path AS item, rank FROM fz WHERE rank <= 6 UNION ALL SELECT query_id, 'text', chunk_id::VARCHAR, rank FROM ft JOIN q USING (query_id) WHERE rank <= 12 AND length(trim(q.text)) >= 2")
 def f14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths are looked up by the first word of each query, texts by the whole of it."""
     q = queries(spark, sf_dir)
-    short = q.withColumn("text", F.regexp_extract("text", "([A-Za-z]{1,3})", 1))
-    return S.lookup(S.fuzzy_paths(short, chunks(spark, sf_dir)), fulltext(spark, sf_dir), q)
+    word = q.withColumn("text", F.regexp_extract("text", "([A-Za-z]+)", 1))
+    return S.lookup(S.fuzzy_paths(word, chunks(spark, sf_dir)), fulltext(spark, sf_dir), q)
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,7 +222,7 @@ def _run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = _run(spark, sf_dir)
+    ranked = store(_run(spark, sf_dir), "run")
     return K.score_questions(ranked, questions(spark, sf_dir), ranked)
 
 

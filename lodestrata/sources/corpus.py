@@ -14,7 +14,7 @@ LOCKFILES = "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml bun.
 CODE_EXTENSIONS = {".ts": "typescript", ".mts": "typescript", ".cts": "typescript", ".tsx": "tsx", ".js": "javascript", ".mjs": "javascript", ".cjs": "javascript", ".jsx": "javascript"}
 #: Default limits of a file and of a snapshot.
 MAX_FILE_BYTES = 200 * 1024
-LIMITS = {"code_files": 2000, "total_bytes": 30 * 1024 * 1024, "chunks": 8000}
+LIMITS = {"code_files": 2000, "total_bytes": 30 * 1024 * 1024, "unpacked": 20, "chunks": 8000}
 GENERATED = r"(?i)@generated|do not edit|auto-?generated"
 
 
@@ -102,12 +102,20 @@ def skip_audit(df: DataFrame, by: str = "snapshot_id") -> DataFrame:
     return df.filter("skip is not null").groupBy(by, "skip").agg(F.count("*").alias("n"))
 
 
-def check_limits(df: DataFrame, limits: dict[str, int] | None = None, by: str = "snapshot_id") -> DataFrame:
-    """(snapshot, code_files, total_bytes, problem): code files are those that passed the content checks."""
-    limits = limits or LIMITS
+def check_limits(df: DataFrame, limits: dict[str, int] | None = None, by: str = "snapshot_id", chunks: DataFrame | None = None) -> DataFrame:
+    """(snapshot, code_files, total_bytes, unpacked_bytes, chunks, problem): code files are those that passed the content checks.
+
+    unpacked_bytes counts all entries, and may be limits["unpacked"] times the limit of total bytes; chunks: the
+    snapshot's chunk table, where it has been made (null before).
+    """
+    limits = LIMITS | (limits or {})
     kept = F.col("skip").isNull()
-    at = df.groupBy(by).agg(F.count_if(kept & (F.col("kind") == "CODE")).alias("code_files"), F.coalesce(F.sum(F.when(kept, F.octet_length("content"))), F.lit(0)).alias("total_bytes"))
-    return at.withColumn("problem", F.when(F.col("code_files") > limits["code_files"], "too-many-files").when(F.col("total_bytes") > limits["total_bytes"], "too-large"))
+    bytes_ = F.octet_length("content").cast("long")
+    at = df.groupBy(by).agg(F.count_if(kept & (F.col("kind") == "CODE")).alias("code_files"), F.coalesce(F.sum(F.when(kept, bytes_)), F.lit(0)).alias("total_bytes"), F.coalesce(F.sum(bytes_), F.lit(0)).alias("unpacked_bytes"))
+    none = F.lit(None).cast("long")
+    at = at.withColumn("chunks", none) if chunks is None else at.join(chunks.groupBy(by).agg(F.count("*").alias("chunks")), by, "left").fillna(0, ["chunks"])
+    problem = F.when(F.col("unpacked_bytes") > limits["unpacked"] * limits["total_bytes"], "unpacks-too-large").when(F.col("code_files") > limits["code_files"], "too-many-files")
+    return at.withColumn("problem", problem.when(F.col("total_bytes") > limits["total_bytes"], "too-large").when(F.col("chunks") > limits["chunks"], "too-many-chunks"))
 
 
 def with_id(df: DataFrame, name: str, *key: str) -> DataFrame:
