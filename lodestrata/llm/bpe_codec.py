@@ -25,8 +25,8 @@ from lodestrata.llm.token_counts import byte_symbols, splitter
 #: Parts between spaces, and words, a worker keeps codes of, and the longest such part. Beyond the first the cache starts anew.
 CACHE_WORDS, CACHE_CHARS = 300_000, 48
 
-#: Parts between spaces that are coded before their ids are handed on.
-RUN = 8192
+#: Ids that a long word hands on together, and characters that are read at a time, up to the next white space.
+RUN, READ = 8192, 1 << 16
 
 #: Fixed value: the split pattern of word-end vocabularies; white space between the matches is dropped.
 WORD_END = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -145,16 +145,58 @@ class Codec:
         return " ".join(map(self.coded.__getitem__, self.split(self.normal(chunk))))
 
     def pieces(self, text: str) -> Iterator[str]:
-        """Ids of runs of the text, in order and joined by spaces; a special token's string is that token."""
+        """Ids of runs of the text, in order and joined by spaces; a special token's string is that token.
+
+        READ characters are taken at a time, to the next space; what has no space for so long, to the next white space;
+        what has none either, word by word; and a word as the transducer emits it. So beside the text itself memory
+        does not grow with it.
+        """
         for k, part in enumerate(self.added.split(text) if "<|" in text else [text]):
             if k % 2:
                 yield str(self.special[part])
                 continue
-            chunks = part.split(" ")
-            for i in range(0, len(chunks), RUN):
-                run = " ".join(filter(None, map(self.cache.__getitem__, chunks[i : i + RUN])))
-                if run:
-                    yield run
+            for block in self.blocks(part):
+                if len(block) <= 2 * READ:
+                    run = " ".join(filter(None, map(self.cache.__getitem__, block.split(" "))))
+                    if run:
+                        yield run
+                else:
+                    for m in regex.finditer(r"\P{White_Space}+", block):
+                        yield from self.unbroken(m[0])
+
+    @staticmethod
+    def blocks(part: str) -> Iterator[str]:
+        start = 0
+        while start < len(part):
+            end = part.find(" ", start + READ)
+            end = len(part) if end < 0 else end
+            yield part[start:end]
+            start = end + 1
+
+    def unbroken(self, text: str) -> Iterator[str]:
+        """Ids of a text without white space, in runs."""
+        if len(text) <= READ:
+            if run := self.cache[text]:
+                yield run
+            return
+        text = self.normal(text)
+        masked = text if text.isascii() else text.translate({ord(c): "\x01" for c in set(text) if unicodedata.category(c) == "Cn"})
+        run: list[str] = []
+        for m in regex.finditer(WORD_END, masked):
+            word = text[m.start() : m.end()]
+            if len(word) <= self.window:
+                run.append(self.coded[word])
+            else:
+                for t in self.stream(word[i : i + self.window] for i in range(0, len(word), self.window)):
+                    run.append(str(self.ids[t]))
+                    if len(run) >= RUN:
+                        yield " ".join(run)
+                        run = []
+            if len(run) >= RUN:
+                yield " ".join(run)
+                run = []
+        if run:
+            yield " ".join(run)
 
     def encode(self, text: str) -> str:
         return " ".join(self.pieces(text))

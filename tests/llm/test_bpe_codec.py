@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestrata.llm.bpe_codec import Codec, Decoder, code_digests, decode, encode, merge_all, sufficient_lookahead
+from lodestrata.llm.bpe_codec import READ, Codec, Decoder, code_digests, decode, encode, merge_all, sufficient_lookahead
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY, OURS = Tokenizer.from_file(PATH), Codec(PATH)
@@ -62,3 +62,15 @@ def test_tables(spark):
     for r in back.select("text", "ids", decode(back.ids, PATH).alias("out")).collect():
         assert r.ids == library(r.text or "") and r.out == LIBRARY.decode(r.ids, skip_special_tokens=False)
     assert code_digests(df.limit(0), PATH).count() == 0
+
+
+def test_long_texts_without_spaces():
+    """Texts far beyond what is read at a time, of one word, of words without spaces, and of other white space only."""
+    import random
+
+    n, r = READ * 3, random.Random(8)
+    odd = "".join(r.choice("abé漢😀1-.,ΣßŸ́") for _ in range(n))
+    for text in ("x" * n, "ab12" * n, odd, "\n".join("word%d" % i for i in range(n // 4)), "a b " * n, ("y" * (n // 2) + " ") * 3, " " * n + "end"):
+        want, runs = library(text), list(OURS.pieces(text))
+        assert [int(i) for run in runs for i in run.split()] == want
+        assert not want or max(len(run) for run in runs) <= 20 * READ
