@@ -72,10 +72,11 @@ def effective_configs(configs: DataFrame) -> DataFrame:
 
 
 def resolve_alias(imports: DataFrame, configs: DataFrame, files: DataFrame) -> DataFrame:
-    """(import_id, to_path) by the nearest config above the file: alias patterns in order, * captured, then the base folder."""
+    """(import_id, to_path) by the nearest config above the file (of several in a folder tsconfig.json, else the last by name):
+    alias patterns in order, * captured, then the base folder."""
     bare = imports.filter(~F.col("specifier").rlike(r"^[./]"))
     up = bare.select("import_id", KEY, "specifier", directories(F.col("path")).alias("d")).select("*", F.explode(F.sequence(F.lit(0), F.size("d"))).alias("depth")).withColumn("folder", F.array_join(F.slice("d", F.lit(1), F.col("depth")), "/"))
-    near = up.join(configs, [KEY, "folder"]).groupBy("import_id", KEY, "specifier").agg(F.max_by(F.struct("base", "aliases", "alias_folder"), "depth").alias("c"))
+    near = up.join(configs, [KEY, "folder"]).groupBy("import_id", KEY, "specifier").agg(F.max_by(F.struct("base", "aliases", "alias_folder"), F.struct("depth", F.col("path") == F.when(F.col("folder") == "", "tsconfig.json").otherwise(F.concat("folder", F.lit("/tsconfig.json"))), "path")).alias("c"))
 
     def of(pattern: Column, targets: Column) -> Column:
         lead, tail = F.substring_index(pattern, "*", 1), F.substring_index(pattern, "*", -1)

@@ -19,7 +19,7 @@ GENERATED = r"(?i)@generated|do not edit|auto-?generated"
 
 
 def read_corpus(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
-    """(snapshot_id, path, content binary) of all files under path, by Spark's binary reader."""
+    """(snapshot_id, path, content binary) of all files under path, by Spark's binary reader, which passes over empty ones."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(F.lit(snapshot_id).alias("snapshot_id"), "path", "content")
 
@@ -148,9 +148,12 @@ QUESTION = "id string, repo string, type string, question string, gold array<str
 
 
 def read_questions(spark: SparkSession, path: str, repos: list[str]) -> DataFrame:
-    """Questions of a JSON-lines file with problem: why a line is refused, or null. line is the number in the file's order."""
-    raw = spark.read.text(path).filter(F.trim("value") != "").select(F.monotonically_increasing_id().alias("line"), F.from_json("value", QUESTION).alias("q")).select("line", "q.*")
-    return check_questions(raw, repos)
+    """Questions of JSON-lines files with problem: why a line is refused, or null. line counts from 1 in each file, blank lines too.
+
+    A question set is a file that people write, so each file is read whole for its lines to be counted.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("n", "value")).filter(F.trim("value") != "")
+    return check_questions(whole.select((F.col("n") + 1).alias("line"), F.from_json("value", QUESTION).alias("q")).select("line", "q.*"), repos)
 
 
 def check_questions(questions: DataFrame, repos: list[str]) -> DataFrame:
