@@ -30,6 +30,8 @@ from lodestrata.llm.components import components
 WORDS, SIMILARITY = 5, (4, 5)
 #: Texts whose shingles a worker hands on together.
 STEP = 500
+#: Classes of hashes that bound what two sets share, a power of two.
+SPREAD = 256
 #: Rows whose shingles are counted for the order, texts that make a shingle common, and common shingles kept, at most.
 SAMPLE, COMMON, KEPT = 5_000, 2, 200_000
 
@@ -55,6 +57,24 @@ def _few(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             yield texts.iloc[i : i + STEP]
 
 
+def _spread(h: np.ndarray) -> bytes:
+    n = np.bincount(h & (SPREAD - 1), minlength=SPREAD)
+    return (n if n.max() < 65535 else np.full(SPREAD, 65535)).astype("<u2").tobytes()
+
+
+def _may_share(similarity: tuple[int, int]):
+    """Two sets share at most the sum of the lesser counts of each class; whether that is enough."""
+    p, q = similarity
+
+    @F.pandas_udf("boolean")
+    def may(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+        most = [int(np.minimum(np.frombuffer(x, dtype="<u2"), np.frombuffer(y, dtype="<u2")).sum(dtype=np.int64)) for x, y in zip(a, b, strict=True)]
+        full = [x[:2] == b"\xff\xff" or y[:2] == b"\xff\xff" for x, y in zip(a, b, strict=True)]
+        return (pd.Series(most, dtype="int64") * (p + q) >= (na.astype("int64") + nb.astype("int64")) * p) | pd.Series(full, dtype=bool)
+
+    return may
+
+
 def _digest(h: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(h.tobytes(), 7) - (1 << 63)
 
@@ -89,10 +109,11 @@ def _named(text: Column, words: int) -> Column:
 
 
 def _prefixes(text: Column, words: int, similarity: tuple[int, int], box) -> Column:
-    """struct(digest, fp, size, prefix): of all shingles, their SimHash and their number, and the first ones in the order."""
+    """struct(digest, fp, size, prefix, spread): of all shingles, their SimHash and number, the first ones in the order, and
+    how many fall into each of SPREAD classes of their hashes (two bytes each)."""
     p, q = similarity
 
-    @F.pandas_udf("digest long, fp long, size int, prefix array<long>")
+    @F.pandas_udf("digest long, fp long, size int, prefix array<long>, spread binary")
     def prefixes(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         common, counts = box.value
         for texts in _few(batches):
@@ -105,8 +126,8 @@ def _prefixes(text: Column, words: int, similarity: tuple[int, int], box) -> Col
                 if len(common) and n:
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     rank = np.where(common[at] == h, counts[at], 0)
-                out.append((_digest(h), simhash.majority(simhash.bit_counts(every), len(every)), n, h[np.argsort(rank, kind="stable")][: n - -(-n * p // q) + 1 if n else 0]))
-            yield pd.DataFrame(out, columns=["digest", "fp", "size", "prefix"])
+                out.append((_digest(h), simhash.majority(simhash.bit_counts(every), len(every)), n, h[np.argsort(rank, kind="stable")][: n - -(-n * p // q) + 1 if n else 0], _spread(h)))
+            yield pd.DataFrame(out, columns=["digest", "fp", "size", "prefix", "spread"])
 
     return prefixes(text)
 
@@ -127,8 +148,12 @@ def _grouped(df: DataFrame, id: str, text: str, words: int, similarity: tuple[in
     firsts = prints.join(small(store(nodes.select(F.col("node.row").alias("row")), "first-rows")), "row", "left_semi")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b) of the pairs of digests that are similar; only texts that are in a pair are read again."""
+        """(a, b) of the pairs of digests that are similar. Pairs that the counts by class rule out go first, with half a
+        kilobyte a text moved for each; only texts of the others are read again."""
         pairs = store(pairs.distinct(), "pairs")
+        spread = firsts.select("digest", "size", "spread")
+        both = pairs.join(spread.toDF("a", "na", "ha"), "a").join(spread.toDF("b", "nb", "hb"), "b")
+        pairs = store(both.filter(_may_share(similarity)("ha", "hb", "na", "nb")).select("a", "b"), "likely-pairs")
         ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
         ids = small(store(nodes.join(ends, "digest", "left_semi").select(F.col("node.id").alias("_id"), F.col("node.h").alias("_h")).distinct(), "pair-ids"))
         read = df.join(ids, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
