@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import bpe_codec, decontaminate, grid_join, language_id, license_scan, line_dedup, pii, simhash, token_counts, warc
+from lodestrata.llm import bpe_codec, decontaminate, fertility, grid_join, importance, language_id, license_scan, line_dedup, pii, simhash, token_counts, warc, whitening
 from lodestrata.llm.common import table
 
 
@@ -67,9 +67,23 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op11_lanczos_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op12_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabularies = [public_tokenizers.path(name) for name in ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")]
+    return fertility.judge(table(spark, sf_dir, "documents"), vocabularies, public_tokenizers.PATTERN)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_warc_chunks, op2_grid_order_join, op3_token_counts, op4_covering_simhash, op5_prefix_decontamination, op6_weak_pii, op7_site_lines, op8_language_id, op9_bpe_codec, op10_license_scan, pages_language)
+    for f in (op1_warc_chunks, op2_grid_order_join, op3_token_counts, op4_covering_simhash, op5_prefix_decontamination, op6_weak_pii, op7_site_lines, op8_language_id, op9_bpe_codec, op10_license_scan, op11_lanczos_whitening, op12_fertility, op13_importance, pages_language)
 }
 
 _WORDS = r"""regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
