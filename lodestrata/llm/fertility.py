@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -46,32 +48,38 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
     "other": (0.1, 12.0, 0.6, 0.15),
 }
 
-#: Words, and repeated words in a hundred, that the base rules ask for and bear; characters coded at a time.
-LEAST_WORDS, MOST_REPEATED, PIECE = 50, 50, 1 << 16
+#: Words that the base rules ask for, and repeated words in a hundred that they bear.
+LEAST_WORDS, MOST_REPEATED = 50, 50
+#: Characters of a word coded at a time, characters of texts judged together, and words whose ids a task remembers.
+PIECE, AT_ONCE, KNOWN = 1 << 16, 2 << 20, 200_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 
 
 @lru_cache(maxsize=8)
-def vocabulary(path: str, pattern: str) -> tuple[Callable[[str], list[int]], np.ndarray]:
-    """(ids of a text, whether an id is a byte or part of a character): a sentencepiece .model, or ranks of a .tiktoken by pattern."""
+def vocabulary(path: str, pattern: str) -> tuple[Callable[[list[str]], list[list[int]]], np.ndarray]:
+    """(ids of each word, whether an id is a byte or part of a character): a sentencepiece .model, or ranks of a .tiktoken by pattern.
+
+    A word is coded as it is after a space.
+    """
     if path.endswith(".model"):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         lone = np.array([sp.is_byte(i) or sp.is_unknown(i) for i in range(sp.get_piece_size())], dtype=bool)
-        return (lambda t: sp.encode(t, num_threads=1)), lone
+        return (lambda words: sp.encode(words, num_threads=1)), lone
     import base64
 
     import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     coder = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     lone = np.zeros(max(ranks.values()) + 1, dtype=bool)
     for token, i in ranks.items():
         lone[i] = not _whole(token)
-    return coder.encode_ordinary, lone
+    return (lambda words: [coder.encode_ordinary(" " + w) for w in words]), lone
 
 
 def _whole(token: bytes) -> bool:
@@ -82,60 +90,75 @@ def _whole(token: bytes) -> bool:
     return True
 
 
-def blocks(words: list[str], most: int = PIECE) -> Iterator[str]:
-    """The words joined by single spaces, about so many characters at a time; a longer word is cut."""
-    part, size = [], 0
-    for w in words:
-        for i in range(0, len(w), most):
-            p = w[i : i + most]
-            if size + len(p) > most:
-                yield " ".join(part)
-                part, size = [], 0
-            part.append(p)
-            size += len(p) + 1
-    if part:
-        yield " ".join(part)
-
-
-def measures(words: list[str], path: str, pattern: str) -> tuple[float | None, float | None, float | None]:
-    """(characters of words per token, share of byte tokens, entropy of tokens in bits as a share of the most); None of no token.
-
-    The most is log2 of the number of tokens, or of the vocabulary if that is smaller. One token has all the entropy it can have.
-    """
-    code, lone = vocabulary(path, pattern)
-    n, chars = np.zeros(len(lone), dtype=np.int64), sum(map(len, words))
-    for block in blocks(words):
-        n += np.bincount(np.asarray(code(block), dtype=np.int64), minlength=len(lone))
-    tokens = int(n.sum())
-    if not tokens:
-        return None, None, None
-    p = n[n > 0] / tokens
-    most = np.log2(min(tokens, len(lone)))
-    return chars / tokens, float(n[lone].sum() / tokens), float(-(p * np.log2(p)).sum() / most) if most else 1.0
+class Coded:
+    """Words by number, and the ids of each in a vocabulary: a word is coded once, however many texts of a task hold it."""
+
+    def __init__(self, paths: list[str], pattern: str):
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.of = [vocabulary(p, pattern) for p in paths]
+        self.ids = [np.zeros(0, dtype=np.int32) for _ in paths]
+        self.ends = [np.zeros(1, dtype=np.int64) for _ in paths]  # where the ids of word i end, at i + 1
+
+    def code(self) -> None:
+        """Code the words that have got a number since the last time; words of more than PIECE characters in pieces."""
+        new = list(islice(self.number, len(self.ends[0]) - 1, None)) if self.of else []
+        if not new:
+            return
+        for v, (code, _) in enumerate(self.of):
+            got = code([w[:PIECE] for w in new])
+            for i, w in enumerate(new):
+                if len(w) > PIECE:
+                    got[i] = list(chain(got[i], *code([w[k : k + PIECE] for k in range(PIECE, len(w), PIECE)])))
+            length = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
+            self.ids[v] = np.concatenate([self.ids[v], np.fromiter(chain.from_iterable(got), dtype=np.int32, count=int(length.sum()))])
+            self.ends[v] = np.concatenate([self.ends[v], self.ends[v][-1] + np.cumsum(length)])
+
+    def measures(self, words: np.ndarray, chars: int, v: int) -> tuple[float | None, float | None, float | None]:
+        """(characters of words per token, share of byte tokens, entropy of tokens in bits as a share of the most); None of no token.
+
+        The most is log2 of the number of tokens, or of the vocabulary if that is smaller. A single token has all it can have.
+        """
+        lone, start = self.of[v][1], self.ends[v][words]
+        length = self.ends[v][words + 1] - start
+        tokens = int(length.sum())
+        if not tokens:
+            return None, None, None
+        at = np.repeat(start - (np.cumsum(length) - length), length) + np.arange(tokens)
+        ids, n = np.unique(self.ids[v][at], return_counts=True)
+        p, most = n / tokens, np.log2(min(tokens, len(lone)))
+        return chars / tokens, float(n[lone[ids]].sum() / tokens), float(-(p * np.log2(p)).sum() / most) if most else 1.0
 
 
 def script_of(text: str) -> str:
     """The script of most letters; other where no listed script has any. Ties go to the first listed."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    if not len(points):
-        return "other"
     best, name = 0, "other"
-    for script, ranges in SCRIPTS.items():
-        n = sum(int(((points >= a) & (points <= b)).sum()) for a, b in ranges)
+    for script, n in zip(SCRIPTS, np.bincount(_script_numbers()[np.minimum(points, _BEYOND)], minlength=len(SCRIPTS) + 1)[1:], strict=True):
         if n > best:
             best, name = n, script
     return name
 
 
-def repeated_words(words: list[str]) -> int:
-    """Words in windows of three that occur twice or more."""
-    if len(words) < 4:
+_BEYOND = 0x30000
+
+
+@lru_cache(maxsize=1)
+def _script_numbers() -> np.ndarray:
+    out = np.zeros(_BEYOND + 1, dtype=np.int8)
+    for i, ranges in enumerate(SCRIPTS.values()):
+        for a, b in ranges:
+            out[a : b + 1] = i + 1
+    return out
+
+
+def repeated_words(w: np.ndarray) -> int:
+    """Words in windows of three that occur twice or more; w has a number for each word."""
+    if len(w) < 4:
         return 0
-    ids: dict[str, int] = {}
-    w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), dtype=np.int64, count=len(words))
-    _, pair = np.unique(w[:-1] * len(ids) + w[1:], return_inverse=True)
-    _, window, n = np.unique(pair[:-1] * len(ids) + w[2:], return_inverse=True, return_counts=True)
-    again, covered = n[window] > 1, np.zeros(len(words), dtype=bool)
+    most = int(w.max()) + 1
+    _, pair = np.unique(w[:-1] * most + w[1:], return_inverse=True)
+    _, window, n = np.unique(pair[:-1] * most + w[2:], return_inverse=True, return_counts=True)
+    again, covered = n[window] > 1, np.zeros(len(w), dtype=bool)
     for i in range(3):
         covered[i : i + len(again)] |= again
     return int(covered.sum())
@@ -171,21 +194,39 @@ def judge(
     """
     bands, read = bands or BANDS, [os.fspath(p) for p in vocabularies]
 
-    def of(t: str) -> tuple:
-        words = _WORD.findall(t)
-        script, again = script_of(t), repeated_words(words)
-        got = [measures(words, p, pattern) for p in read]
-        failed = len(words) < least or 100 * again > repeated * len(words)
-        kept = not failed and (not got or any(in_band(m, bands[script]) for m in got))
-        return (len(words), sum(map(len, words)), len(_SYMBOL.findall(t)), repeated_lines(t), again, failed, kept, script, *([m[i] for m in got] for i in range(3)))
-
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.string()] + [pa.list_(pa.float64())] * 3
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "script", "chars_per_token", "byte_share", "token_entropy"]
 
+    def some(texts: list[str], words: Coded) -> list[tuple]:
+        number, base = words.number, []
+        for t in texts:
+            found = _WORD.findall(t)
+            w = np.fromiter(map(number.__getitem__, found), dtype=np.int64, count=len(found))
+            base.append((w, len("".join(found)), len(_SYMBOL.findall(t)), repeated_lines(t), script_of(t)))
+        words.code()
+        out = []
+        for w, chars, symbols, lines, script in base:
+            again = repeated_words(w)
+            got = [words.measures(w, chars, v) for v in range(len(read))]
+            failed = len(w) < least or 100 * again > repeated * len(w)
+            kept = not failed and (not got or any(in_band(m, bands[script]) for m in got))
+            out.append((len(w), chars, symbols, lines, again, failed, kept, script, *([m[i] for m in got] for i in range(3))))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Coded(read, pattern)
         for batch in batches:
-            out = list(zip(*(of(t.as_py() or "") for t in batch.column(1)), strict=True)) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["id", *names])
+            start = 0
+            while start < len(batch):
+                texts, size = [], 0
+                while start + len(texts) < len(batch) and size < AT_ONCE:
+                    texts.append(batch.column(1)[start + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                if len(words.number) > KNOWN:
+                    words = Coded(read, pattern)
+                out = zip(*some(texts, words), strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(texts)), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], ["id", *names])
+                start += len(texts)
 
     rows = df.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     shape = ", ".join(f"{n} {'long' if k == pa.int64() else 'boolean' if k == pa.bool_() else 'string' if k == pa.string() else 'array<double>'}" for n, k in zip(names, kinds, strict=True))

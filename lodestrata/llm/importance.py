@@ -32,25 +32,24 @@ _WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _GAP = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 
 
-def _times(rows: list[int], x: int) -> int:
-    """A matrix over bits, given by the images of the 32 single bits, applied to x."""
-    out = 0
+def _times(rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A matrix over bits, given by the images of the 32 single bits, applied to each x."""
+    out = np.zeros_like(x)
     for i in range(32):
-        if x >> i & 1:
-            out ^= rows[i]
+        out ^= np.where(x >> np.uint32(i) & np.uint32(1), rows[i], np.uint32(0))
     return out
 
 
 @lru_cache(maxsize=4096)
 def moved(n: int) -> np.ndarray:
     """Tables (4 x 256) that move a CRC on by n zero bytes: the xor of one entry for each of its bytes."""
-    op = [(1 << (i - 1)) if i else 0xEDB88320 for i in range(32)]  # one zero bit
-    out, k = [1 << i for i in range(32)], 8 * n
+    op = np.array([(1 << (i - 1)) if i else 0xEDB88320 for i in range(32)], dtype=np.uint32)  # one zero bit
+    out, k = np.uint32(1) << np.arange(32, dtype=np.uint32), 8 * n
     while k:
         if k & 1:
-            out = [_times(op, x) for x in out]
-        op, k = [_times(op, x) for x in op], k >> 1
-    return np.array([[_times(out, b << 8 * part) for b in range(256)] for part in range(4)], dtype=np.uint32)
+            out = _times(op, out)
+        op, k = _times(op, op), k >> 1
+    return _times(out, np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None])
 
 
 def move_on(crc: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -67,11 +66,12 @@ def payloads(words: list[bytes]) -> np.ndarray:
     """CRC | length << 32 of each word, by one scan of an automaton of the distinct ones."""
     import ahocorasick
 
-    dictionary, long = ahocorasick.Automaton(ahocorasick.STORE_INTS), {}
+    dictionary, held, long = ahocorasick.Automaton(ahocorasick.STORE_INTS), [], {}
     for w in set(words):
         payload = zlib.crc32(w) | len(w) << 32
-        if len(w) <= LONGEST:
-            dictionary.add_word(f" {w.decode('latin-1')} ", payload)
+        if len(w) <= LONGEST:  # entries hold the place of their payload, which needs more than the 32 bits of an entry
+            dictionary.add_word(f" {w.decode('latin-1')} ", len(held))
+            held.append(payload)
         else:
             long[w] = payload
     if not long:
@@ -81,7 +81,7 @@ def payloads(words: list[bytes]) -> np.ndarray:
     found = np.zeros(0, dtype=np.int64)
     if len(dictionary):
         dictionary.make_automaton()
-        found = np.fromiter((p for _, p in dictionary.iter(text)), dtype=np.int64)
+        found = np.array(held, dtype=np.int64)[np.fromiter((p for _, p in dictionary.iter(text)), dtype=np.int64)]
     if not long:
         return found
     out = np.zeros(len(words), dtype=np.int64)
