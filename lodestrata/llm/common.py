@@ -94,8 +94,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def ascii_lower(col: Column) -> Column:
-    """A-Z to a-z and nothing else. lower() does the same where the text has no other letter with a lower case."""
-    return F.when(col.rlike(r"[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Mn}&&[^\x00-\x7F]]"), F.translate(col, _UPPER, _UPPER.lower())).otherwise(F.lower(col))
+    """A-Z to a-z and nothing else. lower(), which is faster, does the same where all is ASCII."""
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, _UPPER, _UPPER.lower())).otherwise(F.lower(col))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -123,7 +123,7 @@ WITH p AS (SELECT row_number() OVER () AS r, doc_id, source, text, string_split(
 t AS (SELECT source, count(*) AS pages FROM p GROUP BY source),
 l AS (SELECT DISTINCT r, source, trim(x, chr(32) || chr(9) || chr(13)) AS x FROM (SELECT r, source, unnest(ls) AS x FROM p)),
 c AS (SELECT l.source, x FROM l JOIN t ON l.source = t.source WHERE x <> '' GROUP BY l.source, x, pages
-      HAVING count(*) >= {line_dedup.PAGES} AND count(*) > {line_dedup.RATIO}::DOUBLE * pages - {line_dedup.NOISE}::DOUBLE * sqrt({line_dedup.RATIO * (1 - line_dedup.RATIO)!r}::DOUBLE * pages)),
+      HAVING count(*) >= {line_dedup.PAGES} AND count(*)::DOUBLE / pages > {line_dedup.RATIO}::DOUBLE),
 b AS (SELECT source, list(x) AS xs FROM c GROUP BY source),
 k AS (SELECT doc_id, ls, list_filter(ls, lambda y: NOT list_contains(coalesce(xs, []), trim(y, chr(32) || chr(9) || chr(13)))) AS kept FROM p LEFT JOIN b ON p.source = b.source)
 SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(len(ls) - len(kept), 0)::BIGINT AS n_dropped, sha256(array_to_string(kept, chr(10))) AS kept_sha256 FROM k

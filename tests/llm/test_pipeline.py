@@ -34,8 +34,7 @@ def without_boilerplate(docs):
         for d in of:
             for x in {x.strip(" \t\r") for x in (d[1] or "").split("\n")} - {""}:
                 seen[x] = seen.get(x, 0) + 1
-        p, n_pages = line_dedup.RATIO, len(of)
-        drop = {x for x, n in seen.items() if n >= line_dedup.PAGES and n > p * n_pages - line_dedup.NOISE * (p * (1 - p) * n_pages) ** 0.5}
+        drop = {x for x, n in seen.items() if n >= line_dedup.PAGES and n / len(of) > line_dedup.RATIO}
         for d in of:
             text = d[1] if d[1] is None else "\n".join(x for x in d[1].split("\n") if x.strip(" \t\r") not in drop)
             out.append((d[0], text, d[2], d[3], None if text is None else len(text)))
