@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -78,41 +79,70 @@ def _nearest(k: int):
     return of
 
 
+def _vectors(df: DataFrame, id: str, vector: str) -> DataFrame:
+    """(id, snapshot_id, model, dim, vector) with columns of its own, so that a table can be searched for its own rows."""
+    of = df.filter(F.col(vector).isNotNull()).select(*(F.col(c).alias(c) for c in (id, "snapshot_id", "model", vector)))
+    return of.withColumn("dim", F.size(vector))
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (a[k].eqNullSafe(b[k]) for k in keys))
+
+
 def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """(query_id, chunk_id, score, rank, sources): exact cosine similarity among chunks of the query's snapshot and model.
 
-    Queries and chunks are dealt by hash to blocks of about BLOCK vectors, every block of queries meets every block of
-    chunks, and each meeting gives its best k; so no task holds more than two blocks, however large a snapshot is.
-    Vectors are of one length in a snapshot and model; a zero vector is nobody's neighbour.
+    Within a snapshot and model, queries and chunks are dealt by hash to blocks of about BLOCK vectors, as many as these
+    need; every block of queries meets every block of chunks there, and each meeting gives its best k. So no task holds
+    more than two blocks, and small snapshots are sent once. Vectors of another length, and zero vectors, are nobody's
+    neighbours.
     """
-    q = queries.filter(F.col("vector").isNotNull()).select("query_id", "snapshot_id", "model", "vector")
-    c = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "snapshot_id", "model", "embedding")
-    deal = lambda df, id, n: F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
-    nq, nc = (max(1, math.ceil(df.count() / BLOCK)) for df in (q, c))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumns({"qb": deal(q, "query_id", nq), "cb": every(nc)})
-    c = c.withColumns({"cb": deal(c, "chunk_id", nc), "qb": every(nq)})
-    key, kind = ["snapshot_id", "model", "qb", "cb"], lambda df, x: df.schema[x].dataType.simpleString()
-    best = q.groupBy(*key).cogroup(c.groupBy(*key)).applyInPandas(_nearest(k), f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, score double")
+    key = ["snapshot_id", "model", "dim"]
+    q, c = _vectors(queries, "query_id", "vector"), _vectors(chunks, "chunk_id", "embedding")
+    blocks = lambda df, n: df.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
+    nq, nc = blocks(q, "nq"), blocks(c, "nc")
+    sizes = store(nq.join(nc, _same(nq, nc, key)).select(*(nq[x] for x in key), "nq", "nc"), "vector-blocks")
+    deal = lambda id, n: F.pmod(F.xxhash64(id), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Spark broadcasts the sizes if they are small; keys of many rows are split by adaptive execution
+    q = q.join(sizes, _same(q, sizes, key)).select("query_id", *(q[x] for x in key), "vector", deal("query_id", "nq").alias("qb"), every("nc").alias("cb"))
+    c = c.join(sizes, _same(c, sizes, key)).select("chunk_id", *(c[x].alias(x) for x in key), "embedding", deal("chunk_id", "nc").alias("cb"), every("nq").alias("qb"))
+    by, kind = [*key, "qb", "cb"], lambda df, x: df.schema[x].dataType.simpleString()
+    best = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_nearest(k), f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, score double")
     return top(best, k, F.desc("score"), F.col("chunk_id")).withColumn("sources", F.array(F.lit("vector")))
 
 
 def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, bucket: float = 0.5, tables: int = 6, radius: float = math.inf) -> DataFrame:
     """The same by random projections of unit vectors, then exact scores of those that met, within radius if one is given.
 
-    A query for which fewer than k met is searched exactly among all chunks (within radius).
+    Buckets are keyed by snapshot, model, table and hash, so no pair of two snapshots is ever made. Chunks of the most
+    common length are hashed. A query for which fewer than k met is searched exactly among all chunks (within radius).
     """
-    unit = lambda v: array_to_vector(F.transform(v, lambda x: x.cast("double") / F.sqrt(dot(v, v))))
-    q = queries.select("query_id", "snapshot_id", "model", unit(F.col("vector")).alias("u"))
-    c = chunks.filter(F.col("embedding").isNotNull()).select("chunk_id", "snapshot_id", "model", unit(F.col("embedding")).alias("u"))
-    lsh = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
-    met = lsh.approxSimilarityJoin(q, c, radius, "distance").filter("datasetA.snapshot_id = datasetB.snapshot_id and datasetA.model = datasetB.model")  # hashes are of directions alone
-    exact = met.select("datasetA.query_id", "datasetB.chunk_id", F.round(dot(vector_to_array("datasetA.u"), vector_to_array("datasetB.u")), 9).alias("score"))
-    near = store(top(exact, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank"), "near-vectors")
+    size = F.sqrt(dot(F.col("v"), F.col("v")))
+
+    def units(df: DataFrame, id: str, vector: str) -> DataFrame:
+        of = _vectors(df, id, vector).withColumnRenamed(vector, "v").withColumn("size", size).filter((F.col("size") > 0) & (F.col("size") < math.inf))
+        return of.select(id, "snapshot_id", "model", "dim", F.transform("v", lambda x: F.coalesce(F.try_divide(x.cast("double"), F.col("size")), F.lit(0.0))).alias("u"))
+
+    c = units(chunks, "chunk_id", "embedding")
+    dim = c.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    if not dim:
+        return vector_search(queries, chunks, k)
+    # stored, since Spark would else hash rows before it leaves them out
+    c, q = (store(df.filter(F.col("dim") == dim[0]["dim"]), "unit-vectors").withColumn("x", array_to_vector("u")) for df in (c, units(queries, "query_id", "vector")))
+    lsh = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
+
+    def buckets(df: DataFrame, *of: str) -> DataFrame:
+        at = lsh.transform(df).select(*of, "snapshot_id", "model", F.posexplode("h").alias("t", "b"))
+        return at.withColumn("b", F.get(vector_to_array("b"), F.lit(0)))
+
+    met = buckets(q, "query_id").join(buckets(c, "chunk_id"), ["snapshot_id", "model", "t", "b"]).select("query_id", "chunk_id").distinct()
+    pairs = met.join(q.select("query_id", F.col("u").alias("a")), "query_id").join(c.select("chunk_id", F.col("u").alias("e")), "chunk_id")
+    exact = pairs.select("query_id", "chunk_id", F.round(dot(F.col("a"), F.col("e")), 9).alias("score"))
+    within = lambda df: df.filter(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) < radius) if radius < 2 else df
+    near = store(top(within(exact), k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank"), "near-vectors")
     short = queries.join(near.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
-    rest = vector_search(short, chunks, k).drop("sources")
-    if radius < 2:
-        rest = rest.filter(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) < radius)
+    rest = within(vector_search(short, chunks, k).drop("sources"))
     whole = near.join(short.select("query_id"), "query_id", "left_anti").unionByName(rest)
     return whole.withColumn("sources", F.array(F.lit("vector")))
 

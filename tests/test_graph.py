@@ -134,6 +134,21 @@ def test_approximate_recall_as_registered(spark):
     assert set(narrow) == exact  # where hardly any meet, lists are filled by the exact search
 
 
+def test_odd_vectors(spark):
+    """Zero vectors, other lengths and other snapshots are nobody's neighbours, and a table can be searched for its own rows."""
+    rows = [(i, s, "m", [float(i), 1.0, float(-i % 7)]) for s, at in (("a", 0), ("b", 100)) for i in range(at + 1, at + 41)]
+    rows += [(200, "a", "m", [0.0, 0.0, 0.0]), (201, "a", "m", [1.0, 2.0]), (202, "a", "m", None), (203, "c", "m", [1.0, 0.0, 0.0])]
+    c = spark.createDataFrame(rows, "chunk_id long, snapshot_id string, model string, embedding array<float>")
+    q = c.select(F.col("chunk_id").alias("query_id"), "snapshot_id", "model", F.col("embedding").alias("vector"))
+    exact = {(r.query_id, r.chunk_id) for r in S.vector_search(q, c, 4).collect()}
+    near = {(r.query_id, r.chunk_id) for r in S.approximate_vector_search(q, c, 4).collect()}
+    of = {i: (s, len(v)) for i, s, _, v in rows if v and any(v)}
+    for pairs in (exact, near):
+        assert all(of[a] == of[b] for a, b in pairs) and {(201, 201), (203, 203)} <= pairs and {a for a, _ in pairs} == set(of)
+    assert len(exact & near) >= 0.9 * len(exact)
+    assert S.approximate_vector_search(q, c.limit(0)).count() == 0
+
+
 def test_metrics(spark):
     ranked = spark.createDataFrame([("r", 1, "a", 1), ("r", 1, "x", 2), ("r", 1, "b", 3)], "retriever string, question_id long, path string, rank int")
     q = spark.createDataFrame([(1, ["a", "b", "c"]), (2, []), (3, ["z"])], "question_id long, gold array<string>")
