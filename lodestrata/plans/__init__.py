@@ -1,3 +1,3 @@
 """Registered queries and their SQL."""
 
-from lodestrata.plans import architecture, chat, chunking, code, corpus, graph, search  # noqa: F401
+from lodestrata.plans import architecture, chat, chunking, code, corpus, graph, localisation, search  # noqa: F401
