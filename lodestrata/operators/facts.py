@@ -1,8 +1,7 @@
 """Lexical code facts: symbols, imports, calls and routes from lines and text, without a grammar.
 
-Comments and string contents are blanked first, so that braces inside them do not count. What a grammar would see
-differently (template literals with braces, regular expressions with quotes, signatures over several lines) is listed
-in the README. The output tables may as well be loaded from any parser.
+Comments and the contents of literals are blanked first, so that braces inside them do not count. What a grammar would see
+differently is listed in the README. The output tables may as well be loaded from any parser.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestrata.functions.text import file_name, let
+from lodestrata.operators.brackets import argument_text, arguments, bracket_rows
 
 NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
 KEY = ("snapshot_id", "path")
@@ -25,7 +25,7 @@ NO_HANDLERS = r"(?i)^(config|options|opts|params|headers|body|data|payload)$"
 #: Words before a bracket that are no calls.
 NO_CALLS = ["if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "require", "import", "super", "constructor", "async"]
 _TYPED = r"(?::[^=]+)?"
-_FUNCTION = rf"(?:async\s*)?(?:function\b|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>)"
+_FUNCTION = rf"(?:async\s*\([^)]*$|(?:async\s*)?(?:function\b|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>))"
 #: Declarations at any depth: pattern of the name, and the kind. A name that is not there is "default".
 DECLARATIONS = [
     (rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{NAME}", "function"),
@@ -41,23 +41,48 @@ UNNAMED = [
     (rf"^\s*export\s+default\s+(?:async\s+)?(?:function\s*\*?\s*\(|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>)", "function"),
     (r"^\s*export\s+default\s+(?:abstract\s+)?class\s*(?:\{|extends\b|implements\b)", "class"),
 ]
-#: Strings and plain template literals. Quantified groups are possessive: the others cost the JVM a stack frame a turn.
+#: Strings, regular expressions (where a value may start) and template literals, whose values may hold templates again, three
+#: deep. Quantified groups are possessive: the others cost the JVM a stack frame a turn.
 STRING = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\[\s\S][^\'\\\n]*+)*+\''
-TEMPLATE = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+_WHERE = r"(?:[(,=:\[!&|?{;+*%~^\n-]|=>|\b(?:return|typeof|case|in|of|delete|void|throw|await|yield|do|else))[ \t]{0,20}"
+_CLASS = r"\[[^\]\\\n]*+(?:\\[^\n][^\]\\\n]*+)*+\]"
+REGEX = rf"/(?<={_WHERE}/|\A\s{{0,20}}/)(?![*/])[^/\\\[\n]*+(?:(?:\\[^\n]|{_CLASS})[^/\\\[\n]*+)*+/[a-z]*+"
+_FLAT = r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"
+
+
+def _value(inner: str) -> str:
+    """A pattern of a template's value: code with paired braces, strings and templates."""
+    code = rf"[^`\"'{{}}]++|{STRING}|{inner}|[\"']"
+    return rf"\$\{{(?:{code}|\{{(?:{code}|\{{(?:{code}|\{{[^`{{}}]*+\}})*+\}})*+\}})*+\}}"
+
+
+def _template(deep: int) -> str:
+    return _FLAT if deep == 0 else rf"(?:`(?:[^`\\$]++|\\[\s\S]|\$(?!\{{)|{_value(_template(deep - 1))})*+`|{_FLAT})"
+
+
+TEMPLATE = _template(2)
+LITERAL = rf"{STRING}|{TEMPLATE}|{REGEX}"
+#: What a text falls into: literals, single brackets and commas, and the runs between them.
+PIECE = rf"{LITERAL}|[(){{}}\[\],]|[^(){{}}\[\],\"'`/]++|[\s\S]"
 
 
 def uncommented(text: Column) -> Column:
-    """Text with comments gone and strings as they are; line breaks stay."""
+    """Text with comments gone and literals as they are; line breaks stay."""
     plain = F.translate(text, "\u0001\u0002", "")
-    # each string or comment is followed by two marks, with the comment between them
-    marked = F.regexp_replace(plain, rf"({STRING}|{TEMPLATE})|//[^\n]*+|(/\*[\s\S]*?(?:\*/|\z))", "$1\u0001$2\u0002")
+    # each literal or comment is followed by two marks, with the comment between them
+    marked = F.regexp_replace(plain, rf"({LITERAL})|//[^\n]*+|(/\*[\s\S]*?(?:\*/|\z))", "$1\u0001$2\u0002")
     breaks = F.array_join(F.transform(F.split(marked, "[\u0001\u0002]"), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.regexp_replace(p, r"[^\n]", ""))), "")
-    return F.when(F.instr(plain, "/*") > 0, breaks).otherwise(F.regexp_replace(plain, rf"({STRING}|{TEMPLATE})|//[^\n]*+", "$1"))
+    return F.when(F.instr(plain, "/*") > 0, breaks).otherwise(F.regexp_replace(plain, rf"({LITERAL})|//[^\n]*+", "$1"))
 
 
 def blanked(text: Column) -> Column:
-    """Text with comments gone and string contents emptied, those of templates without values too; line breaks stay."""
-    return F.regexp_replace(uncommented(text), rf"{STRING}|`[^`\\$\n]*+`|({TEMPLATE})", '$1""')
+    """Text with comments gone and the contents of literals emptied; the values of templates and line breaks stay."""
+    code = uncommented(text)
+    # each literal is followed by two marks, with the template between them
+    marked = F.regexp_replace(code, rf"{STRING}|{REGEX}|({TEMPLATE})", '\u0001$1\u0002""')
+    values = lambda p: F.regexp_replace(F.regexp_replace(p, rf"\\[^\n]|({_value(_template(1))})|[^\n$\\]++|[^\n]", "$1"), rf"{STRING}|{REGEX}|`[^`\\\n]*+(?:\\[^\n][^`\\\n]*+)*+`", '""')
+    kept = F.array_join(F.transform(F.split(marked, "[\u0001\u0002]"), lambda p, i: F.when((i % 2 == 0) | (p == ""), p).otherwise(values(p))), "")
+    return F.when(F.instr(code, "`") > 0, kept).otherwise(F.regexp_replace(code, rf"{STRING}|{REGEX}", '""'))
 
 
 def _net(bare: Column) -> Column:
@@ -239,12 +264,13 @@ def extract_calls(lines: DataFrame) -> DataFrame:
     pattern = r"(?<![\w$.])(\.?(?:new\s+)?(?:[A-Za-z_$][\w$]*+\s*+\??\.\s*+)*+[A-Za-z_$][\w$]*+)\s*(?:<[^<>()]*>)?\("
     code = F.regexp_replace("bare", rf"\bfunction\s*\*?\s*{NAME}\s*\(", "function (")
     defines = rf"^\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*+\*?{NAME}\s*\([^;]*\)\s*(?::[^{{]+)?\{{"
-    at = lines.select(*KEY, F.col("line_no").alias("line"), (F.col("bare").rlike(defines) & ~F.regexp_extract("bare", defines, 1).isin(NO_CALLS[:6])).alias("defines"), F.posexplode(F.regexp_extract_all(code, F.lit(pattern), F.lit(1))).alias("position", "m"))
+    declares = rf"^\s*(?:(?:(?:public|private|protected|static|readonly|declare)\s+)*+{NAME}\??\s*(?:<[^>]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*:[^?{{}}]+;|(?:(?:public|protected)\s+)?abstract\s[^;{{]*\([^;{{]*;)\s*$"
+    at = lines.select(*KEY, F.col("line_no").alias("line"), ((F.col("bare").rlike(defines) & ~F.regexp_extract("bare", defines, 1).isin(NO_CALLS[:6])) | ((F.col("depth") > 0) & F.col("bare").rlike(declares))).alias("defines"), F.posexplode(F.regexp_extract_all(code, F.lit(pattern), F.lit(1))).alias("position", "m"))
     # what a call's result is asked for has that call as its receiver
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("m", r"^new\s+", ""), r"[\s?]", ""), r"^\.", "().")
     name = F.substring_index(plain, ".", -1)
     receiver = F.when(F.instr(plain, ".") > 0, F.substring(F.regexp_extract(plain, r"^(.*)\.[^.]*$", 1), 1, 80))
-    # a member's definition looks like a call of its name
+    # a member's definition, or its declaration without a body, looks like a call of its name
     at = at.filter(~((F.col("position") == 0) & F.col("defines")))
     out = at.select(*KEY, "line", "position", receiver.alias("receiver"), name.alias("callee_name"), F.substring(plain, 1, 120).alias("callee_text"), F.col("m").rlike(r"^new\s").alias("is_new"))
     return out.filter(~(F.col("callee_name").isin(NO_CALLS) & F.col("receiver").isNull()))
@@ -257,6 +283,11 @@ def enclosing_symbol(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     return calls.join(hit, [*KEY, "line"], "left")
 
 
+#: Lines of parameters that a signature is read over, at most; parentheses in pairs, four deep.
+HEADER = 60
+_PAIRED = reduce(lambda inner, _: rf"\((?:[^()]++|{inner})*+\)", range(3), r"\([^()]*+\)")
+
+
 def signatures(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     """symbols with signature (up to the body, white space collapsed, 300 characters) and the adjacent doc comment (1,000)."""
     w = W.partitionBy(*KEY).orderBy("line_no")
@@ -265,33 +296,56 @@ def signatures(symbols: DataFrame, lines: DataFrame) -> DataFrame:
     text = lines.select(*KEY, "line_no", F.regexp_replace("line", r"^\s*/?\*+/?\s?|\s*\*/\s*$", "").alias("x"))
     docs = ends.join(text, list(KEY)).filter(F.col("line_no").between(F.col("_from"), F.col("_to"))).groupBy(*KEY, "start_line").agg(F.array_sort(F.collect_list(F.struct("line_no", "x"))).alias("d"))
     doc = F.substring(F.trim(F.array_join(F.transform("d", lambda x: x["x"]), "\n")), 1, 1000)
-    first = lines.select(*KEY, F.col("line_no").alias("start_line"), F.substring(F.trim(F.regexp_replace(F.regexp_replace("line", r"(\{|=>).*$", ""), r"\s+", " ")), 1, 300).alias("signature"))
+    # a declaration whose parameters go on is read up to HEADER lines further
+    open_here = lambda c: F.length(F.regexp_replace(c, r"[^(]", "")) > F.length(F.regexp_replace(c, r"[^)]", ""))
+    starts = lines.join(symbols.select(*KEY, F.col("start_line").alias("line_no")).distinct(), [*KEY, "line_no"], "left_semi")
+    wanted = starts.select(*KEY, F.col("line_no").alias("start_line"), F.explode(F.sequence(F.col("line_no"), F.col("line_no") + F.when(open_here("bare"), HEADER).otherwise(0))).alias("line_no"))
+    rows = wanted.join(lines.select(*KEY, "line_no", "line"), [*KEY, "line_no"]).groupBy(*KEY, "start_line").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("r"))
+    header = F.regexp_extract(F.array_join(F.transform("r", lambda x: x["line"]), "\n"), rf"^((?:{_PAIRED}|[^({{=]|=(?!>)|\()*+)", 1)
+    first = rows.select(*KEY, "start_line", F.substring(F.trim(F.regexp_replace(header, r"\s+", " ")), 1, 300).alias("signature"))
     return symbols.join(first, [*KEY, "start_line"], "left").join(docs.select(*KEY, "start_line", doc.alias("doc_comment")), [*KEY, "start_line"], "left")
 
 
 def extract_routes(files: DataFrame) -> DataFrame:
-    """(key, method, url_path, handler, line) of calls like app.get('/x', handler) and .route('/x').get(handler).post(other)."""
+    """(key, method, url_path, handler, line) of calls like app.get('/x', handler) and .route('/x').get(handler).post(other).
+
+    The last argument must be a function (its handler is null), a name, a member or a call; a call stands for its own last
+    argument. Arguments come from bracket pairs, so they may go over lines and nest at will. line is where the call starts,
+    that of a chain where the chain starts.
+    """
     methods = "|".join(METHODS)
-    code = uncommented(F.col("content"))
-    plain = rf"(?<![\w$.])([A-Za-z_$][\w$.]*)\.({methods})\(\s*['\"`]((?:/[^'\"`\n]*|\*))['\"`]\s*,\s*([^\n]*)"
-    chain = rf"\.route\(\s*['\"`]((?:/[^'\"`\n]*|\*))['\"`]\s*\)((?:\s*\.(?:{methods})\([^\n]*)++)"
-    link = rf"\.({methods})\(\s*((?:(?!\.(?:{methods})\()[^\n])*+)"
-
-    def good(at: DataFrame, rest: Column) -> DataFrame:
-        tail = F.trim(F.regexp_replace(rest, r"\)*\s*;?\s*$", ""))
-        last = F.element_at(F.split(tail, r",\s*"), -1)
-        handler = F.nullif(F.regexp_extract(last, r"([A-Za-z_$][\w$.]*)\)*$", 1), F.lit(""))
-        inline = tail.rlike(r"=>|function\b")
-        at = at.filter((handler.isNotNull() & ~handler.rlike(NO_HANDLERS)) | inline)
-        name = F.create_map(*(F.lit(x) for m in METHODS.items() for x in m))
-        return at.select(*KEY, name[F.col("method")].alias("method"), "url_path", F.when(~inline, handler).alias("handler"), "line")
-
-    a = files.select(*KEY, F.explode(match_lines(code, plain)).alias("x"))
-    get = lambda k: F.regexp_extract("x.m", plain, k)
-    a = a.filter(~get(1).isin(CLIENTS)).select(*KEY, get(2).alias("method"), get(3).alias("url_path"), get(4).alias("rest"), "x.line")
-    b = files.select(*KEY, F.explode(match_lines(code, chain)).alias("x")).select(*KEY, F.regexp_extract("x.m", chain, 1).alias("url_path"), F.col("x.line").alias("at"), F.explode(match_lines(F.regexp_extract("x.m", chain, 2), link)).alias("y"))
-    b = b.select(*KEY, F.regexp_extract("y.m", link, 1).alias("method"), "url_path", F.regexp_extract("y.m", link, 2).alias("rest"), (F.col("at") + F.col("y.line") - 1).alias("line"))
-    return good(a, F.col("rest")).union(good(b, F.col("rest")))
+    member = r"([A-Za-z_$][\w$]*(?:\s*\??\.\s*[A-Za-z_$][\w$]*)*+)"
+    asked = rf"\.\s*({methods})\s*(?:<[^<>()]*>\s*)?$"
+    named = rf"(?<![\w$.])((?:[A-Za-z_$][\w$]*\s*\??\.\s*)*?[A-Za-z_$][\w$]*)\s*\??{asked}"
+    routed = r"\.\s*route\s*$"
+    code = files.filter(F.col("content").rlike(rf"\.\s*(?:{methods})\s*(?:<[^<>()]*>\s*)?\(")).select(*KEY, uncommented(F.col("content")).alias("code"))
+    rows = arguments(bracket_rows(code, F.regexp_extract_all("code", F.lit(PIECE), F.lit(0)))).filter(F.col("piece").isin("(", ","))
+    # a call of a call's result continues its chain; a chain's calls follow one another on their level
+    level = W.partitionBy(*KEY, "level").orderBy("at")
+    opens = F.col("piece") == "("
+    goes_on = opens & F.col("after_close") & F.col("head").rlike(r"^\s*\??\.\s*[A-Za-z_$][\w$]*\s*$")
+    rows = rows.withColumn("chain", F.sum(F.when(opens & ~goes_on, 1).otherwise(0)).over(level.rowsBetween(W.unboundedPreceding, 0)))
+    chain = W.partitionBy(*KEY, "level", "chain").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    lead = F.regexp_extract("head", rf"^([\s\S]*?){member}[^A-Za-z_$]*$", 1)
+    rows = rows.withColumns({"start": F.first(F.col("head_line") + _breaks(lead)).over(chain), "root": F.last(F.when(opens & F.col("head").rlike(routed), F.col("opened")), ignorenulls=True).over(chain)})
+    receiver = F.regexp_replace(F.regexp_extract("head", named, 1), r"[\s?]", "")
+    calls = rows.filter(opens & F.col("head").rlike(asked) & (goes_on | F.col("head").rlike(named)) & ~receiver.isin(CLIENTS))
+    calls = calls.select(*KEY, "opened", "end", "root", F.col("start").alias("line"), F.regexp_extract("head", asked, 1).alias("method"))
+    told = rows.filter("last is not null").join(code, list(KEY)).select(*KEY, "opened", "end", F.col("at"), argument_text(F.col("code")).alias("text")).filter("text <> ''")
+    each = told.groupBy(*KEY, "opened").agg(F.first("end").alias("end"), F.min_by("text", "at").alias("one"), F.max_by("text", "at").alias("handler"), F.max_by("at", "at").alias("handler_at"), F.count("*").alias("n"))
+    static = F.regexp_extract("one", r"^(?:'([^'\n]*)'|\"([^\"\n]*)\"|`([^`$]*)`)$", 0)
+    paths = each.select(*KEY, F.col("opened").alias("root"), F.substring(static, F.lit(2), F.length(static) - 2).alias("url_path")).filter(F.col("url_path").rlike(r"^(?:/|\*$)"))
+    at = calls.join(each.drop("end"), [*KEY, "opened"]).filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "opened")).join(paths, [*KEY, "root"])
+    inner = told.groupBy(*KEY, "end").agg(F.max_by("text", "at").alias("inner")).withColumnRenamed("end", "handler_end")
+    # a call that is the handler ends where the argument ends
+    ends = rows.select(*KEY, F.col("at").alias("handler_at"), "last").join(code, list(KEY)).select(*KEY, "handler_at", (F.col("last") - 1 - F.length(F.regexp_extract(F.substring(F.col("code"), F.col("handler_at") + 2, F.col("last") - F.col("handler_at") - 1), r"(\s*)$", 1))).alias("handler_end"))
+    at = at.join(ends, [*KEY, "handler_at"], "left").join(inner, [*KEY, "handler_end"], "left")
+    inline = F.col("handler").rlike(r"^(?:async\b\s*)?(?:function\b|[A-Za-z_$][\w$]*\s*=>|(?:<[^>]*>\s*)?\([\s\S]*=>)")
+    name = F.col("handler").rlike(rf"^{member}$") & ~F.col("handler").rlike(NO_HANDLERS) & ~F.col("handler").rlike("^(?:null|undefined|true|false|this)$")
+    call = ~inline & F.col("handler").rlike(r"^(?!new\b|await\b)[A-Za-z_$][\s\S]*\)$")
+    shown = F.substring(F.regexp_replace(F.when(call, F.coalesce("inner", "handler")).otherwise(F.col("handler")), r"\s+", ""), 1, 120)
+    verb = F.create_map(*(F.lit(x) for m in METHODS.items() for x in m))
+    return at.filter(inline | name | call).select(*KEY, verb[F.col("method")].alias("method"), "url_path", F.when(~inline, shown).alias("handler"), F.col("line").cast("int").alias("line"))
 
 
 def convention_routes(files: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -60,6 +60,13 @@ export class P%k extends Base {
     return new P%k(a);
   }
 }
+const re%k = /["{]/;
+export function w%k(a) {
+  return `${z%k({})} }` + a / 2 / 3;
+}
+interface J%k {
+  load(id: string): Promise<void>;
+}
 """,
     # CommonJS: exports.x, prototype members, an object of exports
     r"""const lib = require('lib%s');
@@ -90,6 +97,13 @@ app.get('/d/%k', options);
 app.use('/e', list%k);
 this.http.post('/f', list%k);
 function show%k(q) {}
+app.get('/t/%k', h.go); app.get('/u/%k', show%k);
+router.post('/p/%k',
+  auth,
+  wrap(async (q) => { t%k(q); }),
+);
+app
+  .get('/m/%k', show%k);
 """,
     # namespaces, a star re-export, static and this calls, a call inside its own class
     r"""import * as ns from './f%p';
@@ -154,8 +168,8 @@ def expected(name: str, columns: str, rows: list[tuple]) -> str:
 SYMBOLS = [
     (0, "function", "n%k", 3, 6, True, "n%k", "export function n%k(a)"), (0, "function", "helper", 7, 7, False, "h", "function helper(x)"), (0, "class", "C%k", 10, 17, True, "C%k", "export class C%k"),
     (1, "function", "default", 3, 5, True, "default", "export default async function ()"), (1, "interface", "I%k", 6, 6, True, "I%k", "export interface I%k"), (1, "type", "S%k", 7, 7, False, None, "type S%k = 'ok' | 'bad';"),
-    (1, "enum", "E%k", 8, 8, True, "E%k", "export enum E%k"), (1, "function", "get%k", 9, 13, True, "get%k", "export async function get%k("), (1, "variable", "v%k", 14, 14, True, "v%k", "export const v%k = make%k();"),
-    (1, "class", "P%k", 15, 20, True, "P%k", "export class P%k extends Base"),
+    (1, "enum", "E%k", 8, 8, True, "E%k", "export enum E%k"), (1, "function", "get%k", 9, 13, True, "get%k", "export async function get%k( id: string, ): Promise<void>"), (1, "variable", "v%k", 14, 14, True, "v%k", "export const v%k = make%k();"),
+    (1, "class", "P%k", 15, 20, True, "P%k", "export class P%k extends Base"), (1, "function", "w%k", 22, 24, True, "w%k", "export function w%k(a)"), (1, "interface", "J%k", 25, 27, False, None, "interface J%k"),
     (2, "function", "helper", 5, 5, False, "helper", "function helper()"), (2, "function", "R%k", 7, 7, False, "R%k", "function R%k()"), (2, "function", "make%k", 15, 15, False, "create", "function make%k()"),
     (3, "function", "show%k", 11, 11, False, None, "function show%k(q)"),
     (4, "class", "K%k", 4, 7, True, "default", "export default class K%k"), (4, "function", "t%k", 8, 12, True, "t%k", "export function t%k()"),
@@ -218,7 +232,8 @@ def b7(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Form, line, text, the symbol around it, the symbol called (null: none), the rule, and whether that needs the last file of the form.
 CALLS = [
     (0, 4, "prev", "n%k", "f%p.ts:n%p", 1, True), (0, 5, "helper", "n%k", "f%k.ts:helper", 2, False), (0, 12, "this.stop", "C%k.run", "f%k.ts:C%k.stop", 4, False), (0, 13, "ext", "C%k.run", None, None, False), (0, 21, "app.get", None, None, None, False),
-    (1, 4, "a%k", "default", None, None, False), (1, 12, "this.db.find", "get%k", None, None, False), (1, 14, "make%k", "v%k", None, None, False), (1, 18, "P%k", "P%k.make", "f%k.ts:P%k", 2, False),
+    (1, 4, "a%k", "default", None, None, False), (1, 12, "this.db.find", "get%k", None, None, False), (1, 14, "make%k", "v%k", None, None, False), (1, 18, "P%k", "P%k.make", "f%k.ts:P%k", 2, False), (1, 23, "z%k", "w%k", None, None, False),
+    *((3, n, t, None, None, None, False) for n, t in ((12, "app.get"), (12, "app.get"), (13, "router.post"), (15, "wrap"), (15, "t%k"), (18, "().get"))),
     (2, 3, "x%k", "j%k", None, None, False), (2, 5, "lib.use", "helper", None, None, False), (2, 8, "this.next", "R%k.handle", "f%k.ts:R%k.next", 3, False), (2, 15, "z%k", "make%k", None, None, False),
     (3, 2, "app.get", None, None, None, False), (3, 3, "app.del", None, None, None, False), (3, 3, "res.send", None, None, None, False), (3, 4, "app.get", None, None, None, False), (3, 5, "router.all", None, None, None, False), (3, 5, "wrap", None, None, None, False),
     (3, 6, "router.route", None, None, None, False), (3, 6, "().get", None, None, None, False), (3, 6, "().post", None, None, None, False), (3, 7, "axios.get", None, None, None, False), (3, 8, "app.get", None, None, None, False), (3, 9, "app.use", None, None, None, False), (3, 10, "this.http.post", None, None, None, False),
@@ -250,7 +265,9 @@ def b10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Form, method, path, handler, line, and the name of the symbol that it resolves to.
-ROUTES = [(0, "GET", "/x/%k", "n%k", 21, "n%k"), (3, "GET", "/a/%k", "list%k", 2, None), (3, "DELETE", "/a/%k", None, 3, None), (3, "GET", "/a/%k", "list%k", 4, None), (3, "ANY", "*", "ctl.run", 5, None), (3, "GET", "/b/%k", "show%k", 6, "show%k"), (3, "POST", "/b/%k", "save%k", 6, None)]
+ROUTES = [
+    (3, "GET", "/t/%k", "h.go", 12, None), (3, "GET", "/u/%k", "show%k", 12, "show%k"), (3, "POST", "/p/%k", "async(q)=>{t%k(q);}", 13, None), (3, "GET", "/m/%k", "show%k", 17, "show%k"),
+    (0, "GET", "/x/%k", "n%k", 21, "n%k"), (3, "GET", "/a/%k", "list%k", 2, None), (3, "DELETE", "/a/%k", None, 3, None), (3, "GET", "/a/%k", "list%k", 4, None), (3, "ANY", "*", "ctl.run", 5, None), (3, "GET", "/b/%k", "show%k", 6, "show%k"), (3, "POST", "/b/%k", "save%k", 6, None)]
 _ROUTES = f"{_P}, {expected('ro', 'method url handler line target', ROUTES)}"
 
 

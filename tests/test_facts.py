@@ -108,3 +108,69 @@ def test_nothing_nulls_and_empty_files(spark):
     for f in (df, df.limit(0)):
         lines = B.code_lines(f)
         assert B.extract_symbols(lines).count() == 0 and B.extract_calls(lines).count() == 0 and B.extract_imports(f).count() == 0 and B.extract_routes(f).count() == 0
+
+
+def routes(spark, text):
+    return sorted((r.line, r.method, r.url_path, r.handler) for r in B.extract_routes(files(spark, text)).collect())
+
+
+def test_routes_over_lines_and_two_on_one(spark):
+    text = """app.get('/t', h.go); app.get('/u', k);
+router.post('/p',
+  auth, // then
+  save,
+);
+app
+  .get('/m', /* last */ list);
+r.route('/b')
+  .get(show)
+  .post(auth, (req, res) => {
+    if (a) { b([1, { c: ")" }]); }
+  });
+app.put('/w', wrap(async (q) => { f({ a: [q] }); }));
+app.get('/v', lib.wrap(auth, ctl.run));
+app.get<Params>(`/x`, { schema: { a: 1 } }, async () => ({ ok: true }));
+express().get('/y', guard());
+cache.get('/users');
+map.get(key, fallback);
+app.get('/z' + id, h);
+app.get('/z', { a });
+app.get('/z', new Handler());
+app.get(`/z/${id}`, h);
+"""
+    assert routes(spark, text) == [(1, "GET", "/t", "h.go"), (1, "GET", "/u", "k"), (2, "POST", "/p", "save"), (6, "GET", "/m", "list"), (8, "GET", "/b", "show"), (8, "POST", "/b", None), (13, "PUT", "/w", "async(q)=>{f({a:[q]});}"), (14, "GET", "/v", "ctl.run"), (15, "GET", "/x", None), (16, "GET", "/y", "guard()")]
+    deep = "(" * 200 + "x" + ")" * 200
+    assert routes(spark, f"app.get('/d', () => {deep});\napp.get('/e', own);\n") == [(1, "GET", "/d", None), (2, "GET", "/e", "own")]
+
+
+def test_regular_expressions_and_templates(spark):
+    """Quotes and braces in regular expressions, division, templates in values of templates, texts with braces over lines."""
+    text = """const re = /["{]/;
+export function a() { return s.replace(/[/'"]\\/{/g, f(1)); }
+const n = x / y / z; function b() { return q / 2; }
+const t = `${g({})} } ${h(`<${u({ v: "}" })}>`)}`;
+const css = `
+  p {
+  call(1) \\${ no }
+`;
+if (a) { k(m / 2, /`/.test(w)); }
+function c() {}
+"""
+    lines, got = symbols(spark, text)
+    assert [(n, k) for n, _, k, *_ in got] == [(2, "a"), (10, "c")]
+    calls = sorted((r.line, r.callee_text) for r in B.extract_calls(lines).collect())
+    assert calls == [(2, "f"), (2, "s.replace"), (4, "g"), (4, "h"), (9, "().test"), (9, "k")]
+    assert not B.parse_health(lines).first().has_errors
+
+
+def test_declarations_are_no_calls(spark):
+    text = "interface I {\n  load(id: string): Promise<void>;\n  on(cb: (x: number) => void): void;\n}\nabstract class C {\n  abstract z(): void;\n  go(): void {\n    run(1);\n    const v = ok ? a(1) : b(2);\n  }\n}\n"
+    lines = B.code_lines(files(spark, text))
+    assert sorted(r.callee_text for r in B.extract_calls(lines).collect()) == ["a", "b", "run"]
+
+
+def test_signatures_over_lines(spark):
+    text = "export async function get(\n  id: string,\n  { a, b = { c: 1 } }: Opts = {},\n): Promise<void> {\n  x();\n}\nfunction one({ a }) {}\nconst f = async (\n  y,\n) => y;\nclass K extends B {\n}\n"
+    lines = B.code_lines(files(spark, text))
+    got = {r.name: r.signature for r in B.signatures(B.extract_symbols(lines), lines).collect()}
+    assert got == {"get": "export async function get( id: string, { a, b = { c: 1 } }: Opts = {}, ): Promise<void>", "one": "function one({ a })", "f": "const f = async ( y, )", "K": "class K extends B"}
