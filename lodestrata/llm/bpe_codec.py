@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.common import free
 from lodestrata.llm.token_counts import byte_symbols, splitter
 
 #: Parts between spaces, and words, a worker keeps codes of, and the longest such part. Beyond the first the cache starts anew.
@@ -305,4 +306,5 @@ def code_digests(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
                 out.append((n, ids.hexdigest(), back.hexdigest()))
             yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.withColumn("_coded", coded(F.col(text))).withColumns({k: F.col(f"_coded.{k}") for k in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop("_coded")
+    name = free(df, "_coded")
+    return df.withColumn(name, coded(F.col(text))).withColumns({k: F.col(f"{name}.{k}") for k in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop(name)

@@ -77,6 +77,14 @@ def small(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= most else df
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def look_up(big: DataFrame, key: Column, table: DataFrame, of: str, copies: int = 32) -> DataFrame:
     """big left-joined to table, which has one row for each value of its column of (null equals null). Store table before.
 
@@ -85,9 +93,10 @@ def look_up(big: DataFrame, key: Column, table: DataFrame, of: str, copies: int
     """
     if size_of(table) <= BROADCAST_BYTES:
         return big.join(F.broadcast(table), key.eqNullSafe(F.col(of)), "left")
-    dealt = big.withColumn("_deal", (F.monotonically_increasing_id() % copies).cast("int"))
-    each = table.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    return dealt.join(each, key.eqNullSafe(F.col(of)) & (F.col("_deal") == F.col("_copy")), "left").drop("_deal", "_copy")
+    deal, copy = free(big, "_deal"), free(big, "_copy")
+    dealt = big.withColumn(deal, (F.monotonically_increasing_id() % copies).cast("int"))
+    each = table.withColumn(copy, F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return dealt.join(each, key.eqNullSafe(F.col(of)) & (F.col(deal) == F.col(copy)), "left").drop(deal, copy)
 
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from lodestrata.llm.common import ascii_lower, small, store
+from lodestrata.llm.common import free, ascii_lower, small, store
 
 #: Fixed value: what separates words, after A-Z are lower-cased.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -125,6 +125,7 @@ def contamination(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: s
 
 def without_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the documents in which a window of an item occurs; columns as they are. Rows go by id and text together."""
-    keyed = docs.select(F.struct(F.col(id), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
-    hit = contamination(keyed, items, "key", "text").filter("contaminated").select(F.col("key").getField(id).alias("_id"), F.col("key.h").alias("_h")).distinct()
-    return docs.join(small(store(hit, "contaminated")), docs[id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_h")), "left_anti")
+    _id, _h = free(docs, "_id"), free(docs, "_h")
+    keyed = docs.select(F.struct(F.col(id).alias("id"), F.xxhash64(text).alias("h")).alias("key"), F.col(text).alias("text"))
+    hit = contamination(keyed, items, "key", "text").filter("contaminated").select(F.col("key.id").alias(_id), F.col("key.h").alias(_h)).distinct()
+    return docs.join(small(store(hit, "contaminated")), docs[id].eqNullSafe(F.col(_id)) & (F.xxhash64(docs[text]) == F.col(_h)), "left_anti")

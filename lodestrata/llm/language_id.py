@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import look_up, small, store
+from lodestrata.llm.common import free, look_up, small, store
 
 #: Labelled rows of each language that the text model is fitted on, about (those of least hash); all rows are scored and counted.
 SAMPLE = 1000
@@ -164,7 +164,8 @@ def identify(df: DataFrame, id: str = "doc_id", text: str = "text", declared: st
 def accepted(df: DataFrame, id: str = "doc_id", text: str = "text", declared: str = "lang", host: str = "source", **more) -> DataFrame:
     """df without the rows that identify() rejects; columns as they are. Rows go by id, text, declared language and host together."""
     key = lambda d: F.struct(d[id].alias("id"), F.xxhash64(d[text], d[declared], d[host]).alias("h"))
+    _id, _h = free(df, "_id"), free(df, "_h")
     keyed = df.select(key(df).alias("key"), F.col(text).alias("text"), F.col(declared).alias("lang"), F.col(host).alias("source"))
-    bad = identify(keyed, "key", **more).filter("not accepted").select(F.col("key.id").alias("_id"), F.col("key.h").alias("_h")).distinct()
+    bad = identify(keyed, "key", **more).filter("not accepted").select(F.col("key.id").alias(_id), F.col("key.h").alias(_h)).distinct()
     bad = small(store(bad, "rejected"))
-    return df.join(bad, df[id].eqNullSafe(F.col("_id")) & (F.xxhash64(df[text], df[declared], df[host]) == F.col("_h")), "left_anti")
+    return df.join(bad, df[id].eqNullSafe(F.col(_id)) & (F.xxhash64(df[text], df[declared], df[host]) == F.col(_h)), "left_anti")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import look_up, small, store
+from lodestrata.llm.common import free, look_up, small, store
 
 #: Share of a host's pages beyond which a line is boilerplate, and pages that hold it, at least.
 RATIO, PAGES = 0.1, 5
@@ -45,11 +45,12 @@ def without_boilerplate(pages: DataFrame, host: str = "source", text: str = "tex
     lines equal but for surrounding blanks are one line; lines at exactly the ratio stay; an empty table stays empty.
     Line order and the kept lines themselves do not change.
     """
-    drop = boilerplate(pages, host, text, ratio, least).select(F.col("host").alias("_host"), F.col("lines").alias("_lines"))
-    at = look_up(pages.drop("n_lines", "n_dropped"), F.col(host), drop, "_host")
-    kept = F.filter(lines_of(F.col(text)), lambda x: (trimmed(x) == "") | ~F.array_contains("_lines", F.xxhash64(trimmed(x))))
-    at = at.withColumn("_kept", F.when(F.col("_lines").isNull(), lines_of(F.col(text))).otherwise(kept))
+    _host, _lines, _kept = (free(pages, c) for c in ("_host", "_lines", "_kept"))
+    drop = boilerplate(pages, host, text, ratio, least).select(F.col("host").alias(_host), F.col("lines").alias(_lines))
+    at = look_up(pages.drop("n_lines", "n_dropped"), F.col(host), drop, _host)
+    kept = F.filter(lines_of(F.col(text)), lambda x: (trimmed(x) == "") | ~F.array_contains(_lines, F.xxhash64(trimmed(x))))
+    at = at.withColumn(_kept, F.when(F.col(_lines).isNull(), lines_of(F.col(text))).otherwise(kept))
     n = F.coalesce(F.size(lines_of(F.col(text))), F.lit(0))
     n = F.when(F.col(text).isNull(), F.lit(0)).otherwise(n).cast("long")
-    left = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_kept"))
-    return at.withColumns({"n_lines": n, "n_dropped": n - left}).withColumn(text, F.when(F.col("_lines").isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n"))).drop("_host", "_lines", "_kept")
+    left = F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size(_kept))
+    return at.withColumns({"n_lines": n, "n_dropped": n - left}).withColumn(text, F.when(F.col(_lines).isNull(), F.col(text)).otherwise(F.array_join(_kept, "\n"))).drop(_host, _lines, _kept)

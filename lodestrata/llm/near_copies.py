@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestrata.llm import simhash
-from lodestrata.llm.common import small, store
+from lodestrata.llm.common import free, small, store
 from lodestrata.llm.components import components
 
 #: Words of a shingle, and the least Jaccard similarity of near copies as a fraction.
@@ -211,9 +211,10 @@ def one_of_each(df: DataFrame, id: str = "doc_id", text: str = "text", words: in
     """
     rows = store(_grouped(df, id, text, words, similarity, radius).groupBy("id", "h", "first").agg(F.count("*").alias("n")), "near-copies")
     stays = (F.col("first.id") == F.col("id")) & (F.col("first.h") == F.col("h"))
-    named = lambda d: d.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
+    _id, _h = free(df, "_id"), free(df, "_h")
+    named = lambda d: d.select(F.col("id").alias(_id), F.col("h").alias(_h))
     gone, twice = small(store(named(rows.filter(~stays)), "gone")), store(named(rows.filter(stays & (F.col("n") > 1))), "twice")
-    this = (df[id] == F.col("_id")) & (F.xxhash64(df[text]) == F.col("_h"))
+    this = (df[id] == F.col(_id)) & (F.xxhash64(df[text]) == F.col(_h))
     kept = df.join(gone, this, "left_anti")
     if twice.isEmpty():
         return kept
