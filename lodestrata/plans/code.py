@@ -402,7 +402,7 @@ def c10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c11_resolve_handlers", f"WITH {_ROUTES} SELECT path, url AS url_path, line, path || ':' || target AS handler_symbol_id FROM ro")
 def c11(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, binds, syms, exports = _resolved(spark, sf_dir)
-    routes = B.extract_routes(files(spark, sf_dir)).withColumn("route_id", F.concat_ws(":", "path", "line", "method"))
+    routes = B.extract_routes(files(spark, sf_dir)).withColumn("route_id", F.concat_ws(":", "path", "line", "method", "url_path"))
     return C.resolve_handlers(store(routes, "routes"), binds, syms, exports).select("path", "url_path", "line", "handler_symbol_id")
 
 
