@@ -50,8 +50,8 @@ def fulltext_search(queries: DataFrame, postings: DataFrame, chunks: DataFrame,
     labels = chunks.select("chunk_id", F.lower("label").alias("label"))
     names = queries.select("query_id", query_identifiers(F.col("text")).alias("names"))
     named = F.array_contains("names", F.col("label")) | F.array_contains("names", F.substring_index("label", ".", -1))
-    scored = found.join(labels, "chunk_id", "left").join(names, "query_id").withColumn("score", F.col("score") + F.when(named, NAME_BOOST).otherwise(0.0))
-    return top(scored, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank", F.array(F.lit("fulltext")).alias("sources"))
+    scored = found.join(labels, "chunk_id", "left").join(names, "query_id").withColumn("score", F.round(F.col("score") + F.when(named, NAME_BOOST).otherwise(0.0), 9))
+    return top(scored, k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank", F.array(F.lit("fulltext")).alias("sources"))
 
 
 def dot(a: Column, b: Column) -> Column:
