@@ -97,8 +97,13 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) ->
     more than two blocks, and small snapshots are sent once. Vectors of another length, and zero vectors, are nobody's
     neighbours.
     """
-    key = ["snapshot_id", "model", "dim"]
     q, c = _vectors(queries, "query_id", "vector"), _vectors(chunks, "chunk_id", "embedding")
+    best = _best_of_blocks(q, c, ["snapshot_id", "model", "dim"], k)
+    return top(best, k, F.desc("score"), F.col("chunk_id")).withColumn("sources", F.array(F.lit("vector")))
+
+
+def _best_of_blocks(q: DataFrame, c: DataFrame, key: list[str], k: int) -> DataFrame:
+    """(query_id, chunk_id, score): the k best of each meeting of a block of queries and one of chunks that share key."""
     blocks = lambda df, n: df.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(n))
     nq, nc = blocks(q, "nq"), blocks(c, "nc")
     sizes = store(nq.join(nc, _same(nq, nc, key)).select(*(nq[x] for x in key), "nq", "nc"), "vector-blocks")
@@ -108,15 +113,14 @@ def vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES) ->
     q = q.join(sizes, _same(q, sizes, key)).select("query_id", *(q[x] for x in key), "vector", deal("query_id", "nq").alias("qb"), every("nc").alias("cb"))
     c = c.join(sizes, _same(c, sizes, key)).select("chunk_id", *(c[x].alias(x) for x in key), "embedding", deal("chunk_id", "nc").alias("cb"), every("nq").alias("qb"))
     by, kind = [*key, "qb", "cb"], lambda df, x: df.schema[x].dataType.simpleString()
-    best = q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_nearest(k), f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, score double")
-    return top(best, k, F.desc("score"), F.col("chunk_id")).withColumn("sources", F.array(F.lit("vector")))
+    return q.groupBy(*by).cogroup(c.groupBy(*by)).applyInPandas(_nearest(k), f"query_id {kind(q, 'query_id')}, chunk_id {kind(c, 'chunk_id')}, score double")
 
 
 def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = CANDIDATES, bucket: float = 0.5, tables: int = 6, radius: float = math.inf) -> DataFrame:
     """The same by random projections of unit vectors, then exact scores of those that met, within radius if one is given.
 
-    Buckets are keyed by snapshot, model, table and hash, so no pair of two snapshots is ever made. Chunks of the most
-    common length are hashed. A query for which fewer than k met is searched exactly among all chunks (within radius).
+    Buckets are keyed by snapshot, model, table and hash, so no pair of two snapshots is ever made. Buckets are scored by
+    blocks as vector_search does, and only each meeting's best k leave it. Chunks of the most common length are hashed. A query for which fewer than k met is searched exactly among all chunks (within radius).
     """
     size = F.sqrt(dot(F.col("v"), F.col("v")))
 
@@ -132,13 +136,13 @@ def approximate_vector_search(queries: DataFrame, chunks: DataFrame, k: int = CA
     c, q = (store(df.filter(F.col("dim") == dim[0]["dim"]), "unit-vectors").withColumn("x", array_to_vector("u")) for df in (c, units(queries, "query_id", "vector")))
     lsh = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=7).fit(c)
 
-    def buckets(df: DataFrame, *of: str) -> DataFrame:
+    def buckets(df: DataFrame, *of: str | Column) -> DataFrame:
         at = lsh.transform(df).select(*of, "snapshot_id", "model", F.posexplode("h").alias("t", "b"))
         return at.withColumn("b", F.get(vector_to_array("b"), F.lit(0)))
 
-    met = buckets(q, "query_id").join(buckets(c, "chunk_id"), ["snapshot_id", "model", "t", "b"]).select("query_id", "chunk_id").distinct()
-    pairs = met.join(q.select("query_id", F.col("u").alias("a")), "query_id").join(c.select("chunk_id", F.col("u").alias("e")), "chunk_id")
-    exact = pairs.select("query_id", "chunk_id", F.round(dot(F.col("a"), F.col("e")), 9).alias("score"))
+    asked, held = buckets(q, "query_id", F.col("u").alias("vector")), buckets(c, "chunk_id", F.col("u").alias("embedding"))
+    met = _best_of_blocks(asked, held, ["snapshot_id", "model", "t", "b"], k)
+    exact = met.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     within = lambda df: df.filter(F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("score"))) < radius) if radius < 2 else df
     near = store(top(within(exact), k, F.desc("score"), F.col("chunk_id")).select("query_id", "chunk_id", "score", "rank"), "near-vectors")
     short = queries.join(near.filter(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
