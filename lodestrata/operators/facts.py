@@ -77,7 +77,11 @@ def uncommented(text: Column) -> Column:
 
 def blanked(text: Column) -> Column:
     """Text with comments gone and the contents of literals emptied; the values of templates and line breaks stay."""
-    code = uncommented(text)
+    return let(uncommented(text), _emptied)
+
+
+def _emptied(code: Column) -> Column:
+    """Code without comments with the contents of its literals emptied."""
     # each literal is followed by two marks, with the template between them
     marked = F.regexp_replace(code, rf"{STRING}|{REGEX}|({TEMPLATE})", '\u0001$1\u0002""')
     values = lambda p: F.regexp_replace(F.regexp_replace(p, rf"\\[^\n]|({_value(_template(1))})|[^\n$\\]++|[^\n]", "$1"), rf"{STRING}|{REGEX}|`[^`\\\n]*+(?:\\[^\n][^`\\\n]*+)*+`", '""')
@@ -192,12 +196,12 @@ def cjs_exports(lines: DataFrame) -> DataFrame:
 def mark_exports(symbols: DataFrame, files: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """symbols with exported and exported_as where a later `export { a as b }` or `export default a`, or more (key, name,
     exported_as), names them."""
-    text = blanked(F.col("content"))
-    lists = F.explode(F.regexp_extract_all(text, F.lit(r"export\s*\{([^}]*)\}(?!\s*from)"), F.lit(1)))
-    each = files.select(*KEY, lists.alias("g")).select(*KEY, F.explode(F.split("g", ",")).alias("x")).filter(F.trim("x") != "")
-    named = each.select(*KEY, F.regexp_extract("x", NAME, 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract("x", rf"\bas\s+{NAME}", 1), F.lit("")), F.regexp_extract("x", NAME, 1)).alias("_as"))
-    default = files.select(*KEY, F.explode(F.regexp_extract_all(text, F.lit(rf"export\s+default\s+{NAME}\s*(?:;|\n|\z)"), F.lit(1))).alias("name")).select(*KEY, "name", F.lit("default").alias("_as"))
-    every = named.union(default)
+    lists = lambda t: F.filter(F.flatten(F.transform(F.regexp_extract_all(t, F.lit(r"export\s*\{([^}]*)\}(?!\s*from)"), F.lit(1)), lambda g: F.split(g, ","))), lambda x: F.trim(x) != "")
+    named = lambda x: F.struct(F.regexp_extract(x, NAME, 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract(x, rf"\bas\s+{NAME}", 1), F.lit("")), F.regexp_extract(x, NAME, 1)).alias("_as"))
+    default = lambda t: F.transform(F.regexp_extract_all(t, F.lit(rf"export\s+default\s+{NAME}\s*(?:;|\n|\z)"), F.lit(1)), lambda x: F.struct(x.alias("name"), F.lit("default").alias("_as")))
+    # a text that exports nothing need not be blanked
+    code = files.filter(F.col("content").contains("export"))
+    every = code.select(*KEY, F.explode(let(blanked(F.col("content")), lambda t: F.concat(F.transform(lists(t), named), default(t)))).alias("x")).select(*KEY, "x.name", "x._as")
     if more is not None:
         every = every.union(more.select(*KEY, "name", "exported_as"))
     every = every.groupBy(*KEY, "name").agg(F.min("_as").alias("_as"))
@@ -208,7 +212,7 @@ def mark_exports(symbols: DataFrame, files: DataFrame, more: DataFrame | None =
 def match_lines(text: Column, pattern: str) -> Column:
     """array<struct<m, line>>: the matches of a pattern in a text, in order, each with the line it starts on."""
     return let(
-        F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern).alias("p")),
+        let(text, lambda t: F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern).alias("p"))),
         # line breaks before a match: those of all pieces up to it and of all matches before it
         lambda x: let(
             F.transform(F.arrays_zip(x["p"].alias("p"), x["m"].alias("m")), lambda z: F.struct(_breaks(z["p"]).alias("p"), (_breaks(z["p"]) + F.coalesce(_breaks(z["m"]), F.lit(0))).alias("both"))),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import facts as B
 from lodestrata.operators import resolve as C
 from lodestrata.plans.registry import query, table
-from lodestrata.sources.shared import store
+from lodestrata.sources.shared import spread, store
 
 #: %k is the file's number, %p and %q those of the last and last but one file of its form, %s one of seven packages.
 FORMS = [
@@ -127,7 +127,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, FORMS)), (k % len(FORMS) + 1).cast("int"))
     for mark, value in (("%k", k), ("%p", F.greatest(k - 5, F.lit(0))), ("%q", F.greatest(k - 10, F.lit(0))), ("%s", k % 7)):
         text = F.replace(text, F.lit(mark), value.cast("string"))
-    return table(spark, sf_dir, "part").select(k.alias("k"), F.lit("s").alias("snapshot_id"), F.concat(F.lit("src/f"), k.cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
+    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(k.alias("k"), F.lit("s").alias("snapshot_id"), F.concat(F.lit("src/f"), k.cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -377,11 +377,11 @@ def c8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.bindings(edges(spark, sf_dir)).select("path", "local", "imported")
 
 
-def _resolved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _resolved(spark: SparkSession, sf_dir: str, ls: DataFrame | None = None, imported: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(calls, bindings, symbols, exports). Lines, symbols, bindings and calls are stored, so that each text is read once a fact."""
-    ls = store(lines(spark, sf_dir), "lines")
+    ls = store(lines(spark, sf_dir), "lines") if ls is None else ls
     syms = symbols(spark, sf_dir, ls)
-    binds = store(C.bindings(edges(spark, sf_dir)), "bindings")
+    binds = store(C.bindings(edges(spark, sf_dir) if imported is None else imported), "bindings")
     made = store(calls(ls, syms), "calls")
     inner = binds.filter("to_path is not null")
     named = inner.select("snapshot_id", F.col("to_path").alias("path"), F.when(F.col("imported") == "*", "default").otherwise(F.col("imported")).alias("name"))
@@ -415,6 +415,7 @@ SELECT (SELECT count(*) FROM p) AS files, (SELECT count(*) FROM sy) AS symbols,
 def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = store(lines(spark, sf_dir), "lines")
     f = files(spark, sf_dir).withColumn("kind", F.lit("CODE")).join(B.parse_health(ls), ["snapshot_id", "path"])
-    made, binds, syms, exports = _resolved(spark, sf_dir)
-    got = C.index_stats(f, syms, edges(spark, sf_dir), C.resolve_calls(made, binds, syms, exports), B.extract_routes(files(spark, sf_dir)))
+    imported = store(edges(spark, sf_dir), "edges")
+    made, binds, syms, exports = _resolved(spark, sf_dir, ls, imported)
+    got = C.index_stats(f, syms, imported, C.resolve_calls(made, binds, syms, exports), B.extract_routes(files(spark, sf_dir)))
     return got.select("files", "symbols", "imports", "imports_internal", "imports_external", "imports_unresolved", "calls", "calls_resolved", "routes", "parse_errors")
