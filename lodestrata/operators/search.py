@@ -15,17 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from lodestrata.functions.text import query_identifiers, query_terms, snippet, tokens
-from lodestrata.sources.shared import store
+from lodestrata.sources.shared import spread, store
 
 #: Candidates of each list, seeds and results of an expansion, and how much of a seed's score a neighbour gets.
 CANDIDATES, SEEDS, EXPANDED, CARRIED = 30, 5, 6, 0.5
 #: Vectors of a block, about; copies of a snapshot's path queries.
 BLOCK, DEALT = 4096, 16
+#: Pairs of a text and a path that a task places, about.
+PAIRS = 100_000
 #: Rank constant of reciprocal rank fusion; what an exact name match adds to a text score.
 RRF, NAME_BOOST = 60, 10.0
 
 
-def top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
+def top(df: DataFrame, k: int, *order: Column, by: str | list[str] = "query_id") -> DataFrame:
     """The first k rows of each by, with rank from 1; Spark keeps k per partition before it shuffles."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
@@ -227,9 +229,12 @@ def fuzzy_paths(queries: DataFrame, files: DataFrame, k: int = 8) -> DataFrame:
     than max(2 x length, 8) counts only if the query is a substring.
     """
     q = queries.select("query_id", "snapshot_id", F.lower(F.regexp_replace("text", r"\s", "")).alias("q")).filter("q <> ''")
-    # a snapshot's paths are dealt among tasks, and each of its queries goes to all of these
-    dealt = files.select("snapshot_id", "path").distinct().withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(DEALT)).cast("int"))
-    at = q.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).join(dealt, ["snapshot_id", "deal"]).drop("deal").withColumn("low", F.lower("path"))
+    # each different text is placed once; paths are dealt to tasks by how many texts meet them, since their bytes are few
+    q = q.distinct()
+    texts, paths = store(q.select("snapshot_id", "q").distinct(), "path-texts"), store(files.select("snapshot_id", "path").distinct(), "paths")
+    most = texts.groupBy("snapshot_id").count().agg(F.max("count")).first()[0] or 1
+    dealt = spread(paths, max(1, PAIRS // most)).withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(DEALT)).cast("int"))
+    at = texts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).join(dealt, ["snapshot_id", "deal"]).drop("deal").withColumn("low", F.lower("path"))
     loose = F.concat(F.lit("%"), F.array_join(F.transform(F.split("q", ""), lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c)), "%"), F.lit("%"))
     at = at.withColumn("loose", loose).filter(F.expr("low LIKE loose")).withColumn("t", _tightest(F.col("low"), F.col("q"))).filter("t is not null")
     name_at = F.length("low") - F.length(F.substring_index("low", "/", -1)) + 1
@@ -238,8 +243,10 @@ def fuzzy_paths(queries: DataFrame, files: DataFrame, k: int = 8) -> DataFrame:
     bonus = F.when(name.startswith(F.col("q")), 60.0).when(name.contains(F.col("q")), 40.0).when(sub, 20.0).otherwise(0.0)
     each = F.aggregate(F.transform("t.places", lambda p, i: F.when((i > 0) & (F.get(F.col("t.places"), i - 1) == p - 1), 3).otherwise(1) + F.when(p >= F.col("name_at"), 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     at = at.withColumn("name_at", name_at).filter(sub | (F.col("t.spread") <= F.greatest(F.length("q") * 2, F.lit(8))))
-    at = at.select("query_id", "path", F.round(bonus + each - F.length("path") / 100, 9).alias("score"))
-    return top(at, k, F.desc("score"), F.length("path"), F.col("path"))
+    at = at.select("snapshot_id", "q", "path", F.round(bonus + each - F.length("path") / 100, 9).alias("score"))
+    order = F.desc("score"), F.length("path"), F.col("path")
+    best = store(top(at, k, *order, by=["snapshot_id", "q"]).drop("rank"), "path-hits")
+    return top(q.join(best, ["snapshot_id", "q"]).select("query_id", "path", "score"), k, *order)
 
 
 def lookup(paths: DataFrame, fulltext: DataFrame, queries: DataFrame, n_paths: int = 6, n_chunks: int = 12) -> DataFrame:

@@ -10,6 +10,7 @@ from lodestrata.operators import evaluation as K
 from lodestrata.operators import graph as H
 from lodestrata.operators.architecture import route_weight
 from lodestrata.operators import search as S
+from lodestrata.sources.shared import store
 
 
 def brute_components(edges):
@@ -112,6 +113,18 @@ def test_fuzzy(spark):
     assert got[0] == (1, "src/uc.ts") and all(i == 1 for i, _ in got)
 
 
+def test_fuzzy_places_each_text_once(spark, monkeypatch):
+    """Queries of one text in one snapshot are placed once, and each gets all the hits; a query given twice gets them once."""
+    files = spark.createDataFrame([(s, f"src/u{i}/c{i}.ts") for s in "st" for i in range(12)], "snapshot_id string, path string")
+    texts, stored = [(i, "st"[i % 2], "uc" if i % 3 else "U C") for i in range(30)], {}
+    keep = lambda df, name: stored.setdefault(name, store(df, name))
+    monkeypatch.setattr(S, "store", keep)
+    got = S.fuzzy_paths(spark.createDataFrame(texts + texts[:1], "query_id long, snapshot_id string, text string"), files, 5).collect()
+    assert stored["path-texts"].count() == 2 and stored["path-hits"].count() == 10
+    assert len(got) == 150 and len({(r.query_id, r.rank) for r in got}) == 150
+    assert len({tuple((r.path, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == i) for i in range(30)}) == 1
+
+
 def test_approximate_recall(spark):
     rows = [(i, "s", "m", [float((i * p) % 101) - 50 for p in (3, 7, 11, 13)]) for i in range(1, 200)]
     c = spark.createDataFrame(rows, "chunk_id long, snapshot_id string, model string, embedding array<float>")
