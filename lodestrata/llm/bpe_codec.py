@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import free
 from lodestrata.llm.token_counts import byte_symbols, splitter
 
-#: Parts between spaces, and words, a worker keeps codes of, and the longest such part. Beyond the first the cache starts anew.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+#: Words a worker keeps codes of, and the longest such word. Beyond the first the cache starts anew.
+CACHE_WORDS, CACHE_CHARS = 150_000, 48
 
 #: Ids that a long word hands on together, and characters that are read at a time, up to the next white space.
 RUN, READ = 8192, 1 << 16
@@ -107,7 +108,7 @@ class Codec:
         self.names, self.words = byte_symbols(), splitter(WORD_END)
         self.spaces = regex.compile(r"\p{White_Space}+")
         self.added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.cache, self.coded = Kept(self.chunk), Kept(self.word)
+        self.coded = Kept(self.word)
 
     def normal(self, text: str) -> str:
         """NFC, one space for a run of white space, and the lower case of each character by itself."""
@@ -115,7 +116,7 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """Words of normal text. Characters that this Python's Unicode tables don't assign are no letters to the library."""
-        if text.isascii() or not (new := {c for c in text if unicodedata.category(c) == "Cn"}):
+        if text.isascii() or not (new := {c for c in set(text) if unicodedata.category(c) == "Cn"}):
             return self.words(text)
         masked = text.translate({ord(c): "\x01" for c in new})
         return [text[m.start() : m.end()] for m in regex.finditer(WORD_END, masked)]
@@ -141,9 +142,9 @@ class Codec:
         step = self.window
         return " ".join([str(self.ids[t]) for t in self.stream([word] if len(word) <= step else (word[i : i + step] for i in range(0, len(word), step)))])
 
-    def chunk(self, chunk: str) -> str:
-        """Ids of what stands between two spaces, joined by spaces; empty if it has no word."""
-        return " ".join(map(self.coded.__getitem__, self.split(self.normal(chunk))))
+    def run(self, text: str) -> str:
+        """Ids of a text's words, joined by spaces; empty if it has no word. No word crosses white space, and normal text changes only within words."""
+        return " ".join(map(self.coded.__getitem__, self.split(self.normal(text))))
 
     def pieces(self, text: str) -> Iterator[str]:
         """Ids of runs of the text, in order and joined by spaces; a special token's string is that token.
@@ -158,8 +159,7 @@ class Codec:
                 continue
             for block in self.blocks(part):
                 if len(block) <= 2 * READ:
-                    run = " ".join(filter(None, map(self.cache.__getitem__, block.split(" "))))
-                    if run:
+                    if run := self.run(block):
                         yield run
                 else:
                     for m in regex.finditer(r"\P{White_Space}+", block):
@@ -177,7 +177,7 @@ class Codec:
     def unbroken(self, text: str) -> Iterator[str]:
         """Ids of a text without white space, in runs."""
         if len(text) <= READ:
-            if run := self.cache[text]:
+            if run := self.run(text):
                 yield run
             return
         text = self.normal(text)
@@ -288,23 +288,24 @@ def code_digests(df: DataFrame, vocabulary: str, text: str = "text") -> DataFram
     """df with n_tokens, ids_sha256 and decoded_sha256: the ids of each run are hashed, decoded, and kept no longer.
 
     A null text counts as empty: no tokens, and both digests are those of the empty string. Rows keep their number.
+    Texts leave the Arrow batch one by one, so that no second copy of the batch is made.
     """
 
-    @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(vocabulary)
         for texts in batches:
             out = []
             for t in texts:
                 ids, back, n, decoder = hashlib.sha256(), hashlib.sha256(), 0, Decoder(c)
-                for run in c.pieces(t or ""):
+                for run in c.pieces(t.as_py() or ""):
                     ids.update((f" {run}" if n else run).encode())
                     got = list(map(int, run.split(" ")))
                     back.update(decoder.feed_run(got).encode())
                     n += len(got)
                 back.update(decoder.flush().encode())
-                out.append((n, ids.hexdigest(), back.hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+                out.append({"n_tokens": n, "ids_sha256": ids.hexdigest(), "decoded_sha256": back.hexdigest()})
+            yield pa.array(out, pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]))
 
     name = free(df, "_coded")
     return df.withColumn(name, coded(F.col(text))).withColumns({k: F.col(f"{name}.{k}") for k in ("n_tokens", "ids_sha256", "decoded_sha256")}).drop(name)

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from lodestrata.llm.bpe_codec import READ, Codec, Decoder, code_digests, decode, encode, merge_all, sufficient_lookahead
+from lodestrata.llm.bpe_codec import READ, Codec, Decoder, Kept, code_digests, decode, encode, merge_all, sufficient_lookahead
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY, OURS = Tokenizer.from_file(PATH), Codec(PATH)
@@ -74,3 +74,12 @@ def test_long_texts_without_spaces():
         want, runs = library(text), list(OURS.pieces(text))
         assert [int(i) for run in runs for i in run.split()] == want
         assert not want or max(len(run) for run in runs) <= 20 * READ
+
+
+def test_a_word_is_kept_once():
+    """However a word is written and whatever stands beside it, a worker keeps its code once, and no text between two spaces."""
+    c = Codec(PATH)
+    text = "Tree tree, TREE. (tree) tree; Árbol árbol, ÁRBOL."
+    assert c.encode(text) == " ".join(map(str, library(text)))
+    kept = [k for v in vars(c).values() if isinstance(v, Kept) for k in v]
+    assert sorted(k for k in kept if "r" in k) == ["tree", "árbol"]
