@@ -61,6 +61,16 @@ def test_impact_and_chains(spark):
     assert [(r.path, r.n) for r in H.impact_by_file(got, symbols).collect()] == [("src/a.ts", 4)]
 
 
+def test_impact_stores_what_it_finds_and_not_each_call_to_it(spark, monkeypatch):
+    n, rows = 12, []
+    monkeypatch.setattr(H, "store", lambda df, name: (got := store(df, name), rows.append(got.count()))[0])
+    symbols = spark.createDataFrame([(i, "s", "a.ts", "function", "f", None, i, i) for i in range(n)], SYMBOLS)
+    calls = spark.createDataFrame([(a, b, "s", "a.ts", a * 100 + b, "f", True) for a in range(n) for b in range(n) if a != b], CALLS)
+    got = H.impact(spark.createDataFrame([(i,) for i in range(n)], "target_id long"), symbols, calls, spark.createDataFrame([], ROUTES))
+    assert {(r.target_id, r.symbol_id, r.depth, r.parent_id, r.line) for r in got.collect()} == {(t, s, int(t != s), t if t != s else None, s * 100 + t if t != s else None) for t in range(n) for s in range(n)}
+    assert sum(rows) <= 3 * (n * n + calls.count())
+
+
 def test_a_long_chain_of_callers(spark):
     n = 40
     symbols = spark.createDataFrame([(i, "s", "a.ts", "function", "f", None, i, i) for i in range(n)], SYMBOLS)
