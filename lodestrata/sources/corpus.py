@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,12 +20,45 @@ LIMITS = {"code_files": 2000, "total_bytes": 30 * 1024 * 1024, "unpacked": 20, "
 GENERATED = r"(?i)@generated|do not edit|auto-?generated"
 
 
+#: Files of more bytes are read by lines, which tasks share out; what a text reader would unpack stays whole.
+WHOLE_BYTES = 64 << 20
+PACKED = "gz gzip bz2 deflate lz4 snappy zst zstd".split()
+
+
 def read_corpus(spark: SparkSession, path: str, snapshot_id: str) -> DataFrame:
     """(snapshot_id, path, content binary) of all files under path, by Spark's binary reader, which passes over empty ones."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return raw.select(F.lit(snapshot_id).alias("snapshot_id"), "path", "content")
 
 
+def corpus_pieces(spark: SparkSession, path: str, snapshot_id: str, most: int = WHOLE_BYTES) -> DataFrame:
+    """(snapshot_id, path, size, content binary, ends) of all files under path: one row of a file of up to most bytes, as
+    read_corpus has it, and of a larger one a row for each line, in no order, so that no task holds or reads all of it.
+
+    size: the file's bytes; ends: the bytes of the line break after the row, which content leaves out. The reader doesn't tell whether
+    the last line has one, so ends counts one there too. Larger files that are packed stay whole.
+    """
+    at = spark.read.option("recursiveFileLookup", "true")
+    packed, name = F.col("path").rlike(rf"\.({'|'.join(PACKED)})$"), F.lit(snapshot_id).alias("snapshot_id")
+    # the reader passes over files by their length and a pattern of their names, but by no other condition
+    over = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{{{','.join(PACKED)}}}").format("binaryFile").load(path)
+    some = [at.format("binaryFile").load(path).filter(F.col("length") <= most), over.filter(F.col("length") > most)]
+    # the address of a file, written as the binary reader writes paths
+    plain = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^([A-Za-z0-9+.-]+:)//(?=/)", "$1")
+    lines = at.format("text").option("lineSep", "\n").load(path).select(plain.alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("content"))
+    lines = lines.filter((F.col("size") > most) & ~packed).select(name, "path", "size", "content", F.lit(1).alias("ends"))
+    return reduce(DataFrame.union, (w.select(name, "path", F.col("length").alias("size"), "content", F.lit(0).alias("ends")) for w in some), lines)
+
+
+def read_sizes(pieces: DataFrame) -> DataFrame:
+    """(snapshot_id, path, n_bytes): the bytes read of each file of corpus_pieces. A last line may end without a break; a file
+    whose pieces say otherwise than its size fails."""
+    read = pieces.groupBy("snapshot_id", "path").agg(F.max("size").alias("size"), F.sum(F.octet_length("content").cast("long") + F.col("ends")).alias("n"), F.max("ends").alias("ends"))
+    over = F.col("n") - F.col("size")
+    n = F.when((over == 0) | ((over == 1) & (F.col("ends") == 1)), F.col("size")).otherwise(F.raise_error(F.concat(F.lit("not read whole: "), F.col("path"))).cast("long"))
+    return read.select("snapshot_id", "path", n.alias("n_bytes"))
+
+
 def safe_path(path: Column, strip_top: bool = False) -> Column:
     """The path without empty and . segments (and its first segment); null if it could leave the root."""
     p = F.regexp_replace(path, r"^[^/]+/", "") if strip_top else path
