@@ -41,6 +41,8 @@ UNNAMED = [
     (rf"^\s*export\s+default\s+(?:async\s+)?(?:function\s*\*?\s*\(|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>)", "function"),
     (r"^\s*export\s+default\s+(?:abstract\s+)?class\s*(?:\{|extends\b|implements\b)", "class"),
 ]
+#: What every declaration starts with.
+DECLARES = r"^\s*+(?:export|default|async|function|abstract|class|declare|interface|type|const|enum|let|var)\b"
 #: Strings, regular expressions (where a value may start) and template literals, whose values may hold templates again, three
 #: deep. Quantified groups are possessive: the others cost the JVM a stack frame a turn.
 STRING = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"|\'[^\'\\\n]*+(?:\\[\s\S][^\'\\\n]*+)*+\''
@@ -66,13 +68,17 @@ LITERAL = rf"{STRING}|{TEMPLATE}|{REGEX}"
 PIECE = rf"{LITERAL}|[(){{}}\[\],]|[^(){{}}\[\],\"'`/]++|[\s\S]"
 
 
+#: A run of text without comments, and a comment: a piece of a block comment is followed by the line break it ends at, at which
+#: the next piece starts. Only such a piece, or the start of the text, ends where a line break follows.
+_CODE = rf"(?:[^\"'`/]++|{LITERAL}|[\"'`]|/(?![/*]))++"
+_IN_COMMENT = r"(?:[^\n*]++|\*(?!/))*+(?:\*/(\n*+))?"
+_COMMENT = rf"(?!\A)\G(\n){_IN_COMMENT}|({_CODE})|//[^\n]*+(\n*+)|/\*{_IN_COMMENT}"
+
+
 def uncommented(text: Column) -> Column:
     """Text with comments gone and literals as they are; line breaks stay."""
     plain = F.translate(text, "\u0001\u0002", "")
-    # each literal or comment is followed by two marks, with the comment between them
-    marked = F.regexp_replace(plain, rf"({LITERAL})|//[^\n]*+|(/\*[\s\S]*?(?:\*/|\z))", "$1\u0001$2\u0002")
-    breaks = F.array_join(F.transform(F.split(marked, "[\u0001\u0002]"), lambda p, i: F.when(i % 2 == 0, p).otherwise(F.regexp_replace(p, r"[^\n]", ""))), "")
-    return F.when(F.instr(plain, "/*") > 0, breaks).otherwise(F.regexp_replace(plain, rf"({LITERAL})|//[^\n]*+", "$1"))
+    return F.when(plain.contains("//") | plain.contains("/*"), F.regexp_replace(plain, _COMMENT, "$1$2$3$4$5")).otherwise(plain)
 
 
 def blanked(text: Column) -> Column:
@@ -80,28 +86,33 @@ def blanked(text: Column) -> Column:
     return let(uncommented(text), _emptied)
 
 
+#: What a literal starts with, looked at before its patterns are.
+_QUOTE = r"(?=[\"'`/])"
+
+
 def _emptied(code: Column) -> Column:
     """Code without comments with the contents of its literals emptied."""
     # each literal is followed by two marks, with the template between them
-    marked = F.regexp_replace(code, rf"{STRING}|{REGEX}|({TEMPLATE})", '\u0001$1\u0002""')
+    marked = F.regexp_replace(code, rf"{_QUOTE}(?:{STRING}|{REGEX}|({TEMPLATE}))", '\u0001$1\u0002""')
     values = lambda p: F.regexp_replace(F.regexp_replace(p, rf"\\[^\n]|({_value(_template(1))})|[^\n$\\]++|[^\n]", "$1"), rf"{STRING}|{REGEX}|`[^`\\\n]*+(?:\\[^\n][^`\\\n]*+)*+`", '""')
     kept = F.array_join(F.transform(F.split(marked, "[\u0001\u0002]"), lambda p, i: F.when((i % 2 == 0) | (p == ""), p).otherwise(values(p))), "")
-    return F.when(F.instr(code, "`") > 0, kept).otherwise(F.regexp_replace(code, rf"{STRING}|{REGEX}", '""'))
+    return F.when(F.instr(code, "`") > 0, kept).otherwise(F.regexp_replace(code, rf"(?=[\"'/])(?:{STRING}|{REGEX})", '""'))
 
 
 def _net(bare: Column) -> Column:
     """Brackets of any kind that a line opens less those it closes."""
-    return F.length(F.regexp_replace(bare, r"[^{(\[]", "")) - F.length(F.regexp_replace(bare, r"[^})\]]", ""))
+    return F.length(F.regexp_replace(bare, r"[^{(\[]++", "")) - F.length(F.regexp_replace(bare, r"[^})\]]++", ""))
 
 
 def code_lines(files: DataFrame) -> DataFrame:
-    """(key, line_no, line, bare, depth, after, close_0, close_1): bare lines, the bracket depth before and after each, and
-    the next line from each on that closes a block of depth 0 or 1."""
+    """(key, line_no, line, bare, net, depth, after, close_0, close_1): bare lines, the brackets each opens less those it closes, the
+    depth before and after each, and the next line from each on that closes a block of depth 0 or 1. Files that are dealt out
+    by their path stay where they are."""
     at = files.select(*KEY, F.posexplode(F.arrays_zip(F.split("content", "\n").alias("line"), F.split(blanked(F.col("content")), "\n").alias("bare"))).alias("n", "z"))
     at = at.select(*KEY, (F.col("n") + 1).alias("line_no"), "z.line", F.coalesce("z.bare", F.lit("")).alias("bare"))
-    net = _net(F.col("bare"))
+    at = at.withColumn("net", _net(F.col("bare")))
     file = W.partitionBy(*KEY)
-    at = at.withColumn("after", F.sum(net).over(file.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))).withColumn("depth", F.col("after") - net)
+    at = at.withColumn("after", F.sum("net").over(file.orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))).withColumn("depth", F.col("after") - F.col("net"))
     closes = F.col("bare").contains("}") & F.col("bare").rlike(r"[};]\s*\)*[;,]?\s*$")
     back = file.orderBy(F.desc("line_no")).rowsBetween(W.unboundedPreceding, 0)
     return at.withColumns({f"close_{d}": F.min(F.when(closes & (F.col("after") <= d), F.col("line_no"))).over(back) for d in (0, 1)})
@@ -109,7 +120,7 @@ def code_lines(files: DataFrame) -> DataFrame:
 
 def parse_health(lines: DataFrame) -> DataFrame:
     """(key, has_errors): whether the brackets of a file do not close."""
-    return lines.groupBy(*KEY).agg((F.max_by("after", "line_no") != 0).alias("has_errors"))
+    return lines.groupBy(*KEY).agg((F.sum("net") != 0).alias("has_errors"))
 
 
 def _end(depth: int) -> Column:
@@ -126,7 +137,7 @@ def extract_symbols(lines: DataFrame) -> DataFrame:
     bare, every = F.col("bare"), DECLARATIONS + UNNAMED
     name = F.coalesce(_first_group("bare", *(p for p, _ in DECLARATIONS)), F.when(reduce(lambda a, b: a | b, (bare.rlike(p) for p, _ in UNNAMED)), "default"))
     kind = reduce(lambda w, d: w.when(bare.rlike(d[0]), d[1]), every[1:], F.when(bare.rlike(every[0][0]), every[0][1]))
-    at = lines.filter("depth = 0").withColumns({"name": name, "kind": kind}).filter("name is not null and kind is not null")
+    at = lines.filter("depth = 0").filter(bare.rlike(DECLARES)).withColumns({"name": name, "kind": kind}).filter("name is not null and kind is not null")
     return at.select(*KEY, "kind", "name", F.col("line_no").alias("start_line"), _end(0).alias("end_line"), bare.rlike(r"^\s*export\b").alias("exported"), bare.rlike(r"^\s*export\s+default\b").alias("is_default"))
 
 
@@ -146,7 +157,7 @@ _WHOLE = r"^\s*(?:(?:const|let|var)\s+[A-Za-z_$][\w$]*\s*=\s*)?(?:exports\s*=\s*
 
 def _cjs_entries(lines: DataFrame) -> DataFrame:
     """(key, line_no, end_line, entry): what stands between the commas of an object that is module.exports, on one line or many."""
-    start = lines.filter("depth = 0").filter(F.col("bare").rlike(_WHOLE + r"\{"))
+    start = lines.filter("depth = 0").filter(F.col("bare").contains("exports")).filter(F.col("bare").rlike(_WHOLE + r"\{"))
     one = start.filter("after = 0").select(*KEY, "line_no", F.col("line_no").alias("end_line"), F.explode(F.split(F.regexp_extract("bare", r"\{(.*)\}[^}]*$", 1), r",(?![^({\[]*[)}\]])")).alias("entry"))
     spans = start.filter("after > 0").select(*KEY, F.col("line_no").alias("_s"), F.coalesce("close_0", "line_no").alias("_x"))
     inner = lines.filter("depth = 1").join(spans, list(KEY)).filter((F.col("line_no") > F.col("_s")) & (F.col("line_no") < F.col("_x")))
@@ -158,16 +169,17 @@ def extract_cjs(lines: DataFrame) -> DataFrame:
     """(key, kind, container, name, start_line, end_line, exported, is_default) of CommonJS and prototype definitions:
     module.exports = and members of such an object, exports.x =, object.m = function, F.prototype.m =. Those of a module
     object (`var app = module.exports = {}`, or one that module.exports is set to) are exported."""
-    at, bare = lines.filter("depth = 0"), F.col("bare")
+    at, bare = lines.filter("depth = 0").filter(F.col("bare").contains("=")), F.col("bare")
+    out = at.filter(bare.contains("exports"))
     none = F.lit(None).cast("string")
     cols = lambda kind, container, name, exported, default: [*KEY, kind.alias("kind"), container.alias("container"), name.alias("name"), F.col("line_no").alias("start_line"), _end(0).alias("end_line"), F.lit(exported).alias("exported"), F.lit(default).alias("is_default")]
     value = lambda c: F.when(c.rlike(rf"^{_FUNCTION}"), "function").when(c.rlike(r"^class\b"), "class")
     rest = F.regexp_extract("bare", _WHOLE + r"(\S.*)$", 1)
     named = F.coalesce(F.nullif(F.regexp_extract(rest, rf"^(?:async\s+)?(?:function\s*\*?|class)\s+(?!extends\b){NAME}", 1), F.lit("")), F.lit("default"))
-    whole = at.filter(bare.rlike(_WHOLE)).filter(value(rest).isNotNull()).select(*cols(value(rest), none, named, True, True))
+    whole = out.filter(bare.rlike(_WHOLE)).filter(value(rest).isNotNull()).select(*cols(value(rest), none, named, True, True))
     member = rf"^\s*(?:module\.)?exports\.{NAME}\s*=\s*(?!=)"
     said = F.regexp_extract("bare", rf"^\s*(?:module\.)?exports\.[A-Za-z_$][\w$]*\s*=\s*(\S.*)$", 1)
-    own = at.filter(bare.rlike(member) & ~said.rlike(rf"^{NAME}\s*;?\s*$")).select(*cols(F.coalesce(value(said), F.lit("variable")), none, F.regexp_extract("bare", member, 1), True, False))
+    own = out.filter(bare.rlike(member) & ~said.rlike(rf"^{NAME}\s*;?\s*$")).select(*cols(F.coalesce(value(said), F.lit("variable")), none, F.regexp_extract("bare", member, 1), True, False))
     entry = F.col("entry")
     pair = F.regexp_extract(entry, rf"^{NAME}\s*:\s*(\S.*)$", 2)
     of = F.coalesce(F.nullif(F.regexp_extract(entry, rf"^{NAME}\s*:", 1), F.lit("")), F.nullif(F.regexp_extract(entry, rf"^(?:async\s+)?\*?{NAME}\s*\(", 1), F.lit("")))
@@ -176,14 +188,14 @@ def extract_cjs(lines: DataFrame) -> DataFrame:
     proto, plain = rf"^\s*{NAME}\.prototype\.{NAME}\s*=\s*{_FUNCTION}", rf"^\s*{NAME}\.{NAME}\s*=\s*{_FUNCTION}"
     held = at.withColumns({"_c": _first_group("bare", proto, plain), "_n": F.coalesce(*(F.nullif(F.regexp_extract("bare", p, 2), F.lit("")) for p in (proto, plain)))})
     held = held.filter(F.col("_c").isNotNull() & ~F.col("_c").isin("module", "exports", "this"))
-    objects = at.select(*KEY, _first_group("bare", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*(?:exports\s*=\s*)?module\.exports\s*=", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*exports\s*=", rf"{_WHOLE}{NAME}\s*;?\s*$").alias("_c"), F.lit(True).alias("_m")).filter("_c is not null").distinct()
+    objects = out.select(*KEY, _first_group("bare", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*(?:exports\s*=\s*)?module\.exports\s*=", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*exports\s*=", rf"{_WHOLE}{NAME}\s*;?\s*$").alias("_c"), F.lit(True).alias("_m")).filter("_c is not null").distinct()
     held = held.join(objects, [*KEY, "_c"], "left").select(*cols(F.lit("method"), F.col("_c"), F.col("_n"), False, False), "_m").withColumn("exported", F.coalesce("_m", F.lit(False))).drop("_m")
     return whole.union(own).union(listed).union(held)
 
 
 def cjs_exports(lines: DataFrame) -> DataFrame:
     """(key, name, exported_as) of local names that CommonJS exports: module.exports = name (default), exports.x = name, { a, x: b }."""
-    at = lines.filter("depth = 0")
+    at = lines.filter("depth = 0").filter(F.col("bare").contains("exports"))
     default = at.select(*KEY, _first_group("bare", rf"{_WHOLE}{NAME}\s*;?\s*$").alias("name"), F.lit("default").alias("exported_as"))
     pattern = rf"^\s*(?:module\.)?exports\.{NAME}\s*=\s*{NAME}\s*;?\s*$"
     named = at.select(*KEY, F.nullif(F.regexp_extract("bare", pattern, 2), F.lit("")).alias("name"), F.regexp_extract("bare", pattern, 1).alias("exported_as"))
@@ -200,7 +212,7 @@ def mark_exports(symbols: DataFrame, files: DataFrame, more: DataFrame | None =
     named = lambda x: F.struct(F.regexp_extract(x, NAME, 1).alias("name"), F.coalesce(F.nullif(F.regexp_extract(x, rf"\bas\s+{NAME}", 1), F.lit("")), F.regexp_extract(x, NAME, 1)).alias("_as"))
     default = lambda t: F.transform(F.regexp_extract_all(t, F.lit(rf"export\s+default\s+{NAME}\s*(?:;|\n|\z)"), F.lit(1)), lambda x: F.struct(x.alias("name"), F.lit("default").alias("_as")))
     # a text that exports nothing need not be blanked
-    code = files.filter(F.col("content").contains("export"))
+    code = files.filter(F.col("content").rlike(r"export\s*(?:\{|default\b|/[/*])"))
     every = code.select(*KEY, F.explode(let(blanked(F.col("content")), lambda t: F.concat(F.transform(lists(t), named), default(t)))).alias("x")).select(*KEY, "x.name", "x._as")
     if more is not None:
         every = every.union(more.select(*KEY, "name", "exported_as"))
@@ -209,16 +221,18 @@ def mark_exports(symbols: DataFrame, files: DataFrame, more: DataFrame | None =
     return at.withColumn("exported", F.col("exported") | F.col("_as").isNotNull()).withColumn("exported_as", F.coalesce("_as", F.when(F.col("is_default"), "default"), F.when(F.col("exported"), F.col("name")))).drop("_as")
 
 
-def match_lines(text: Column, pattern: str) -> Column:
-    """array<struct<m, line>>: the matches of a pattern in a text, in order, each with the line it starts on."""
-    return let(
-        let(text, lambda t: F.struct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)).alias("m"), F.split(t, pattern).alias("p"))),
-        # line breaks before a match: those of all pieces up to it and of all matches before it
-        lambda x: let(
-            F.transform(F.arrays_zip(x["p"].alias("p"), x["m"].alias("m")), lambda z: F.struct(_breaks(z["p"]).alias("p"), (_breaks(z["p"]) + F.coalesce(_breaks(z["m"]), F.lit(0))).alias("both"))),
-            lambda n: F.transform(x["m"], lambda m, i: F.struct(m.alias("m"), (F.get(n, i)["p"] + 1 + F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda s, y: s + y["both"])).alias("line"))),
-        ),
+def match_lines(text: Column, pattern: str, *holds: str) -> Column:
+    """array<struct<m, line>>: the matches of a pattern in a text, in order, each with the line it starts on. holds: every match
+    has one of these in it; texts without are passed over."""
+    # line breaks before a match: those of all pieces up to it and of all matches before it
+    placed = lambda x: let(
+        F.transform(F.arrays_zip(x["p"].alias("p"), x["m"].alias("m")), lambda z: F.struct(_breaks(z["p"]).alias("p"), (_breaks(z["p"]) + F.coalesce(_breaks(z["m"]), F.lit(0))).alias("both"))),
+        lambda n: F.transform(x["m"], lambda m, i: F.struct(m.alias("m"), (F.get(n, i)["p"] + 1 + F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda s, y: s + y["both"])).alias("line"))),
     )
+    # a text without matches is not split
+    pieces = lambda t, m: F.when(F.size(m) > 0, let(F.struct(m.alias("m"), F.split(t, pattern).alias("p")), placed))
+    every = lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m: pieces(t, m))
+    return let(text, lambda t: F.when(reduce(lambda a, b: a | b, (t.contains(x) for x in holds)), every(t)) if holds else every(t))
 
 
 def _breaks(text: Column) -> Column:
@@ -235,23 +249,23 @@ def _bindings(clause: Column) -> Column:
     return F.concat(one("default", bare), one("*", space), named)
 
 
-def _statements(files: DataFrame, pattern: str, clause: int, specifier: int, kind: str) -> DataFrame:
+def _statements(files: DataFrame, pattern: str, clause: int, specifier: int, kind: str, *holds: str) -> DataFrame:
     """One row per match of pattern in the text without comments, with its bindings, specifier and line."""
-    at = files.select(*KEY, F.explode(match_lines(uncommented(F.col("content")), pattern)).alias("x")).select(*KEY, "x.m", "x.line")
+    at = files.select(*KEY, F.explode(match_lines(uncommented(F.col("content")), pattern, *holds)).alias("x")).select(*KEY, "x.m", "x.line")
     at = at.withColumns({"specifier": F.regexp_extract("m", pattern, specifier), "clause": F.regexp_extract("m", pattern, clause) if clause else F.lit("")})
     return at.select(*KEY, F.lit(kind).alias("kind"), "specifier", _bindings(F.col("clause")).alias("bindings"), "line")
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """(key, kind, specifier, bindings, line) of import statements; side-effect imports bind nothing."""
-    bound = _statements(files, r"import\s+(?:type\s+)?([^'\"();]+?)\s+from\s*['\"]([^'\"\n]+)['\"]", 1, 2, "import")
-    return bound.union(_statements(files, r"import\s*['\"]([^'\"\n]+)['\"]", 0, 1, "import"))
+    bound = _statements(files, r"import\s+(?:type\s+)?([^'\"();]+?)\s+from\s*['\"]([^'\"\n]+)['\"]", 1, 2, "import", "import")
+    return bound.union(_statements(files, r"import\s*['\"]([^'\"\n]+)['\"]", 0, 1, "import", "import"))
 
 
 def extract_reexports(files: DataFrame) -> DataFrame:
     """The same of `export ... from`: named ones, * as a name, and * as "*"."""
     pattern = r"export\s+(?:type\s+)?(\*(?:\s+as\s+[\w$]+)?|\{[^}]*\})\s*from\s*['\"]([^'\"\n]+)['\"]"
-    got = _statements(files, pattern, 1, 2, "reexport")
+    got = _statements(files, pattern, 1, 2, "reexport", "export")
     every = F.array(F.struct(F.lit("*").alias("imported"), F.lit("*").alias("local")))
     return got.withColumn("bindings", F.when(F.size("bindings") == 0, every).otherwise(F.col("bindings")))
 
@@ -259,7 +273,7 @@ def extract_reexports(files: DataFrame) -> DataFrame:
 def extract_requires(files: DataFrame) -> DataFrame:
     """The same of require() and import() with one static string; a name binds the whole module ("*"), destructured names theirs."""
     pattern = r"(?:(?:const|let|var)\s+([\w$]+|\{[^}]*\})\s*=\s*(?:await\s+)?)?\b(?:require|import)\(\s*['\"]([^'\"\n]+)['\"]\s*\)"
-    got = _statements(files, pattern, 1, 2, "require")
+    got = _statements(files, pattern, 1, 2, "require", "require(", "import(")
     return got.withColumn("bindings", F.transform("bindings", lambda b: F.struct(F.when(b["imported"] == "default", "*").otherwise(b["imported"]).alias("imported"), b["local"].alias("local"))))
 
 
@@ -269,7 +283,7 @@ def extract_calls(lines: DataFrame) -> DataFrame:
     code = F.regexp_replace("bare", rf"\bfunction\s*\*?\s*{NAME}\s*\(", "function (")
     defines = rf"^\s*(?:(?:public|private|protected|static|async|override|get|set)\s+)*+\*?{NAME}\s*\([^;]*\)\s*(?::[^{{]+)?\{{"
     declares = rf"^\s*(?:(?:(?:public|private|protected|static|readonly|declare)\s+)*+{NAME}\??\s*(?:<[^>]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*:[^?{{}}]+;|(?:(?:public|protected)\s+)?abstract\s[^;{{]*\([^;{{]*;)\s*$"
-    at = lines.select(*KEY, F.col("line_no").alias("line"), ((F.col("bare").rlike(defines) & ~F.regexp_extract("bare", defines, 1).isin(NO_CALLS[:6])) | ((F.col("depth") > 0) & F.col("bare").rlike(declares))).alias("defines"), F.posexplode(F.regexp_extract_all(code, F.lit(pattern), F.lit(1))).alias("position", "m"))
+    at = lines.filter(F.col("bare").contains("(")).select(*KEY, F.col("line_no").alias("line"), ((F.col("bare").rlike(defines) & ~F.regexp_extract("bare", defines, 1).isin(NO_CALLS[:6])) | ((F.col("depth") > 0) & F.col("bare").rlike(declares))).alias("defines"), F.posexplode(F.regexp_extract_all(code, F.lit(pattern), F.lit(1))).alias("position", "m"))
     # what a call's result is asked for has that call as its receiver
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace("m", r"^new\s+", ""), r"[\s?]", ""), r"^\.", "().")
     name = F.substring_index(plain, ".", -1)

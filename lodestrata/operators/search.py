@@ -233,7 +233,7 @@ def fuzzy_paths(queries: DataFrame, files: DataFrame, k: int = 8) -> DataFrame:
     q = q.distinct()
     texts, paths = store(q.select("snapshot_id", "q").distinct(), "path-texts"), store(files.select("snapshot_id", "path").distinct(), "paths")
     most = texts.groupBy("snapshot_id").count().agg(F.max("count")).first()[0] or 1
-    dealt = spread(paths, max(1, PAIRS // most)).withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(DEALT)).cast("int"))
+    dealt = spread(paths, rows=max(1, PAIRS // most)).withColumn("deal", F.pmod(F.xxhash64("path"), F.lit(DEALT)).cast("int"))
     at = texts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))).join(dealt, ["snapshot_id", "deal"]).drop("deal").withColumn("low", F.lower("path"))
     loose = F.concat(F.lit("%"), F.array_join(F.transform(F.split("q", ""), lambda c: F.when(c.isin("%", "_", "\\"), F.concat(F.lit("\\"), c)).otherwise(c)), "%"), F.lit("%"))
     at = at.withColumn("loose", loose).filter(F.expr("low LIKE loose")).withColumn("t", _tightest(F.col("low"), F.col("q"))).filter("t is not null")

@@ -127,7 +127,8 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.element_at(F.array(*map(F.lit, FORMS)), (k % len(FORMS) + 1).cast("int"))
     for mark, value in (("%k", k), ("%p", F.greatest(k - 5, F.lit(0))), ("%q", F.greatest(k - 10, F.lit(0))), ("%s", k % 7)):
         text = F.replace(text, F.lit(mark), value.cast("string"))
-    return spread(table(spark, sf_dir, "part").select("p_partkey")).select(k.alias("k"), F.lit("s").alias("snapshot_id"), F.concat(F.lit("src/f"), k.cast("string"), F.lit(".ts")).alias("path"), text.alias("content"))
+    each = spread(table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("src/f"), k.cast("string"), F.lit(".ts")).alias("path")), "path")
+    return each.select(k.alias("k"), F.lit("s").alias("snapshot_id"), "path", text.alias("content"))
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
