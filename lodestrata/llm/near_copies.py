@@ -34,6 +34,8 @@ STEP = 500
 SPREAD = 256
 #: Rows whose shingles are counted for the order, texts that make a shingle common, and common shingles kept, at most.
 SAMPLE, COMMON, KEPT = 5_000, 2, 200_000
+#: Rounds in which a bucket's members meet one of them, before all of them meet.
+ROUNDS = 2
 
 
 def hashes_of(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -182,9 +184,23 @@ def _grouped(df: DataFrame, id: str, text: str, words: int, similarity: tuple[in
     open_ = open_.join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
     stars = near.union(verified(open_))
     # 3: the rest of the buckets that still hold texts of different groups
-    found = store(components(stars).toDF("_digest", "c"), "found")
-    at = met.drop("hub").join(small(found), F.col("digest") == F.col("_digest"), "left").select("h", "digest", "p", F.coalesce("c", "digest").alias("c"))
-    at = store(at.withColumn("mixed", F.min("c").over(bucket) < F.max("c").over(bucket)).filter("mixed").drop("mixed"), "shingles-open")
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows (h, digest, p) of buckets that hold texts of different groups, with the group."""
+        found = store(components(stars).toDF("_digest", "c"), "found")
+        at = rows.join(small(found), F.col("digest") == F.col("_digest"), "left").select("h", "digest", "p", F.coalesce("c", "digest").alias("c"))
+        return store(at.withColumn("mixed", F.min("c").over(bucket) < F.max("c").over(bucket)).filter("mixed").drop("mixed"), "shingles-open")
+
+    at = mixed(met.drop("hub"))
+    # one other text of each bucket meets its members, the same in all buckets that hold it: that connects large groups of
+    # near copies, whose pairs then need no comparison
+    for n in range(ROUNDS):
+        hub = F.min(F.struct(F.xxhash64(F.lit(n), "digest").alias("o"), "digest", "p", "c")).over(bucket)
+        asked = at.withColumn("hub", hub).filter((F.col("c") != F.col("hub.c")) & can("p", "hub.p"))
+        links = verified(asked.select(F.least("digest", "hub.digest").alias("a"), F.greatest("digest", "hub.digest").alias("b")))
+        if links.isEmpty():
+            break
+        stars = stars.union(links)
+        at = mixed(at.drop("c"))
     x, y = at.toDF("h", "a", "pa", "ca"), at.toDF("h", "b", "pb", "cb")
     rest = verified(x.join(y, "h").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & can("pa", "pb")).select("a", "b"))
     groups = nodes.join(components(stars.union(rest)).toDF("digest", "c"), "digest", "left").withColumn("c", F.coalesce("c", "digest"))
