@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 
 from lodestrata.functions.text import file_name, let
 from lodestrata.operators.brackets import argument_text, arguments, bracket_rows
+from lodestrata.sources.shared import by_shuffle
 
 NAME = r"([A-Za-z_$][A-Za-z0-9_$]*)"
 KEY = ("snapshot_id", "path")
@@ -148,7 +149,7 @@ def extract_members(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     field = rf"{lead}#?{NAME}\s*{_TYPED}=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*{_TYPED}=>|[A-Za-z_$][\w$]*\s*=>)"
     at = lines.filter("depth = 1").withColumn("name", _first_group("bare", method, field)).filter(F.col("name").isNotNull() & ~F.col("name").isin([n for n in NO_CALLS if n != "constructor"]))
     owner = symbols.filter("kind = 'class'").select(*KEY, F.col("name").alias("owner"), F.col("start_line").alias("_s"), F.col("end_line").alias("_x"), "exported")
-    at = at.join(owner, list(KEY)).filter((F.col("line_no") > F.col("_s")) & (F.col("line_no") <= F.col("_x")))
+    at = at.join(by_shuffle(owner), list(KEY)).filter((F.col("line_no") > F.col("_s")) & (F.col("line_no") <= F.col("_x")))
     return at.select(*KEY, F.lit("method").alias("kind"), "name", F.concat_ws(".", "owner", "name").alias("qualified_name"), F.col("line_no").alias("start_line"), _end(1).alias("end_line"), "exported")
 
 
@@ -160,7 +161,7 @@ def _cjs_entries(lines: DataFrame) -> DataFrame:
     start = lines.filter("depth = 0").filter(F.col("bare").contains("exports")).filter(F.col("bare").rlike(_WHOLE + r"\{"))
     one = start.filter("after = 0").select(*KEY, "line_no", F.col("line_no").alias("end_line"), F.explode(F.split(F.regexp_extract("bare", r"\{(.*)\}[^}]*$", 1), r",(?![^({\[]*[)}\]])")).alias("entry"))
     spans = start.filter("after > 0").select(*KEY, F.col("line_no").alias("_s"), F.coalesce("close_0", "line_no").alias("_x"))
-    inner = lines.filter("depth = 1").join(spans, list(KEY)).filter((F.col("line_no") > F.col("_s")) & (F.col("line_no") < F.col("_x")))
+    inner = lines.filter("depth = 1").join(by_shuffle(spans), list(KEY)).filter((F.col("line_no") > F.col("_s")) & (F.col("line_no") < F.col("_x")))
     many = inner.select(*KEY, "line_no", _end(1).alias("end_line"), F.explode(F.split("bare", r",(?![^({\[]*[)}\]])")).alias("entry"))
     return one.union(many).withColumn("entry", F.trim("entry")).filter("entry <> ''")
 
@@ -189,7 +190,7 @@ def extract_cjs(lines: DataFrame) -> DataFrame:
     held = at.withColumns({"_c": _first_group("bare", proto, plain), "_n": F.coalesce(*(F.nullif(F.regexp_extract("bare", p, 2), F.lit("")) for p in (proto, plain)))})
     held = held.filter(F.col("_c").isNotNull() & ~F.col("_c").isin("module", "exports", "this"))
     objects = out.select(*KEY, _first_group("bare", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*(?:exports\s*=\s*)?module\.exports\s*=", rf"^\s*(?:const|let|var)\s+{NAME}\s*=\s*exports\s*=", rf"{_WHOLE}{NAME}\s*;?\s*$").alias("_c"), F.lit(True).alias("_m")).filter("_c is not null").distinct()
-    held = held.join(objects, [*KEY, "_c"], "left").select(*cols(F.lit("method"), F.col("_c"), F.col("_n"), False, False), "_m").withColumn("exported", F.coalesce("_m", F.lit(False))).drop("_m")
+    held = held.join(by_shuffle(objects), [*KEY, "_c"], "left").select(*cols(F.lit("method"), F.col("_c"), F.col("_n"), False, False), "_m").withColumn("exported", F.coalesce("_m", F.lit(False))).drop("_m")
     return whole.union(own).union(listed).union(held)
 
 
@@ -217,7 +218,7 @@ def mark_exports(symbols: DataFrame, files: DataFrame, more: DataFrame | None =
     if more is not None:
         every = every.union(more.select(*KEY, "name", "exported_as"))
     every = every.groupBy(*KEY, "name").agg(F.min("_as").alias("_as"))
-    at = symbols.join(every, [*KEY, "name"], "left")
+    at = symbols.join(by_shuffle(every), [*KEY, "name"], "left")
     return at.withColumn("exported", F.col("exported") | F.col("_as").isNotNull()).withColumn("exported_as", F.coalesce("_as", F.when(F.col("is_default"), "default"), F.when(F.col("exported"), F.col("name")))).drop("_as")
 
 
@@ -297,8 +298,8 @@ def extract_calls(lines: DataFrame) -> DataFrame:
 def enclosing_symbol(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """calls with from_symbol_id: the tightest symbol around the line, ties by id; null at module scope."""
     s = symbols.select(*KEY, F.col("symbol_id").alias("_id"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
-    hit = calls.join(s, list(KEY)).filter(F.col("line").between(F.col("_s"), F.col("_e"))).groupBy(*KEY, "line").agg(F.min_by("_id", F.struct(F.col("_e") - F.col("_s"), F.col("_id"))).alias("from_symbol_id"))
-    return calls.join(hit, [*KEY, "line"], "left")
+    hit = calls.join(by_shuffle(s), list(KEY)).filter(F.col("line").between(F.col("_s"), F.col("_e"))).groupBy(*KEY, "line").agg(F.min_by("_id", F.struct(F.col("_e") - F.col("_s"), F.col("_id"))).alias("from_symbol_id"))
+    return calls.join(by_shuffle(hit), [*KEY, "line"], "left")
 
 
 #: Lines of parameters that a signature is read over, at most; parentheses in pairs, four deep.
@@ -349,15 +350,15 @@ def extract_routes(files: DataFrame) -> DataFrame:
     receiver = F.regexp_replace(F.regexp_extract("head", named, 1), r"[\s?]", "")
     calls = rows.filter(opens & F.col("head").rlike(asked) & (goes_on | F.col("head").rlike(named)) & ~receiver.isin(CLIENTS))
     calls = calls.select(*KEY, "opened", "end", "root", F.col("start").alias("line"), F.regexp_extract("head", asked, 1).alias("method"))
-    told = rows.filter("last is not null").join(code, list(KEY)).select(*KEY, "opened", "end", F.col("at"), argument_text(F.col("code")).alias("text")).filter("text <> ''")
+    told = rows.filter("last is not null").join(by_shuffle(code), list(KEY)).select(*KEY, "opened", "end", F.col("at"), argument_text(F.col("code")).alias("text")).filter("text <> ''")
     each = told.groupBy(*KEY, "opened").agg(F.first("end").alias("end"), F.min_by("text", "at").alias("one"), F.max_by("text", "at").alias("handler"), F.max_by("at", "at").alias("handler_at"), F.count("*").alias("n"))
     static = F.regexp_extract("one", r"^(?:'([^'\n]*)'|\"([^\"\n]*)\"|`([^`$]*)`)$", 0)
     paths = each.select(*KEY, F.col("opened").alias("root"), F.substring(static, F.lit(2), F.length(static) - 2).alias("url_path")).filter(F.col("url_path").rlike(r"^(?:/|\*$)"))
-    at = calls.join(each.drop("end"), [*KEY, "opened"]).filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "opened")).join(paths, [*KEY, "root"])
+    at = calls.join(by_shuffle(each.drop("end")), [*KEY, "opened"]).filter("root is not null or n > 1").withColumn("root", F.coalesce("root", "opened")).join(by_shuffle(paths), [*KEY, "root"])
     inner = told.groupBy(*KEY, "end").agg(F.max_by("text", "at").alias("inner")).withColumnRenamed("end", "handler_end")
     # a call that is the handler ends where the argument ends
-    ends = rows.select(*KEY, F.col("at").alias("handler_at"), "last").join(code, list(KEY)).select(*KEY, "handler_at", (F.col("last") - 1 - F.length(F.regexp_extract(F.substring(F.col("code"), F.col("handler_at") + 2, F.col("last") - F.col("handler_at") - 1), r"(\s*)$", 1))).alias("handler_end"))
-    at = at.join(ends, [*KEY, "handler_at"], "left").join(inner, [*KEY, "handler_end"], "left")
+    ends = rows.select(*KEY, F.col("at").alias("handler_at"), "last").join(by_shuffle(code), list(KEY)).select(*KEY, "handler_at", (F.col("last") - 1 - F.length(F.regexp_extract(F.substring(F.col("code"), F.col("handler_at") + 2, F.col("last") - F.col("handler_at") - 1), r"(\s*)$", 1))).alias("handler_end"))
+    at = at.join(by_shuffle(ends), [*KEY, "handler_at"], "left").join(by_shuffle(inner), [*KEY, "handler_end"], "left")
     inline = F.col("handler").rlike(r"^(?:async\b\s*)?(?:function\b|[A-Za-z_$][\w$]*\s*=>|(?:<[^>]*>\s*)?\([\s\S]*=>)")
     name = F.col("handler").rlike(rf"^{member}$") & ~F.col("handler").rlike(NO_HANDLERS) & ~F.col("handler").rlike("^(?:null|undefined|true|false|this)$")
     call = ~inline & F.col("handler").rlike(r"^(?!new\b|await\b)[A-Za-z_$][\s\S]*\)$")
