@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.text import directories, package_name, strings
-from lodestrata.sources.shared import store
+from lodestrata.sources.shared import by_shuffle, store
 
 KEY = "snapshot_id"
 #: Extensions that are tried in order, and what a written extension may stand for.
@@ -38,7 +38,7 @@ def candidates(base: Column) -> Column:
 def _probe(at: DataFrame, files: DataFrame, id: str, tried: Column) -> DataFrame:
     """(id, to_path): the first of tried that is a file of the snapshot."""
     each = at.select(id, KEY, F.posexplode(tried).alias("n", "to_path"))
-    return each.join(files.select(KEY, F.col("path").alias("to_path")), [KEY, "to_path"]).groupBy(id).agg(F.min_by("to_path", "n").alias("to_path"))
+    return each.join(by_shuffle(files.select(KEY, F.col("path").alias("to_path"))), [KEY, "to_path"]).groupBy(id).agg(F.min_by("to_path", "n").alias("to_path"))
 
 
 def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
     asked = rel.select(KEY, "folder", "specifier").distinct().withColumn("k", F.concat_ws("\u0001", KEY, "folder", "specifier"))
     base = normal(F.concat_ws("/", "folder", "specifier"))
     hit = _probe(asked.withColumn("base", base).filter("base is not null"), files, "k", candidates(F.col("base")))
-    return rel.withColumn("k", F.concat_ws("\u0001", KEY, "folder", "specifier")).join(hit, "k").select("import_id", "to_path")
+    return rel.withColumn("k", F.concat_ws("\u0001", KEY, "folder", "specifier")).join(by_shuffle(hit), "k").select("import_id", "to_path")
 
 
 def effective_configs(configs: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def effective_configs(configs: DataFrame) -> DataFrame:
     every = at
     for level in range(1, MAX_EXTENDS + 1):
         up = at.select(KEY, "root", "folder", "place", F.posexplode("extends").alias("n", "e")).filter(F.col("e").startswith(".")).select(KEY, "root", F.concat("place", F.format_string("%04d", 9999 - F.col("n"))).alias("place"), normal(F.concat_ws("/", "folder", F.when(F.col("e").endswith(".json"), F.col("e")).otherwise(F.concat("e", F.lit(".json"))))).alias("path"))
-        at = up.join(own.select(KEY, "path", "folder", "base_url", "aliases", "extends"), [KEY, "path"]).select(KEY, "root", "path", "folder", "base_url", "aliases", "extends", F.lit(level).alias("level"), "place")
+        at = up.join(by_shuffle(own.select(KEY, "path", "folder", "base_url", "aliases", "extends")), [KEY, "path"]).select(KEY, "root", "path", "folder", "base_url", "aliases", "extends", F.lit(level).alias("level"), "place")
         every = every.union(at)
     order = F.struct("level", "place")
     based = F.when(F.col("base_url").isNotNull(), F.struct(F.col("base_url").alias("base_url"), F.col("folder").alias("base_folder")))
@@ -76,7 +76,7 @@ def resolve_alias(imports: DataFrame, configs: DataFrame, files: DataFrame) -> D
     alias patterns in order, * captured, then the base folder."""
     bare = imports.filter(~F.col("specifier").rlike(r"^[./]"))
     up = bare.select("import_id", KEY, "specifier", directories(F.col("path")).alias("d")).select("*", F.explode(F.sequence(F.lit(0), F.size("d"))).alias("depth")).withColumn("folder", F.array_join(F.slice("d", F.lit(1), F.col("depth")), "/"))
-    near = up.join(configs, [KEY, "folder"]).groupBy("import_id", KEY, "specifier").agg(F.max_by(F.struct("base", "aliases", "alias_folder"), F.struct("depth", F.col("path") == F.when(F.col("folder") == "", "tsconfig.json").otherwise(F.concat("folder", F.lit("/tsconfig.json"))), "path")).alias("c"))
+    near = up.join(by_shuffle(configs), [KEY, "folder"]).groupBy("import_id", KEY, "specifier").agg(F.max_by(F.struct("base", "aliases", "alias_folder"), F.struct("depth", F.col("path") == F.when(F.col("folder") == "", "tsconfig.json").otherwise(F.concat("folder", F.lit("/tsconfig.json"))), "path")).alias("c"))
 
     def of(pattern: Column, targets: Column) -> Column:
         lead, tail = F.substring_index(pattern, "*", 1), F.substring_index(pattern, "*", -1)
@@ -94,7 +94,7 @@ def resolve_alias(imports: DataFrame, configs: DataFrame, files: DataFrame) -> D
 def resolve_workspace(imports: DataFrame, manifests: DataFrame, files: DataFrame) -> DataFrame:
     """(import_id, to_path) by package name of the repository's own manifests (not its root's): entry fields in order, src/index, index; a subpath under the package and then under src."""
     m = manifests.filter("path <> 'package.json'").select(KEY, F.array_join(directories(F.col("path")), "/").alias("dir"), F.get_json_object("content", "$.name").alias("package"), F.array_compact(F.array(F.coalesce(F.get_json_object("content", "$.exports['.'].import"), F.get_json_object("content", "$.exports['.']"), F.get_json_object("content", "$.exports")), *(F.get_json_object("content", f"$.{f}") for f in ENTRY_FIELDS[1:]))).alias("entries"))
-    at = imports.withColumn("package", package_name(F.col("specifier"))).join(m, [KEY, "package"])
+    at = imports.withColumn("package", package_name(F.col("specifier"))).join(by_shuffle(m), [KEY, "package"])
     rest = F.substring(F.col("specifier"), F.length("package") + 2, F.length("specifier"))
     bases = F.when(rest == "", F.concat("entries", F.array(F.lit("src/index"), F.lit("index")))).otherwise(F.array(rest, F.concat(F.lit("src/"), rest)))
     tried = F.flatten(F.transform(F.filter(F.transform(bases, lambda b: normal(F.concat_ws("/", F.col("dir"), b))), lambda b: b.isNotNull()), candidates))
@@ -106,7 +106,7 @@ def build_import_edges(imports: DataFrame, files: DataFrame, configs: DataFrame,
     steps = {"_r": resolve_relative(imports, files), "_w": resolve_workspace(imports, manifests, files), "_a": resolve_alias(imports, configs, files)}
     at = imports
     for name, hit in steps.items():
-        at = at.join(hit.withColumnRenamed("to_path", name), "import_id", "left")
+        at = at.join(by_shuffle(hit.withColumnRenamed("to_path", name)), "import_id", "left")
     inside = F.col("specifier").rlike(r"^[./]")
     at = at.withColumn("to_path", F.when(F.col("specifier").rlike(r"^\."), F.col("_r")).when(~F.col("specifier").startswith("/"), F.coalesce("_w", "_a"))).withColumn("external", F.col("to_path").isNull() & ~inside)
     return at.withColumn("package_name", F.when(F.col("external"), package_name(F.col("specifier")))).drop(*steps)
@@ -130,18 +130,18 @@ def resolve_exports(asked: DataFrame, symbols: DataFrame, reexports: DataFrame)
     at = start.select(KEY, F.col("path").alias("root"), F.col("name").alias("wanted"), "path", "name", F.array().cast("array<int>").alias("order"))
     frontier, seen, found = at, at.select(KEY, "root", "wanted", "path", "name", "order"), None
     for _ in range(MAX_MODULES):
-        hit = frontier.join(own, [KEY, "path", "name"]).select(KEY, "root", "wanted", "order", "symbol_id")
+        hit = frontier.join(by_shuffle(own), [KEY, "path", "name"]).select(KEY, "root", "wanted", "order", "symbol_id")
         found = hit if found is None else found.union(hit)
         r = reexports.select(KEY, "path", "n", F.col("imported").alias("_i"), "exported", "to_path")
-        nxt = frontier.join(r, [KEY, "path"]).filter((F.col("exported") == F.col("name")) | ((F.col("exported") == "*") & (F.col("name") != "default")))
+        nxt = frontier.join(by_shuffle(r), [KEY, "path"]).filter((F.col("exported") == F.col("name")) | ((F.col("exported") == "*") & (F.col("name") != "default")))
         nxt = nxt.select(KEY, "root", "wanted", F.col("to_path").alias("path"), F.when(F.col("exported") == "*", F.col("name")).otherwise(F.col("_i")).alias("name"), F.concat("order", F.array(F.col("n").cast("int"))).alias("order"))
-        first = nxt.groupBy(KEY, "root", "wanted", "path", "name").agg(F.min("order").alias("order")).join(seen.drop("order"), [KEY, "root", "wanted", "path", "name"], "left_anti")
+        first = nxt.groupBy(KEY, "root", "wanted", "path", "name").agg(F.min("order").alias("order")).join(by_shuffle(seen.drop("order")), [KEY, "root", "wanted", "path", "name"], "left_anti")
         frontier = store(first, "export-frontier")
         if frontier.isEmpty():
             break
         seen = store(seen.unionByName(frontier), "export-seen")
     best = found.groupBy(KEY, "root", "wanted").agg(F.min_by("symbol_id", "order").alias("symbol_id"))
-    return start.join(best.select(KEY, F.col("root").alias("path"), F.col("wanted").alias("name"), "symbol_id"), [KEY, "path", "name"], "left")
+    return start.join(by_shuffle(best.select(KEY, F.col("root").alias("path"), F.col("wanted").alias("name"), "symbol_id")), [KEY, "path", "name"], "left")
 
 
 def methods_of(symbols: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lodestrata.operators import facts as B
 from lodestrata.operators import resolve as C
 from lodestrata.plans.registry import query, table
-from lodestrata.sources.shared import spread, store
+from lodestrata.sources.shared import by_shuffle, spread, store
 
 #: %k is the file's number, %p and %q those of the last and last but one file of its form, %s one of seven packages.
 FORMS = [
@@ -355,7 +355,7 @@ def c6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _reexports(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = store(B.extract_reexports(files(spark, sf_dir)).withColumn("import_id", F.concat_ws(":", "path", "line")), "reexports")
-    at = r.join(C.resolve_relative(r, files(spark, sf_dir)), "import_id")
+    at = r.join(by_shuffle(C.resolve_relative(r, files(spark, sf_dir))), "import_id")
     each = at.select("snapshot_id", "path", "to_path", "line", F.posexplode("bindings").alias("i", "b"))
     return store(each.select("snapshot_id", "path", (F.col("i") + F.col("line") * 100).alias("n"), "b.imported", F.col("b.local").alias("exported"), "to_path"), "reexport-rows")
 
