@@ -157,26 +157,26 @@ def resolve_calls(calls: DataFrame, binds: DataFrame, symbols: DataFrame, export
     namespace, else a member of that container in the file, else a static method of that class.
     exports: resolve_exports() of the bindings' (to_path, imported) and of namespaces' (to_path, callee).
     """
-    top = symbols.filter("parent_id is null and container is null").groupBy(KEY, "path", "name").agg(F.min("symbol_id").alias("id"))
-    held = symbols.filter("container is not null").groupBy(KEY, "path", "container", "name").agg(F.min("symbol_id").alias("id"))
-    methods = methods_of(symbols)
-    exp = exports.select(KEY, F.col("path").alias("to_path"), F.col("name").alias("_n"), F.col("symbol_id").alias("id"))
-    around = symbols.select(F.col("symbol_id").alias("from_symbol_id"), F.col("parent_id").alias("_p"), F.col("container").alias("_c"))
-    c = calls.join(around, "from_symbol_id", "left")
-    b = binds.select(KEY, "path", F.col("local").alias("_l"), "to_path", "imported")
-    plain = c.filter("receiver is null")
+    top = by_shuffle(symbols.filter("parent_id is null and container is null").groupBy(KEY, "path", "name").agg(F.min("symbol_id").alias("id")))
+    held = by_shuffle(symbols.filter("container is not null").groupBy(KEY, "path", "container", "name").agg(F.min("symbol_id").alias("id")))
+    methods = by_shuffle(methods_of(symbols))
+    exp = by_shuffle(exports.select(KEY, F.col("path").alias("to_path"), F.col("name").alias("_n"), F.col("symbol_id").alias("id")))
+    around = by_shuffle(symbols.select(F.col("symbol_id").alias("from_symbol_id"), F.col("parent_id").alias("_p"), F.col("container").alias("_c")))
+    b = by_shuffle(binds.select(KEY, "path", F.col("local").alias("_l"), "to_path", "imported"))
+    plain = calls.filter("receiver is null")
     r1 = plain.join(b, [KEY, "path"]).filter("_l = callee_name").withColumn("_n", F.when(F.col("imported") == "*", "default").otherwise(F.col("imported"))).join(exp, [KEY, "to_path", "_n"]).select("call_id", "id", F.lit(1).alias("rule"))
     r2 = plain.join(b.select(KEY, "path", F.col("_l").alias("callee_name")), [KEY, "path", "callee_name"], "left_anti").join(top.withColumnRenamed("name", "callee_name"), [KEY, "path", "callee_name"]).select("call_id", "id", F.lit(2).alias("rule"))
-    this = c.filter("receiver = 'this'")
+    # calls of no symbol, of which there are many, have no key here
+    this = calls.filter("receiver = 'this'").join(around, "from_symbol_id")
     r3 = this.join(held.toDF(KEY, "path", "_c", "callee_name", "id"), [KEY, "path", "_c", "callee_name"]).select("call_id", "id", F.lit(3).alias("rule"))
     r4 = this.join(methods.toDF("_p", "callee_name", "id"), ["_p", "callee_name"]).select("call_id", "id", F.lit(4).alias("rule"))
-    named = c.filter(r"receiver is not null and receiver <> 'this' and receiver rlike '^[A-Za-z_$][A-Za-z0-9_$]*$'")
+    named = calls.filter(r"receiver is not null and receiver <> 'this' and receiver rlike '^[A-Za-z_$][A-Za-z0-9_$]*$'")
     r5 = named.join(b.filter("imported = '*'"), [KEY, "path"]).filter("_l = receiver").join(exp.withColumnRenamed("_n", "callee_name"), [KEY, "to_path", "callee_name"]).select("call_id", "id", F.lit(5).alias("rule"))
     r6 = named.join(held.toDF(KEY, "path", "receiver", "callee_name", "id"), [KEY, "path", "receiver", "callee_name"]).select("call_id", "id", F.lit(6).alias("rule"))
     owners = named.join(top.toDF(KEY, "path", "receiver", "_o"), [KEY, "path", "receiver"])
     r7 = owners.join(methods.toDF("_o", "callee_name", "id"), ["_o", "callee_name"]).select("call_id", "id", F.lit(7).alias("rule"))
     hits = r1.union(r2).union(r3).union(r4).union(r5).union(r6).union(r7).filter("id is not null").groupBy("call_id").agg(F.min(F.struct("rule", "id")).alias("x"))
-    return calls.join(hits, "call_id", "left").select(*calls.columns, F.col("x.id").alias("to_symbol_id"), F.col("x").isNotNull().alias("resolved"), F.col("x.rule").alias("rule"))
+    return calls.join(by_shuffle(hits), "call_id", "left").select(*calls.columns, F.col("x.id").alias("to_symbol_id"), F.col("x").isNotNull().alias("resolved"), F.col("x.rule").alias("rule"))
 
 
 def resolve_handlers(routes: DataFrame, binds: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:

@@ -386,7 +386,7 @@ def _resolved(spark: SparkSession, sf_dir: str, ls: DataFrame | None = None, imp
     made = store(calls(ls, syms), "calls")
     inner = binds.filter("to_path is not null")
     named = inner.select("snapshot_id", F.col("to_path").alias("path"), F.when(F.col("imported") == "*", "default").otherwise(F.col("imported")).alias("name"))
-    space = inner.filter("imported = '*'").join(made.select("snapshot_id", "path", F.col("receiver").alias("local"), "callee_name"), ["snapshot_id", "path", "local"]).select("snapshot_id", F.col("to_path").alias("path"), F.col("callee_name").alias("name"))
+    space = inner.filter("imported = '*'").join(by_shuffle(made.select("snapshot_id", "path", F.col("receiver").alias("local"), "callee_name")), ["snapshot_id", "path", "local"]).select("snapshot_id", F.col("to_path").alias("path"), F.col("callee_name").alias("name"))
     return made, binds, syms, store(C.resolve_exports(named.union(space), syms, _reexports(spark, sf_dir)), "exports")
 
 
