@@ -415,7 +415,7 @@ SELECT (SELECT count(*) FROM p) AS files, (SELECT count(*) FROM sy) AS symbols,
 )
 def c12(spark: SparkSession, sf_dir: str) -> DataFrame:
     ls = store(lines(spark, sf_dir), "lines")
-    f = files(spark, sf_dir).withColumn("kind", F.lit("CODE")).join(B.parse_health(ls), ["snapshot_id", "path"])
+    f = files(spark, sf_dir).withColumn("kind", F.lit("CODE")).join(by_shuffle(B.parse_health(ls)), ["snapshot_id", "path"])
     imported = store(edges(spark, sf_dir), "edges")
     made, binds, syms, exports = _resolved(spark, sf_dir, ls, imported)
     got = C.index_stats(f, syms, imported, C.resolve_calls(made, binds, syms, exports), B.extract_routes(files(spark, sf_dir)))
