@@ -34,7 +34,8 @@ def bucket_of(term: Column, dim: int) -> Column:
 
 def hash_embed(df: DataFrame, id: str, text: str, dim: int = DIMENSION) -> DataFrame:
     """(id, embedding): counts of hashed [a-z0-9]+ terms with norm 1, in doubles; a text without terms has all zeros."""
-    terms = F.filter(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), lambda t: t != "")
+    # lower() gives a dotted capital I a combining dot, which would split its term
+    terms = F.filter(F.split(F.lower(F.replace(F.col(text), F.lit("\u0130"), F.lit("i"))), "[^a-z0-9]+"), lambda t: t != "")
     at = df.select(id, F.explode_outer(terms).alias("t")).withColumn("bucket", bucket_of(F.col("t"), dim)).groupBy(id, "bucket").agg(F.count("t").alias("n"))
     norm = at.groupBy(id).agg(F.map_from_entries(F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "n")))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     value = lambda i: F.coalesce(F.try_element_at("m", i.cast("long")) / F.nullif(F.col("norm"), F.lit(0.0)), F.lit(0.0))
